@@ -27,6 +27,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place_pieces(digests, capacity)
 
 
+def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataseek.llm.simhash import near_duplicates
+
+    found = near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, threshold=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataseek.llm.token_counts import count_tokens
 
@@ -34,6 +41,46 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), "n_chars")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataseek.llm.quality_model import score_quality
+
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataseek.llm.quality_rules import apply_rules
+
+    return apply_rules(_table(spark, sf_dir, "documents"))
+
+
+def op6_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataseek.llm.pii import BASE_KINDS, find_pii
+
+    found = find_pii(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    of_kind = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long")
+    counts = [of_kind(kind).alias(f"n_{kind}") for kind in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataseek.llm.scratch import new_path
+    from strataseek.llm.warc import archive_pages, read_archives
+
+    path = new_path(spark, "warc")
+    archive_pages(_table(spark, sf_dir, "pages"), path)
+    records = read_archives(spark, path, payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataseek.llm.decontamination import find_contamination
+
+    found = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
 def op9_weighted_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataseek.llm.sharding import Tree, assign_shards
 
