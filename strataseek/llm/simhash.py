@@ -12,6 +12,10 @@ the segment's threshold of 1. If x and y link, y reaches x's home in some segmen
 anchor, each home fingerprint is compared with all that came, and no more than a
 spanning forest of the links goes on, so no group emits all its pairs.
 
+With a second threshold, fingerprints have another 64 bits, from a remix of the same
+hashes, and a link must also have at most that many differing bits in all 128. 64 bits tell
+texts apart too badly for the wider thresholds that a Jaccard similarity of 0.8 needs.
+
 Equal fingerprints are one node from the start. Anchors with very many fingerprints are
 cut into blocks, and each pair of blocks is a task of its own: nothing is capped.
 
@@ -24,6 +28,7 @@ table gives no rows; further columns don't matter, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -47,34 +52,43 @@ PAIRS = 1 << 21
 NO_ID = (1 << 63) - 1
 
 
-def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
-    """As an unsigned number. Words are cut at ASCII white space; only A-Z are lower-cased."""
+def remix(hashes: np.ndarray) -> np.ndarray:
+    """Other bits from the same hashes (the finaliser of SplitMix64)."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: bytes, shingle: int, seed: int = 42, wide: bool = False) -> tuple[int, int]:
+    """As unsigned numbers; the second is 0 unless ``wide``. Words are cut at ASCII white space; only A-Z are lower-cased."""
     words = text.lower().split()
     if not words:
-        return 0
+        return 0, 0
     n = max(1, len(words) - shingle + 1)
-    counts = np.zeros(BITS, np.int64)
+    counts = np.zeros((1 + wide, BITS), np.int64)
     for at in range(0, n, CHUNK):
         m = min(CHUNK, n - at)
         own = map(b" ".join, zip(*(words[at + k : at + k + m] for k in range(shingle)), strict=False)) if len(words) > shingle else [b" ".join(words)]
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, own, repeat(seed)), np.uint64, count=m)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(m, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+        for out, h in zip(counts, (hashes, remix(hashes)) if wide else (hashes,), strict=True):
+            out += np.unpackbits(h.view(np.uint8).reshape(m, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    found = np.packbits(2 * counts > n, axis=1, bitorder="little").view(np.uint64)[:, 0].tolist()
+    return found[0], found[1] if wide else 0
 
 
-def fingerprints(docs: DataFrame, shingle: int, *, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """doc_id, fp (signed) and, with ``carry``, __row (all columns): one row for each row of ``docs``."""
+def fingerprints(docs: DataFrame, shingle: int, *, wide: bool = False, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id, fp, fp2 (signed) and, with ``carry``, __row (all columns): one row for each row of ``docs``."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            found = [fingerprint(t or b"", shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            fp = pa.array(np.array(found, np.uint64).view(np.int64))
-            rest = [batch.column(2)] if carry else []
-            yield pa.record_batch([batch.column(0), fp, *rest], names=["doc_id", "fp", "__row"][: 2 + carry])
+            found = [fingerprint(t or b"", shingle, wide=wide) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            both = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.record_batch([batch.column(0), pa.array(both[:, 0]), pa.array(both[:, 1]), *batch.columns[2:]], names=["doc_id", "fp", "fp2", "__row"][: batch.num_columns + 1])
 
     kept = [F.struct("*").alias("__row")] if carry else []
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *kept)
-    kinds = "doc_id long, fp long" + (f", __row {docs.select(F.struct('*').alias('r')).schema[0].dataType.simpleString()}" if carry else "")
+    kinds = "doc_id long, fp long, fp2 long" + (f", __row {docs.select(F.struct('*').alias('r')).schema[0].dataType.simpleString()}" if carry else "")
     return read.mapInArrow(batches, kinds)
 
 
@@ -128,7 +142,7 @@ def _replicas(threshold: int):
             for code in codes:
                 at, key, home = code.anchors(fps)
                 taken = batch.take(pa.array(at))
-                yield pa.record_batch([pa.array(key), *taken.columns, pa.array(home)], names=["anchor", "fp", "low", "row", "home"])
+                yield pa.record_batch([pa.array(key), *taken.columns, pa.array(home)], names=["anchor", "fp", "fp2", "low", "row", "home"])
 
     return batches
 
@@ -136,7 +150,22 @@ def _replicas(threshold: int):
 # ---------------------------------------------------------------- comparison
 
 
-def forest(fps: np.ndarray, threshold: int) -> tuple[list[int], list[int]]:
+@dataclass(frozen=True)
+class Limit:
+    """When two fingerprints link. all_bits: over both halves; None if there is one half."""
+
+    bits: int
+    all_bits: int | None = None
+
+    def near(self, x: np.ndarray, y: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> np.ndarray:
+        apart = np.bitwise_count(x ^ y)
+        out = apart <= self.bits
+        if self.all_bits is not None and out.any():
+            out &= apart.astype(np.int16) + np.bitwise_count(x2 ^ y2) <= self.all_bits
+        return out
+
+
+def forest(fps: np.ndarray, fps2: np.ndarray, limit: Limit) -> tuple[list[int], list[int]]:
     """Edges of a spanning forest of the links among ``fps``, as two lists of indices."""
     left, right = [], []
     rest = np.arange(len(fps))
@@ -144,7 +173,7 @@ def forest(fps: np.ndarray, threshold: int) -> tuple[list[int], list[int]]:
         frontier, rest = [int(rest[0])], rest[1:]
         while frontier and len(rest):
             node = frontier.pop()
-            hit = np.bitwise_count(fps[rest] ^ fps[node]) <= threshold
+            hit = limit.near(fps[rest], fps[node], fps2[rest], fps2[node])
             if hit.any():
                 linked = rest[hit].tolist()
                 left += [node] * len(linked)
@@ -154,7 +183,7 @@ def forest(fps: np.ndarray, threshold: int) -> tuple[list[int], list[int]]:
     return left, right
 
 
-def links(keys: np.ndarray, fps: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+def links(keys: np.ndarray, fps: np.ndarray, fps2: np.ndarray, home: np.ndarray, limit: Limit) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect, per key, what the links of its homes connect. keys are sorted; edges are indices."""
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(starts, len(keys)))
@@ -174,7 +203,10 @@ def links(keys: np.ndarray, fps: np.ndarray, home: np.ndarray, threshold: int) -
         n = sizes[group[own]]
         a = np.repeat(own, n)
         b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[group[own]], n)
-        near = np.flatnonzero((np.bitwise_count(fps[a] ^ fps[b]) <= threshold) & (a != b))
+        # The first half alone, before anything is looked up of the second.
+        some = np.flatnonzero((np.bitwise_count(fps[a] ^ fps[b]) <= limit.bits) & (a != b))
+        a, b = a[some], b[some]
+        near = limit.near(fps[a], fps[b], fps2[a], fps2[b])
         left.append(a[near])
         right.append(b[near])
         at = to
@@ -187,21 +219,21 @@ def links(keys: np.ndarray, fps: np.ndarray, home: np.ndarray, threshold: int) -
         a, b = a[few], b[few]
     more: tuple[list[int], list[int]] = ([], [])
     for g in dense:
-        s = int(starts[g])
-        for out, found in zip(more, forest(fps[s : s + int(sizes[g])], threshold), strict=True):
+        s, e = int(starts[g]), int(starts[g] + sizes[g])
+        for out, found in zip(more, forest(fps[s:e], fps2[s:e], limit), strict=True):
             out.extend(s + i for i in found)
     return np.concatenate([a, np.array(more[0], np.int64)]), np.concatenate([b, np.array(more[1], np.int64)])
 
 
-def _compare(threshold: int):
+def _compare(limit: Limit):
     """Rows come sorted by (anchor, lo, hi); a group that goes over a batch's end is held until it is whole."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def edges(table: pa.Table, keys: np.ndarray) -> pa.RecordBatch:
-            fps, low, row = (table.column(c).to_numpy() for c in ("fp", "low", "row"))
-            a, b = links(keys, fps.view(np.uint64), table.column("home").to_numpy(), threshold)
+            fps, fps2, low, row = (table.column(c).to_numpy() for c in ("fp", "fp2", "low", "row"))
+            a, b = links(keys, fps.view(np.uint64), fps2.view(np.uint64), table.column("home").to_numpy(), limit)
             return pa.record_batch([pa.array(x) for x in (low[a], row[a], low[b], row[b])], names=["low1", "row1", "low2", "row2"])
 
         def numbered(table: pa.Table) -> np.ndarray:
@@ -226,26 +258,26 @@ def _compare(threshold: int):
     return batches
 
 
-def near_links(nodes: DataFrame, threshold: int) -> DataFrame:
-    """u, v (struct of low and row): edges that connect the nodes (fp, low, row; one for each fingerprint) as their links do."""
-    replicas = materialize(nodes.select("fp", "low", "row").mapInArrow(_replicas(threshold), "anchor long, fp long, low long, row long, home boolean"), "replicas")
+def near_links(nodes: DataFrame, limit: Limit) -> DataFrame:
+    """u, v (struct of low and row): edges that connect the nodes (fp, fp2, low, row; one for each fingerprint) as their links do."""
+    replicas = materialize(nodes.select("fp", "fp2", "low", "row").mapInArrow(_replicas(limit.bits), "anchor long, fp long, fp2 long, low long, row long, home boolean"), "replicas")
     crowded = (
         replicas.groupBy("anchor")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") > BLOCK)
         .select(F.col("anchor").alias("__crowded"), F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("__blocks"))
     )
-    own = F.pmod(F.xxhash64("fp"), F.col("__blocks")).cast("int")
+    own = F.pmod(F.xxhash64("fp", "fp2"), F.col("__blocks")).cast("int")
     dealt = (
         replicas.join(crowded, F.col("anchor") == F.col("__crowded"), "left")
         .withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
         .withColumn("__own", own)
         .withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
-        .select("anchor", F.least("__own", "__other").alias("lo"), F.greatest("__own", "__other").alias("hi"), "fp", "low", "row", "home")
+        .select("anchor", F.least("__own", "__other").alias("lo"), F.greatest("__own", "__other").alias("hi"), "fp", "fp2", "low", "row", "home")
         .repartition("anchor", "lo", "hi")
         .sortWithinPartitions("anchor", "lo", "hi")
     )
-    found = dealt.mapInArrow(_compare(threshold), "low1 long, row1 long, low2 long, row2 long")
+    found = dealt.mapInArrow(_compare(limit), "low1 long, row1 long, low2 long, row2 long")
     out = materialize(
         found.select(F.struct(F.col("low1").alias("low"), F.col("row1").alias("row")).alias("u"), F.struct(F.col("low2").alias("low"), F.col("row2").alias("row")).alias("v")),
         "links",
@@ -254,16 +286,20 @@ def near_links(nodes: DataFrame, threshold: int) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 9, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, *, shingle: int, threshold: int, all_bits: int | None = None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False
+) -> DataFrame:
     """doc_id, fp (signed), component_id (its smallest id), is_first (of its component) and, with ``carry``, __row."""
-    rows = materialize(fingerprints(docs, shingle, id_col=id_col, text_col=text_col, carry=carry).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    limit = Limit(threshold, all_bits)
+    found = fingerprints(docs, shingle, wide=all_bits is not None, id_col=id_col, text_col=text_col, carry=carry)
+    rows = materialize(found.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     key = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("low"), "row")
-    nodes = rows.groupBy("fp").agg(F.min(key).alias("first")).select("fp", "first.low", "first.row")
+    nodes = rows.groupBy("fp", "fp2").agg(F.min(key).alias("first")).select("fp", "fp2", "first.low", "first.row")
     nodes = materialize(nodes, "nodes")
-    roots = components(near_links(nodes, threshold))
-    labels = nodes.select("fp", F.struct("low", "row").alias("own")).join(roots.select(F.col("u").alias("own"), F.col("v").alias("root")), "own", "left")
-    labels = labels.select(F.col("fp").alias("__fp"), F.coalesce("root", "own").alias("root"))
-    return rows.join(labels, F.col("fp") == F.col("__fp")).select(
+    roots = components(near_links(nodes, limit))
+    labels = nodes.select("fp", "fp2", F.struct("low", "row").alias("own")).join(roots.select(F.col("u").alias("own"), F.col("v").alias("root")), "own", "left")
+    labels = labels.select(F.col("fp").alias("__fp"), F.col("fp2").alias("__fp2"), F.coalesce("root", "own").alias("root"))
+    return rows.join(labels, (F.col("fp") == F.col("__fp")) & (F.col("fp2") == F.col("__fp2"))).select(
         "doc_id",
         "fp",
         F.when(F.col("root.low") != NO_ID, F.col("root.low")).alias("component_id"),
