@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataseek.llm.scratch import materialize
+from strataseek.llm.scratch import fence, materialize
 
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
@@ -90,7 +90,7 @@ def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
         F.size("__lines").cast("long").alias("__n_lines"),
     )
     df = _repeats(df)
-    return df.withColumn("base_failed", (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20))
+    return fence(df.withColumn("base_failed", (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)))
 
 
 def order_rules(measured: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:

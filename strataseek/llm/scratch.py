@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -48,3 +49,12 @@ def delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def fence(df: DataFrame) -> DataFrame:
+    """The same rows, but no filter that is put on them moves below.
+
+    Spark moves a filter through projections by putting their expressions in place of the columns;
+    an array column that a lambda looks into would then be computed anew for each element.
+    """
+    return df.select(F.inline_outer(F.array(F.struct(*df.columns))))
