@@ -30,6 +30,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 from math import ceil
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -72,28 +73,47 @@ class WordTokens:
         split = str(spec.get("pre_tokenizer"))
         if "Removed" not in split or any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in spec["added_tokens"]):
             raise ValueError("this tokenizer doesn't drop white space: words can't be encoded by themselves")
+        self.model = self.tokenizer.model
+        self.ids = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.cache = WordCache(CACHE_WORDS)
+        # Byte-level form: printable bytes stand for themselves, the others for code points from 256 on, in order.
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = [b for b in range(256) if b not in plain]
+        self.byte_level = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         """Each word's ids, little-endian, 4 bytes each."""
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def letters(self, word: bytes) -> bytes | None:
+        """The same for a word of letters alone, straight from the model; None if the word isn't one.
+
+        Such a word is one piece for the pre-tokenizer; the normaliser only lower-cases it.
+        """
+        if word.isalpha():  # ASCII letters
+            return b"".join([self.ids[t.id] for t in self.model.tokenize(word.lower().decode())])
+        text = word.decode()
+        low = text.lower()
+        if not (text.isalpha() and low.isalpha()) or "\u03a3" in text or not is_normalized("NFC", text):
+            return None
+        form = "".join(map(self.byte_level.__getitem__, low.encode()))
+        return b"".join([self.ids[t.id] for t in self.model.tokenize(form)])
+
     def fill(self, words: set[bytes]) -> None:
         self.cache.trim()
         absent = self.cache.missing(words)
-        # Letters with one full stop or comma behind are two parts: the letters are looked up by themselves.
-        stems = {}
+        ends = dict(zip((b".", b","), self.encode([b".", b","]), strict=True))
+        others = []
         for w in absent:
-            stem, end = w[:-1], w[-1:]
-            if end in (b".", b",") and stem.decode().isalpha():
-                stems[w] = (stem, end)
-        plain = self.cache.missing({x for pair in stems.values() for x in pair}) if stems else []
-        plain = list({*plain, *(w for w in absent if w not in stems)})
-        own = dict(zip(plain, self.encode(plain), strict=True))
-        self.cache.update(own)
-        for w, (stem, end) in stems.items():
-            self.cache[w] = self.cache[stem] + self.cache[end]
+            # Letters with one full stop or comma behind are two pieces.
+            end = ends.get(w[-1:])
+            ids = self.letters(w if end is None else w[:-1])
+            if ids is None:
+                others.append(w)
+            else:
+                self.cache[w] = ids if end is None else ids + end
+        self.cache.update(zip(others, self.encode(others), strict=True))
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]  # bytes.split() cuts at ASCII white space alone
