@@ -23,3 +23,37 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE lost))::BIGI
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+_STOP = "the|of|and|to|in|a|is|that|for|with|der|die|das|und|ein|ist|von|mit|le|la|les|de|et|des|que|un|est|el|los|las|en|y|del|por"
+_COUNT = lambda pattern: f"len(regexp_extract_all(t, '{pattern}'))"
+
+SQL["op5_quality_rules"] = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents
+), w AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM d
+), k AS (
+  SELECT doc_id, i, word || chr(1) || lead(word, 1) OVER o || chr(1) || lead(word, 2) OVER o || chr(1) || lead(word, 3) OVER o || chr(1) || lead(word, 4) OVER o AS key
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, key) AS n FROM k WHERE key IS NOT NULL) WHERE n > 1
+), r AS (
+  SELECT doc_id, count(DISTINCT i + o) AS n FROM twice, (VALUES (0), (1), (2), (3), (4)) v(o) GROUP BY doc_id
+), m AS (
+  SELECT d.doc_id, t, len(ls) AS n_lines, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
+         {_COUNT('[#*$%&|<>]')} AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+), b AS (
+  SELECT *, (n_words < 10 OR n_repeat_words * 100 > n_words * 20) AS base_failed FROM m
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT (base_failed OR n_symbols * 10 > n_words OR word_chars > 14 * n_words OR word_chars < 2 * n_words OR n_dup_lines * 10 > n_lines * 3
+            OR {_COUNT(chr(92) + 'p{Lu}')} * 10 > word_chars * 4 OR {_COUNT('[!?]')} * 4 > n_words
+            OR NOT regexp_matches(t, '(?i)(?:^|[^\p{{L}}])(?:{_STOP})(?:[^\p{{L}}]|$)')
+            OR {_COUNT(chr(92) + 'p{L}')} * 10 < word_chars * 6
+            OR {_COUNT('(?m)(?:[.][.][.]|…)$')} * 10 > n_lines * 3 OR {_COUNT('(?m)^[ ' + chr(92) + 't]*[-*•]')} * 10 > n_lines * 9) AS kept
+FROM b
+"""
