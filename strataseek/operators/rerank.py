@@ -39,12 +39,12 @@ def boost(query_tokens: list[str], feature: str) -> Column:
     return F.least(total, F.lit(C.MAX_BOOST))
 
 
-def rerank(chunks: DataFrame, query_tokens: list[str], feature: str = "code_explanation", provider_scores: DataFrame | None = None) -> DataFrame:
-    """``chunks`` (with score) with score and confidence anew, in order. provider_scores: id, relevance; a missing one counts 0."""
+def rerank(chunks: DataFrame, query_tokens: list[str], feature: str = "code_explanation", provider_scores: DataFrame | None = None, *, large: bool = False) -> DataFrame:
+    """``chunks`` (with score) with score and confidence anew, in order. provider_scores: id, relevance; a missing one counts 0. large: not just a top-k."""
     boosted = chunks.withColumn("score", F.col("score") + boost(query_tokens, feature))
-    out = minmax(boosted, C.EQUAL_RERANK, out="score")
+    out = minmax(boosted, C.EQUAL_RERANK, out="score", large=large)
     if provider_scores is not None:
         joined = out.join(provider_scores.select("id", F.col("relevance").alias("__ce")), "id", "left")
         blend = F.col("score") * C.METADATA_SHARE + F.coalesce("__ce", F.lit(0.0)) * C.CROSS_ENCODER_SHARE
-        out = minmax(joined.withColumn("score", blend), C.EQUAL_RERANK, out="score").drop("__ce")
+        out = minmax(joined.withColumn("score", blend), C.EQUAL_RERANK, out="score", large=large).drop("__ce")
     return out.withColumn("confidence", confidence(F.col("score"))).orderBy(F.col("score").desc(), *ORDER)

@@ -76,7 +76,7 @@ def bm25(docs: DataFrame, query: str, k: int, *, id_col: str = "id", text_col: s
     """id, score by Robertson and Zaragoza's formula.
 
     One pass over the texts: query terms are counted within each row, so no term is exploded and only
-    documents with a hit go on. Document frequencies and the mean length are one aggregate row, broadcast.
+    documents with a hit go on. Document frequencies and the mean length are a scalar subquery.
     """
     spark = docs.sparkSession
     wanted = spark.range(1).select(F.array_distinct(terms(F.lit(query)))).first()[0]
@@ -87,9 +87,9 @@ def bm25(docs: DataFrame, query: str, k: int, *, id_col: str = "id", text_col: s
     counted = own.select("id", F.size("t").alias("n"), *(c.alias(f"tf{i}") for i, c in enumerate(tf)))
     stats = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))))
     any_hit = reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(wanted))])
-    joined = counted.where(any_hit).crossJoin(F.broadcast(stats))  # one row on the right
+    joined = counted.where(any_hit).withColumn("s", stats.select(F.struct("*")).scalar())
     parts = [
-        F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
+        F.log(1 + (F.col("s.docs") - F.col(f"s.df{i}") + 0.5) / (F.col(f"s.df{i}") + 0.5)) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("n") / F.col("s.mean")))
         for i in range(len(wanted))
     ]
     return top(joined.select("id", reduce(lambda x, y: x + y, parts).alias("score")), k)
@@ -107,8 +107,18 @@ def best_of_each(hits: DataFrame) -> DataFrame:
     return hits.groupBy("id").agg(F.max("score").alias("score"))
 
 
-def minmax(hits: DataFrame, equal: float, *, score_col: str = "score", out: str = "norm") -> DataFrame:
-    """Adds the score scaled to 0..1 over all rows; ``equal`` if all scores are the same. For results already cut to k rows."""
+def minmax(hits: DataFrame, equal: float, *, score_col: str = "score", out: str = "norm", large: bool = False) -> DataFrame:
+    """Adds the score scaled to 0..1 over all rows; ``equal`` if all scores are the same.
+
+    Rows already cut to k meet in one window, so what made them runs once. With ``large``, for
+    rows of any number, the bounds are a scalar subquery over partial minima and maxima.
+    """
+    if large:
+        bounds = hits.agg(F.struct(F.min(score_col).alias("lo"), F.max(score_col).alias("hi")).alias("b"))
+        own = [c for c in hits.columns if c != out or c == score_col]
+        with_bounds = hits.select(*own, bounds.scalar().alias("__b"))
+        lo, hi = F.col("__b.lo"), F.col("__b.hi")
+        return with_bounds.withColumn(out, F.when(hi == lo, F.lit(equal)).otherwise((F.col(score_col) - lo) / (hi - lo))).drop("__b")
     w = Window.partitionBy(F.lit(0))
     lo, hi = F.min(score_col).over(w), F.max(score_col).over(w)
     return hits.withColumn(out, F.when(hi == lo, F.lit(equal)).otherwise((F.col(score_col) - lo) / (hi - lo)))

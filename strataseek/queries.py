@@ -200,14 +200,14 @@ RERANKED = f"SELECT id, {_norm('boosted', 0.5)} AS s, file_path, line_start, lin
 
 @query("rerank_order", f"SELECT id, round(s, 6) AS score, CASE WHEN s >= 0.75 THEN 'HIGH' WHEN s >= 0.45 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM ({RERANKED})")
 def rerank_order(spark, d):
-    out = rerank.rerank(chunk_rows(spark, d), BOOST_TOKENS, "dependency_mapping")
+    out = rerank.rerank(chunk_rows(spark, d), BOOST_TOKENS, "dependency_mapping", large=True)
     return out.select("id", F.round("score", 6).alias("score"), "confidence")
 
 
 @query("cross_encoder_blend", f"SELECT id, round({_norm('b', 0.5)}, 6) AS score FROM (SELECT r.id, s * 0.4::DOUBLE + coalesce(quality, 0) * 0.6::DOUBLE AS b FROM ({RERANKED}) r LEFT JOIN (SELECT doc_id AS id, max(quality) AS quality FROM labels GROUP BY 1) l USING (id))")
 def cross_encoder_blend(spark, d):
     scores = table(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").cast("double").alias("relevance"))
-    return rerank.rerank(chunk_rows(spark, d), BOOST_TOKENS, "dependency_mapping", scores).select("id", F.round("score", 6).alias("score"))
+    return rerank.rerank(chunk_rows(spark, d), BOOST_TOKENS, "dependency_mapping", scores, large=True).select("id", F.round("score", 6).alias("score"))
 
 
 # ---------------------------------------------------------------- sources and routes
