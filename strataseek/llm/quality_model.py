@@ -1,7 +1,7 @@
 """Quality classifier: random-indexing word vectors, pooled, then a two-layer network with calibrated probabilities.
 
 Fitting is on the driver, on a bounded sample of labelled rows (``LABELLED_ROWS``, the
-rows with the smallest hash of their id, whole texts):
+rows with the smallest hash of their id, whole texts of at most ``LABELLED_CHARS`` each):
 
 - each word has a sparse random index vector, drawn from its own hash; a word's vector is the
   sum of the index vectors of the words around it, over the sample, at unit length. Words are runs
@@ -38,6 +38,8 @@ from strataseek.llm.wordcache import WordCache
 
 #: The bound of the sample that the model is fitted on.
 LABELLED_ROWS = 4000
+#: Longer texts, in characters, aren't drawn for the sample (all are scored).
+LABELLED_CHARS = 200_000
 VOCABULARY = 20_000
 DIMENSIONS = 128
 NONZERO = 8
@@ -228,6 +230,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col
         .limit(rows)
     )
     own = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    own = own.where(F.length("__text") <= LABELLED_CHARS)
     found = own.join(F.broadcast(ids), "__id").orderBy(F.xxhash64("__id"), "__id", F.xxhash64("__text")).limit(rows).collect()
     return [r["__text"] for r in found], [r["__label"] for r in found]
 

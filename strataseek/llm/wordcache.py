@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 
+#: Longer words are held for their round only.
+LONG = 64
+
+
 class WordCache(dict):
     """Holds at most about 2 x ``limit`` words: when full, the words not used lately go.
 
@@ -11,10 +15,13 @@ class WordCache(dict):
 
     def __init__(self, limit: int):
         super().__init__()
-        self.limit, self.old = limit, {}
+        self.limit, self.old, self.long = limit, {}, []
 
     def trim(self) -> None:
         """Call before a round, never within one."""
+        for w in self.long:
+            self.pop(w, None)
+        self.long = []
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -26,6 +33,8 @@ class WordCache(dict):
             value = self.old.get(w)
             if value is None:
                 absent.append(w)
+                if len(w) > LONG:
+                    self.long.append(w)
             else:
                 self[w] = value
         return absent
