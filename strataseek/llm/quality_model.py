@@ -23,7 +23,6 @@ equal scores; an empty table gives no rows; only the id and text columns of ``do
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -53,6 +52,8 @@ ROUND_BYTES = 4_000_000
 GATHER = 1 << 18
 
 AGAIN, AGAIN_WORD = "\0again", b"\0again"
+#: Stands for a part whose shape isn't known either; its vector is 0.
+OTHER = "\0other"
 PARTS = re.compile(r"[^\W\d_]+|\d+|([^\w\s]|_)\1*")
 
 
@@ -97,7 +98,7 @@ class Model:
         for p in parts(word):
             i = known.get(p)
             if i is None:
-                i = known.get(shape(p), 0)
+                i = known.get(shape(p), known[OTHER])
             out.append(i)
         return np.array(out, np.int32).tobytes()
 
@@ -113,16 +114,18 @@ def index_vectors(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return places, signs
 
 
-def word_vectors(docs: list[np.ndarray], words: list[str]) -> np.ndarray:
+def word_vectors(stream: np.ndarray, words: list[str]) -> np.ndarray:
+    """stream: word numbers, -1 between texts. In blocks, so that memory is that of the vectors."""
     places, signs = index_vectors(words)
     total = np.zeros(len(words) * DIMENSIONS)
-    stream = np.concatenate([np.append(d, np.full(REACH, -1)) for d in docs]) if docs else np.empty(0, np.int64)
-    for step in range(1, REACH + 1):
-        a, b = stream[:-step], stream[step:]
-        both = (a >= 0) & (b >= 0)
-        for word, near in ((a[both], b[both]), (b[both], a[both])):
-            for k in range(NONZERO):
-                total += np.bincount(word * DIMENSIONS + places[near, k], weights=signs[near, k], minlength=len(total))
+    for at in range(0, len(stream), GATHER):
+        block = stream[at : at + GATHER + REACH]
+        for step in range(1, REACH + 1):
+            a, b = block[: min(GATHER, len(block) - step)], block[step : GATHER + step]
+            both = (a >= 0) & (b >= 0)
+            for word, near in ((a[both], b[both]), (b[both], a[both])):
+                for k in range(NONZERO):
+                    total += np.bincount(word.astype(np.int64) * DIMENSIONS + places[near, k], weights=signs[near, k], minlength=len(total))
     vectors = total.reshape(len(words), DIMENSIONS)
     return (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
@@ -168,17 +171,17 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     y = np.array(labels, float)
     if len(set(labels)) < 2:
         return Model({}, np.zeros((1, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0, 1.0, constant=float((y.sum() + 1) / (len(y) + 2)))
-    split = [list(chain.from_iterable(map(parts, words_of(t.encode())))) for t in texts]
-    counts = Counter(chain.from_iterable(split))
-    common = [w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if n >= 3][:VOCABULARY]
+    seen: dict[str, int] = {}
+    docs = [np.array([seen.setdefault(p, len(seen)) for p in chain.from_iterable(map(parts, words_of(t.encode())))], np.int32) for t in texts]
+    counts = np.bincount(np.concatenate(docs), minlength=len(seen))
+    common = sorted((w for w, i in seen.items() if counts[i] >= 3), key=lambda w: (-counts[seen[w]], w))[:VOCABULARY]
     known = {w: i for i, w in enumerate(common)}
-    shapes = sorted({shape(w) for w in counts})
-    for s in shapes:
+    for s in sorted({shape(w) for w in seen}):
         known[s] = len(known)
-    words = list(known)
-    get = lambda w: known[w] if w in known else known[shape(w)]
-    docs = [np.fromiter(map(get, own), np.int64, len(own)) for own in split]
-    vectors = word_vectors(docs, words)
+    known[OTHER] = len(known)
+    number = np.array([known[w] if w in known else known[shape(w)] for w in seen], np.int32)
+    docs = [number[d] for d in docs]
+    vectors = word_vectors(np.concatenate([x for d in docs for x in (d, np.full(REACH, -1, np.int32))]), list(known))
     pooled = np.array([vectors[d].mean(0) if len(d) else np.zeros(DIMENSIONS) for d in docs])
     mean, spread = pooled.mean(0), pooled.std(0) + 1e-6
     x = (pooled - mean) / spread
