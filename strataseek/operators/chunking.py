@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from strataseek.functions.text import is_blank
 from strataseek.operators.dependencies import dependencies
-from strataseek.operators.preprocess import number_lines
 from strataseek.operators.segment import block_chunks, cobol_blocks, fortran_blocks
 from strataseek.operators.sizing import merge_small, split_oversized
 
@@ -20,6 +19,6 @@ def chunk(processed: DataFrame) -> DataFrame:
     out = []
     for language, blocks, mixed in (("cobol", cobol_blocks, "UNKNOWN"), ("fortran", fortran_blocks, "MIXED")):
         own = files.where(F.col("language") == language)
-        chunks = block_chunks(own, blocks(number_lines(own, *KEYS, text_col="code"), *KEYS), *KEYS)
+        chunks = block_chunks(own, blocks, *KEYS)
         out.append(chunks.select(*KEYS, F.explode(merge_small(F.col("chunks"), mixed)).alias("c")).select(*KEYS, "c.*"))
     return split_oversized(out[0].unionByName(out[1])).withColumn("dependencies", dependencies(F.col("language"), F.col("content")))

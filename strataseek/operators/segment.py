@@ -1,13 +1,12 @@
-"""Structural blocks of clean code, as window queries, and the chunks made of them."""
+"""Structural blocks of clean code, and the chunks made of them. A file is one row: its lines are an array, and blocks come from higher-order functions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataseek.functions.text import is_blank, lines, strip, word_count
 
-DIVISION_NAMES = ("IDENTIFICATION", "ENVIRONMENT", "DATA", "PROCEDURE")
 # Fixed values.
 UNIT_HEADER = (
     r"(?i)^\s*(?:(?:RECURSIVE|PURE|ELEMENTAL|IMPURE)\s+)?(?:(?:INTEGER|REAL|DOUBLE\s+PRECISION|COMPLEX|CHARACTER|LOGICAL)\s+)?"
@@ -29,69 +28,64 @@ def paragraph_name(line: Column) -> Column:
     return F.when(line.rlike(r"^\S") & strip(line).endswith(".") & bare.rlike(r"^[A-Z0-9-]+$"), bare)
 
 
-def cobol_blocks(code_lines: DataFrame, *keys: str) -> DataFrame:
-    """keys, name, line_start, line_end, division, chunk_type. code_lines: keys, line_no, line."""
-    file, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("line_no")
-    rows = code_lines.select(
-        *keys,
-        "line_no",
-        paragraph_name(F.col("line")).alias("para"),
-        F.min(F.when(division_header(F.col("line")) == "PROCEDURE", F.col("line_no"))).over(file).alias("procedure"),
-        F.max("line_no").over(file).alias("last"),
-    )
-    is_head = F.col("para").isNotNull() & (F.col("line_no") > F.col("procedure"))
-    heads = rows.where(is_head).withColumn("line_end", F.coalesce(F.lead("line_no").over(order) - 1, F.col("last")))
-    paragraphs = heads.select(*keys, F.col("para").alias("name"), F.col("line_no").alias("line_start"), "line_end", F.lit("PROCEDURE").alias("division"))
-    whole = rows.groupBy(*keys).agg(F.max(is_head.cast("int")).alias("any"), F.max("procedure").alias("procedure"), F.max("last").alias("last")).where("coalesce(any, 0) = 0")
-    one = whole.select(
-        *keys,
-        F.when(F.col("procedure").isNull(), "FILE-BLOCK").otherwise("PROCEDURE-BLOCK").alias("name"),
-        F.coalesce("procedure", F.lit(1)).alias("line_start"),
-        F.col("last").alias("line_end"),
-        F.when(F.col("procedure").isNull(), "UNKNOWN").otherwise("PROCEDURE").alias("division"),
-    )
-    return paragraphs.unionByName(one).withColumn("chunk_type", F.lit("paragraph"))
-
-
-def fortran_units(code_lines: DataFrame, *keys: str) -> DataFrame:
-    """keys, name, line_start, line_end, division (the unit's kind), chunk_type: a unit ends with the first END or before the next header."""
-    line = F.col("line")
-    kind = F.nullif(F.regexp_replace(F.upper(F.regexp_extract(line, UNIT_HEADER, 1)), r"\s+", " "), F.lit(""))
-    order = Window.partitionBy(*keys).orderBy("line_no")
-    rows = code_lines.select(*keys, "line_no", kind.alias("kind"), F.upper(F.regexp_extract(line, UNIT_HEADER, 2)).alias("name"), line.rlike(UNIT_END).alias("ends"), F.max("line_no").over(Window.partitionBy(*keys)).alias("last"))
-    events = rows.where(F.col("kind").isNotNull() | F.col("ends"))
-    at, head = F.lead("line_no").over(order), F.lead(F.col("kind").isNotNull()).over(order)
-    events = events.withColumn("line_end", F.coalesce(F.when(head, at - 1).otherwise(at), F.col("last")))
-    return events.where(F.col("kind").isNotNull()).select(
-        *keys, "name", F.col("line_no").alias("line_start"), "line_end", F.col("kind").alias("division"), F.lower(F.regexp_replace("kind", " ", "_")).alias("chunk_type")
-    )
-
-
-def fortran_blocks(code_lines: DataFrame, *keys: str) -> DataFrame:
-    """Units, and the lines before, between and behind them. A file without units is one block."""
-    units = fortran_units(code_lines, *keys)
-    order = Window.partitionBy(*keys).orderBy("line_start")
-    sizes = code_lines.groupBy(*keys).agg(F.max("line_no").alias("last"))
-    before = units.select(*keys, (F.coalesce(F.lag("line_end").over(order), F.lit(0)) + 1).alias("line_start"), (F.col("line_start") - 1).alias("line_end"))
-    ends = sizes.join(units.groupBy(*keys).agg(F.max("line_end").alias("end")), list(keys), "left")
-    behind = ends.select(*keys, (F.coalesce("end", F.lit(0)) + 1).alias("line_start"), F.col("last").alias("line_end"))
-    gaps = before.unionByName(behind).where("line_start <= line_end")
-    return units.unionByName(gaps.select(*keys, F.lit("FILE-BLOCK").alias("name"), "line_start", "line_end", F.lit("UNKNOWN").alias("division"), F.lit("file_block").alias("chunk_type")))
-
-
-def block_chunks(processed: DataFrame, blocks: DataFrame, *keys: str) -> DataFrame:
-    """keys, chunks (array, by line): one row for each file. Blank gaps are dropped. processed: keys, code."""
-    sliced = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_start", "line_end", "chunk_type", "name", "division"))).alias("blocks"))
-    files = processed.join(sliced, list(keys)).withColumn("lines", lines(F.col("code")))
+BLOCK = ("line_start", "line_end", "chunk_type", "name", "division")
+
+
+def _block(line_start: Column, line_end: Column, chunk_type: Column | str, name: Column | str, division: Column | str) -> Column:
+    lit = lambda x: F.lit(x) if isinstance(x, str) else x
+    values = (line_start.cast("int"), line_end.cast("int"), lit(chunk_type), lit(name), lit(division))
+    return F.struct(*(v.alias(n) for v, n in zip(values, BLOCK, strict=True)))
+
+
+def cobol_blocks(files: DataFrame) -> DataFrame:
+    """Adds blocks, an array by line, to files with lines: paragraphs of the procedure division, or one block for the file."""
+    names = files.columns
+    heads = F.transform("lines", lambda x, i: F.struct((i + 1).alias("no"), paragraph_name(x).alias("name"), (division_header(x) == "PROCEDURE").alias("opens")))
+    df = files.select(*names, F.filter(heads, lambda h: h["name"].isNotNull() | h["opens"]).alias("__marks"))
+    df = df.select(*names, "__marks", F.get(F.filter("__marks", lambda h: h["opens"]), F.lit(0))["no"].alias("__procedure"))
+    df = df.select(*names, "__procedure", F.filter("__marks", lambda h: h["name"].isNotNull() & (h["no"] > F.col("__procedure"))).alias("__heads"), F.size("lines").alias("__n"))
+    procedure, n = F.col("__procedure"), F.col("__n")
+    each = F.transform("__heads", lambda h, i: _block(h["no"], F.coalesce(F.get("__heads", i + 1)["no"] - 1, n), "paragraph", h["name"], "PROCEDURE"))
+    none = procedure.isNull()
+    one = _block(F.coalesce(procedure, F.lit(1)), n, "paragraph", F.when(none, "FILE-BLOCK").otherwise("PROCEDURE-BLOCK"), F.when(none, "UNKNOWN").otherwise("PROCEDURE"))
+    return df.select(*names, F.when(F.size("__heads") > 0, each).otherwise(F.array(one)).alias("blocks"))
+
+
+def fortran_blocks(files: DataFrame) -> DataFrame:
+    """Adds blocks: program units, and the lines before, between and behind them.
+
+    A unit ends with the first END behind its header, or before the next header, or with the file.
+    """
+    names = files.columns
+    kind = lambda x: F.nullif(F.regexp_replace(F.upper(F.regexp_extract(x, UNIT_HEADER, 1)), r"\s+", " "), F.lit(""))
+    marks = F.transform("lines", lambda x, i: F.struct((i + 1).alias("no"), kind(x).alias("kind"), F.upper(F.regexp_extract(x, UNIT_HEADER, 2)).alias("name"), x.rlike(UNIT_END).alias("ends")))
+    df = files.select(*names, F.filter(marks, lambda m: m["kind"].isNotNull() | m["ends"]).alias("__marks"), F.size("lines").alias("__n"))
+
+    def unit(m: Column, i: Column) -> Column:
+        following = F.get("__marks", i + 1)
+        end = F.when(following["kind"].isNotNull(), following["no"] - 1).otherwise(following["no"])
+        return _block(m["no"], F.coalesce(end, F.col("__n")), F.lower(F.regexp_replace(m["kind"], " ", "_")), m["name"], m["kind"])
+
+    units = F.filter(F.transform("__marks", unit), lambda u: u["division"].isNotNull())
+    df = df.select(*names, "__n", units.alias("__units"))
+
+    def gap(i: Column) -> Column:
+        before, after = F.get("__units", i - 1), F.get("__units", i)
+        return _block(F.coalesce(F.when(i > 0, before["line_end"]), F.lit(0)) + 1, F.coalesce(after["line_start"] - 1, F.col("__n")), "file_block", "FILE-BLOCK", "UNKNOWN")
+
+    gaps = F.filter(F.transform(F.sequence(F.lit(0), F.size("__units")), gap), lambda g: g["line_start"] <= g["line_end"])
+    return df.select(*names, F.array_sort(F.concat("__units", gaps)).alias("blocks"))
+
+
+def block_chunks(processed: DataFrame, blocks, *keys: str) -> DataFrame:
+    """keys, chunks (array, by line): one row for each file, and nothing is shuffled. Blank gaps are dropped. processed: keys, code."""
+    files = blocks(processed.select(*keys, lines(F.col("code")).alias("lines")))
 
     def chunk(b: Column) -> Column:
         content = F.array_join(F.slice("lines", b["line_start"], b["line_end"] - b["line_start"] + 1), "\n")
-        return F.struct(content.alias("content"), b["line_start"].alias("line_start"), b["line_end"].alias("line_end"), b["chunk_type"].alias("chunk_type"), b["name"].alias("name"), b["division"].alias("division"))
+        return F.struct(content.alias("content"), *(b[n].alias(n) for n in BLOCK))
 
     files = files.select(*keys, F.transform("blocks", chunk).alias("chunks"))
     kept = F.filter("chunks", lambda c: (c["name"] != "FILE-BLOCK") | ~is_blank(c["content"]))
-    counted = F.transform(
-        kept,
-        lambda c: F.struct(*(c[n].alias(n) for n in ("content", "line_start", "line_end", "chunk_type", "name", "division")), word_count(c["content"]).cast("int").alias("token_count")),
-    )
+    counted = F.transform(kept, lambda c: F.struct(c["content"].alias("content"), *(c[n].alias(n) for n in BLOCK), word_count(c["content"]).cast("int").alias("token_count")))
     return files.select(*keys, counted.alias("chunks"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strataseek import config as C
 from strataseek.functions import text as T
-from strataseek.operators import answers, dependencies, evaluation, points, preprocess, rerank, retrieval, segment, sizing
+from strataseek.operators import answers, dependencies, evaluation, points, preprocess, rerank, retrieval, sizing
 from strataseek.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
