@@ -45,8 +45,10 @@ BITS = 64
 CHUNK = 100_000
 #: Fingerprints of an anchor that one task takes before the anchor is cut into blocks.
 BLOCK = 100_000
-#: Comparisons of one anchor up to which all homes are compared with all at once.
-DIRECT = 1 << 20
+#: Comparisons of one anchor from which on it is worth a matrix of its own.
+SMALL = 2048
+#: Comparisons of one anchor up to which all homes are compared with all.
+DIRECT = 1 << 24
 #: Comparisons done at a time.
 PAIRS = 1 << 21
 NO_ID = (1 << 63) - 1
@@ -193,7 +195,21 @@ def links(keys: np.ndarray, fps: np.ndarray, fps2: np.ndarray, home: np.ndarray,
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     dense = set(np.flatnonzero(large).tolist())
 
-    row = np.flatnonzero(home & ~large[group] & (sizes[group] > 1))
+    # Groups of some size: all homes against all, as a matrix, in blocks of rows.
+    medium = ~large & (homes * sizes > SMALL)
+    for g in np.flatnonzero(medium).tolist():
+        s, e = int(starts[g]), int(starts[g] + sizes[g])
+        own = s + np.flatnonzero(home[s:e])
+        step = max(1, PAIRS // (e - s))
+        for at in range(0, len(own), step):
+            i, j = np.nonzero(np.bitwise_count(fps[own[at : at + step], None] ^ fps[None, s:e]) <= limit.bits)
+            a, b = own[at + i], s + j
+            near = limit.near(fps[a], fps[b], fps2[a], fps2[b]) & (a != b)
+            left.append(a[near])
+            right.append(b[near])
+
+    # Small groups: the pairs of many groups at a time.
+    row = np.flatnonzero(home & (~large & ~medium)[group] & (sizes[group] > 1))
     ends = np.cumsum(sizes[group[row]])
     at = 0
     while at < len(row):
