@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataseek.llm.scratch import materialize
+
 #: Stripped from both ends of a line.
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -75,6 +77,8 @@ def drop_shared_lines(
         .where(F.col("n") >= min_docs)
         .select("h1", "h2", "keeper")
     )
+    # As a table of its own: it has one row for each hash, so the join can split the documents of a hot line.
+    shared = materialize(shared, "shared-lines")
     # The text's hash is part of the key: rows that share an id may differ in their lines.
     lost = (
         lines.join(shared, ["h1", "h2"])
