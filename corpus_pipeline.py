@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from strataseek.llm.decontamination import drop_contaminated
 from strataseek.llm.line_dedup import drop_shared_lines
+from strataseek.llm.near_copies import near_copies
 from strataseek.llm.packing import cut_documents, place_pieces
 from strataseek.llm.quality_model import score_quality
 from strataseek.llm.scratch import materialize
-from strataseek.llm.simhash import near_duplicates
 
 #: SQL can't express the classifier, the fingerprints or the packing.
 ORACLE_SQL = None
@@ -39,11 +39,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies, by five-word shingles.
+    """The first document of each group of near copies: linked by a Jaccard similarity of 0.8 or more of their five-word shingles.
 
-    A Jaccard similarity of 0.8 or more of these makes 128 bits differ in 20 places or less, on average.
+    Fingerprints within 9 of 64 and 22 of 128 bits, and equal bands of min-hashes, are candidates only; each link is confirmed on the shingles.
     """
-    return near_duplicates(docs, shingle=5, threshold=9, all_bits=22, carry=True).where("is_first").select("__row.*")
+    return near_copies(docs, shingle=5, similarity=0.8, threshold=9, all_bits=22).where("is_first").select("__row.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ table gives no rows; further columns don't matter, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -62,23 +62,33 @@ def remix(hashes: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: bytes, shingle: int, seed: int = 42, wide: bool = False) -> tuple[int, int]:
-    """As unsigned numbers; the second is 0 unless ``wide``. Words are cut at ASCII white space; only A-Z are lower-cased."""
+def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """Hashes of all word shingles, CHUNK at a time. Words are cut at ASCII white space; only A-Z are lower-cased."""
     words = text.lower().split()
     if not words:
-        return 0, 0
+        return
     n = max(1, len(words) - shingle + 1)
-    counts = np.zeros((1 + wide, BITS), np.int64)
     for at in range(0, n, CHUNK):
         m = min(CHUNK, n - at)
         own = map(b" ".join, zip(*(words[at + k : at + k + m] for k in range(shingle)), strict=False)) if len(words) > shingle else [b" ".join(words)]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, own, repeat(seed)), np.uint64, count=m)
+        yield np.fromiter(map(xxhash.xxh64_intdigest, own, repeat(seed)), np.uint64, count=m)
+
+
+def majority(chunks: Iterable[np.ndarray], wide: bool = False) -> tuple[int, int]:
+    """As unsigned numbers; the second is 0 unless ``wide``."""
+    counts, n = np.zeros((1 + wide, BITS), np.int64), 0
+    for hashes in chunks:
+        n += len(hashes)
         for out, h in zip(counts, (hashes, remix(hashes)) if wide else (hashes,), strict=True):
-            out += np.unpackbits(h.view(np.uint8).reshape(m, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            out += np.unpackbits(h.view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     found = np.packbits(2 * counts > n, axis=1, bitorder="little").view(np.uint64)[:, 0].tolist()
     return found[0], found[1] if wide else 0
 
 
+def fingerprint(text: bytes, shingle: int, seed: int = 42, wide: bool = False) -> tuple[int, int]:
+    return majority(shingle_hashes(text, shingle, seed), wide)
+
+
 def fingerprints(docs: DataFrame, shingle: int, *, wide: bool = False, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """doc_id, fp, fp2 (signed) and, with ``carry``, __row (all columns): one row for each row of ``docs``."""
 

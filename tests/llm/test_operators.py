@@ -182,6 +182,44 @@ def test_anchor_search_finds_all_links(threshold, direct, monkeypatch):
     assert (np.bitwise_count(fps[at[a]] ^ fps[at[b]]) <= threshold).all()
 
 
+@pytest.mark.parametrize("block", [4096, 7])
+def test_near_copies_link_by_shingles(spark, block, monkeypatch):
+    """All pairs of a similarity of 0.8 or more, also where fingerprints are far apart, and no others."""
+    from strataseek.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    rnd = random.Random(12)
+    rows = []
+    for i in range(60):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(204)]
+        rows.append((10 * i, " ".join(base)))
+        for k, edits in enumerate((1, 3, 4, 5, 8, 12), 1):
+            own = list(base)
+            for at in rnd.sample(range(0, 200, 6), edits):
+                own[at] = "x"
+            rows.append((10 * i + k, " ".join(own)))
+    rows += [(900, None), (901, ""), (902, "a b"), (903, "A  b"), (None, rows[0][1])]
+    sets = [frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), 10**6), 10**6 if doc is None else doc)
+    got = near_copies.near_copies(frame(spark, rows), shingle=5, similarity=0.8, threshold=9, all_bits=22)
+    assert both(got, "doc_id", "component_id") == sorted(((doc, least[find(i)]) for i, (doc, _) in enumerate(rows)), key=repr)
+    assert got.where("is_first").count() == len(set(least.values())) and got.select("__row.*").columns == frame(spark, []).columns
+    assert near_copies.near_copies(frame(spark, []), shingle=5, similarity=0.8, threshold=9, all_bits=22).count() == 0
+
+
 # ---------------------------------------------------------------- 3
 
 
