@@ -51,23 +51,25 @@ UNITS = (
 def _templates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text_hash, raw (words), typed and named (template words with and without names as words): aligned arrays."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    df = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.regexp_replace(text, r"(?<=\p{Nd})[.,](?=\p{Nd})", POINT).alias("t"))
-    names = F.regexp_replace("t", r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+(?![\p{L}\p{Nd}])", NAME)
+    # The blank between digit and letter comes before the forms part, so that all three have the same words.
+    marked = F.regexp_replace(F.regexp_replace(text, r"(?<=\p{Nd})[.,](?=\p{Nd})", POINT), r"(?<=\p{Nd})(?=\p{L})", " ")
+    df = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), marked.alias("t"))
+    # U+0130 becomes two characters, and two words, in lower case.
+    names = F.regexp_replace("t", r"(?<=[\p{Ll},;] )(?!\x{130})\p{Lu}\p{Ll}+(?![\p{L}\p{Nd}])", NAME)
 
     def typed(t: Column) -> Column:
-        t = F.regexp_replace(F.lower(t), rf"(?<![\p{{L}}\p{{Nd}}{POINT}])\p{{Nd}}[\p{{Nd}}{POINT}]*(?!\p{{L}})", NUMBER)
-        return F.regexp_replace(t, rf"(?<={NUMBER} ?)(?:{'|'.join(UNITS.split())})(?![\p{{L}}\p{{Nd}}])", " " + UNIT)
+        t = F.regexp_replace(F.lower(t), rf"(?<![\p{{L}}\p{{Nd}}{POINT}])\p{{Nd}}[\p{{Nd}}{POINT}]*", NUMBER)
+        return F.regexp_replace(t, rf"(?<={NUMBER} )(?:{'|'.join(UNITS.split())})(?![\p{{L}}\p{{Nd}}])", UNIT)
 
     def words(t: Column) -> Column:
-        # A unit may stand right behind its number: the mark before it keeps both apart, in all three forms.
         return F.array_remove(F.split(t, rf"[^\p{{L}}\p{{Nd}}{NUMBER}-{POINT}]+", -1), "")
 
     df = df.select("id", "text_hash", "t", names.alias("n"))
     df = df.select(
         "id",
         "text_hash",
-        words(F.regexp_replace(F.lower("t"), r"(?<=\p{Nd})(?=\p{L})", " ")).alias("raw"),
-        words(F.regexp_replace(typed(F.col("n")), rf"(?<={NUMBER})(?=\p{{L}})", " ")).alias("typed"),
+        words(F.lower("t")).alias("raw"),
+        words(typed(F.col("n"))).alias("typed"),
         F.when(F.col("n") != F.col("t"), words(typed(F.col("t")))).alias("named"),
     )
     return df

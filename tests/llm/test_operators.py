@@ -450,6 +450,18 @@ def test_slots_must_agree(spark):
     assert both(find_contamination(frame(spark, docs), items), "doc_id", "item_id") == [(1, 1)]
 
 
+def test_digits_with_letters_behind_keep_the_forms_aligned(spark):
+    from strataseek.llm.decontamination import _templates, find_contamination
+
+    item = "if Tom has 7 apples then Tom gives 5 km of rope to his friend Tom and keeps 7 of the red apples"
+    odd = "on the 2nd day a1b2 was 10kg and 0x5f, 120km, 3.5kmh away from İzmir, İzmir and Rome; "
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = [(1, odd + item), (2, odd + item.replace("5 km", "5km")), (3, odd + item.replace("7", "9").replace("Tom", "Bob"))]
+    assert both(find_contamination(frame(spark, docs), items), "doc_id", "item_id") == [(1, 1), (2, 1), (3, 1)]
+    for r in _templates(frame(spark, docs), "doc_id", "text").collect():
+        assert len(r.raw) == len(r.typed) == len(r.named)
+
+
 # ---------------------------------------------------------------- 9
 
 
