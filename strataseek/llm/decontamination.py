@@ -10,7 +10,8 @@ same document value, and two don't take the same. A document holds an item if
 the consistent hits cover enough of its windows.
 
 Windows with names are looked up both as templates and with the names as words, so a
-copy in lower case is found.
+copy in lower case is found. The slots that are compared are those of the form whose key was
+found: with the names as words, a name is no slot. Any white space counts as one blank.
 
 The index is joined in blocks of a fixed number of windows, each of them broadcast.
 
@@ -52,7 +53,8 @@ def _templates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text_hash, raw (words), typed and named (template words with and without names as words): aligned arrays."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # The blank between digit and letter comes before the forms part, so that all three have the same words.
-    marked = F.regexp_replace(F.regexp_replace(text, r"(?<=\p{Nd})[.,](?=\p{Nd})", POINT), r"(?<=\p{Nd})(?=\p{L})", " ")
+    plain = F.regexp_replace(text, r"[\s\p{Z}]{2,}|[[\s\p{Z}]&&[^ ]]", " ")
+    marked = F.regexp_replace(F.regexp_replace(plain, r"(?<=\p{Nd})[.,](?=\p{Nd})", POINT), r"(?<=\p{Nd})(?=\p{L})", " ")
     df = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), marked.alias("t"))
     # U+0130 becomes two characters, and two words, in lower case.
     names = F.regexp_replace("t", r"(?<=[\p{Ll},;] )(?!\x{130})\p{Lu}\p{Ll}+(?![\p{L}\p{Nd}])", NAME)
@@ -83,9 +85,9 @@ def _keys(words: Column, width: int) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def _slots(typed: Column, raw: Column, at: Column, width: Column | int) -> Column:
-    """Array of (type, value) of the placeholders among ``width`` words from ``at`` on."""
-    own = F.zip_with(F.slice(typed, at + 1, width), F.slice(raw, at + 1, width), lambda t, r: F.struct(t.alias("kind"), r.alias("value")))
+def _slots(form: Column, raw: Column, at: Column, width: Column | int) -> Column:
+    """Array of (type, value) of the placeholders among ``width`` words of one form (typed or named) from ``at`` on."""
+    own = F.zip_with(F.slice(form, at + 1, width), F.slice(raw, at + 1, width), lambda t, r: F.struct(t.alias("kind"), r.alias("value")))
     return F.filter(own, lambda x: x["kind"].isin(NUMBER, UNIT, NAME))
 
 
@@ -96,8 +98,8 @@ def index_items(items: DataFrame, *, id_col: str = "item_id", text_col: str = "t
     last = F.size("typed") - F.col("width")
     starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(STRIDE)), F.array(last)))
     t = t.withColumn("item_at", F.explode(starts))
-    t = t.withColumn("item_slots", _slots(F.col("typed"), F.col("raw"), F.col("item_at"), F.col("width")))
-    t = t.withColumn("plain", F.col("width") - F.size("item_slots"))
+    slots = lambda w: _slots(F.col(w), F.col("raw"), F.col("item_at"), F.col("width"))
+    t = t.withColumn("plain", F.col("width") - F.size(slots("typed")))
     per_item = Window.partitionBy("id", "typed")
     needed = F.least(F.lit(PLAIN), F.max("plain").over(per_item))
     t = t.withColumn("needed", needed).where(F.col("plain") >= F.col("needed"))
@@ -106,7 +108,8 @@ def index_items(items: DataFrame, *, id_col: str = "item_id", text_col: str = "t
     keyed = lambda w: F.xxhash64(*(F.xxhash64(F.get(F.col(w), F.col("item_at") + k)) for k in range(WINDOW)))
     short = lambda w: F.xxhash64(F.array_join(F.slice(w, F.col("item_at") + 1, F.col("width")), " "))
     key = lambda w: F.when(F.col("width") == WINDOW, keyed(w)).otherwise(short(w))
-    return t.select("width", F.explode(F.array_distinct(F.array(key("typed"), key("named")))).alias("key"), F.col("id").alias("item_id"), "item_at", "item_slots", "item_windows")
+    looked_up = F.array_distinct(F.array(*(F.struct(key(w).alias("key"), slots(w).alias("item_slots")) for w in ("typed", "named"))))
+    return t.select("width", F.explode(looked_up).alias("x"), F.col("id").alias("item_id"), "item_at", "item_windows").select("width", "x.key", "item_id", "item_at", "x.item_slots", "item_windows")
 
 
 def _hits(docs: DataFrame, index: DataFrame, widths: list[int]) -> DataFrame:
@@ -124,14 +127,15 @@ def _hits(docs: DataFrame, index: DataFrame, widths: list[int]) -> DataFrame:
             ).otherwise(F.array().cast("array<bigint>"))
             keys = [joined("typed"), F.when(F.col("named").isNotNull(), joined("named"))]
         both = F.concat(keys[0], F.coalesce(keys[1], F.array().cast("array<bigint>")))
-        windows = h.select("id", "text_hash", "raw", "typed", both.alias("keys"))
+        windows = h.select("id", "text_hash", "raw", "typed", "named", both.alias("keys"))
         # The outer form: for the other one Spark would filter on the whole expression first, and inline it for that.
-        windows = windows.select("id", "text_hash", "raw", "typed", F.posexplode_outer("keys").alias("at", "key"))
+        windows = windows.select("id", "text_hash", "raw", "typed", "named", F.posexplode_outer("keys").alias("at", "key"))
         own = index.where(F.col("width") == width).drop("width")
         hit = windows.join(F.broadcast(own), "key")
-        at = F.col("at") % F.greatest(F.size("typed") - width + 1, F.lit(1))
+        n = F.greatest(F.size("typed") - width + 1, F.lit(1))
+        at, form = F.col("at") % n, F.when(F.col("at") < n, F.col("typed")).otherwise(F.col("named"))
         # Words are looked at on hits alone; up to here, the arrays are only passed on inside one generated loop.
-        out.append(hit.select("id", "text_hash", "item_id", "item_at", "item_slots", "item_windows", at.alias("at"), _slots(F.col("typed"), F.col("raw"), at, width).alias("slots")))
+        out.append(hit.select("id", "text_hash", "item_id", "item_at", "item_slots", "item_windows", at.alias("at"), _slots(form, F.col("raw"), at, width).alias("slots")))
     return reduce(DataFrame.union, out)
 
 

@@ -462,6 +462,18 @@ def test_digits_with_letters_behind_keep_the_forms_aligned(spark):
         assert len(r.raw) == len(r.typed) == len(r.named)
 
 
+def test_copies_with_names_as_words(spark):
+    from strataseek.llm.decontamination import find_contamination
+
+    item = "when Anna meets her friend Boris near the old mill with Clara they ask the baker Dirk for 3 loaves while Emil waits and then Frida sings"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    wrapped = item
+    for name in ("Anna", "Boris", "Clara", "Dirk", "Emil", "Frida"):
+        wrapped = wrapped.replace(f" {name}", f"\n {name}" if name < "D" else f"\u00a0{name}")
+    docs = [(1, item.lower()), (2, item.upper()), (3, wrapped), (4, wrapped.replace("Boris", "Karl").replace("3", "8")), (5, item.lower().replace("3", "8"))]
+    assert both(find_contamination(frame(spark, docs), items), "doc_id", "item_id", "verbatim") == [(1, 1, True), (2, 1, True), (3, 1, True), (4, 1, False), (5, 1, False)]
+
+
 # ---------------------------------------------------------------- 9
 
 
