@@ -6,7 +6,8 @@ words, with their slot values, are taken from each benchmark item at a stride an
 joined by hash with all windows of the documents. A window with too few plain words is
 no evidence and isn't indexed (unless the item has no other). Hits on one alignment of
 an item with a document must fill the slots consistently: one item value always takes the
-same document value, and two don't take the same. A document holds an item if
+same document value (two may take the same). Windows with an item value that takes several
+don't count; windows without slots always do. A document holds an item if
 the consistent hits cover enough of its windows.
 
 Windows with names are looked up both as templates and with the names as words, so a
@@ -163,18 +164,25 @@ def find_contamination(
 
     same = F.size("item_slots") == F.size("slots")
     pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a["kind"].alias("kind"), a["value"].alias("item"), b["value"].alias("doc")))
+    # No filter on the slots: Spark would make it part of the join, which then leaves the generated loop.
     aligned = hits.groupBy("id", "text_hash", "item_id", "item_windows", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.collect_set(F.when(same, F.col("item_at"))).alias("found"),
-        F.array_distinct(F.flatten(F.collect_set(F.when(same, pairs)))).alias("pairs"),
+        F.collect_set(F.when(same, F.struct("item_at", pairs.alias("pairs")))).alias("windows")
     )
-    sides = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda x: F.struct(x["kind"], x[side]))))
-    aligned = aligned.where((sides("item") == F.size("pairs")) & (sides("doc") == F.size("pairs")))
+    aligned = aligned.withColumn("pairs", F.array_distinct(F.flatten(F.col("windows.pairs"))))
+    sides = lambda pairs: F.transform(pairs, lambda x: F.struct(x["kind"], x["item"]))
+    once = F.array_distinct(sides(F.col("pairs")))
+    several = F.filter(once, lambda k: F.size(F.filter(sides(F.col("pairs")), lambda x: x == k)) > 1)
+    # Few alignments conflict; the others needn't look.
+    aligned = aligned.withColumn("several", F.when(F.size(once) < F.size("pairs"), several))
+    consistent = F.filter("windows", lambda w: ~F.arrays_overlap(sides(w["pairs"]), F.col("several")))
+    aligned = aligned.withColumn("kept", F.when(F.col("several").isNull(), F.col("windows")).otherwise(consistent))
+    any_kept = F.size("kept") > 0
     held = aligned.groupBy("id", "text_hash", "item_id", "item_windows").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("found")))).cast("long").alias("found_windows"),
-        F.max(F.size("pairs")).cast("long").alias("n_slots"),
-        F.bool_and(F.forall("pairs", lambda x: x["item"] == x["doc"])).alias("verbatim"),
+        F.size(F.array_distinct(F.flatten(F.collect_set(F.col("kept.item_at"))))).cast("long").alias("found_windows"),
+        F.max(F.size(F.array_distinct(F.flatten(F.col("kept.pairs"))))).cast("long").alias("n_slots"),
+        F.bool_and(F.when(any_kept, F.forall("pairs", lambda x: x["item"] == x["doc"]))).alias("verbatim"),
     )
-    return held.where(F.col("found_windows") >= F.col("item_windows") * share).select(
+    return held.where((F.col("found_windows") > 0) & (F.col("found_windows") >= F.col("item_windows") * share)).select(
         F.col("id").alias("doc_id"), "text_hash", "item_id", "found_windows", F.col("item_windows").cast("long"), "n_slots", "verbatim"
     )
 

@@ -474,6 +474,18 @@ def test_copies_with_names_as_words(spark):
     assert both(find_contamination(frame(spark, docs), items), "doc_id", "item_id", "verbatim") == [(1, 1, True), (2, 1, True), (3, 1, True), (4, 1, False), (5, 1, False)]
 
 
+def test_only_windows_that_conflict_are_dropped(spark):
+    from strataseek.llm.decontamination import find_contamination
+
+    plain = "every baker in this quiet town sells warm bread before the early morning bells have rung across the square and all the children run down to"
+    long = f"at 6 in the morning {plain} the bridge where the old boats leave at 6 for the island"
+    apples = "there are 3 apples and then 4 pears in the wide basket that stood beside the door of our house today"
+    items = spark.createDataFrame([(1, long), (2, apples)], "item_id long, text string")
+    docs = [(1, long.replace("at 6 for", "at 7 for")), (2, apples.replace("3", "5").replace("4", "5")), (3, long.replace("6", "9"))]
+    found = find_contamination(frame(spark, docs), items)
+    assert both(found, "doc_id", "item_id", "verbatim") == [(1, 1, False), (2, 2, False), (3, 1, False)]
+
+
 # ---------------------------------------------------------------- 9
 
 
