@@ -475,13 +475,26 @@ def distinct_codebases(spark, d):
 
 
 def dressed(spark, d) -> DataFrame:
-    """path, text, extension, language, codebase: each line of a document, at the columns of the language."""
+    """path, text, extension, language, codebase: each line of a document, at the columns of the language.
+
+    Where columns have a width, long lines are wrapped: between words to further lines, inside a long word to a continuation line.
+    """
     docs = files.with_route(with_path(table(spark, d, "documents"))).where("language IS NOT NULL AND text IS NOT NULL")
-    body = lambda x: F.substring(x, 1, 60)
-    one = lambda x, i: F.when(F.col("language") == "cobol", F.concat(F.lit("000100"), F.when(i % 5 == 3, "*").when(i % 7 == 5, "-").otherwise(" "), body(x))).otherwise(
-        F.concat(F.when(i % 5 == 3, "C     ").when(i % 7 == 5, "     &").otherwise("      "), body(x))
-    )
-    return docs.withColumn("text", F.array_join(F.concat(F.array(F.lit("       PROCEDURE DIVISION.")), F.transform(T.lines(F.col("text")), one)), "\n"))
+    cobol, fixed = F.col("language") == "cobol", F.col("extension").isin(*preprocess.FIXED_EXTENSIONS)
+    word = f"[^{T.SPACE[1:]}"
+
+    def one(x, i):
+        # Behind a break between words a piece starts with the blank.
+        pieces = F.when((cobol | fixed) & (x != ""), F.regexp_extract_all(x, F.lit(rf"(?s).{{1,60}}(?!{word})|.{{1,60}}"), F.lit(0))).otherwise(F.array(x))
+
+        def dress(p, k):
+            note, more = i % 5 == 3, F.when(k == 0, i % 7 == 5).otherwise(p.rlike(rf"\A{word}"))
+            # A continuation's text starts in column 12.
+            return F.when(cobol, F.concat(F.lit("000100"), F.when(note, "*").when(more, "-    ").otherwise(" "), p)).otherwise(F.concat(F.when(note, "C     ").when(more, "     &").otherwise("      "), p))
+
+        return F.transform(pieces, dress)
+
+    return docs.withColumn("text", F.array_join(F.concat(F.array(F.lit("       PROCEDURE DIVISION.")), F.flatten(F.transform(T.lines(F.col("text")), one))), "\n"))
 
 
 @query("preprocess_files")

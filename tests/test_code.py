@@ -104,6 +104,23 @@ def test_dependencies(spark):
     assert row == ["BLAS", "Some/file.h", "XERBLA"]
 
 
+def test_dressed_lines_are_whole(spark, tmp_path):
+    from strataseek.queries import dressed
+
+    lines = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(8)]
+    lines[1], lines[2] = "y" * 200, "  short " + "z" * 130 + " tail" + " " * 70 + "end"
+    rows = [(i, "s", "\n".join(lines)) for i in (0, 1, 2)]  # .cob, .F90, .f
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.path.split(".")[-1]: r for r in preprocess.preprocess(dressed(spark, str(tmp_path))).collect()}
+    assert set(got) == {"cob", "F90", "f"}
+    # The line 5 goes on from line 4 without a blank, where that is marked by column.
+    words = [w for i in (0, 1, 2) for w in lines[i].split()] + (lines[4] + lines[5]).split() + [w for i in (6, 7) for w in lines[i].split()]
+    for kind in ("cob", "f"):
+        assert [w for w in got[kind].code.split() if w not in ("PROCEDURE", "DIVISION.")] == words
+        assert " ".join(got[kind].comments).split() == lines[3].split()
+    assert set(" ".join(lines).split()) <= set(got["F90"].code.replace("&", "").split())
+
+
 def test_uuid5(spark):
     import uuid
 
