@@ -54,7 +54,7 @@ LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\(\[\{<] ?(?:at|AT) ?[\)\]\}>] ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|[\(\[\{<] ?(?:dot|DOT) ?[\)\]\}>]) ?[A-Za-z0-9-]{2,63}+)++",
     "card": r"(?<![0-9][\x20.-]?)(?<![A-Za-z])[0-9](?:[\x20-]?[0-9]){12,14}+(?![\x20.-]?[0-9])(?![A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+(.-])(?<![0-9+] )(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])",
-    "secret": r"(?i)(?<![A-Za-z0-9])(?:api[_-]?key|access[_-]?key|secret|token|passwd|password|pwd)\x20{0,3}[:=]\x20{0,3}[\"']?[A-Za-z0-9_+/=.-]{12,200}+[\"']?",
+    "secret": r"(?i)(?<![A-Za-z0-9])(?:api[_-]?key|access[_-]?key|secret|token|passwd|password|pwd)\x20{0,3}[:=]\x20{0,3}[\"']?[A-Za-z0-9_+/=.-]{12,}+[\"']?",
 }
 #: What a text must contain for the pattern to be tried.
 NEEDS = {

@@ -356,6 +356,15 @@ def test_pii(spark, rows):
     assert find_pii(frame(spark, [])).count() == 0
 
 
+def test_long_secrets_are_marked_whole(spark):
+    from strataseek.llm.pii import candidates
+
+    secret = "token = " + "aB3dE5gH7j" * 60
+    (r,) = candidates(frame(spark, [(1, f"see {secret} here")])).collect()
+    (x,) = [x for x in r.found if x["kind"] == "secret"]
+    assert (x["start"], x["end"]) == (4, 4 + len(secret)) and x["votes"][5] == "1"
+
+
 def test_reliabilities():
     from strataseek.llm.pii import reliabilities
 
