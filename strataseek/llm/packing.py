@@ -8,9 +8,9 @@ whole plan, whatever the number of documents:
    up to the largest of its group, which leaves few sizes.
 2. For these sizes the configuration programme (how often to use which multiset of
    sizes) is solved by column generation and rounded down.
-3. Actual lengths take the places of the rounded ones.
-4. What is left, and all small lengths, go best-fit into the gaps, tightest first;
-   sequences that rounding left with wide gaps are opened for this if that saves any.
+3. Actual lengths take the places of the rounded ones. Sequences that this leaves with a gap of
+   more than ``TIGHT`` tokens are opened, and their pieces go through steps 1 to 3 again, ``ROUNDS`` times in all.
+4. What is left, and all small lengths, go best-fit into the gaps, tightest first.
 
 A plan is a list of runs: "pieces number a to b of length l take sequences s, s+1, ...
 at offset o". Its size depends on the capacity and the number of groups, not on the
@@ -24,7 +24,7 @@ columns are read.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,7 +43,9 @@ from strataseek.llm.wordcache import WordCache
 #: Lengths above this share of the capacity are large.
 LARGE = 1 / 8
 #: Groups of large lengths.
-GROUPS = 64
+GROUPS = 32
+#: Times that pieces are grouped and solved; a configured sequence stays if its gap has at most so many tokens.
+ROUNDS, TIGHT = 8, 1
 CACHE_WORDS = 200_000
 ROWS_PER_BUCKET = 20_000
 #: Texts of one round, in bytes.
@@ -178,10 +180,12 @@ class Bins:
 
 @dataclass
 class Plan:
-    """runs: (length, first piece number, pieces, first sequence, offset)."""
+    """runs: (length, first piece number, pieces, first sequence, offset). Of the sequences, full ones hold one piece, configured ones come from the programme."""
 
     sequences: int
     runs: list[tuple[int, int, int, int, int]]
+    full: int = 0
+    configured: int = 0
 
     @classmethod
     def of(cls, packed: list[Bins]) -> "Plan":
@@ -247,47 +251,62 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
     return [(patterns[:, i].round().astype(np.int64), int(np.floor(x[i] + 1e-6))) for i in range(n) if x[i] >= 1 - 1e-6]
 
 
-def substitute(rest: Counter, capacity: int, groups: int, large: float) -> list[Bins]:
-    """Sequences of large lengths by the configuration programme; takes from ``rest`` what it places."""
-    big = sorted((n for n in rest if n > large * capacity), reverse=True)
-    each = max(1, ceil(sum(rest[n] for n in big) / groups))
-    stock: dict[int, list[list[int]]] = {}  # rounded length -> [length, pieces], the longest first
+def grouped(lengths: Counter, groups: int) -> dict[int, int]:
+    """Linear grouping: the pieces, longest first, in ``groups`` groups of equal cardinality, each rounded up to its longest. Pieces by rounded length."""
+    each = max(1, ceil(sum(lengths.values()) / groups))
+    demand: Counter = Counter()
     rounded, room = 0, 0
-    for length in big:
-        left = rest.pop(length)
+    for length in sorted(lengths, reverse=True):
+        left = lengths[length]
         while left:
             if not room:
                 rounded, room = length, each
             n = min(left, room)
-            stock.setdefault(rounded, []).append([length, n])
+            demand[rounded] += n
             left, room = left - n, room - n
-    if not stock:
+    return dict(demand)
+
+
+def substitute(rest: Counter, capacity: int, groups: int, large: float) -> list[Bins]:
+    """Sequences of large lengths by the configuration programme; takes from ``rest`` what it places.
+
+    A slot of a configuration takes the longest piece that is left and no longer than the slot. Pieces shorter than
+    their slots leave room, so the last slot takes the longest piece that fits what is left of the sequence.
+    """
+    stock = sorted(n for n in rest if n > large * capacity)
+    demand = grouped(Counter({n: rest[n] for n in stock}), groups)
+    if not demand:
         return []
-    sizes = list(stock)
-    demand = {size: sum(n for _, n in stock[size]) for size in sizes}
+    sizes = list(demand)
+
+    def longest(limit: int, used: Counter) -> int:
+        i = bisect_right(stock, limit)
+        while i and rest[stock[i - 1]] <= used[stock[i - 1]]:
+            i -= 1
+        return stock[i - 1] if i else 0
+
     packed: list[Bins] = []
-    for pattern, times in configurations(np.array(sizes), np.array([demand[x] for x in sizes], float), capacity):
-        own = [(size, int(m)) for size, m in zip(sizes, pattern, strict=True) if m]
-        times = min(times, *(demand[size] // m for size, m in own))
-        parts = [Bins(times, capacity)] if times > 0 else []
-        for size, m in own:
-            demand[size] -= m * times
-            for _ in range(m):
-                parts, whole = [], parts
-                for bins in whole:
-                    left = bins.count
-                    while left:
-                        length, n = stock[size][0]
-                        n = min(n, left)
-                        parts.append(bins.filled(n, length, 1))
-                        left -= n
-                        stock[size][0][1] -= n
-                        if not stock[size][0][1]:
-                            stock[size].pop(0)
-        packed += parts
-    for group in stock.values():
-        for length, n in group:
-            rest[length] += n
+    found = configurations(np.array(sizes), np.array([demand[x] for x in sizes], float), capacity)
+    slots = [([size for size, m in zip(sizes, pattern.tolist(), strict=True) for _ in range(m)], times) for pattern, times in found]
+    for own, times in sorted(slots, reverse=True):
+        while times:
+            used: Counter = Counter()
+            gap = capacity
+            for size in [*own[:-1], capacity]:
+                n = longest(min(size, gap), used)
+                if n:
+                    used[n] += 1
+                    gap -= n
+            if not used:
+                break
+            count = min(times, *(rest[n] // k for n, k in used.items()))
+            packed.append(Bins(count, gap, tuple(sorted(used.items(), reverse=True))))
+            times -= count
+            for n, k in used.items():
+                rest[n] -= k * count
+                if not rest[n]:
+                    del rest[n]
+                    stock.remove(n)
     return packed
 
 
@@ -335,28 +354,26 @@ def contents(packed: list[Bins]) -> Counter:
     return out
 
 
-def plan_packing(histogram: dict[int, int], capacity: int, groups: int = GROUPS, large: float = LARGE) -> Plan:
+def plan_packing(histogram: dict[int, int], capacity: int, groups: int = GROUPS, large: float = LARGE, rounds: int = ROUNDS, tight: int = TIGHT) -> Plan:
     """Places for ``histogram[length]`` pieces of each length.
 
-    Rounding up leaves gaps in the configured sequences, more than the small pieces may be
-    able to fill. So sequences whose gap is over a tolerance go back before the small pieces
-    are placed, and their pieces go best-fit at their actual lengths. Of a few tolerances,
-    the one that needs the fewest sequences holds; no tolerance first.
+    In each round, sequences that substitution leaves with a gap of at most ``tight`` stay, and the pieces of the others are grouped and
+    solved again: what is left is fewer pieces each time, so its groups lie elsewhere and end up narrower. Small pieces, and
+    large ones that no round has placed, go best-fit.
     """
     rest = Counter({length: n for length, n in histogram.items() if n})
     full = rest.pop(capacity, 0)
-    configured = substitute(rest, capacity, groups, large)
-    least = ceil(sum(length * n for length, n in (contents(configured) + rest).items()) / capacity)
-    packed: list[Bins] = []
-    for tolerance in (capacity, 16, 4, 1, 0):
-        kept = [bins for bins in configured if bins.gap <= tolerance]
-        again = contents([bins for bins in configured if bins.gap > tolerance])
-        new = best_fit(rest + again, capacity, kept)
-        if not packed or sum(bins.count for bins in new) < sum(bins.count for bins in packed):
-            packed = new
-        if sum(bins.count for bins in packed) == least:
+    kept: list[Bins] = []
+    for _ in range(rounds):
+        found = substitute(rest, capacity, groups, large)
+        stay = [bins for bins in found if bins.gap <= tight]
+        rest += contents([bins for bins in found if bins.gap > tight])
+        if not stay:
             break
-    return Plan.of(([Bins(full, 0, ((capacity, 1),))] if full else []) + packed)
+        kept += stay
+    plan = Plan.of(([Bins(full, 0, ((capacity, 1),))] if full else []) + best_fit(rest, capacity, kept))
+    plan.full, plan.configured = full, sum(bins.count for bins in kept)
+    return plan
 
 
 # ---------------------------------------------------------------- placing

@@ -101,6 +101,20 @@ def test_plan(seed):
     assert plan.sequences <= 1.01 * -(-sum(k * n for k, n in counts.items()) // 256) + 1
 
 
+def test_most_sequences_come_from_configurations():
+    from strataseek.llm.packing import plan_packing
+
+    rnd = random.Random(5)
+    counts = Counter(min(2048, 1 + int(rnd.expovariate(1 / 700))) for _ in range(12000))
+    plan = plan_packing(dict(counts), 2048)
+    bound = -(-sum(k * n for k, n in counts.items()) // 2048)
+    assert plan.full == counts[2048]
+    assert plan.configured >= 0.6 * (plan.sequences - plan.full)
+    assert plan.sequences <= 1.001 * bound + 1
+    many = plan_packing({k: 1000 * n for k, n in counts.items()}, 2048)  # the plan doesn't grow with the data
+    assert many.sequences <= 1.001 * 1000 * bound + 1 and len(many.runs) <= 2 * len(plan.runs)
+
+
 # ---------------------------------------------------------------- 2
 
 
