@@ -190,5 +190,6 @@ def find_contamination(
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """The rows of ``docs``, all columns, without those that hold an item."""
     found = find_contamination(docs, items, id_col=id_col, text_col=text_col, **more).select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash")).distinct()
+    found = materialize(found, "contaminated")  # as a table, so that its size decides whether the texts are shuffled to meet it
     rows = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("__hash"))
     return rows.join(found, F.col("__id").eqNullSafe(F.col("__bad_id")) & (F.col("__hash") == F.col("__bad_hash")), "left_anti").select("__row.*")

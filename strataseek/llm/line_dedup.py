@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataseek.llm.scratch import materialize
+from strataseek.llm.scratch import discard, materialize
 
 #: Stripped from both ends of a line.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -70,7 +70,8 @@ def drop_shared_lines(
     """__row (struct of all columns of ``docs``), doc_id, kept_text, n_lines, n_dropped: one row for each row of ``docs``."""
     own = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), own.alias("text_hash"), F.col(text_col).cast("string").alias("text"))
-    lines = read.mapInArrow(_line_hashes(min_chars), _LINES)
+    # Written once: it is smaller than the texts, and both the count and the lookup read it.
+    lines = materialize(read.mapInArrow(_line_hashes(min_chars), _LINES), "lines")
     shared = (
         lines.groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
@@ -86,6 +87,10 @@ def drop_shared_lines(
         .groupBy(F.col("doc_id").alias("__lost_id"), F.col("text_hash").alias("__lost_hash"))
         .agg(F.array_distinct(F.flatten(F.collect_list("positions"))).alias("__lost"))
     )
+    # As a table, so that its size decides whether the texts are shuffled to meet it.
+    lost = materialize(lost, "lost-lines")
+    discard(lines)
+    discard(shared)
     rows = docs.select(F.struct("*").alias("__row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"), own.alias("__hash"))
     rows = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("__lost_id")) & (F.col("__hash") == F.col("__lost_hash")), "left")
     rows = rows.select("__row", "doc_id", _lines(F.col("__text")).alias("__lines"), "__lost")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from strataseek.llm.components import components
 from strataseek.llm.scratch import materialize
-from strataseek.llm.simhash import NO_ID, Limit, majority, near_links, remix, shingle_hashes
+from strataseek.llm.simhash import Limit, first_of_components, least_id, majority, near_links, remix, shingle_hashes
 
 BANDS, ROWS = 24, 5
 #: Texts of one component that a task takes before the component is cut into blocks.
@@ -55,12 +55,12 @@ def bands(own: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int, *, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, fp, fp2, shingles (hash of the set), bands, __text, __row (all columns): one row for each row of ``docs``."""
+    """doc_id, fp, fp2, shingles (hash of the set), bands, __row (all columns): one row for each row of ``docs``."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             prints, sets, keys = [], [], []
-            for t in batch.column(1).cast(pa.binary()).to_pylist():
+            for t in batch.column(1).field(at).cast(pa.binary()).to_pylist():
                 chunks = list(shingle_hashes(t or b"", shingle))
                 own = np.unique(np.concatenate([np.empty(0, np.uint64), *chunks]))
                 prints.append(majority(chunks, True))
@@ -70,15 +70,16 @@ def sketches(docs: DataFrame, shingle: int, *, id_col: str, text_col: str) -> Da
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
             columns = [batch.column(0), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(sets), lists, *batch.columns[1:]]
-            yield pa.record_batch(columns, names=["doc_id", "fp", "fp2", "shingles", "bands", "__text", "__row"])
+            yield pa.record_batch(columns, names=["doc_id", "fp", "fp2", "shingles", "bands", "__row"])
 
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"), F.struct("*").alias("__row"))
-    return read.mapInArrow(batches, f"doc_id long, fp long, fp2 long, shingles long, bands array<long>, __text string, __row {read.schema['__row'].dataType.simpleString()}")
+    at = docs.columns.index(text_col)  # in the struct, so that the text goes to Python once
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct("*").alias("__row"))
+    return read.mapInArrow(batches, f"doc_id long, fp long, fp2 long, shingles long, bands array<long>, __row {read.schema['__row'].dataType.simpleString()}")
 
 
 def band_links(nodes: DataFrame) -> DataFrame:
-    """u, v (struct of low and row): in each band, the first node of each key with the others."""
-    keyed = nodes.select(F.explode("bands").alias("key"), F.struct("low", "row").alias("v"))
+    """u, v (rows): in each band, the first node of each key with the others."""
+    keyed = nodes.select(F.explode("bands").alias("key"), F.col("row").alias("v"))
     firsts = keyed.groupBy("key").agg(F.min("v").alias("u"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "u")
     return keyed.join(firsts, "key").where("u != v").select("u", "v").distinct()
 
@@ -118,20 +119,19 @@ def _confirm(shingle: int, similarity: float):
     """Rows come sorted by (component, lo, hi); a group that goes over a batch's end is held until it is whole."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, low, row, sets = None, [], [], []
+        key, row, sets = None, [], []
 
         def edges() -> pa.RecordBatch:
             a, b = confirmed(sets, similarity)
-            return pa.record_batch([pa.array([of[i] for i in at], pa.int64()) for at in (a, b) for of in (low, row)], names=["low1", "row1", "low2", "row2"])
+            return pa.record_batch([pa.array([row[i] for i in at], pa.int64()) for at in (a, b)], names=["u", "v"])
 
         for batch in it:
-            own = (batch.column(c).to_pylist() for c in ("component", "lo", "hi", "low", "row"))
-            for *at, i, r, text in zip(*own, batch.column(batch.schema.get_field_index("__text")).cast(pa.binary()).to_pylist(), strict=True):
+            own = (batch.column(c).to_pylist() for c in ("component", "lo", "hi", "row"))
+            for *at, r, text in zip(*own, batch.column(batch.schema.get_field_index("__text")).cast(pa.binary()).to_pylist(), strict=True):
                 if at != key:
                     if len(sets) > 1:
                         yield edges()
-                    key, low, row, sets = at, [], [], []
-                low.append(i)
+                    key, row, sets = at, [], []
                 row.append(r)
                 sets.append(shingle_set(text or b"", shingle))
         if len(sets) > 1:
@@ -140,39 +140,40 @@ def _confirm(shingle: int, similarity: float):
     return batches
 
 
-def confirmed_links(candidates: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """u, v (struct of low and row): edges that connect the nodes as their confirmed links do."""
+def confirmed_links(candidates: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """u, v (rows): edges that connect the nodes as their confirmed links do. texts: row, __text."""
     roots = components(candidates)
     members = materialize(roots.select("u", "v").union(roots.select(F.col("v").alias("u"), "v").distinct()), "candidates")
-    crowded = members.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select(F.col("v").alias("__crowded"), F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("__blocks"))
+    # At most members / BLOCK components. As a table, so that its size decides whether the members are shuffled to meet it.
+    crowded = materialize(
+        members.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select(F.col("v").alias("__crowded"), F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("__blocks")),
+        "crowded",
+    )
     dealt = (
         members.join(crowded, F.col("v") == F.col("__crowded"), "left")
         .withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
         .withColumn("__own", F.pmod(F.xxhash64("u"), F.col("__blocks")).cast("int"))
-        .select(F.col("v.row").alias("component"), F.col("u.low").alias("low"), F.col("u.row").alias("row"), "__own", "__blocks")
-        .join(rows.select("row", "__text"), "row")
+        .select(F.col("v").alias("component"), F.col("u").alias("row"), "__own", "__blocks")
+        .join(texts, "row")
         .withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
-        .select("component", F.least("__own", "__other").alias("lo"), F.greatest("__own", "__other").alias("hi"), "low", "row", "__text")
+        .select("component", F.least("__own", "__other").alias("lo"), F.greatest("__own", "__other").alias("hi"), "row", "__text")
         .repartition("component", "lo", "hi")
         .sortWithinPartitions("component", "lo", "hi")
     )
-    found = dealt.mapInArrow(_confirm(shingle, similarity), "low1 long, row1 long, low2 long, row2 long")
-    both = [F.struct(F.col(f"low{i}").alias("low"), F.col(f"row{i}").alias("row")).alias(c) for i, c in ((1, "u"), (2, "v"))]
-    return materialize(found.select(*both), "confirmed")
+    return materialize(dealt.mapInArrow(_confirm(shingle, similarity), "u long, v long"), "confirmed")
 
 
 def near_copies(docs: DataFrame, *, shingle: int, similarity: float, threshold: int, all_bits: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id (its smallest id), is_first (of its component), __row: one row for each row of ``docs``. threshold, all_bits: of fingerprints that are candidates."""
     rows = materialize(sketches(docs, shingle, id_col=id_col, text_col=text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
     key = ("fp", "fp2", "shingles")
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("low"), "row", "bands"))
-    nodes = rows.groupBy(*key).agg(first.alias("first")).select(*key, "first.low", "first.row", "first.bands")
+    # The bands of a group are those of its shingles, so any row's will do.
+    nodes = rows.groupBy(*key).agg(F.min(least_id("doc_id", "row")).alias("first"), F.first("bands").alias("bands")).select(*key, "first.low", "first.row", "bands")
     nodes = materialize(nodes, "nodes")
     candidates = near_links(nodes, Limit(threshold, all_bits)).union(band_links(nodes))
-    roots = components(confirmed_links(candidates, rows, shingle, similarity))
-    labels = nodes.select(*key, F.struct("low", "row").alias("own")).join(roots.select(F.col("u").alias("own"), F.col("v").alias("root")), "own", "left")
-    labels = labels.select(*(F.col(c).alias(f"__{c}") for c in key), F.coalesce("root", "own").alias("root"))
+    texts = rows.select("row", F.col(f"__row.`{text_col}`").alias("__text"))
+    roots = first_of_components(nodes, confirmed_links(candidates, texts, shingle, similarity))
+    labels = nodes.join(roots, F.col("row") == F.col("node"), "left")
+    labels = labels.select(*(F.col(c).alias(f"__{c}") for c in key), F.coalesce("first", least_id("low", "row")).alias("root"))
     same = (F.col("fp") == F.col("__fp")) & (F.col("fp2") == F.col("__fp2")) & (F.col("shingles") == F.col("__shingles"))
-    return rows.join(labels, same).select(
-        "doc_id", F.when(F.col("root.low") != NO_ID, F.col("root.low")).alias("component_id"), (F.col("row") == F.col("root.row")).alias("is_first"), "__row"
-    )
+    return rows.join(labels, same).select("doc_id", F.col("root.low").alias("component_id"), (F.col("row") == F.col("root.row")).alias("is_first"), "__row")

@@ -1,7 +1,7 @@
 """Quality classifier: random-indexing word vectors, pooled, then a two-layer network with calibrated probabilities.
 
 Fitting is on the driver, on a bounded sample of labelled rows (``LABELLED_ROWS``, the
-rows with the smallest hash of their id, whole texts of at most ``LABELLED_CHARS`` each):
+rows with the smallest hash of their id, whole texts, ``LABELLED_CHARS`` in all):
 
 - each word has a sparse random index vector, drawn from its own hash; a word's vector is the
   sum of the index vectors of the words around it, over the sample, at unit length. Words are runs
@@ -23,9 +23,10 @@ equal scores; an empty table gives no rows; only the id and text columns of ``do
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ from strataseek.llm.wordcache import WordCache
 
 #: The bound of the sample that the model is fitted on.
 LABELLED_ROWS = 4000
-#: Longer texts, in characters, aren't drawn for the sample (all are scored).
-LABELLED_CHARS = 200_000
+#: The bound of its texts together, in characters: the sample ends before the first that goes over it.
+LABELLED_CHARS = 50_000_000
 VOCABULARY = 20_000
 DIMENSIONS = 128
 NONZERO = 8
@@ -223,8 +224,8 @@ def remainder(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, rows: int = LABELLED_ROWS) -> tuple[list[str], list[int]]:
-    """At most ``rows`` texts with labels, none held out. The ids are drawn from the labels first, so only their texts move."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, rows: int = LABELLED_ROWS, most_chars: int = LABELLED_CHARS) -> tuple[list[str], list[int]]:
+    """At most ``rows`` texts with labels, ``most_chars`` characters in all, none held out. The ids are drawn from the labels first, so only their texts move."""
     ids = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (remainder(id_col) != 0))
         .groupBy(F.col(id_col).cast("long").alias("__id"))
@@ -233,9 +234,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col
         .limit(rows)
     )
     own = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    own = own.where(F.length("__text") <= LABELLED_CHARS)
-    found = own.join(F.broadcast(ids), "__id").orderBy(F.xxhash64("__id"), "__id", F.xxhash64("__text")).limit(rows).collect()
-    return [r["__text"] for r in found], [r["__label"] for r in found]
+    own = own.join(F.broadcast(ids), "__id").withColumn("__hash", F.xxhash64("__text"))
+    # Sizes first, so that what comes to the driver is bounded whatever the texts.
+    sizes = own.select("__id", "__hash", F.length("__text").alias("n")).orderBy(F.xxhash64("__id"), "__id", "__hash").limit(rows).collect()
+    kept = [(r["__id"], r["__hash"]) for r, total in zip(sizes, accumulate(r["n"] for r in sizes), strict=True) if total <= most_chars]
+    times = Counter(kept)  # at most ``rows`` keys, in order
+    chosen = docs.sparkSession.createDataFrame([(i, *key) for i, key in enumerate(times)], "__at int, __id long, __hash long")
+    # Repeated rows are combined here and come as often as they were counted.
+    found = own.join(F.broadcast(chosen), ["__id", "__hash"]).groupBy("__at").agg(F.first(F.struct("__id", "__hash", "__text", "__label")).alias("r"))
+    out = [r for _, r in sorted(found.collect()) for _ in range(times[r["__id"], r["__hash"]])]
+    return [r["__text"] for r in out], [r["__label"] for r in out]
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", carry: bool = False) -> DataFrame:
@@ -254,13 +262,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(known.value)
         for batch in it:
-            own = [scorer.scores(t) for t in rounds([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])]
+            texts = batch.column(1).field(at) if carry else batch.column(1)
+            own = [scorer.scores(t) for t in rounds([t or b"" for t in texts.cast(pa.binary()).to_pylist()])]
             score = pa.array(np.concatenate(own) if own else np.empty(0))
-            yield pa.record_batch([batch.column(0), score, *batch.columns[2:]], names=["doc_id", "score", "__row"][: batch.num_columns])
+            yield pa.record_batch([batch.column(0), score, *batch.columns[1:]][: 3 if carry else 2], names=["doc_id", "score", "__row"][: 3 if carry else 2])
 
-    kept = [F.struct("*").alias("__row")] if carry else []
     kinds = "doc_id long, score double" + (f", __row {docs.select(F.struct('*').alias('r')).schema[0].dataType.simpleString()}" if carry else "")
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *kept)
+    # With all columns in one struct, the text goes to Python once.
+    at = docs.columns.index(text_col) if carry else None
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct("*").alias("__row") if carry else F.col(text_col).cast("string").alias("__text"))
     scored = read.mapInArrow(batches, kinds)
     return scored.select(
         "doc_id",

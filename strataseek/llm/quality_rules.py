@@ -2,7 +2,7 @@
 
 Counts that every row returns are computed for all rows. The other rules only decide,
 so they stand in one CASE expression, which stops at the first that rejects. Their order
-comes from a sample: each rule's seconds and share of rejected rows are measured, and
+comes from a sample of rows drawn before anything is counted: each rule's seconds and share of rejected rows are measured, and
 rules go by rejections per second. The order changes the cost, never the verdict.
 
 Repeated passages are found inside a row: five-word windows are 64-bit hashes, sorted
@@ -25,7 +25,7 @@ from strataseek.llm.scratch import fence, materialize
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
 WINDOW = 5
-#: Rows of the sample that orders the rules.
+#: Rows, about, of the sample that orders the rules.
 SAMPLE_ROWS = 2000
 #: Frequent words of the four languages.
 STOP_WORDS = "the of and to in a is that for with der die das und ein ist von mit le la les de et des que un est el los las en y del por"
@@ -93,10 +93,11 @@ def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     return fence(df.withColumn("base_failed", (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)))
 
 
-def order_rules(measured: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """By rejections per second on those of ``sample_rows`` rows that pass the base."""
-    # Cut first: a filter before the limit would be evaluated below the projections, with everything inlined.
-    sample = materialize(measured.limit(sample_rows), "rule-sample").where(~F.col("base_failed"))
+def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS, *, id_col: str = "doc_id", text_col: str = "text") -> list[Rule]:
+    """By rejections per second on those of about ``sample_rows`` rows, from all of the table, that pass the base."""
+    # Rows are drawn first, so only theirs is measured, where it lies.
+    drawn = docs.sample(min(1.0, sample_rows / max(1, docs.count())), seed=42)
+    sample = materialize(measure(drawn, id_col=id_col, text_col=text_col), "rule-sample").where(~F.col("base_failed"))
 
     def seconds(*columns: Column) -> float:
         began = time.perf_counter()
@@ -114,6 +115,6 @@ def apply_rules(docs: DataFrame, rules: list[Rule] | None = None, *, id_col: str
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept: one row for each row of ``docs``."""
     measured = measure(docs, id_col=id_col, text_col=text_col)
     verdict = F.when(F.col("base_failed"), F.lit(False))
-    for rule in order_rules(measured, default_rules() if rules is None else rules):
+    for rule in order_rules(docs, default_rules() if rules is None else rules, id_col=id_col, text_col=text_col):
         verdict = verdict.when(rule.rejects, F.lit(False))
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.otherwise(F.lit(True)).alias("kept"))

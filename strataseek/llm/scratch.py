@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,16 +13,27 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset (tests, one machine)."""
+    """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset and all of Spark is one process (tests)."""
     root = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"set {_SETTING} to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="strataseek-")
         spark.conf.set(_SETTING, root)
     return root.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/strataseek/{label}-{uuid.uuid4().hex}"
+    return f"{_own(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/strataseek/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application. Results that aren't written elsewhere by then can't be read any more."""
+    delete(spark, _own(spark))
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -34,7 +34,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataseek.llm.components import components
@@ -51,7 +51,11 @@ SMALL = 2048
 DIRECT = 1 << 24
 #: Comparisons done at a time.
 PAIRS = 1 << 21
-NO_ID = (1 << 63) - 1
+
+
+def least_id(low: str, row: str) -> Column:
+    """Struct of no_id, low and row: in its order rows with an id come first, then go by id and row."""
+    return F.struct(F.col(low).isNull().alias("no_id"), F.col(low).alias("low"), F.col(row).alias("row"))
 
 
 def remix(hashes: np.ndarray) -> np.ndarray:
@@ -94,12 +98,14 @@ def fingerprints(docs: DataFrame, shingle: int, *, wide: bool = False, id_col: s
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            found = [fingerprint(t or b"", shingle, wide=wide) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            texts = batch.column(1).field(at) if carry else batch.column(1)
+            found = [fingerprint(t or b"", shingle, wide=wide) for t in texts.cast(pa.binary()).to_pylist()]
             both = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(both[:, 0]), pa.array(both[:, 1]), *batch.columns[2:]], names=["doc_id", "fp", "fp2", "__row"][: batch.num_columns + 1])
+            yield pa.record_batch([batch.column(0), pa.array(both[:, 0]), pa.array(both[:, 1]), *batch.columns[1:]][:names], names=["doc_id", "fp", "fp2", "__row"][:names])
 
-    kept = [F.struct("*").alias("__row")] if carry else []
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *kept)
+    # With all columns in one struct, the text goes to Python once.
+    at, names = docs.columns.index(text_col) if carry else None, 4 if carry else 3
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct("*").alias("__row") if carry else F.col(text_col).cast("string").alias("__text"))
     kinds = "doc_id long, fp long, fp2 long" + (f", __row {docs.select(F.struct('*').alias('r')).schema[0].dataType.simpleString()}" if carry else "")
     return read.mapInArrow(batches, kinds)
 
@@ -154,7 +160,7 @@ def _replicas(threshold: int):
             for code in codes:
                 at, key, home = code.anchors(fps)
                 taken = batch.take(pa.array(at))
-                yield pa.record_batch([pa.array(key), *taken.columns, pa.array(home)], names=["anchor", "fp", "fp2", "low", "row", "home"])
+                yield pa.record_batch([pa.array(key), *taken.columns, pa.array(home)], names=["anchor", "fp", "fp2", "row", "home"])
 
     return batches
 
@@ -258,9 +264,9 @@ def _compare(limit: Limit):
         held: list[pa.RecordBatch] = []
 
         def edges(table: pa.Table, keys: np.ndarray) -> pa.RecordBatch:
-            fps, fps2, low, row = (table.column(c).to_numpy() for c in ("fp", "fp2", "low", "row"))
+            fps, fps2, row = (table.column(c).to_numpy() for c in ("fp", "fp2", "row"))
             a, b = links(keys, fps.view(np.uint64), fps2.view(np.uint64), table.column("home").to_numpy(), limit)
-            return pa.record_batch([pa.array(x) for x in (low[a], row[a], low[b], row[b])], names=["low1", "row1", "low2", "row2"])
+            return pa.record_batch([pa.array(row[a]), pa.array(row[b])], names=["u", "v"])
 
         def numbered(table: pa.Table) -> np.ndarray:
             anchor, lo, hi = (table.column(c).to_numpy().astype(np.int64) for c in ("anchor", "lo", "hi"))
@@ -285,13 +291,15 @@ def _compare(limit: Limit):
 
 
 def near_links(nodes: DataFrame, limit: Limit) -> DataFrame:
-    """u, v (struct of low and row): edges that connect the nodes (fp, fp2, low, row; one for each fingerprint) as their links do."""
-    replicas = materialize(nodes.select("fp", "fp2", "low", "row").mapInArrow(_replicas(limit.bits), "anchor long, fp long, fp2 long, low long, row long, home boolean"), "replicas")
-    crowded = (
+    """u, v (rows): edges that connect the nodes (fp, fp2, row; one for each fingerprint) as their links do."""
+    replicas = materialize(nodes.select("fp", "fp2", "row").mapInArrow(_replicas(limit.bits), "anchor long, fp long, fp2 long, row long, home boolean"), "replicas")
+    # At most rows / BLOCK anchors. As a table, so that its size decides whether the replicas are shuffled to meet it.
+    crowded = materialize(
         replicas.groupBy("anchor")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") > BLOCK)
-        .select(F.col("anchor").alias("__crowded"), F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("__blocks"))
+        .select(F.col("anchor").alias("__crowded"), F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("__blocks")),
+        "crowded",
     )
     own = F.pmod(F.xxhash64("fp", "fp2"), F.col("__blocks")).cast("int")
     dealt = (
@@ -299,19 +307,24 @@ def near_links(nodes: DataFrame, limit: Limit) -> DataFrame:
         .withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
         .withColumn("__own", own)
         .withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
-        .select("anchor", F.least("__own", "__other").alias("lo"), F.greatest("__own", "__other").alias("hi"), "fp", "fp2", "low", "row", "home")
+        .select("anchor", F.least("__own", "__other").alias("lo"), F.greatest("__own", "__other").alias("hi"), "fp", "fp2", "row", "home")
         .repartition("anchor", "lo", "hi")
         .sortWithinPartitions("anchor", "lo", "hi")
     )
-    found = dealt.mapInArrow(_compare(limit), "low1 long, row1 long, low2 long, row2 long")
-    out = materialize(
-        found.select(F.struct(F.col("low1").alias("low"), F.col("row1").alias("row")).alias("u"), F.struct(F.col("low2").alias("low"), F.col("row2").alias("row")).alias("v")),
-        "links",
-    )
+    out = materialize(dealt.mapInArrow(_compare(limit), "u long, v long"), "links")
     discard(replicas)
+    discard(crowded)
     return out
 
 
+def first_of_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """node, first (as of ``least_id``): for each node with a link, the first of its component. nodes: low, row; links: u, v (rows)."""
+    roots = components(links)
+    members = roots.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    least = members.join(nodes.select(F.col("row").alias("node"), "low"), "node").groupBy("root").agg(F.min(least_id("low", "node")).alias("first"))
+    return members.join(least, "root").select("node", "first")
+
+
 def near_duplicates(
     docs: DataFrame, *, shingle: int, threshold: int, all_bits: int | None = None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False
 ) -> DataFrame:
@@ -319,16 +332,16 @@ def near_duplicates(
     limit = Limit(threshold, all_bits)
     found = fingerprints(docs, shingle, wide=all_bits is not None, id_col=id_col, text_col=text_col, carry=carry)
     rows = materialize(found.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
-    key = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("low"), "row")
-    nodes = rows.groupBy("fp", "fp2").agg(F.min(key).alias("first")).select("fp", "fp2", "first.low", "first.row")
+    nodes = rows.groupBy("fp", "fp2").agg(F.min(least_id("doc_id", "row")).alias("first")).select("fp", "fp2", "first.low", "first.row")
     nodes = materialize(nodes, "nodes")
-    roots = components(near_links(nodes, limit))
-    labels = nodes.select("fp", "fp2", F.struct("low", "row").alias("own")).join(roots.select(F.col("u").alias("own"), F.col("v").alias("root")), "own", "left")
-    labels = labels.select(F.col("fp").alias("__fp"), F.col("fp2").alias("__fp2"), F.coalesce("root", "own").alias("root"))
+    roots = first_of_components(nodes, near_links(nodes, limit))
+    labels = nodes.join(roots, F.col("row") == F.col("node"), "left").select(
+        F.col("fp").alias("__fp"), F.col("fp2").alias("__fp2"), F.coalesce("first", least_id("low", "row")).alias("root")
+    )
     return rows.join(labels, (F.col("fp") == F.col("__fp")) & (F.col("fp2") == F.col("__fp2"))).select(
         "doc_id",
         "fp",
-        F.when(F.col("root.low") != NO_ID, F.col("root.low")).alias("component_id"),
+        F.col("root.low").alias("component_id"),
         (F.col("row") == F.col("root.row")).alias("is_first"),
         *(["__row"] if carry else []),
     )
