@@ -5,8 +5,8 @@ but a distance that catches a similarity of 0.8 would also take in unrelated tex
 So texts are also candidates if one of BANDS bands of ROWS min-hashes is equal: at a similarity s
 this misses (1 - s ** ROWS) ** BANDS of the pairs, by calculation 0.007 % at 0.8.
 
-Confirmation. Candidates are gathered in connected components. Within each, texts are compared
-on their shingles, and only pairs of at least the wanted similarity are links; no more than a
+Confirmation. Candidates are gathered in connected components. Within each, texts that share a rare shingle are compared
+on all of them, and only pairs of at least the wanted similarity are links; no more than a
 spanning forest of these goes on. Large components are cut into blocks, and each pair
 of blocks is a task of its own: nothing is capped.
 
@@ -17,6 +17,7 @@ too; these are like nothing else. The other cases are as in ``simhash``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from strataseek.llm.simhash import Limit, first_of_components, least_id, majorit
 BANDS, ROWS = 24, 5
 #: Texts of one component that a task takes before the component is cut into blocks.
 BLOCK = 4096
+#: Texts up to which all are compared with all.
+FEW = 64
 #: Hashes that are permuted at a time.
 CHUNK = 4096
 _RNG = np.random.default_rng(42)
@@ -84,34 +87,62 @@ def band_links(nodes: DataFrame) -> DataFrame:
     return keyed.join(firsts, "key").where("u != v").select("u", "v").distinct()
 
 
+class Rare:
+    """Which sets may be like a given one: those that share one of their rarest hashes.
+
+    Two sets of at least this Jaccard similarity share a hash among the first n - ceil(similarity * n) + 1 of each, n being
+    its size, in any one order of all hashes. The order here is by rarity, so few sets meet. Sets that are done leave the lists as these are read.
+    """
+
+    def __init__(self, of: dict[int, np.ndarray], similarity: float):
+        order = np.argsort(np.argsort(np.bincount(np.concatenate(list(of.values()))), kind="stable"))
+        firsts = {i: np.sort(order[codes])[: len(codes) - ceil(similarity * len(codes) - 1e-9) + 1] for i, codes in of.items()}
+        nodes, keys = np.repeat(list(firsts), [len(x) for x in firsts.values()]), np.concatenate(list(firsts.values()))
+        by = np.argsort(keys, kind="stable")
+        found, starts, n = np.unique(keys[by], return_index=True, return_counts=True)
+        self.lists = {int(k): nodes[by[s : s + m]] for k, s, m in zip(found, starts, n, strict=True) if m > 1}
+        self.keys = {i: [k for k in x.tolist() if k in self.lists] for i, x in firsts.items()}
+
+    def __call__(self, node: int, alive: np.ndarray) -> np.ndarray:
+        met = []
+        for k in self.keys[node]:
+            own = self.lists[k]
+            self.lists[k] = own = own[alive[own]]
+            met.append(own)
+        return np.unique(np.concatenate(met)) if met else np.empty(0, np.int64)
+
+
 def confirmed(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
     """Edges of a spanning forest of the pairs of at least this Jaccard similarity, as two lists of indices. Empty sets are like nothing."""
     left, right = [], []
-    rest = np.flatnonzero([len(s) for s in sets])
-    if len(rest) < 2:
+    sizes = np.array([len(s) for s in sets], np.int64)
+    some = np.flatnonzero(sizes)
+    if len(some) < 2:
         return left, right
-    sizes = np.array([len(s) for s in sets])
-    codes = np.unique(np.concatenate([sets[i] for i in rest]), return_inverse=True)[1]
-    of = dict(zip(rest.tolist(), np.split(codes, np.cumsum(sizes[rest])[:-1]), strict=True))
-    mark = np.zeros(codes.max() + 1, bool)
-    while len(rest):
-        frontier, rest = [int(rest[0])], rest[1:]
-        while frontier and len(rest):
+    codes = np.unique(np.concatenate([sets[i] for i in some]), return_inverse=True)[1]
+    of = dict(zip(some.tolist(), np.split(codes, np.cumsum(sizes[some])[:-1]), strict=True))
+    rare = Rare(of, similarity) if len(some) > FEW else None
+    mark, alive = np.zeros(codes.max() + 1, bool), sizes > 0
+    for first in some.tolist():
+        if not alive[first]:
+            continue
+        frontier = [first]
+        alive[first] = False
+        while frontier:
             node = frontier.pop()
             n = sizes[node]
-            some = np.minimum(sizes[rest], n) / np.maximum(sizes[rest], n) >= similarity
-            own = rest[some]
+            own = np.flatnonzero(alive) if rare is None else rare(node, alive)
+            own = own[np.minimum(sizes[own], n) / np.maximum(sizes[own], n) >= similarity]
             if not len(own):
                 continue
             mark[of[node]] = True
             common = np.add.reduceat(mark[np.concatenate([of[i] for i in own.tolist()])], np.cumsum(sizes[own]) - sizes[own], dtype=np.int64)
             mark[of[node]] = False
             linked = own[common / (sizes[own] + n - common) >= similarity]
-            if len(linked):
-                left += [node] * len(linked)
-                right += linked.tolist()
-                frontier += linked.tolist()
-                rest = np.setdiff1d(rest, linked, assume_unique=True)
+            left += [node] * len(linked)
+            right += linked.tolist()
+            frontier += linked.tolist()
+            alive[linked] = False
     return left, right
 
 
