@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataseek import config as C
+from strataseek import scratch
 from strataseek.functions import text as T
 from strataseek.operators import answers, dependencies, evaluation, points, preprocess, rerank, retrieval, sizing
 from strataseek.sources import files
@@ -56,16 +57,34 @@ COS = (
 DENSE = f"SELECT vec_id AS id, round({COS}, 6) AS score FROM embeddings"
 
 
+def _dense(points: DataFrame, k: int, query: list[float] = VECTOR) -> DataFrame:
+    hits = retrieval.cosine_scores(points, query, id_col="vec_id", vector_col="embedding", best=k)
+    return retrieval.top(hits.withColumn("score", F.round("score", 6)), k)
+
+
 @query("dense_topk", f"{DENSE} ORDER BY score DESC, id LIMIT 20")
 def dense_topk(spark, d):
-    hits = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.round(retrieval.cosine(F.col("embedding"), VECTOR), 6).alias("score"))
-    return retrieval.top(hits, 20)
+    return _dense(table(spark, d, "embeddings"), 20)
 
 
 @query("dense_topk_filtered", f"{DENSE} WHERE label = 1 ORDER BY score DESC, id LIMIT 20")
 def dense_topk_filtered(spark, d):
-    own = table(spark, d, "embeddings").where("label = 1")
-    return retrieval.top(own.select(F.col("vec_id").alias("id"), F.round(retrieval.cosine(F.col("embedding"), VECTOR), 6).alias("score")), 20)
+    return _dense(table(spark, d, "embeddings").where("label = 1"), 20)
+
+
+#: The width of real collections: each vector 24 times, the query's copies with other weights.
+WIDE = [v * (1 + i % 5) / 5 for i in range(C.EMBEDDING_DIM // len(VECTOR)) for v in VECTOR]
+WIDE_SQL = "flatten(list_transform(range(24), lambda i: embedding::DOUBLE[]))"
+
+
+@query(
+    "dense_topk_wide",
+    f"""SELECT vec_id AS id, round(list_sum(list_transform(list_zip(w, {WIDE}), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(w, lambda x: x * x))) * {sum(v * v for v in WIDE) ** 0.5!r}), 6) AS score
+FROM (SELECT vec_id, {WIDE_SQL} AS w FROM embeddings) ORDER BY score DESC, id LIMIT 20""",
+)
+def dense_topk_wide(spark, d):
+    wide = F.flatten(F.array_repeat("embedding", C.EMBEDDING_DIM // len(VECTOR)))
+    return _dense(table(spark, d, "embeddings").select("vec_id", wide.alias("embedding")), 20, WIDE)
 
 
 TERMS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9à-öø-ÿ]+')"
@@ -78,7 +97,7 @@ bm AS (SELECT id, round({' + '.join(f"ln(1 + (docs - df{i} + 0.5::DOUBLE) / (df{
 
 
 def _bm25(spark, d, k):
-    hits = retrieval.bm25(table(spark, d, "documents"), QUERY, 1 << 30, id_col="doc_id")
+    hits = retrieval.bm25_scores(table(spark, d, "documents"), QUERY, id_col="doc_id")
     return retrieval.top(hits.withColumn("score", F.round("score", 6)), k)
 
 
@@ -87,6 +106,12 @@ def bm25_topk(spark, d):
     return _bm25(spark, d, 20)
 
 
+@query("bm25_topk_indexed", f"WITH {BM25} SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 20")
+def bm25_topk_indexed(spark, d):
+    index = retrieval.TextIndex(spark, scratch.new_path(spark, "text-index"), buckets=8, files=1).write(table(spark, d, "documents"), id_col="doc_id")
+    return retrieval.top(index.scores(QUERY).withColumn("score", F.round("score", 6)), 20)
+
+
 @query("inverted_index", f"SELECT id, term, len(t)::INT AS n_terms, count(*) AS tf FROM (SELECT doc_id AS id, {TERMS} AS t, unnest({TERMS}) AS term FROM documents) GROUP BY id, term, len(t)")
 def inverted_index(spark, d):
     return retrieval.inverted_index(table(spark, d, "documents"), id_col="doc_id")
@@ -110,8 +135,7 @@ SELECT id, round(fused, 6) AS fused, round(dense, 6) AS dense, round(sparse, 6)
 
 
 def _fused(spark, d, weights):
-    hits = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.round(retrieval.cosine(F.col("embedding"), VECTOR), 6).alias("score"))
-    out = retrieval.fuse(retrieval.top(hits, 40), _bm25(spark, d, 40), weights, 20)
+    out = retrieval.fuse(_dense(table(spark, d, "embeddings"), 40), _bm25(spark, d, 40), weights, 20)
     return out.select("id", *(F.round(c, 6).alias(c) for c in ("fused", "dense", "sparse")))
 
 
