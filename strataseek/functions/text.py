@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+#: The same characters, one by one, for trimming.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 TOKEN = r"[A-Za-z0-9][A-Za-z0-9_-]*"
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{SPACE}+\z", "")
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{SPACE}+", "")
+    return F.ltrim(c, F.lit(SPACES))
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.trim(c, F.lit(SPACES))
+
+
+def bound(c: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` looks at it: inside lambdas nothing else shares work."""
+    return F.get(F.transform(F.array(c), then), F.lit(0))
 
 
 def is_blank(c: Column) -> Column:
@@ -28,8 +37,8 @@ def is_blank(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Without an empty line after the last line end; an empty text has no lines."""
-    parts = F.split(c, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    whole = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return bound(F.split(c, LINE_END, -1), whole)
 
 
 def word_count(c: Column) -> Column:

@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import chain
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataseek.functions.text import is_blank
 from strataseek.operators.dependencies import dependencies
-from strataseek.operators.segment import block_chunks, cobol_blocks, fortran_blocks
+from strataseek.operators.segment import block_chunks
 from strataseek.operators.sizing import merge_small, split_oversized
 
 KEYS = ("path", "codebase", "language")
 
 
+def metadata() -> Column:
+    """The eight fields of a chunk that retrieval and points rely on, as texts."""
+    fields = {"paragraph_name": "name"} | {k: k for k in ("division", "line_start", "line_end", "chunk_type", "language", "codebase")} | {"file_path": "path"}
+    return F.create_map(*chain.from_iterable((F.lit(k), F.coalesce(F.col(c).cast("string"), F.lit(""))) for k, c in fields.items()))
+
+
 def chunk(processed: DataFrame) -> DataFrame:
-    """path, codebase, language, content, line_start, line_end, chunk_type, name, division, token_count, dependencies. processed: path, codebase, language, code."""
+    """path, codebase, language, content, line_start, line_end, chunk_type, name, division, token_count, part, dependencies, metadata.
+
+    processed: path, codebase, language, code. part: the place among the file's chunks.
+    """
     files = processed.select(*KEYS, "code").where(~is_blank(F.col("code")))
-    out = []
-    for language, blocks, mixed in (("cobol", cobol_blocks, "UNKNOWN"), ("fortran", fortran_blocks, "MIXED")):
-        own = files.where(F.col("language") == language)
-        chunks = block_chunks(own, blocks, *KEYS)
-        out.append(chunks.select(*KEYS, F.explode(merge_small(F.col("chunks"), mixed)).alias("c")).select(*KEYS, "c.*"))
-    return split_oversized(out[0].unionByName(out[1])).withColumn("dependencies", dependencies(F.col("language"), F.col("content")))
+    merged = merge_small(block_chunks(files, *KEYS), F.when(F.col("language") == "cobol", "UNKNOWN").otherwise("MIXED"))
+    chunks = merged.select(*KEYS, F.posexplode("chunks").alias("part", "c")).select(*KEYS, "c.*", "part")
+    return split_oversized(chunks).withColumn("dependencies", dependencies(F.col("language"), F.col("content"))).withColumn("metadata", metadata())

@@ -1,19 +1,18 @@
-"""Raw source text to clean code and comments, as window queries over (file, line).
-
-A file's lines meet in one window partition; files are the unit of parallelism, so a
-large corpus is as many independent groups as it has files.
-"""
+"""Raw source text to clean code and comments. A file is one row, its lines an array: no shuffle, and files are the unit of parallelism."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataseek.functions.text import area, is_blank, lines, lstrip, rstrip, strip
+from strataseek.functions.text import SPACE, area, bound, is_blank, lines, lstrip, rstrip, strip
+from strataseek.scratch import fence
 
 DIVISIONS = ("IDENTIFICATION", "ENVIRONMENT", "DATA", "PROCEDURE")
 UNIT_WORDS = r"(?i)\b(PROGRAM|SUBROUTINE|FUNCTION|MODULE|BLOCK\s+DATA)\b"
 FIXED_EXTENSIONS = (".f", ".f77")
+#: Marks in front of a line's code and of a continuation: noncharacters, which no text has.
+LINE, MORE = "\ufdd1", "\ufdd0"
 
 
 def number_lines(files: DataFrame, *keys: str, text_col: str = "text") -> DataFrame:
@@ -21,102 +20,124 @@ def number_lines(files: DataFrame, *keys: str, text_col: str = "text") -> DataFr
     return files.select(*keys, F.posexplode(lines(F.coalesce(F.col(text_col), F.lit("")))).alias("pos", "line")).select(*keys, (F.col("pos") + 1).alias("line_no"), "line")
 
 
-def _cobol(line: Column) -> tuple[Column, Column, Column]:
-    """(role, piece of code, comment): role is code, more (of the line before) or null."""
+NAMES = ("role", "piece", "comment", "goes_on")
+
+
+def _line(role: Column, piece: Column, comment: Column, goes_on: Column | None = None) -> Column:
+    """role is code, more (of the line before) or null. goes_on: into the next line."""
+    values = (role, piece, comment, F.lit(False) if goes_on is None else goes_on)
+    return F.struct(*(v.alias(n) for v, n in zip(values, NAMES, strict=True)))
+
+
+def _cobol(line: Column) -> Column:
     mark, body = F.substring(line, 7, 1), area(line, 7, 72)
-    short = F.length(line) < 7
-    inline = body.contains("*>")
-    comment = F.when(short, None).when(mark.isin("*", "/", "D", "d"), strip(body)).when(mark == "-", None).when(inline, strip(F.expr("substring(substring(line, 8, 65), instr(substring(line, 8, 65), '*>') + 2)")))
-    role = F.when(short, "code").when(mark.isin("*", "/", "D", "d"), None).when(mark == "-", "more").otherwise("code")
-    piece = F.when(short, line).when(mark == "-", lstrip(area(line, 11, 72))).when(inline, rstrip(F.substring_index(body, "*>", 1))).otherwise(body)
-    return role, piece, comment
+    none = F.lit(None).cast("string")
+    plain = lambda b: F.when(
+        b.contains("*>"), _line(F.lit("code"), rstrip(F.substring_index(b, "*>", 1)), strip(F.right(b, F.length(b) - F.instr(b, "*>") - 1)))
+    ).otherwise(_line(F.lit("code"), b, none))
+    return (
+        F.when(F.length(line) < 7, _line(F.lit("code"), line, none))
+        .when(mark.isin("*", "/", "D", "d"), _line(none, none, strip(body)))
+        .when(mark == "-", _line(F.lit("more"), lstrip(area(line, 11, 72)), none))
+        .otherwise(bound(body, plain))
+    )
 
 
-def _fixed(line: Column) -> tuple[Column, Column, Column]:
-    first = F.substring(line, 1, 1).isin("C", "c", "*")
-    short = F.length(line) < 7
+def _fixed(line: Column) -> Column:
+    none = F.lit(None).cast("string")
     more = ~F.substring(line, 6, 1).isin(" ", "0", "")
-    role = F.when(first, None).when(short, "code").when(more, "more").otherwise("code")
-    piece = F.when(short, strip(line)).otherwise(rstrip(area(line, 6, 72)))
-    return role, piece, F.when(first, strip(area(line, 1)))
+    return (
+        F.when(F.substring(line, 1, 1).isin("C", "c", "*"), _line(none, none, strip(area(line, 1))))
+        .when(F.length(line) < 7, _line(F.lit("code"), strip(line), none))
+        .otherwise(_line(F.when(more, "more").otherwise("code"), rstrip(area(line, 6, 72)), none))
+    )
 
 
-def _fold(rows: DataFrame, keys: list[str], joint: str, orphan_starts: bool) -> DataFrame:
-    """keys, code_lines, comments. rows: keys, line_no, role, piece, comment.
+def _free(line: Column) -> Column:
+    """A line that only has a comment is nothing to the continuation around it."""
+    none = F.lit(None).cast("string")
+    inner = lambda body: F.when(body.startswith("&"), lstrip(area(body, 1))).otherwise(body)
 
-    A ``more`` row goes to the code line before, whose end is stripped first; without one it is a line or dropped.
-    """
-    order = Window.partitionBy(*keys).orderBy("line_no")
-    if orphan_starts:
-        seen = F.count(F.when(F.col("role").isNotNull(), 1)).over(order.rowsBetween(Window.unboundedPreceding, -1))
-        rows = rows.withColumn("role", F.when((F.col("role") == "more") & (seen == 0), "code").otherwise(F.col("role")))
-    rows = rows.withColumn("group", F.when(F.col("role").isNotNull(), F.count(F.when(F.col("role") == "code", 1)).over(order)))
-    pieces = F.array_sort(F.collect_list(F.when(F.col("role").isNotNull(), F.struct("line_no", "piece"))))
-    notes = F.array_sort(F.collect_list(F.when(F.col("comment") != "", F.struct("line_no", "comment"))))
-    groups = rows.groupBy(*keys, "group").agg(pieces.alias("pieces"), notes.alias("notes"))
-    texts = F.transform("pieces", lambda p: p["piece"])
-    # All but the last are stripped at the end; in the middle, blank ones leave nothing.
-    inner = F.filter(F.transform(F.slice(texts, F.lit(2), F.greatest(F.size(texts) - 2, F.lit(0))), rstrip), lambda p: p != "")
-    joined = F.when(F.size(texts) == 1, F.get(texts, F.lit(0))).otherwise(F.array_join(F.concat(F.array(rstrip(F.get(texts, F.lit(0)))), inner, F.array(F.element_at(texts, -1))), joint))
-    groups = groups.withColumn("code_line", F.when(F.col("group") > 0, joined))
-    out = groups.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(F.col("code_line").isNotNull(), F.struct("group", "code_line")))).alias("c"), F.array_sort(F.flatten(F.collect_list("notes"))).alias("n")
-    )
-    return out.select(*keys, F.transform("c", lambda x: x["code_line"]).alias("code_lines"), F.transform("n", lambda x: x["comment"]).alias("comments"))
+    def coded(code: Column, comment: Column) -> Column:
+        goes_on = code.endswith("&")
+        return _line(F.lit("code"), bound(F.when(goes_on, rstrip(F.left(code, F.length(code) - 1))).otherwise(code), inner), comment, goes_on)
 
+    def noted(x: Column) -> Column:
+        comment = strip(F.right(x, F.length(x) - F.instr(x, "!")))
+        return bound(rstrip(F.substring_index(x, "!", 1)), lambda code: F.when(code == "", _line(none, none, comment)).otherwise(coded(code, comment)))
 
-def cobol_lines(numbered: DataFrame, *keys: str) -> DataFrame:
-    role, piece, comment = _cobol(F.col("line"))
-    rows = numbered.select(*keys, "line_no", role.alias("role"), piece.alias("piece"), comment.alias("comment"))
-    return _fold(rows, list(keys), "", orphan_starts=False)
+    return bound(rstrip(line), lambda x: F.when(x.contains("!"), noted(x)).otherwise(coded(x, none)))
 
 
-def fortran_fixed_lines(numbered: DataFrame, *keys: str) -> DataFrame:
-    role, piece, comment = _fixed(F.col("line"))
-    rows = numbered.select(*keys, "line_no", role.alias("role"), piece.alias("piece"), comment.alias("comment"))
-    return _fold(rows, list(keys), "", orphan_starts=True)
+def _parsed(line: Column, form: Column) -> Column:
+    return F.when(form == "cobol", _cobol(line)).when(form == "fixed", _fixed(line)).otherwise(_free(line))
 
 
-def fortran_free_lines(numbered: DataFrame, *keys: str) -> DataFrame:
-    """A line that only has a comment is nothing to the continuation around it."""
-    line = rstrip(F.col("line"))
-    noted = line.contains("!")
-    code = F.when(noted, rstrip(F.substring_index(line, "!", 1))).otherwise(line)
-    rows = numbered.select(
-        *keys,
-        "line_no",
-        code.alias("code"),
-        (noted & is_blank(code)).alias("only_comment"),
-        F.when(noted, strip(F.expr("substring(line, instr(line, '!') + 1)"))).alias("comment"),
+def fold(files: DataFrame) -> DataFrame:
+    """Adds code (its lines joined) and comments to files with a column text and form (cobol, fixed or free).
+
+    A continuation goes to the code line before, whose blank end is dropped; without one it is a line (Fortran) or lost (COBOL).
+    Pieces are joined to one text with marks before them, and the marks with the blanks in front of them are then replaced: what is linear in a file stays so.
+    """
+    names = files.columns
+    form = F.col("form")
+    df = files.select(*names, F.transform(lines(F.coalesce("text", F.lit(""))), lambda x: _parsed(x, form)).alias("__p"))
+    df = df.select(
+        *names,
+        F.filter("__p", lambda x: x["role"].isNotNull()).alias("__kept"),
+        F.filter(F.transform("__p", lambda x: x["comment"]), lambda c: c != "").alias("comments"),
     )
-    goes_on = F.col("code").endswith("&") & ~F.col("only_comment")
-    order = Window.partitionBy(*keys, "only_comment").orderBy("line_no")
-    more = F.coalesce(F.lag(goes_on).over(order), F.lit(False))
-    body = F.when(F.col("code").endswith("&"), rstrip(F.expr("substring(code, 1, length(code) - 1)"))).otherwise(F.col("code"))
-    piece = F.when(body.startswith("&"), lstrip(area(body, 1))).otherwise(body)
-    role = F.when(F.col("only_comment"), None).when(more, "more").otherwise("code")
-    rows = rows.select(*keys, "line_no", role.alias("role"), piece.alias("piece"), "comment")
-    return _fold(rows, list(keys), " ", orphan_starts=True)
+
+    def marked(x: Column, i: Column) -> Column:
+        more = F.when(form == "free", F.get("__kept", i - 1)["goes_on"]).otherwise(x["role"] == "more")
+        return F.concat(F.when(F.coalesce(more, F.lit(False)) & ((form == "cobol") | (i > 0)), MORE).otherwise(LINE), x["piece"])
+
+    joined = F.array_join(F.transform("__kept", marked), "")
+    # What stands before the first line are continuations of nothing. A run of blanks is looked at once, from its beginning.
+    own = bound(joined, lambda t: F.when(t.startswith(MORE), F.regexp_replace(t, rf"\A[^{LINE}]+", "")).otherwise(t))
+    between = F.when(form == "free", F.lit(" ")).otherwise(F.lit(""))
+    folded = bound(own, lambda t: F.when(t.contains(MORE), F.regexp_replace(t, F.lit(rf"(?:(?<!{SPACE}){SPACE}++{MORE}|{MORE})+"), between)).otherwise(t))
+    return df.select(*names, F.translate(area(folded, 1), LINE, "\n").alias("code"), "comments")
 
 
 def divisions_found(code: Column) -> Column:
     """Of the four divisions, in their order, those that are named in the code."""
-    return F.filter(F.array(*map(F.lit, DIVISIONS)), lambda d: F.contains(F.upper(code), F.concat(d, F.lit(" DIVISION"))))
+    return bound(F.upper(code), lambda c: F.filter(F.array(*map(F.lit, DIVISIONS)), lambda d: F.contains(c, F.concat(d, F.lit(" DIVISION")))))
 
 
 def units_found(code: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(code, F.lit(UNIT_WORDS), F.lit(1)), lambda x: F.regexp_replace(F.upper(x), r"\s+", " ")))
 
 
+def form_signals(text: Column, first: int = 20) -> Column:
+    """fixed, free: how many of the first non-blank lines look like either form. A diagnosis only; the extension decides."""
+    some = F.slice(F.filter(lines(F.coalesce(text, F.lit(""))), lambda x: ~is_blank(x)), 1, first)
+    count = lambda *tests: F.aggregate(some, F.lit(0), lambda n, x: n + sum((t(x).cast("int") for t in tests), F.lit(0)))
+    fixed = count(lambda x: F.substring(x, 1, 1).isin("C", "c", "*"), lambda x: x.startswith(" ") & ~F.substring(x, 6, 1).isin(" ", "0", ""))
+    free = count(
+        lambda x: x.contains("!") & ~is_blank(F.substring_index(x, "!", 1)),
+        lambda x: rstrip(x).endswith("&"),
+        lambda x: F.length(rstrip(x)) > 72,
+    )
+    return F.struct(fixed.alias("fixed"), free.alias("free"))
+
+
+def looks_otherwise(form: Column, signals: Column) -> Column:
+    """The signals speak for the other form than the extension's."""
+    fixed, free = signals["fixed"], signals["free"]
+    return F.when(form == "fixed", (free > fixed) & (fixed > 0)).when(form == "free", (fixed > free) & (free > 0)).otherwise(F.lit(False))
+
+
+def source_form(language: Column, extension: Column) -> Column:
+    return F.when(language == "cobol", "cobol").when(extension.isin(*FIXED_EXTENSIONS), "fixed").otherwise("free")
+
+
 def preprocess(files: DataFrame) -> DataFrame:
-    """path, codebase, language, code, comments, source_format, found: one row for each file with lines. files: path, text, extension, language, codebase."""
-    keys = ["path", "codebase", "language", "extension"]
-    numbered = number_lines(files, *keys)
-    fixed = F.col("extension").isin(*FIXED_EXTENSIONS)
-    cobol = cobol_lines(numbered.where("language = 'cobol'"), *keys).withColumn("source_format", F.lit(None).cast("string"))
-    fortran = numbered.where("language = 'fortran'")
-    f = fortran_fixed_lines(fortran.where(fixed), *keys).withColumn("source_format", F.lit("fixed"))
-    g = fortran_free_lines(fortran.where(~fixed), *keys).withColumn("source_format", F.lit("free"))
-    out = cobol.unionByName(f).unionByName(g).withColumn("code", F.array_join("code_lines", "\n"))
+    """path, codebase, language, code, comments, source_format, found: one row for each file of a language. files: path, text, extension, language, codebase.
+
+    Everything happens inside a file's row: nothing is shuffled.
+    """
+    own = files.where(F.col("language").isin("cobol", "fortran")).select("path", "codebase", "language", "text", source_form(F.col("language"), F.col("extension")).alias("form"))
+    out = fence(fold(own))
     found = F.when(F.col("language") == "cobol", divisions_found(F.col("code"))).otherwise(units_found(F.col("code")))
-    return out.select("path", "codebase", "language", "code", "comments", "source_format", F.array_join(found, ",").alias("found"))
+    return out.select("path", "codebase", "language", "code", "comments", F.nullif("form", F.lit("cobol")).alias("source_format"), F.array_join(found, ",").alias("found"))

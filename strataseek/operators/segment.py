@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataseek.functions.text import is_blank, lines, strip, word_count
+from strataseek.scratch import fence
 
 # Fixed values.
 UNIT_HEADER = (
@@ -37,29 +38,29 @@ def _block(line_start: Column, line_end: Column, chunk_type: Column | str, name:
     return F.struct(*(v.alias(n) for v, n in zip(values, BLOCK, strict=True)))
 
 
-def cobol_blocks(files: DataFrame) -> DataFrame:
-    """Adds blocks, an array by line, to files with lines: paragraphs of the procedure division, or one block for the file."""
+def cobol_blocks(files: DataFrame, lines_col: str = "lines", out: str = "blocks") -> DataFrame:
+    """Adds blocks, an array by line, to files with lines (if they aren't null): paragraphs of the procedure division, or one block for the file."""
     names = files.columns
-    heads = F.transform("lines", lambda x, i: F.struct((i + 1).alias("no"), paragraph_name(x).alias("name"), (division_header(x) == "PROCEDURE").alias("opens")))
+    heads = F.transform(lines_col, lambda x, i: F.struct((i + 1).alias("no"), paragraph_name(x).alias("name"), (division_header(x) == "PROCEDURE").alias("opens")))
     df = files.select(*names, F.filter(heads, lambda h: h["name"].isNotNull() | h["opens"]).alias("__marks"))
     df = df.select(*names, "__marks", F.get(F.filter("__marks", lambda h: h["opens"]), F.lit(0))["no"].alias("__procedure"))
-    df = df.select(*names, "__procedure", F.filter("__marks", lambda h: h["name"].isNotNull() & (h["no"] > F.col("__procedure"))).alias("__heads"), F.size("lines").alias("__n"))
+    df = df.select(*names, "__procedure", F.filter("__marks", lambda h: h["name"].isNotNull() & (h["no"] > F.col("__procedure"))).alias("__heads"), F.size(lines_col).alias("__n"))
     procedure, n = F.col("__procedure"), F.col("__n")
     each = F.transform("__heads", lambda h, i: _block(h["no"], F.coalesce(F.get("__heads", i + 1)["no"] - 1, n), "paragraph", h["name"], "PROCEDURE"))
     none = procedure.isNull()
     one = _block(F.coalesce(procedure, F.lit(1)), n, "paragraph", F.when(none, "FILE-BLOCK").otherwise("PROCEDURE-BLOCK"), F.when(none, "UNKNOWN").otherwise("PROCEDURE"))
-    return df.select(*names, F.when(F.size("__heads") > 0, each).otherwise(F.array(one)).alias("blocks"))
+    return df.select(*names, F.when(F.size("__heads") > 0, each).otherwise(F.array(one)).alias(out))
 
 
-def fortran_blocks(files: DataFrame) -> DataFrame:
-    """Adds blocks: program units, and the lines before, between and behind them.
+def fortran_blocks(files: DataFrame, lines_col: str = "lines", out: str = "blocks") -> DataFrame:
+    """Adds blocks (null without lines): program units, and the lines before, between and behind them.
 
     A unit ends with the first END behind its header, or before the next header, or with the file.
     """
     names = files.columns
     kind = lambda x: F.nullif(F.regexp_replace(F.upper(F.regexp_extract(x, UNIT_HEADER, 1)), r"\s+", " "), F.lit(""))
-    marks = F.transform("lines", lambda x, i: F.struct((i + 1).alias("no"), kind(x).alias("kind"), F.upper(F.regexp_extract(x, UNIT_HEADER, 2)).alias("name"), x.rlike(UNIT_END).alias("ends")))
-    df = files.select(*names, F.filter(marks, lambda m: m["kind"].isNotNull() | m["ends"]).alias("__marks"), F.size("lines").alias("__n"))
+    marks = F.transform(lines_col, lambda x, i: F.struct((i + 1).alias("no"), kind(x).alias("kind"), F.upper(F.regexp_extract(x, UNIT_HEADER, 2)).alias("name"), x.rlike(UNIT_END).alias("ends")))
+    df = files.select(*names, F.filter(marks, lambda m: m["kind"].isNotNull() | m["ends"]).alias("__marks"), F.size(lines_col).alias("__n"))
 
     def unit(m: Column, i: Column) -> Column:
         following = F.get("__marks", i + 1)
@@ -74,18 +75,22 @@ def fortran_blocks(files: DataFrame) -> DataFrame:
         return _block(F.coalesce(F.when(i > 0, before["line_end"]), F.lit(0)) + 1, F.coalesce(after["line_start"] - 1, F.col("__n")), "file_block", "FILE-BLOCK", "UNKNOWN")
 
     gaps = F.filter(F.transform(F.sequence(F.lit(0), F.size("__units")), gap), lambda g: g["line_start"] <= g["line_end"])
-    return df.select(*names, F.array_sort(F.concat("__units", gaps)).alias("blocks"))
+    return df.select(*names, F.array_sort(F.concat("__units", gaps)).alias(out))
 
 
-def block_chunks(processed: DataFrame, blocks, *keys: str) -> DataFrame:
-    """keys, chunks (array, by line): one row for each file, and nothing is shuffled. Blank gaps are dropped. processed: keys, code."""
-    files = blocks(processed.select(*keys, lines(F.col("code")).alias("lines")))
+def block_chunks(processed: DataFrame, *keys: str) -> DataFrame:
+    """keys, chunks (array, by line): one row for each file, and nothing is shuffled. Blank gaps are dropped. processed: keys (language among them), code."""
+    cobol = F.col("language") == "cobol"
+    files = processed.select(*keys, lines(F.col("code")).alias("lines"))
+    files = fence(files.select(*keys, "lines", F.when(cobol, F.col("lines")).alias("__cobol"), F.when(~cobol, F.col("lines")).alias("__fortran")))
+    files = fortran_blocks(cobol_blocks(files, "__cobol", "__b1"), "__fortran", "__b2")
+    files = fence(files.select(*keys, "lines", F.when(cobol, F.col("__b1")).otherwise(F.col("__b2")).alias("blocks")))
 
     def chunk(b: Column) -> Column:
         content = F.array_join(F.slice("lines", b["line_start"], b["line_end"] - b["line_start"] + 1), "\n")
         return F.struct(content.alias("content"), *(b[n].alias(n) for n in BLOCK))
 
-    files = files.select(*keys, F.transform("blocks", chunk).alias("chunks"))
+    files = fence(files.select(*keys, F.transform("blocks", chunk).alias("chunks")))
     kept = F.filter("chunks", lambda c: (c["name"] != "FILE-BLOCK") | ~is_blank(c["content"]))
     counted = F.transform(kept, lambda c: F.struct(c["content"].alias("content"), *(c[n].alias(n) for n in BLOCK), word_count(c["content"]).cast("int").alias("token_count")))
     return files.select(*keys, counted.alias("chunks"))

@@ -1,4 +1,4 @@
-"""Chunk sizes: small neighbours merge (a fold in SQL), oversized chunks split (a greedy pass in Arrow batches)."""
+"""Chunk sizes: small neighbours merge (inside a file's row), oversized chunks split (a greedy pass in Arrow batches)."""
 
 from __future__ import annotations
 
@@ -9,45 +9,67 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataseek.config import MAX_CHUNK_TOKENS, MIN_CHUNK_TOKENS
-from strataseek.functions.text import strip, word_count
-from strataseek.operators.segment import CHUNK
-
-
-def merged_pair(left: Column, right: Column, mixed: str) -> Column:
-    content = strip(F.concat_ws("\n", left["content"], right["content"]))
-    parts = F.filter(F.transform(F.split(F.concat_ws("+", left["name"], right["name"]), r"\+"), strip), lambda x: x != "")
-    name = F.array_join(F.array_distinct(parts), "+")
-    return F.struct(
-        content.alias("content"),
-        F.least(left["line_start"], right["line_start"]).alias("line_start"),
-        F.greatest(left["line_end"], right["line_end"]).alias("line_end"),
-        left["chunk_type"].alias("chunk_type"),
-        F.when(name == "", "MERGED").otherwise(name).alias("name"),
-        F.when(left["division"] == right["division"], left["division"]).otherwise(mixed).alias("division"),
-        word_count(content).cast("int").alias("token_count"),
-    )
-
-
-def merge_small(chunks: Column, mixed: str, least: int = MIN_CHUNK_TOKENS) -> Column:
-    """A chunk under ``least`` tokens takes in the next, again and again; a small last one joins the one before. ``mixed`` names unequal divisions."""
-    kind = f"array<struct<{CHUNK.replace(' ', ':').replace(',:', ',')}>>"
-    none = F.array().cast(kind)
-
-    def step(acc: Column, c: Column) -> Column:
-        small = acc["open"]["token_count"] < least
+from strataseek.functions.text import SPACE, bound, strip
+from strataseek.scratch import fence
+
+
+#: In front of a joint whose blanks are dropped: a noncharacter.
+JOINT = "\ufdd0"
+
+
+def _merged(group: Column, mixed: Column) -> Column:
+    """One chunk of an array of neighbours, as if each had gone to those before it: ends are stripped after each but the first."""
+    parts = lambda c: F.filter(F.transform(F.split(c["name"], r"\+"), strip), lambda x: x != "")
+
+    def content(g: Column) -> Column:
+        joined = F.array_join(F.transform(g, lambda c, i: F.concat(F.when(i > 1, JOINT + "\n").when(i == 1, "\n").otherwise(""), c["content"])), "")
+        unjoined = lambda t: F.when(t.contains(JOINT), F.regexp_replace(t, rf"(?:(?<!{SPACE}){SPACE}++{JOINT}|{JOINT})", "")).otherwise(t)
+        return strip(bound(joined, unjoined))
+
+    def name(named: Column) -> Column:
+        # Two without a name become one that has one.
+        nameless = F.size(F.flatten(F.slice(named, 1, 2))) == 0
+        return F.array_join(F.array_distinct(F.concat(F.when(nameless, F.array(F.lit("MERGED"))).otherwise(F.array().cast("array<string>")), F.flatten(named))), "+")
+
+    def several(g: Column) -> Column:
         return F.struct(
-            F.when(small, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))).alias("done"),
-            F.when(small, merged_pair(acc["open"], c, mixed)).otherwise(c).alias("open"),
+            content(g).alias("content"),
+            F.array_min(F.transform(g, lambda c: c["line_start"])).alias("line_start"),
+            F.array_max(F.transform(g, lambda c: c["line_end"])).alias("line_end"),
+            F.get(g, F.lit(0))["chunk_type"].alias("chunk_type"),
+            bound(F.transform(g, parts), name).alias("name"),
+            bound(F.array_distinct(F.transform(g, lambda c: c["division"])), lambda d: F.when(F.size(d) == 1, F.get(d, F.lit(0))).otherwise(mixed)).alias("division"),
+            F.aggregate(g, F.lit(0), lambda n, c: n + c["token_count"]).alias("token_count"),
         )
 
-    start = F.struct(none.alias("done"), F.get(chunks, F.lit(0)).alias("open"))
+    return bound(group, lambda g: F.when(F.size(g) == 1, F.get(g, F.lit(0))).otherwise(several(g)))
 
-    def finish(acc: Column) -> Column:
-        tail = (F.size(acc["done"]) > 0) & (acc["open"]["token_count"] < least)
-        joined = F.concat(F.slice(acc["done"], F.lit(1), F.size(acc["done"]) - 1), F.array(merged_pair(F.element_at(acc["done"], -1), acc["open"], mixed)))
-        return F.when(tail, joined).otherwise(F.concat(acc["done"], F.array(acc["open"])))
 
-    return F.when(F.size(chunks) <= 1, chunks).otherwise(F.aggregate(F.slice(chunks, F.lit(2), F.size(chunks)), start, step, finish))
+def merge_small(df: DataFrame, mixed: Column | str, *, col: str = "chunks", least: int = MIN_CHUNK_TOKENS) -> DataFrame:
+    """``df`` with its array of chunks merged: one under ``least`` tokens takes in the next, again and again; a small last one joins the one before.
+
+    Tokens are white-space words, so those of a merged chunk are the sum. Where groups begin is found on counts alone; contents are put together once.
+    ``mixed`` names unequal divisions.
+    """
+    names = [c for c in df.columns if c != col]
+    mixed = F.lit(mixed) if isinstance(mixed, str) else mixed
+    df = fence(df.select(*names, F.col(col).alias("__c")))
+    start = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("open"), F.lit(0).alias("at"))
+
+    def step(acc: Column, n: Column) -> Column:
+        full = (acc["at"] > 0) & (acc["open"] >= least)
+        return F.struct(
+            F.when(full, F.concat(acc["ends"], F.array(acc["at"]))).otherwise(acc["ends"]).alias("ends"),
+            F.when(full, n).otherwise(acc["open"] + n).alias("open"),
+            (acc["at"] + 1).alias("at"),
+        )
+
+    df = df.select(*names, "__c", F.aggregate(F.transform("__c", lambda c: c["token_count"]), start, step).alias("__a"))
+    df = df.select(*names, "__c", F.concat(F.array(F.lit(0)), "__a.ends").alias("__b"), (F.col("__a.open") < least).alias("__tail"))
+    group = lambda at, k: F.slice(F.col("__c"), at + 1, F.coalesce(F.get("__b", k + 1), F.size("__c")) - at)
+    df = fence(df.select(*names, "__tail", F.when(F.size("__c") > 0, F.transform("__b", lambda at, k: _merged(group(at, k), mixed))).otherwise(F.col("__c")).alias("__m")))
+    last = F.concat(F.slice("__m", F.lit(1), F.size("__m") - 2), F.array(_merged(F.slice("__m", -2, 2), mixed)))
+    return df.select(*names, F.when(F.col("__tail") & (F.size("__m") > 1), last).otherwise(F.col("__m")).alias(col))
 
 
 def split_text(content: str, first_line: int, last_line: int, name: str, most: int) -> list[tuple[str, int, int, str, int]]:

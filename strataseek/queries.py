@@ -314,13 +314,14 @@ def continuation_fold(spark, d):
 
 
 def line_chunks(spark, d) -> DataFrame:
-    """One array of line chunks for each document: the input of the size operators."""
-    own = preprocess.number_lines(table(spark, d, "documents"), "doc_id")
-    c = F.struct(
-        F.col("line").alias("content"), F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"), F.lit("line").alias("chunk_type"),
-        F.concat(F.lit("L"), F.col("line_no").cast("string")).alias("name"), F.lit("TEXT").alias("division"), T.word_count(F.col("line")).cast("int").alias("token_count"),
-    )
-    return own.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("line_no"), c.alias("c")))).alias("x")).select("doc_id", F.transform("x", lambda x: x["c"]).alias("chunks"))
+    """One array of line chunks for each document with lines: the input of the size operators."""
+
+    def one(x, i):
+        no = (i + 1).cast("int")
+        fields = {"content": x, "line_start": no, "line_end": no, "chunk_type": F.lit("line"), "name": F.concat(F.lit("L"), no.cast("string")), "division": F.lit("TEXT"), "token_count": T.word_count(x).cast("int")}
+        return F.struct(*(c.alias(n) for n, c in fields.items()))
+
+    return table(spark, d, "documents").select("doc_id", F.transform(T.lines(F.coalesce("text", F.lit(""))), one).alias("chunks"))
 
 
 MERGE_SQL = f"""WITH RECURSIVE l AS (SELECT doc_id, line_no, last, len(regexp_extract_all(line, '[^\\s\\x1c-\\x1f\\x{{85}}\\x{{A0}}]+')) AS n FROM {LINES_SQL}),
@@ -335,7 +336,7 @@ SELECT doc_id, min(line_start)::INT AS line_start, max(line_end)::INT AS line_en
 
 @query("merge_small_chunks", MERGE_SQL)
 def merge_small_chunks(spark, d):
-    merged = line_chunks(spark, d).select("doc_id", F.explode(sizing.merge_small(F.col("chunks"), "MIXED")).alias("c"))
+    merged = sizing.merge_small(line_chunks(spark, d), "MIXED").select("doc_id", F.explode("chunks").alias("c"))
     return merged.select("doc_id", "c.line_start", "c.line_end", "c.token_count")
 
 
