@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Fixed values.
 MIN_CHUNK_TOKENS, MAX_CHUNK_TOKENS = 64, 768
@@ -40,8 +43,25 @@ CODEBASES = (
     ("blas", "fortran", (".f",), "fortran", "fortran_subroutine", "Basic linear algebra subprograms"),
     ("opencobol-contrib", "cobol", (".cob", ".cbl", ".cpy"), "cobol", "cobol_paragraph", "Sample COBOL programs and utilities"),
 )
+#: Names of codebases as people know them; others are shown as they are.
+LABELS = {"gnucobol": "GnuCOBOL", "gfortran": "GFortran", "lapack": "LAPACK", "blas": "BLAS", "opencobol-contrib": "OpenCOBOL Contrib"}
 CODEBASE_SCHEMA = "name string, language string, extensions array<string>, preprocessor string, chunker string, description string, ord int"
 
 
 def codebases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(*row[:2], list(row[2]), *row[3:], i) for i, row in enumerate(CODEBASES)], CODEBASE_SCHEMA)
+
+
+def codebase_options(spark: SparkSession) -> DataFrame:
+    """value, label, ord of a codebase selector: all of them (null), then each of the registry."""
+    known = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in LABELS.items()))
+    each = codebases(spark).select(F.col("name").alias("value"), F.coalesce(F.try_element_at(known, F.col("name")), "name").alias("label"), (F.col("ord") + 1).alias("ord"))
+    return spark.createDataFrame([(None, "All codebases", 0)], "value string, label string, ord int").unionByName(each)
+
+
+def example_queries(chosen: DataFrame, examples: DataFrame, defaults: DataFrame) -> DataFrame:
+    """chosen (codebase, feature) with examples: those of both (examples: codebase, feature, queries) if there are any, else the feature's (defaults: feature, queries)."""
+    own = examples.select("codebase", "feature", F.col("queries").alias("__own"))
+    of_feature = defaults.select("feature", F.col("queries").alias("__default"))
+    found = chosen.join(F.broadcast(own), ["codebase", "feature"], "left").join(F.broadcast(of_feature), "feature", "left")  # tables of a user interface: a few dozen rows
+    return found.withColumn("examples", F.when(F.size("__own") > 0, F.col("__own")).otherwise(F.col("__default"))).drop("__own", "__default")

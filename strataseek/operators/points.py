@@ -1,15 +1,20 @@
-"""Collection rows: ids, payload and idempotent upsert into a partitioned Parquet table."""
+"""Collection rows: ids, payload and idempotent upsert into partitioned Parquet tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from strataseek.config import POINT_NAMESPACE
-from strataseek.errors import BackendError, ValidationError
+from strataseek.config import EMBEDDING_DIM, POINT_NAMESPACE
+from strataseek.errors import BackendError, ConfigError, ValidationError
 from strataseek.functions.text import uuid5
 
 
+#: Payload fields that searches filter on.
+INDEXED = ("paragraph_name", "division", "file_path", "language", "codebase")
+
+
 def chunk_id(codebase: Column, path: Column, line_start: Column) -> Column:
     return F.concat_ws(":", codebase, path, line_start.cast("string"))
 
@@ -23,14 +28,16 @@ def to_points(chunks: DataFrame, dim: int | None = None) -> DataFrame:
     given = lambda key, own: F.coalesce(F.nullif(F.try_element_at(F.col("metadata"), F.lit(key)), F.lit("")), own)
     if "metadata" not in chunks.columns:
         chunks = chunks.withColumn("metadata", F.create_map().cast("map<string,string>"))
+    number = lambda key: F.coalesce(F.try_element_at("metadata", F.lit(key)).try_cast("int"), key)
+    first = number("line_start")
     own_id = chunk_id(F.col("codebase"), F.col("path"), F.col("line_start"))
     out = chunks.select(
         point_id(own_id).alias("id"),
         F.col("embedding").alias("vector"),
         "content",
         given("file_path", F.col("path")).alias("file_path"),
-        F.coalesce(F.try_element_at("metadata", F.lit("line_start")).try_cast("int"), "line_start").alias("line_start"),
-        F.coalesce(F.try_element_at("metadata", F.lit("line_end")).try_cast("int"), "line_end").alias("line_end"),
+        first.alias("line_start"),
+        F.greatest(number("line_end"), first).alias("line_end"),
         "name",
         given("paragraph_name", F.col("name")).alias("paragraph_name"),
         given("division", F.col("division")).alias("division"),
@@ -39,6 +46,7 @@ def to_points(chunks: DataFrame, dim: int | None = None) -> DataFrame:
         given("codebase", F.col("codebase")).alias("codebase"),
         "dependencies",
         own_id.alias("chunk_id"),
+        *(["part"] if "part" in chunks.columns else []),
     )
     if dim is not None:
         out = out.withColumn("vector", F.when(F.size("vector") == dim, F.col("vector")).otherwise(F.raise_error(F.lit(f"an embedding doesn't have {dim} dimensions"))))
@@ -51,44 +59,92 @@ def last_of_each(points: DataFrame, seq: Column) -> DataFrame:
     return points.groupBy("id").agg(F.max_by(row, seq).alias("r")).select("id", "r.*")
 
 
-def upsert(spark: SparkSession, path: str, new: DataFrame, seq: Column | None = None) -> int:
-    """Merge ``new`` into the table at ``path`` by id; the last write wins. Returns the rows given, repeated ids too.
+# ---------------------------------------------------------------- collection
+#
+# A collection is a folder with one table for each upsert (d1, d2, ...) and now and then a base (b7: all up to d7).
+# A table counts once Spark has marked it as whole, so readers see each upsert all or not at all.
 
-    Versions are written side by side and the pointer moves last, so readers see one or the other.
-    """
-    if "id" not in new.columns:
-        raise ValidationError("points need an id")
-    given = new.withColumn("__seq", seq if seq is not None else F.monotonically_increasing_id())
-    latest = last_of_each(given, F.col("__seq")).drop("__seq")
-    old = read_points(spark, path)
-    version = _version(spark, path)
-    merged = latest if old is None else old.join(latest.select("id"), "id", "left_anti").unionByName(latest)
-    target = f"{path}/v{version + 1}"
-    try:
-        merged.write.mode("overwrite").partitionBy("codebase").option("parquet.bloom.filter.enabled#id", "true").parquet(target)
-    except Exception as e:
-        raise BackendError(f"{target}: {e}") from e
-    return new.count()
+
+def create_collection(spark: SparkSession, path: str, dim: int = EMBEDDING_DIM) -> None:
+    """Note width and metric at ``path``. Nothing happens if the collection is there, unless its width is another."""
+    about = f"{path}/about"
+    spark.createDataFrame([(dim, "cosine")], "dim int, metric string").write.mode("ignore").parquet(about)
+    found = spark.read.parquet(about).first()["dim"]
+    if found != dim:
+        raise ConfigError(f"{path} holds vectors of {found} numbers, not {dim}")
 
 
-def _version(spark: SparkSession, path: str) -> int:
+def _tables(spark: SparkSession, path: str) -> tuple[int, list[int]]:
+    """The newest base (0: none) and the upserts after it, in order."""
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     system = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if not system.exists(root):
-        return 0
-    found = [s.getPath() for s in system.listStatus(root)]
-    done = [int(p.getName()[1:]) for p in found if p.getName()[1:].isdigit() and system.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return max(done, default=0)
+        return 0, []
+    names = [s.getPath().getName() for s in system.listStatus(root)]
+    whole = [n for n in names if n[:1] in "bd" and n[1:].isdigit() and system.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}", "_SUCCESS"))]
+    base = max((int(n[1:]) for n in whole if n[0] == "b"), default=0)
+    return base, sorted(int(n[1:]) for n in whole if n[0] == "d" and int(n[1:]) > base)
+
+
+def _write(df: DataFrame, target: str) -> None:
+    """By codebase, which is also a filter's field; the others have bloom filters, and rows lie by path."""
+    out = df.sortWithinPartitions("codebase", "file_path") if "file_path" in df.columns else df
+    writer = out.write.mode("overwrite").partitionBy("codebase")
+    for field in ("id", *INDEXED):
+        if field in df.columns and field != "codebase":
+            writer = writer.option(f"parquet.bloom.filter.enabled#{field}", "true")
+    try:
+        writer.parquet(target)
+    except Exception as e:
+        raise BackendError(f"{target}: {e}") from e
 
 
-def read_points(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest whole version; None if there is none."""
-    version = _version(spark, path)
-    return spark.read.parquet(f"{path}/v{version}") if version else None
+def upsert(spark: SparkSession, path: str, new: DataFrame, seq: Column | None = None, *, compact_after: int = 8) -> int:
+    """Put ``new`` into the collection by id; the last write wins. Returns the rows given, repeated ids too.
 
+    ``new`` is evaluated once. Only its own rows are written; after ``compact_after`` upserts they are put together.
+    seq: which of several rows of an id in ``new`` is the last; by ``part`` if there is one, else in an order that depends on the rows alone.
+    """
+    if "id" not in new.columns:
+        raise ValidationError("points need an id")
+    if seq is None:
+        seq = F.col("part") if "part" in new.columns else F.xxhash64(*(c for c in new.columns if not isinstance(new.schema[c].dataType, MapType)))
+    given = Observation()
+    counted = new.withColumn("__seq", seq).observe(given, F.count(F.lit(1)).alias("n"))
+    latest = last_of_each(counted, F.col("__seq")).drop("__seq", "part")
+    base, deltas = _tables(spark, path)
+    _write(latest, f"{path}/d{(deltas[-1] if deltas else base) + 1}")
+    if len(deltas) + 1 >= compact_after:
+        compact(spark, path)
+    return given.get["n"]
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """One base of all upserts so far. What the base before had replaced is deleted; what this one replaces stays for those who are reading it."""
+    base, deltas = _tables(spark, path)
+    if not deltas:
+        return
+    _write(read_points(spark, path), f"{path}/b{deltas[-1]}")
+    jvm = spark._jvm
+    system = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for s in system.listStatus(jvm.org.apache.hadoop.fs.Path(path)):
+        name = s.getPath().getName()
+        if name[:1] in "bd" and name[1:].isdigit() and (int(name[1:]) < base or name == f"d{base}"):
+            system.delete(s.getPath(), True)
 
-def newest_rows(df: DataFrame, key: str, order: str) -> DataFrame:
-    """As ``last_of_each``, by window: for tables that are wide and whose keys repeat little."""
-    w = Window.partitionBy(key).orderBy(F.col(order).desc())
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+def read_points(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest row of each id; None if there is no collection.
+
+    Older tables lose the ids of newer ones in an anti join, whose right side is ids alone and small after few upserts.
+    """
+    base, deltas = _tables(spark, path)
+    tables = [spark.read.parquet(f"{path}/d{n}") for n in reversed(deltas)] + ([spark.read.parquet(f"{path}/b{base}")] if base else [])
+    if not tables:
+        return None
+    out, seen = tables[0], tables[0].select("id")
+    for older in tables[1:]:
+        out = out.unionByName(older.join(seen, "id", "left_anti"))
+        seen = seen.union(older.select("id"))
+    return out

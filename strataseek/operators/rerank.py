@@ -48,3 +48,10 @@ def rerank(chunks: DataFrame, query_tokens: list[str], feature: str = "code_expl
         blend = F.col("score") * C.METADATA_SHARE + F.coalesce("__ce", F.lit(0.0)) * C.CROSS_ENCODER_SHARE
         out = minmax(joined.withColumn("score", blend), C.EQUAL_RERANK, out="score", large=large).drop("__ce")
     return out.withColumn("confidence", confidence(F.col("score"))).orderBy(F.col("score").desc(), *ORDER)
+
+
+def provider_rows(ids: list[str], given: list) -> list[tuple[str, float]]:
+    """(id, relevance) of a cross-encoder's answer: scores in order, or pairs (index, score). Indices out of range and scores that aren't numbers are left out."""
+    number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool)
+    pairs = [x if isinstance(x, (tuple, list)) and len(x) == 2 else (i, x) for i, x in enumerate(given)]
+    return [(ids[i], float(x)) for i, x in pairs if isinstance(i, int) and not isinstance(i, bool) and 0 <= i < len(ids) and number(x)]

@@ -9,38 +9,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
+from strataseek.config import EMBEDDING_BATCH
 from strataseek.functions.text import is_blank
 from strataseek.operators.chunking import chunk
-from strataseek.operators.points import to_points, upsert
+from strataseek.operators.points import create_collection, to_points, upsert
 from strataseek.operators.preprocess import preprocess
-from strataseek.providers import Embedder, HashEmbedder, embed_batches
+from strataseek.providers import Embedder, HashEmbedder, embed_batches, embed_limited
+from strataseek.scratch import discard, materialize
 from strataseek.sources.files import scan
 
 
-def embed(chunks: DataFrame, embedder: Embedder) -> DataFrame:
-    """Adds embedding, in Arrow batches: a provider is called with many texts at a time, order kept."""
+def embed(chunks: DataFrame, embedder: Embedder, limited: bool = False) -> DataFrame:
+    """Adds embedding, in Arrow batches: a provider is called with many texts at a time, order kept. limited: with pauses, in one task, for a provider with a rate limit."""
+    chunks = chunks.coalesce(1) if limited else chunks
     names = chunks.columns
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            vectors = embed_batches(embedder, [t or "" for t in batch.column(names.index("content")).to_pylist()])
+            vectors = (embed_limited if limited else embed_batches)(embedder, [t or "" for t in batch.column(names.index("content")).to_pylist()])
             yield pa.record_batch([*batch.columns, pa.array(vectors, pa.list_(pa.float32()))], names=[*names, "embedding"])
 
     schema = chunks.schema
     return chunks.mapInArrow(batches, StructType([*schema.fields, StructField("embedding", ArrayType(FloatType()))]))
 
 
-def ingest(spark: SparkSession, root: str, collection: str, codebase: str | None = None, language: str | None = None, max_files: int = 0, embedder: Embedder | None = None) -> dict[str, int]:
-    """Counters files_found, files_processed, skipped_empty, errors, chunks_created, chunks_embedded, chunks_indexed."""
+def file_counts(found: int, processed: DataFrame) -> dict[str, int]:
+    """files_found, files_processed, skipped_empty, errors. Files that were found but couldn't be read are errors, and don't stop the others."""
+    n = processed.agg(F.count(F.lit(1)).alias("read"), F.count_if(~is_blank(F.col("code"))).alias("processed")).first()
+    return {"files_found": found, "files_processed": n["processed"], "skipped_empty": n["read"] - n["processed"], "errors": found - n["read"]}
+
+
+def dry_run(processed: DataFrame, chunks: DataFrame, found: int) -> dict[str, int]:
+    """What an ingest would do: counts of files and chunks, and calls of the embedding provider."""
+    total = chunks.count()
+    return file_counts(found, processed) | {"chunks_created": total, "embedding_calls": -(-total // EMBEDDING_BATCH)}
+
+
+def ingest(
+    spark: SparkSession, root: str, collection: str, codebase: str | None = None, language: str | None = None, max_files: int = 0, embedder: Embedder | None = None, estimate: bool = False
+) -> dict[str, int]:
+    """Counters files_found, files_processed, skipped_empty, errors, chunks_created, chunks_embedded, chunks_indexed; with ``estimate``, those of ``dry_run``.
+
+    Processed files and chunks are written to the shared folder, so that each step runs once; a chunk is embedded once.
+    """
+    own = embedder or HashEmbedder()
     files = scan(spark, root, language, max_files)
     if codebase:
         files = files.withColumn("codebase", F.lit(codebase))
-    processed = preprocess(files)
-    chunks = chunk(processed).where(~is_blank(F.col("content"))).cache()
-    n = {"files_found": files.count(), "files_processed": processed.where(~is_blank(F.col("code"))).count(), "errors": 0, "chunks_created": chunks.count()}
-    n["skipped_empty"] = n["files_found"] - n["files_processed"]
-    n["chunks_embedded"] = n["chunks_created"]
-    own = embedder or HashEmbedder()
-    n["chunks_indexed"] = upsert(spark, collection, to_points(embed(chunks, own), own.dim)) if n["chunks_created"] else 0
-    chunks.unpersist()
-    return n
+    found = files.select("path").count()  # of the listing: contents aren't read for it
+    processed = materialize(preprocess(files), "processed")
+    chunks = materialize(chunk(processed).where(~is_blank(F.col("content"))), "chunks")
+    if estimate:
+        return dry_run(processed, chunks, found)
+    create_collection(spark, collection, own.dim)
+    indexed = upsert(spark, collection, to_points(embed(chunks, own), own.dim))
+    created = chunks.count()
+    counters = file_counts(found, processed) | {"chunks_created": created, "chunks_embedded": indexed, "chunks_indexed": indexed}
+    discard(processed)
+    discard(chunks)
+    return counters

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -12,10 +13,13 @@ from strataseek.config import DEFAULT_TOP_K, FEATURES
 from strataseek.errors import ValidationError
 from strataseek.functions.text import tokens
 from strataseek.operators.answers import context_block, parse_confidence
-from strataseek.operators.rerank import rerank
-from strataseek.operators.retrieval import bm25, channel_weights, dense, fuse, is_identifier_query
+from strataseek.operators.prompts import checked_language, system_prompt, user_prompt
+from strataseek.operators.rerank import provider_rows, rerank
+from strataseek.operators.retrieval import TextIndex, channel_weights, dense, fuse, is_identifier_query, sparse
 from strataseek.providers import CrossEncoder, Embedder, ExtractiveGenerator, Generator, HashEmbedder, complete
 
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class SearchRequest:
@@ -33,8 +37,7 @@ class SearchRequest:
             raise ValidationError("top_k has to be 1 or more")
         if self.feature not in FEATURES:
             raise ValidationError(f"unknown feature: {self.feature}")
-        if self.language != "cobol":
-            raise ValidationError(f"unknown language: {self.language}")
+        object.__setattr__(self, "language", checked_language(self.language))
         for name in ("codebase", "model"):
             value = getattr(self, name)
             object.__setattr__(self, name, value.strip() or None if value else None)
@@ -48,18 +51,19 @@ class Engine:
     generator: Generator = field(default_factory=ExtractiveGenerator)
     cross_encoder: CrossEncoder | None = None
     models: tuple[str, ...] = ("primary", "fallback")
+    index: TextIndex | None = None
 
     def _one(self, column) -> object:
         return self.spark.range(1).select(column).first()[0]
 
     def retrieve(self, request: SearchRequest) -> DataFrame:
-        """The fused top_k with payload and score. The codebase filter stands before both cuts."""
+        """The fused top_k with payload and score. The codebase filter stands before both cuts. Without an index the texts are searched."""
         points = self.points.where(F.col("codebase") == request.codebase) if request.codebase else self.points
         limit = 2 * request.top_k
         query = self.embedder.embed([request.query], "query")[0]
         weights = channel_weights(bool(self._one(is_identifier_query(F.lit(request.query)))))
-        sparse = bm25(points, request.query, limit, text_col="content").select(F.col("id").cast("string"), "score")
-        fused = fuse(dense(points, query, limit), sparse, weights, request.top_k)
+        by_terms = sparse(points, request.query, limit, index=self.index, filtered=bool(request.codebase)).select(F.col("id").cast("string"), "score")
+        fused = fuse(dense(points, query, limit), by_terms, weights, request.top_k)
         return points.drop("vector").join(F.broadcast(fused.select("id", F.col("fused").alias("score"))), "id")  # top_k rows
 
     def search(self, request: SearchRequest) -> DataFrame:
@@ -69,18 +73,17 @@ class Engine:
         if self.cross_encoder is not None:
             rows = found.select("id", "content").collect()  # top_k rows
             try:
-                given = self.cross_encoder.scores(request.query, [r["content"] for r in rows])
-                scores = self.spark.createDataFrame([(r["id"], float(s)) for r, s in zip(rows, given, strict=True)], "id string, relevance double")
-            except Exception:  # a cross-encoder that fails leaves the metadata order
-                scores = None
+                given = provider_rows([r["id"] for r in rows], self.cross_encoder.scores(request.query, [r["content"] for r in rows]))
+                scores = self.spark.createDataFrame(given, "id string, relevance double") if given else None
+            except Exception as e:  # a cross-encoder that fails leaves the metadata order
+                log.warning("the cross-encoder failed, results keep the order by metadata: %s", e)
         return rerank(found, words, request.feature, scores)
 
     def messages(self, request: SearchRequest, chunks: list) -> list[dict[str, str]]:
-        rows = [(c["file_path"], c["line_start"], c["line_end"], c["name"], c["division"], c["content"]) for c in chunks]
-        kind = "array<struct<file_path:string,line_start:int,line_end:int,name:string,division:string,content:string>>"
+        rows = [(c["file_path"], c["line_start"], c["line_end"], c["name"], c["division"], c["content"], {"paragraph_name": c["paragraph_name"] or "", "division": c["division"] or ""}) for c in chunks]
+        kind = "array<struct<file_path:string,line_start:int,line_end:int,name:string,division:string,content:string,metadata:map<string,string>>>"
         context = self.spark.createDataFrame([(rows,)], f"c {kind}").select(context_block(F.col("c"))).first()[0]
-        system = f"You explain legacy {request.language} code for the task {request.feature.replace('_', ' ')}. Cite sources as path:first-last. End with 'Confidence: HIGH', 'MEDIUM' or 'LOW'."
-        return [{"role": "system", "content": system}, {"role": "user", "content": f"Question: {request.query.strip()}\n\n{context}"}]
+        return [{"role": "system", "content": system_prompt(request.feature, request.language)}, {"role": "user", "content": user_prompt(request.query, context)}]
 
     def stream(self, request: SearchRequest) -> Iterator[str]:
         models = [request.model] if request.model else []
@@ -89,7 +92,8 @@ class Engine:
     def answer(self, request: SearchRequest) -> dict:
         chunks = self.search(request).collect()  # top_k rows
         models = ([request.model] if request.model else []) + list(self.models)
-        text = "".join(complete(self.generator, self.messages(request, chunks), models))
+        used: list[str] = []
+        text = "".join(complete(self.generator, self.messages(request, chunks), models, used)).strip()
         return {
             "answer": text,
             "chunks": [r.asDict(recursive=True) for r in chunks],
@@ -97,5 +101,5 @@ class Engine:
             "feature": request.feature,
             "confidence": self._one(parse_confidence(F.lit(text))),
             "codebase_filter": request.codebase,
-            "model": models[0],
+            "model": used[0],
         }

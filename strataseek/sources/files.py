@@ -34,21 +34,40 @@ def looks_binary(content: Column) -> Column:
     return (F.octet_length(content) > 0) & (text.contains("\x00") | (printable < F.octet_length(content) * 0.75))
 
 
-def decoded(content: Column) -> Column:
-    """Valid UTF-8 as such, anything else as Latin-1: the rule of the offline detector."""
-    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
+#: The part of characters outside ASCII that may be control characters, for a text to count as Latin-1 with confidence.
+MOST_CONTROLS = 0.3
+
+
+def encoding(content: Column, language: Column) -> Column:
+    """utf-8, iso-8859-1, or null for a file to skip: the rule of the offline detector.
+
+    Empty and valid UTF-8 contents are utf-8. Binary COBOL files are skipped. Anything else is Latin-1, unless so many of its
+    characters outside ASCII are control characters (0x80 to 0x9f) that this isn't likely. UTF-7, being ASCII, counts as utf-8.
+    """
+    text = F.decode(content, "ISO-8859-1")
+    high, controls = F.regexp_count(text, F.lit(r"[\x80-\xff]")), F.regexp_count(text, F.lit(r"[\x80-\x9f]"))
+    return (
+        F.when((language == "cobol") & looks_binary(content), F.lit(None).cast("string"))
+        .when(F.is_valid_utf8(content.cast("string")), "utf-8")
+        .when(controls <= high * MOST_CONTROLS, "iso-8859-1")
+    )
+
+
+def decoded(content: Column, language: Column) -> Column:
+    """The text of a file; empty if it is skipped."""
+    kind = encoding(content, language)
+    return F.when(kind == "utf-8", content.cast("string")).when(kind == "iso-8859-1", F.decode(content, "ISO-8859-1")).otherwise("")
 
 
 def scan(spark: SparkSession, root: str, language: str | None = None, max_files: int = 0) -> DataFrame:
     """path, text, extension, language, codebase, ...: supported files under ``root``, ordered by path components if limited.
 
-    Binary files of the language that is sniffed have an empty text.
+    Files that are skipped have an empty text; files that can't be read have no row, but are counted if only paths are asked for.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(root)
-    found = with_route(raw.select("path", "content")).where(F.col("language").isNotNull())
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
+    found = with_route(reader.load(root).select("path", "content")).where(F.col("language").isNotNull())
     if language:
         found = found.where(F.col("language") == language)
     if max_files:
         found = found.orderBy(F.split("path", "/")).limit(max_files)
-    text = F.when((F.col("language") == "cobol") & looks_binary(F.col("content")), F.lit("")).otherwise(decoded(F.col("content")))
-    return found.withColumn("text", text).drop("content")
+    return found.withColumn("text", decoded(F.col("content"), F.col("language"))).drop("content")

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from strataseek.operators.chunking import chunk
-from strataseek.operators.points import to_points, upsert
+from strataseek.operators.points import create_collection, to_points, upsert
 from strataseek.operators.preprocess import preprocess
 from strataseek.plans.ingest import embed
 from strataseek.providers import Embedder, HashEmbedder
-from strataseek.sources.files import decoded, looks_binary, with_route
+from strataseek.sources.files import decoded, with_route
 
 FILE = "path string, modificationTime timestamp, length long, content binary"
 
@@ -19,13 +19,13 @@ FILE = "path string, modificationTime timestamp, length long, content binary"
 def stream_ingest(spark: SparkSession, root: str, collection: str, checkpoint: str, embedder: Embedder | None = None) -> StreamingQuery:
     """Upserts are by id, so a micro-batch that is run again after a failure changes nothing."""
     own = embedder or HashEmbedder()
+    create_collection(spark, collection, own.dim)
     raw = spark.readStream.format("binaryFile").schema(FILE).option("recursiveFileLookup", "true").load(root)
 
     def batch(df: DataFrame, _: int) -> None:
         found = with_route(df.select("path", "content")).where(F.col("language").isNotNull())
-        text = F.when((F.col("language") == "cobol") & looks_binary(F.col("content")), F.lit("")).otherwise(decoded(F.col("content")))
+        text = decoded(F.col("content"), F.col("language"))
         chunks = chunk(preprocess(found.withColumn("text", text).drop("content")))
-        if not chunks.isEmpty():
-            upsert(df.sparkSession, collection, to_points(embed(chunks, own), own.dim))
+        upsert(df.sparkSession, collection, to_points(embed(chunks, own), own.dim))
 
     return raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

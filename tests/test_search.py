@@ -56,7 +56,7 @@ def test_rerank_ties_and_cross_encoder(spark):
 
 def test_upsert_is_idempotent(spark, tmp_path):
     path = f"file://{tmp_path}/c"
-    rows = spark.createDataFrame([("1", "a", "x"), ("2", "a", "y"), ("1", "a", "z")], "id string, codebase string, content string").coalesce(1)
+    rows = spark.createDataFrame([("1", "a", "x", 1), ("2", "a", "y", 1), ("1", "a", "z", 2)], "id string, codebase string, content string, part int")
     assert points.upsert(spark, path, rows) == 3
     for _ in range(2):
         assert sorted((r.id, r.content) for r in points.read_points(spark, path).collect()) == [("1", "z"), ("2", "y")]
