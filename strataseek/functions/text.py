@@ -8,7 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+LINE_END = r"\R|[\x1c-\x1e]"
+#: A word. Runs of plain characters go by one range; only the others are held against all kinds of space.
+WORD = rf"(?:[!-~]++|[^{SPACE[1:]})++"
 #: The same characters, one by one, for trimming.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 TOKEN = r"[A-Za-z0-9][A-Za-z0-9_-]*"
@@ -32,7 +34,7 @@ def bound(c: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return ~c.rlike(rf"[^{SPACE[1:]}")
+    return ~c.rlike(rf"[!-~]|[^{SPACE[1:]}")
 
 
 def lines(c: Column) -> Column:
@@ -43,7 +45,7 @@ def lines(c: Column) -> Column:
 
 def word_count(c: Column) -> Column:
     """White-space words: the default token counter."""
-    return F.regexp_count(c, F.lit(rf"[^{SPACE[1:]}+"))
+    return F.regexp_count(c, F.lit(WORD))
 
 
 def tokens(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataseek.functions.text import SPACE, area, bound, is_blank, lines, lstrip, rstrip, strip
+from strataseek.functions.text import area, bound, is_blank, lines, lstrip, rstrip, strip
 from strataseek.scratch import fence
 
 DIVISIONS = ("IDENTIFICATION", "ENVIRONMENT", "DATA", "PROCEDURE")
@@ -77,7 +77,7 @@ def fold(files: DataFrame) -> DataFrame:
     """Adds code (its lines joined) and comments to files with a column text and form (cobol, fixed or free).
 
     A continuation goes to the code line before, whose blank end is dropped; without one it is a line (Fortran) or lost (COBOL).
-    Pieces are joined to one text with marks before them, and the marks with the blanks in front of them are then replaced: what is linear in a file stays so.
+    Pieces are joined to one text with marks before them, and the marks are then replaced: what is linear in a file stays so.
     """
     names = files.columns
     form = F.col("form")
@@ -88,16 +88,21 @@ def fold(files: DataFrame) -> DataFrame:
         F.filter(F.transform("__p", lambda x: x["comment"]), lambda c: c != "").alias("comments"),
     )
 
+    def more(i: Column) -> Column:
+        goes_on = F.when(form == "free", F.get("__kept", i - 1)["goes_on"]).otherwise(F.get("__kept", i)["role"] == "more")
+        return F.coalesce(goes_on, F.lit(False)) & ((form == "cobol") | (i > 0))
+
     def marked(x: Column, i: Column) -> Column:
-        more = F.when(form == "free", F.get("__kept", i - 1)["goes_on"]).otherwise(x["role"] == "more")
-        return F.concat(F.when(F.coalesce(more, F.lit(False)) & ((form == "cobol") | (i > 0)), MORE).otherwise(LINE), x["piece"])
+        """A piece that another continues loses its blank end; a continuation that is blank then leaves nothing."""
+        inner = lambda piece, own: F.when(own & (piece == ""), "").otherwise(F.concat(F.when(own, MORE).otherwise(LINE), piece))
+        plain = F.concat(F.when(more(i), MORE).otherwise(LINE), x["piece"])
+        return F.when(more(i + 1), bound(rstrip(x["piece"]), lambda piece: inner(piece, more(i)))).otherwise(plain)
 
     joined = F.array_join(F.transform("__kept", marked), "")
-    # What stands before the first line are continuations of nothing. A run of blanks is looked at once, from its beginning.
+    # What stands before the first line are continuations of nothing.
     own = bound(joined, lambda t: F.when(t.startswith(MORE), F.regexp_replace(t, rf"\A[^{LINE}]+", "")).otherwise(t))
-    between = F.when(form == "free", F.lit(" ")).otherwise(F.lit(""))
-    folded = bound(own, lambda t: F.when(t.contains(MORE), F.regexp_replace(t, F.lit(rf"(?:(?<!{SPACE}){SPACE}++{MORE}|{MORE})+"), between)).otherwise(t))
-    return df.select(*names, F.translate(area(folded, 1), LINE, "\n").alias("code"), "comments")
+    code = F.replace(F.translate(area(own, 1), LINE, "\n"), F.lit(MORE), F.when(form == "free", F.lit(" ")).otherwise(F.lit("")))
+    return fence(df.select(*names, code.alias("code"), "comments"))
 
 
 def divisions_found(code: Column) -> Column:
@@ -138,6 +143,6 @@ def preprocess(files: DataFrame) -> DataFrame:
     Everything happens inside a file's row: nothing is shuffled.
     """
     own = files.where(F.col("language").isin("cobol", "fortran")).select("path", "codebase", "language", "text", source_form(F.col("language"), F.col("extension")).alias("form"))
-    out = fence(fold(own))
+    out = fold(own)
     found = F.when(F.col("language") == "cobol", divisions_found(F.col("code"))).otherwise(units_found(F.col("code")))
     return out.select("path", "codebase", "language", "code", "comments", F.nullif("form", F.lit("cobol")).alias("source_format"), F.array_join(found, ",").alias("found"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataseek.functions.text import is_blank, lines, strip, word_count
+from strataseek.functions.text import bound, is_blank, lines, strip, word_count
 from strataseek.scratch import fence
 
 # Fixed values.
@@ -19,14 +19,14 @@ CHUNK = "content string, line_start int, line_end int, chunk_type string, name s
 
 def division_header(line: Column) -> Column:
     """The division that a line opens, or null."""
-    bare = F.regexp_extract(F.upper(strip(line)), r"^(IDENTIFICATION|ENVIRONMENT|DATA|PROCEDURE) DIVISION\.$", 1)
-    return F.nullif(bare, F.lit(""))
+    named = bound(F.upper(line), lambda x: F.when(x.contains(" DIVISION."), F.regexp_extract(strip(x), r"^(IDENTIFICATION|ENVIRONMENT|DATA|PROCEDURE) DIVISION\.$", 1)))
+    return F.nullif(named, F.lit(""))
 
 
 def paragraph_name(line: Column) -> Column:
     """The paragraph that a line opens, or null."""
-    bare = F.upper(strip(F.regexp_replace(strip(line), r"\.$", "")))
-    return F.when(line.rlike(r"^\S") & strip(line).endswith(".") & bare.rlike(r"^[A-Z0-9-]+$"), bare)
+    named = lambda x: bound(F.upper(strip(F.left(x, F.length(x) - 1))), lambda bare: F.when(bare.rlike(r"\A[A-Z0-9-]+\z"), bare))
+    return bound(strip(line), lambda x: F.when(x.endswith(".") & line.rlike(r"\A\S"), named(x)))
 
 
 BLOCK = ("line_start", "line_end", "chunk_type", "name", "division")
@@ -40,7 +40,7 @@ def _block(line_start: Column, line_end: Column, chunk_type: Column | str, name:
 
 def cobol_blocks(files: DataFrame, lines_col: str = "lines", out: str = "blocks") -> DataFrame:
     """Adds blocks, an array by line, to files with lines (if they aren't null): paragraphs of the procedure division, or one block for the file."""
-    names = files.columns
+    names, files = files.columns, fence(files)
     heads = F.transform(lines_col, lambda x, i: F.struct((i + 1).alias("no"), paragraph_name(x).alias("name"), (division_header(x) == "PROCEDURE").alias("opens")))
     df = files.select(*names, F.filter(heads, lambda h: h["name"].isNotNull() | h["opens"]).alias("__marks"))
     df = df.select(*names, "__marks", F.get(F.filter("__marks", lambda h: h["opens"]), F.lit(0))["no"].alias("__procedure"))
@@ -49,7 +49,7 @@ def cobol_blocks(files: DataFrame, lines_col: str = "lines", out: str = "blocks"
     each = F.transform("__heads", lambda h, i: _block(h["no"], F.coalesce(F.get("__heads", i + 1)["no"] - 1, n), "paragraph", h["name"], "PROCEDURE"))
     none = procedure.isNull()
     one = _block(F.coalesce(procedure, F.lit(1)), n, "paragraph", F.when(none, "FILE-BLOCK").otherwise("PROCEDURE-BLOCK"), F.when(none, "UNKNOWN").otherwise("PROCEDURE"))
-    return df.select(*names, F.when(F.size("__heads") > 0, each).otherwise(F.array(one)).alias(out))
+    return fence(df.select(*names, F.when(F.size("__heads") > 0, each).otherwise(F.array(one)).alias(out)))
 
 
 def fortran_blocks(files: DataFrame, lines_col: str = "lines", out: str = "blocks") -> DataFrame:
@@ -57,10 +57,12 @@ def fortran_blocks(files: DataFrame, lines_col: str = "lines", out: str = "block
 
     A unit ends with the first END behind its header, or before the next header, or with the file.
     """
-    names = files.columns
+    names, files = files.columns, fence(files)
     kind = lambda x: F.nullif(F.regexp_replace(F.upper(F.regexp_extract(x, UNIT_HEADER, 1)), r"\s+", " "), F.lit(""))
-    marks = F.transform(lines_col, lambda x, i: F.struct((i + 1).alias("no"), kind(x).alias("kind"), F.upper(F.regexp_extract(x, UNIT_HEADER, 2)).alias("name"), x.rlike(UNIT_END).alias("ends")))
-    df = files.select(*names, F.filter(marks, lambda m: m["kind"].isNotNull() | m["ends"]).alias("__marks"), F.size(lines_col).alias("__n"))
+    mark = lambda x: F.struct(x["no"].alias("no"), kind(x["line"]).alias("kind"), F.upper(F.regexp_extract(x["line"], UNIT_HEADER, 2)).alias("name"), x["line"].rlike(UNIT_END).alias("ends"))
+    # One look at each line; what is not a mark, most lines, isn't parsed further.
+    some = F.filter(F.transform(lines_col, lambda x, i: F.struct((i + 1).alias("no"), x.alias("line"))), lambda x: x["line"].rlike(UNIT_HEADER) | x["line"].rlike(UNIT_END))
+    df = files.select(*names, F.transform(some, mark).alias("__marks"), F.size(lines_col).alias("__n"))
 
     def unit(m: Column, i: Column) -> Column:
         following = F.get("__marks", i + 1)
@@ -75,14 +77,14 @@ def fortran_blocks(files: DataFrame, lines_col: str = "lines", out: str = "block
         return _block(F.coalesce(F.when(i > 0, before["line_end"]), F.lit(0)) + 1, F.coalesce(after["line_start"] - 1, F.col("__n")), "file_block", "FILE-BLOCK", "UNKNOWN")
 
     gaps = F.filter(F.transform(F.sequence(F.lit(0), F.size("__units")), gap), lambda g: g["line_start"] <= g["line_end"])
-    return df.select(*names, F.array_sort(F.concat("__units", gaps)).alias(out))
+    return fence(df.select(*names, F.array_sort(F.concat("__units", gaps)).alias(out)))
 
 
 def block_chunks(processed: DataFrame, *keys: str) -> DataFrame:
     """keys, chunks (array, by line): one row for each file, and nothing is shuffled. Blank gaps are dropped. processed: keys (language among them), code."""
     cobol = F.col("language") == "cobol"
     files = processed.select(*keys, lines(F.col("code")).alias("lines"))
-    files = fence(files.select(*keys, "lines", F.when(cobol, F.col("lines")).alias("__cobol"), F.when(~cobol, F.col("lines")).alias("__fortran")))
+    files = files.select(*keys, "lines", F.when(cobol, F.col("lines")).alias("__cobol"), F.when(~cobol, F.col("lines")).alias("__fortran"))
     files = fortran_blocks(cobol_blocks(files, "__cobol", "__b1"), "__fortran", "__b2")
     files = fence(files.select(*keys, "lines", F.when(cobol, F.col("__b1")).otherwise(F.col("__b2")).alias("blocks")))
 
@@ -93,4 +95,4 @@ def block_chunks(processed: DataFrame, *keys: str) -> DataFrame:
     files = fence(files.select(*keys, F.transform("blocks", chunk).alias("chunks")))
     kept = F.filter("chunks", lambda c: (c["name"] != "FILE-BLOCK") | ~is_blank(c["content"]))
     counted = F.transform(kept, lambda c: F.struct(c["content"].alias("content"), *(c[n].alias(n) for n in BLOCK), word_count(c["content"]).cast("int").alias("token_count")))
-    return files.select(*keys, counted.alias("chunks"))
+    return fence(files.select(*keys, counted.alias("chunks")))

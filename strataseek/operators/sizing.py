@@ -69,7 +69,7 @@ def merge_small(df: DataFrame, mixed: Column | str, *, col: str = "chunks", leas
     group = lambda at, k: F.slice(F.col("__c"), at + 1, F.coalesce(F.get("__b", k + 1), F.size("__c")) - at)
     df = fence(df.select(*names, "__tail", F.when(F.size("__c") > 0, F.transform("__b", lambda at, k: _merged(group(at, k), mixed))).otherwise(F.col("__c")).alias("__m")))
     last = F.concat(F.slice("__m", F.lit(1), F.size("__m") - 2), F.array(_merged(F.slice("__m", -2, 2), mixed)))
-    return df.select(*names, F.when(F.col("__tail") & (F.size("__m") > 1), last).otherwise(F.col("__m")).alias(col))
+    return fence(df.select(*names, F.when(F.col("__tail") & (F.size("__m") > 1), last).otherwise(F.col("__m")).alias(col)))
 
 
 def split_text(content: str, first_line: int, last_line: int, name: str, most: int) -> list[tuple[str, int, int, str, int]]:

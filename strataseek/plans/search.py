@@ -43,6 +43,11 @@ class SearchRequest:
             object.__setattr__(self, name, value.strip() or None if value else None)
 
 
+def within(points: DataFrame, codebase: str | None) -> DataFrame:
+    """The points of a codebase, or all."""
+    return points.where(F.col("codebase") == codebase) if codebase else points
+
+
 @dataclass
 class Engine:
     spark: SparkSession
@@ -58,7 +63,7 @@ class Engine:
 
     def retrieve(self, request: SearchRequest) -> DataFrame:
         """The fused top_k with payload and score. The codebase filter stands before both cuts. Without an index the texts are searched."""
-        points = self.points.where(F.col("codebase") == request.codebase) if request.codebase else self.points
+        points = within(self.points, request.codebase)
         limit = 2 * request.top_k
         query = self.embedder.embed([request.query], "query")[0]
         weights = channel_weights(bool(self._one(is_identifier_query(F.lit(request.query)))))

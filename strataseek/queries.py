@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strataseek import config as C
 from strataseek import scratch
 from strataseek.functions import text as T
-from strataseek.operators import answers, dependencies, evaluation, points, preprocess, rerank, retrieval, sizing
+from strataseek.operators import answers, chunking, dependencies, evaluation, points, preprocess, rerank, retrieval, segment, sizing
 from strataseek.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,15 @@ VECTOR = [((i * 37) % 19 - 9) / 10 for i in range(64)]
 NS_SQL = C.POINT_NAMESPACE.replace("-", "")
 
 
+class LengthEmbedder:
+    """Two numbers that SQL can tell too, to see that vectors come back to their texts."""
+
+    dim = 2
+
+    def embed(self, texts: list[str], kind: str = "document") -> list[list[float]]:
+        return [[float(len(t) % 7), float(len(t))] for t in texts]
+
+
 def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
@@ -149,18 +158,19 @@ def hybrid_fuse_semantic(spark, d):
     return _fused(spark, d, C.SEMANTIC_WEIGHTS)
 
 
-@query("channel_dedupe_best", "SELECT conv_id AS id, max(length(text)) AS score FROM conversations GROUP BY conv_id")
+@query("channel_dedupe_best", "SELECT conv_id AS id, max(length(text)) AS score, arg_min(role, turn) AS role, min(turn) AS pos FROM (SELECT *, max(length(text)) OVER (PARTITION BY conv_id) AS best FROM conversations) WHERE length(text) = best GROUP BY conv_id")
 def channel_dedupe_best(spark, d):
-    return retrieval.best_of_each(table(spark, d, "conversations").select(F.col("conv_id").alias("id"), F.length("text").cast("long").alias("score")))
+    hits = table(spark, d, "conversations").where("text IS NOT NULL").select(F.col("conv_id").alias("id"), F.length("text").cast("long").alias("score"), "role", F.col("turn").alias("pos"))
+    return retrieval.best_of_each(hits, pos_col="pos")
 
 
 for _name, _equal in (("minmax_fusion_norm", C.EQUAL_FUSION), ("minmax_rerank_norm", C.EQUAL_RERANK)):
 
     def _f(spark, d, equal=_equal):
-        out = retrieval.minmax(retrieval.top(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score")), 100), equal)
-        return out.select("id", "score", F.round("norm", 6).alias("norm"))
+        scored = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score"))
+        return retrieval.minmax(scored, equal, large=True).select("id", "score", F.round("norm", 6).alias("norm"))
 
-    query(_name, f"SELECT id, score, round({_norm('score', _equal)}, 6) AS norm FROM (SELECT doc_id AS id, n_chars::DOUBLE AS score FROM documents ORDER BY n_chars DESC, doc_id LIMIT 100)")(_f)
+    query(_name, f"SELECT id, score, round({_norm('score', _equal)}, 6) AS norm FROM (SELECT doc_id AS id, n_chars::DOUBLE AS score FROM documents)")(_f)
 
 WORDS = f"list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')"
 BARE = "regexp_replace(w, '[^A-Za-z0-9_-]', '', 'g')"
@@ -170,10 +180,10 @@ BARE = "regexp_replace(w, '[^A-Za-z0-9_-]', '', 'g')"
     "identifier_query_class",
     f"""SELECT conv_id, turn, (regexp_matches(text, '\\b[A-Z0-9_-]{{4,}}\\b') OR len(list_filter(ws, lambda w: regexp_matches(w, '[-_]'))) > 0
  OR (len(list_filter(ws, lambda w: length({BARE}) >= 3 AND {BARE} = upper({BARE}) AND regexp_matches({BARE}, '[A-Za-z]'))) >= greatest(1, len(ws) // 2) AND len(ws) <= 6)) AS identifier
-FROM (SELECT *, {WORDS} AS ws FROM conversations WHERE text IS NOT NULL)""",
+FROM (SELECT *, {WORDS} AS ws FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM conversations))""",
 )
 def identifier_query_class(spark, d):
-    return table(spark, d, "conversations").where("text IS NOT NULL").select("conv_id", "turn", retrieval.is_identifier_query(F.col("text")).alias("identifier"))
+    return table(spark, d, "conversations").select("conv_id", "turn", retrieval.is_identifier_query(F.coalesce("text", F.lit(""))).alias("identifier"))
 
 
 @query("confidence_bucket", f"SELECT id, CASE WHEN norm >= 0.75 THEN 'HIGH' WHEN norm >= 0.45 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM (SELECT doc_id AS id, (n_chars % 101)::DOUBLE / 100 AS norm FROM documents)")
@@ -186,9 +196,9 @@ def confidence_bucket(spark, d):
 BOOST_QUERY = "trace procedure flow of src3 d5 erent in gnucobol cobol"
 BOOST_TOKENS = BOOST_QUERY.split()
 TOK = "list_distinct(list_transform(regexp_extract_all({0}, '[A-Za-z0-9][A-Za-z0-9_-]*'), lambda x: lower(x)))"
-CHUNK_SQL = f"""SELECT doc_id AS id, regexp_extract(text, '[A-Za-z]+') AS name, CASE doc_id % 3 WHEN 0 THEN 'PROCEDURE' WHEN 1 THEN 'DATA' ELSE '' END AS division,
- {PATH_SQL} AS file_path, regexp_extract_all(left(text, 60), '[A-Za-z]+') AS deps, CASE WHEN doc_id % 2 = 0 THEN 'gnucobol' ELSE 'blas' END AS codebase,
- CASE WHEN doc_id % 2 = 0 THEN 'cobol' ELSE 'fortran' END AS language, (n_chars % 97)::DOUBLE / 97 AS score, (doc_id % 50)::INT AS line_start, (doc_id % 50 + 5)::INT AS line_end FROM documents WHERE text IS NOT NULL"""
+CHUNK_SQL = f"""SELECT doc_id AS id, regexp_extract(coalesce(text, ''), '[A-Za-z]+') AS name, CASE doc_id % 3 WHEN 0 THEN 'PROCEDURE' WHEN 1 THEN 'DATA' ELSE '' END AS division,
+ {PATH_SQL} AS file_path, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS deps, CASE WHEN doc_id % 2 = 0 THEN 'gnucobol' ELSE 'blas' END AS codebase,
+ CASE WHEN doc_id % 2 = 0 THEN 'cobol' ELSE 'fortran' END AS language, (n_chars % 97)::DOUBLE / 97 AS score, (doc_id % 50)::INT AS line_start, (doc_id % 50 + 5)::INT AS line_end FROM documents"""
 BOOST_SQL = f"""least((CASE WHEN len({TOK.format('name')}) > 0 AND len(list_filter({TOK.format('name')}, lambda t: NOT list_contains({BOOST_TOKENS}, t))) = 0 THEN 0.2::DOUBLE ELSE 0 END)
  + (CASE WHEN division = 'PROCEDURE' THEN 0.1::DOUBLE ELSE 0 END)
  + (CASE WHEN list_has_any({TOK.format('file_path')}, {BOOST_TOKENS}) THEN 0.05::DOUBLE ELSE 0 END)
@@ -198,14 +208,14 @@ BOOST_SQL = f"""least((CASE WHEN len({TOK.format('name')}) > 0 AND len(list_filt
 
 
 def chunk_rows(spark, d) -> DataFrame:
-    docs = with_path(table(spark, d, "documents")).where("text IS NOT NULL")
+    docs = with_path(table(spark, d, "documents")).withColumn("text", F.coalesce("text", F.lit("")))
     even = F.col("doc_id") % 2 == 0
     return docs.select(
         F.col("doc_id").alias("id"),
         F.regexp_extract("text", "[A-Za-z]+", 0).alias("name"),
         F.when(F.col("doc_id") % 3 == 0, "PROCEDURE").when(F.col("doc_id") % 3 == 1, "DATA").otherwise("").alias("division"),
         F.col("path").alias("file_path"),
-        F.regexp_extract_all(F.substring("text", 1, 60), F.lit("[A-Za-z]+"), F.lit(0)).alias("dependencies"),
+        F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("dependencies"),
         F.when(even, "gnucobol").otherwise("blas").alias("codebase"),
         F.when(even, "cobol").otherwise("fortran").alias("language"),
         ((F.col("n_chars") % 97).cast("double") / 97).alias("score"),
@@ -257,13 +267,31 @@ def codebase_registry(spark, d):
 @query("codebase_counts", f"WITH {ROUTES} SELECT name, count(codebase) AS chunks FROM registry LEFT JOIN (SELECT CASE doc_id % 4 WHEN 0 THEN 'blas' WHEN 1 THEN 'lapack' WHEN 2 THEN 'gnucobol' END AS codebase FROM documents) ON codebase = name GROUP BY name")
 def codebase_counts(spark, d):
     k = F.col("doc_id") % 4
-    own = table(spark, d, "documents").select(F.when(k == 0, "blas").when(k == 1, "lapack").when(k == 2, "gnucobol").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    return C.codebases(spark).select("name").join(own, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("chunks"))
+    chunks = table(spark, d, "documents").select(F.when(k == 0, "blas").when(k == 1, "lapack").when(k == 2, "gnucobol").alias("codebase"))
+    return evaluation.codebase_counts(C.codebases(spark), chunks)
+
+
+@query("codebase_options", f"WITH {ROUTES} SELECT value, label, ord FROM (SELECT NULL AS value, 'All codebases' AS label, 0 AS ord UNION ALL SELECT name, coalesce(map_extract_value(MAP {C.LABELS}, name), name), ord::INT + 1 FROM registry)")
+def codebase_options(spark, d):
+    return C.codebase_options(spark)
+
+
+FEATURE_SQL = f"(SELECT doc_id, source, lang, {list(C.FEATURES)}[(doc_id % 8 + 1)::INT] AS feature FROM documents)"
+
+
+@query("example_queries", f"SELECT doc_id, CASE WHEN lang = 'de' AND feature IN ('{C.FEATURES[0]}', '{C.FEATURES[3]}') THEN 'de/' || feature ELSE 'any/' || feature END AS examples FROM {FEATURE_SQL}")
+def example_queries(spark, d):
+    features = spark.createDataFrame([(f, [f"any/{f}"]) for f in C.FEATURES], "feature string, queries array<string>")
+    own = spark.createDataFrame([("de", f, [f"de/{f}"] if f != C.FEATURES[1] else []) for f in (C.FEATURES[0], C.FEATURES[1], C.FEATURES[3])], "codebase string, feature string, queries array<string>")
+    chosen = table(spark, d, "documents").select("doc_id", F.col("lang").alias("codebase"), F.get(F.array(*map(F.lit, C.FEATURES)), (F.col("doc_id") % 8).cast("int")).alias("feature"))
+    return C.example_queries(chosen, own, features).select("doc_id", F.array_join("examples", ",").alias("examples"))
 
 
 @query("codebase_filter", "SELECT doc_id, n_chars FROM documents WHERE lang = 'de'")
 def codebase_filter(spark, d):
-    return table(spark, d, "documents").where(F.col("lang") == "de").select("doc_id", "n_chars")
+    from strataseek.plans.search import within
+
+    return within(table(spark, d, "documents").withColumnRenamed("lang", "codebase"), "de").select("doc_id", "n_chars")
 
 
 # ---------------------------------------------------------------- lines, blocks, sizes
@@ -282,35 +310,69 @@ def line_stats(spark, d):
     return own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("chars"), F.max(F.length("line")).cast("long").alias("longest"))
 
 
-HEADS = f"(SELECT doc_id, line_no, last, regexp_matches(line, '^[A-ZÀ-Þ][^ ]*[.]$') AS head FROM {LINES_SQL})"
+#: As a character class of RE2, and the characters one by one.
+BLANK = "[\\s\\x1c-\\x1f\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+CHARS = " || ".join(f"chr({ord(c)})" for c in T.SPACES)
+RTRIM, LTRIM = (lambda x: f"rtrim({x}, {CHARS})"), (lambda x: f"ltrim({x}, {CHARS})")
+PARAGRAPHS = f"""(SELECT doc_id, 0 AS pos, 'PROCEDURE DIVISION.' AS line FROM documents
+UNION ALL SELECT doc_id, line_no, CASE WHEN line_no % 7 = 4 THEN 'P-' || line_no || '.' ELSE line END FROM {LINES_SQL})"""
 
 
-@query("block_boundaries", f"SELECT doc_id, line_no::INT AS line_start, coalesce(lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) - 1, last)::INT AS line_end FROM {HEADS} WHERE head")
+@query(
+    "block_boundaries",
+    f"""WITH l AS (SELECT doc_id, (pos + 1)::INT AS no, line, (max(pos) OVER (PARTITION BY doc_id) + 1)::INT AS last,
+ regexp_matches(line, '^[^\\s]') AND regexp_full_match(upper(replace({RTRIM('line')}, 'ß', 'SS')), '[A-Z0-9-]+{BLANK}*[.]') AND pos > 0 AS head FROM {PARAGRAPHS}),
+h AS (SELECT doc_id, no AS line_start, coalesce(lead(no) OVER (PARTITION BY doc_id ORDER BY no) - 1, last)::INT AS line_end, upper(replace({RTRIM("left(rtrim(line), -1)")}, 'ß', 'SS')) AS name FROM (SELECT * FROM l WHERE head))
+SELECT * FROM h UNION ALL SELECT doc_id, 1, max(last), 'PROCEDURE-BLOCK' FROM l GROUP BY doc_id HAVING NOT bool_or(head)""",
+)
 def block_boundaries(spark, d):
-    return _blocks(spark, d)
+    own = F.transform(T.lines(F.coalesce("text", F.lit(""))), lambda x, i: F.when(i % 7 == 3, F.concat(F.lit("P-"), (i + 1).cast("string"), F.lit("."))).otherwise(x))
+    files = table(spark, d, "documents").select("doc_id", F.concat(F.array(F.lit("PROCEDURE DIVISION.")), own).alias("lines"))
+    return segment.cobol_blocks(files).select("doc_id", F.inline("blocks")).select("doc_id", "line_start", "line_end", "name")
 
 
-def _blocks(spark, d):
-    own = preprocess.number_lines(table(spark, d, "documents"), "doc_id")
-    w = Window.partitionBy("doc_id")
-    heads = own.select("doc_id", "line_no", F.max("line_no").over(w).alias("last"), F.col("line").rlike(r"^[A-ZÀ-Þ][^ ]*[.]$").alias("head")).where("head")
-    return heads.select("doc_id", F.col("line_no").alias("line_start"), F.coalesce(F.lead("line_no").over(w.orderBy("line_no")) - 1, F.col("last")).alias("line_end"))
+UNITS = f"(SELECT doc_id, line_no::INT AS no, last::INT AS last, CASE line_no % 9 WHEN 3 THEN 'subroutine s' || line_no WHEN 7 THEN 'END' ELSE line END AS line FROM {LINES_SQL})"
 
 
-@query("gap_blocks", f"SELECT doc_id, 1 AS line_start, (min(line_no) - 1)::INT AS line_end FROM {HEADS} WHERE head GROUP BY doc_id HAVING min(line_no) > 1")
+@query(
+    "gap_blocks",
+    f"""WITH m AS (SELECT *, regexp_matches(line, '{segment.UNIT_HEADER}') AS head, regexp_matches(line, '{segment.UNIT_END}') AS ends FROM {UNITS}),
+u AS (SELECT *, lead(no) OVER w AS next_no, lead(head) OVER w AS next_head FROM (SELECT * FROM m WHERE head OR ends) WINDOW w AS (PARTITION BY doc_id ORDER BY no)),
+b AS (SELECT doc_id, no AS line_start, coalesce(CASE WHEN next_head THEN next_no - 1 ELSE next_no END, last) AS line_end, last,
+ upper(regexp_extract(line, '{segment.UNIT_HEADER}', 2)) AS name FROM u WHERE head),
+g AS (SELECT doc_id, coalesce(lag(line_end) OVER w, 0) + 1 AS line_start, line_start - 1 AS line_end, 'FILE-BLOCK' AS name FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY line_start)
+ UNION ALL SELECT doc_id, max(line_end) + 1, max(last), 'FILE-BLOCK' FROM b GROUP BY doc_id
+ UNION ALL SELECT doc_id, 1, max(last), 'FILE-BLOCK' FROM m GROUP BY doc_id HAVING NOT bool_or(head))
+SELECT doc_id, line_start, line_end, name FROM b UNION ALL SELECT * FROM g WHERE line_start <= line_end""",
+)
 def gap_blocks(spark, d):
-    return _blocks(spark, d).groupBy("doc_id").agg(F.min("line_start").alias("m")).where("m > 1").select("doc_id", F.lit(1).alias("line_start"), (F.col("m") - 1).alias("line_end"))
+    unit = lambda x, i: F.when((i + 1) % 9 == 3, F.concat(F.lit("subroutine s"), (i + 1).cast("string"))).when((i + 1) % 9 == 7, "END").otherwise(x)
+    files = table(spark, d, "documents").select("doc_id", F.transform(T.lines(F.coalesce("text", F.lit(""))), unit).alias("lines"))
+    return segment.fortran_blocks(files).select("doc_id", F.inline("blocks")).select("doc_id", "line_start", "line_end", "name")
 
 
-@query(
-    "continuation_fold",
-    f"SELECT doc_id, g::INT AS code_line, string_agg(line, ' ' ORDER BY line_no) AS text_joined FROM (SELECT *, sum(CASE WHEN regexp_matches(line, '^[a-zà-ÿ]') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS g FROM {LINES_SQL}) WHERE g > 0 GROUP BY doc_id, g",
-)
+def _folded_sql(rows: str, joint: str) -> str:
+    """(key, code_line by g) of rows (key, pos, piece, more): a later piece goes to the line before, whose blank end is dropped."""
+    return f"""(SELECT key, g, CASE WHEN count(*) = 1 THEN max(piece) ELSE {RTRIM("arg_min(piece, pos)")} ||
+ coalesce(string_agg('{joint}' || {RTRIM('piece')}, '' ORDER BY pos) FILTER (WHERE pos > lo AND pos < hi AND {RTRIM('piece')} <> ''), '') || '{joint}' || arg_max(piece, pos) END AS code_line
+FROM (SELECT *, min(pos) OVER (PARTITION BY key, g) AS lo, max(pos) OVER (PARTITION BY key, g) AS hi FROM (SELECT *, sum(CASE WHEN more THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY pos) AS g FROM {rows})) GROUP BY key, g)"""
+
+
+def _free_sql(lines: str) -> str:
+    """(key, pos, piece, more) of the lines (key, pos, line) of free-form files."""
+    return f"""(SELECT key, pos, CASE WHEN body LIKE '&%' THEN {LTRIM('substr(body, 2)')} ELSE body END AS piece, coalesce(lag(code LIKE '%&') OVER (PARTITION BY key ORDER BY pos), false) AS more
+FROM (SELECT *, CASE WHEN code LIKE '%&' THEN {RTRIM('left(code, -1)')} ELSE code END AS body
+FROM (SELECT *, {RTRIM("split_part(line, '!', 1)")} AS code FROM {lines}) WHERE NOT (contains(line, '!') AND code = '')))"""
+
+
+FREE = f"(SELECT doc_id AS key, line_no AS pos, CASE WHEN line_no % 3 = 1 THEN line || ' &' ELSE line END AS line FROM {LINES_SQL})"
+
+
+@query("continuation_fold", f"SELECT key AS doc_id, md5(string_agg(code_line, chr(10) ORDER BY g)) AS code_md5 FROM {_folded_sql(_free_sql(FREE), ' ')} GROUP BY key")
 def continuation_fold(spark, d):
-    own = preprocess.number_lines(table(spark, d, "documents"), "doc_id")
-    g = F.count(F.when(~F.col("line").rlike("^[a-zà-ÿ]"), 1)).over(Window.partitionBy("doc_id").orderBy("line_no"))
-    rows = own.withColumn("g", g).where("g > 0").groupBy("doc_id", "g").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("p"))
-    return rows.select("doc_id", F.col("g").cast("int").alias("code_line"), F.array_join(F.transform("p", lambda x: x["line"]), " ").alias("text_joined"))
+    own = F.transform(T.lines(F.coalesce("text", F.lit(""))), lambda x, i: F.when(i % 3 == 0, F.concat(x, F.lit(" &"))).otherwise(x))
+    files = table(spark, d, "documents").select("doc_id", F.array_join(own, "\n").alias("text"), F.lit("free").alias("form")).where("text <> ''")
+    return preprocess.fold(files).where("code <> ''").select("doc_id", F.md5(F.col("code").cast("binary")).alias("code_md5"))
 
 
 def line_chunks(spark, d) -> DataFrame:
@@ -340,9 +402,21 @@ def merge_small_chunks(spark, d):
     return merged.select("doc_id", "c.line_start", "c.line_end", "c.token_count")
 
 
-@query("split_oversized")
+SPLIT_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^{BLANK[1:]}+')) AS total FROM documents),
+l AS (SELECT doc_id, line_no, last, len(regexp_extract_all(line, '[^{BLANK[1:]}+')) AS n FROM {LINES_SQL} WHERE doc_id IN (SELECT doc_id FROM d WHERE total > 768)),
+m AS (SELECT doc_id, line_no, n, last, n <= 768 AS held, CASE WHEN n <= 768 THEN n ELSE 0 END AS size, 0 AS g FROM l WHERE line_no = 1
+ UNION ALL SELECT l.doc_id, l.line_no, l.n, l.last, m.held OR l.n <= 768, CASE WHEN m.held AND m.size + l.n > 768 THEN l.n WHEN NOT m.held AND l.n > 768 THEN 0 ELSE m.size + l.n END,
+  CASE WHEN m.held AND m.size + l.n <= 768 THEN m.g ELSE m.g + 1 END
+ FROM m JOIN l ON l.doc_id = m.doc_id AND l.line_no = m.line_no + 1),
+p AS (SELECT doc_id, g, 0 AS k, min(line_no)::INT AS line_start, max(line_no)::INT AS line_end, sum(n)::INT AS token_count FROM m WHERE held GROUP BY doc_id, g
+ UNION ALL SELECT doc_id, g, k, line_no::INT, line_no::INT, least(768, n - 768 * k)::INT FROM (SELECT *, unnest(range(0, ceil(n / 768)::BIGINT)) AS k FROM m WHERE NOT held))
+SELECT doc_id, 'DOC' || CASE WHEN count(*) OVER (PARTITION BY doc_id) > 1 THEN '#' || row_number() OVER (PARTITION BY doc_id ORDER BY g, k) ELSE '' END AS name, line_start, line_end, token_count FROM p
+UNION ALL SELECT d.doc_id, 'DOC', 1, coalesce(x.last, 0)::INT, total::INT FROM d LEFT JOIN (SELECT doc_id, max(last) AS last FROM {LINES_SQL} GROUP BY 1) x ON x.doc_id = d.doc_id WHERE total <= 768"""
+
+
+@query("split_oversized", SPLIT_SQL)
 def split_oversized(spark, d):
-    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    docs = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     whole = docs.select("doc_id", F.col("text").alias("content"), F.lit(1).alias("line_start"), F.size(T.lines(F.col("text"))).alias("line_end"), F.lit("DOC").alias("name"), T.word_count(F.col("text")).cast("int").alias("token_count"))
     return sizing.split_oversized(whole).select("doc_id", "name", "line_start", "line_end", "token_count")
 
@@ -357,16 +431,22 @@ def token_count(spark, d):
 
 @query("avg_chunk_tokens", f"SELECT source, round(avg({WORDCOUNT}), 6) AS mean_tokens, count(*) AS chunks, ceil(count(*) / 128.0::DOUBLE)::BIGINT AS calls, floor(10000 / avg({WORDCOUNT}))::BIGINT AS batch_size FROM documents GROUP BY source")
 def avg_chunk_tokens(spark, d):
-    n = T.word_count(F.coalesce("text", F.lit("")))
-    return table(spark, d, "documents").groupBy("source").agg(
-        F.round(F.avg(n), 6).alias("mean_tokens"), F.count(F.lit(1)).alias("chunks"), F.ceil(F.count(F.lit(1)) / C.EMBEDDING_BATCH).alias("calls"), F.floor(F.lit(10000) / F.avg(n)).alias("batch_size")
-    )
+    chunks = table(spark, d, "documents").select("source", T.word_count(F.coalesce("text", F.lit(""))).alias("token_count"))
+    return evaluation.chunk_sizes(chunks, "source").withColumn("mean_tokens", F.round("mean_tokens", 6))
+
 
+@query("chunk_sample_sizes", f"SELECT round(avg({WORDCOUNT}), 6) AS mean_tokens, count(*) AS chunks, ceil(count(*) / 128.0::DOUBLE)::BIGINT AS calls, floor(10000 / avg({WORDCOUNT}))::BIGINT AS batch_size FROM (SELECT text FROM documents ORDER BY string_split({PATH_SQL}, '/') LIMIT 200)")
+def chunk_sample_sizes(spark, d):
+    files_ = evaluation.first_files(with_path(table(spark, d, "documents")).select("path", "text"))
+    return evaluation.chunk_sizes(files_.select(T.word_count(F.coalesce("text", F.lit(""))).alias("token_count"))).withColumn("mean_tokens", F.round("mean_tokens", 6))
 
-@query("embedding_batches", "SELECT source, b AS batch, count(*) AS texts FROM (SELECT source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 128 AS b FROM documents) GROUP BY ALL")
+
+@query("embedding_batches", "SELECT doc_id, (length(coalesce(text, '')) % 7)::DOUBLE AS v0, length(coalesce(text, ''))::DOUBLE AS v1 FROM documents")
 def embedding_batches(spark, d):
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, d, "documents").select("source", F.floor((n - 1) / C.EMBEDDING_BATCH).alias("batch")).groupBy("source", "batch").agg(F.count(F.lit(1)).alias("texts"))
+    from strataseek.plans.ingest import embed
+
+    chunks = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    return embed(chunks, LengthEmbedder()).select("doc_id", F.get("embedding", F.lit(0)).cast("double").alias("v0"), F.get("embedding", F.lit(1)).cast("double").alias("v1"))
 
 
 # ---------------------------------------------------------------- points
@@ -396,16 +476,43 @@ def upsert_last_wins(spark, d):
     return points.last_of_each(table(spark, d, "conversations").select(F.col("conv_id").alias("id"), "turn", "role"), F.col("turn"))
 
 
-@query("payload_projection", f"SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang END, ''), source) AS paragraph_name, {PATH_SQL} AS file_path FROM documents")
+def _chunk_frame(spark, d) -> DataFrame:
+    n = F.col("n_chars")
+    given = F.create_map(
+        F.lit("paragraph_name"), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("lang")), F.lit("line_end"), F.when(F.col("doc_id") % 3 == 0, "none").otherwise((n % 500).cast("string"))
+    )
+    return with_path(table(spark, d, "documents")).select(
+        "doc_id", "path", F.col("source").alias("codebase"), F.col("lang").alias("language"), F.col("text").alias("content"), (n % 900).cast("int").alias("line_start"), (n % 700).cast("int").alias("line_end"),
+        F.lit("text").alias("chunk_type"), F.concat(F.lit("N"), (F.col("doc_id") % 11).cast("string")).alias("name"), F.lit("DATA").alias("division"), F.array("lang").alias("dependencies"),
+        F.array(F.lit(1.0)).alias("embedding"), given.alias("metadata"),
+    )
+
+
+@query(
+    "payload_projection",
+    f"""SELECT u.id, u.cid AS chunk_id, coalesce(nullif(CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang END, ''), 'N' || doc_id % 11) AS paragraph_name, {PATH_SQL} AS file_path, (n_chars % 900)::INT AS line_start,
+ greatest(CASE WHEN doc_id % 3 = 0 THEN n_chars % 700 ELSE n_chars % 500 END, n_chars % 900)::INT AS line_end, 'DATA' AS division, lang AS language, source AS codebase FROM documents JOIN {UUID_SQL} u USING (doc_id)""",
+)
 def payload_projection(spark, d):
-    meta = F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("lang"))
-    return with_path(table(spark, d, "documents")).select("doc_id", F.coalesce(F.nullif(meta, F.lit("")), "source").alias("paragraph_name"), F.col("path").alias("file_path"))
+    return points.to_points(_chunk_frame(spark, d)).select("id", "chunk_id", "paragraph_name", "file_path", "line_start", "line_end", "division", "language", "codebase")
 
 
-@query("metadata_string_map", "SELECT vec_id, k AS key, CASE k WHEN 'label' THEN label::VARCHAR ELSE vec_id::VARCHAR END AS value FROM embeddings, (VALUES ('label'), ('vec_id')) t(k)")
+@query(
+    "metadata_string_map",
+    f"""SELECT doc_id, unnest(['paragraph_name', 'division', 'file_path', 'line_start', 'line_end', 'chunk_type', 'language', 'codebase']) AS key,
+ unnest(['N' || doc_id % 11, 'DATA', {PATH_SQL}, (n_chars % 900)::VARCHAR, (n_chars % 700)::VARCHAR, 'text', lang, source]) AS value FROM documents""",
+)
 def metadata_string_map(spark, d):
-    own = table(spark, d, "embeddings").select("vec_id", F.create_map(F.lit("label"), F.col("label").cast("string"), F.lit("vec_id"), F.col("vec_id").cast("string")).alias("m"))
-    return own.select("vec_id", F.explode("m").alias("key", "value"))
+    return _chunk_frame(spark, d).select("doc_id", F.explode(chunking.metadata()).alias("key", "value"))
+
+
+@query("collection_upserts", f"SELECT id, (CASE WHEN doc_id % 3 = 0 THEN 'second' ELSE 'first' END) AS content FROM {UUID_SQL}")
+def collection_upserts(spark, d):
+    path = scratch.new_path(spark, "collection")
+    own = points.to_points(_chunk_frame(spark, d))
+    points.upsert(spark, path, own.withColumn("content", F.lit("first")))
+    points.upsert(spark, path, points.to_points(_chunk_frame(spark, d).where("doc_id % 3 = 0")).withColumn("content", F.lit("second")))
+    return points.read_points(spark, path).select("id", "content")
 
 
 # ---------------------------------------------------------------- answers
@@ -484,16 +591,34 @@ def precision_rollup(spark, d):
     return evaluation.hit_rates(_judged(spark, d)).withColumn("rate", F.round("rate", 6))
 
 
-@query("ingest_stats", f"WITH {ROUTES} SELECT count(*) AS files_found, count(*) FILTER (WHERE regexp_matches(coalesce(text, ''), '\\S')) AS files_processed, count(*) FILTER (WHERE NOT regexp_matches(coalesce(text, ''), '\\S')) AS skipped_empty FROM (SELECT text, lower(regexp_extract({PATH_SQL}, '[^/](\\.[^./]+)$', 1)) AS extension FROM documents) JOIN routes USING (extension)")
+@query("ingest_stats", f"WITH {ROUTES} SELECT count(*) AS files_found, count(*) FILTER (WHERE regexp_matches(coalesce(text, ''), '\\S')) AS files_processed, count(*) FILTER (WHERE NOT regexp_matches(coalesce(text, ''), '\\S')) AS skipped_empty, 0::BIGINT AS errors FROM (SELECT text, lower(regexp_extract({PATH_SQL}, '[^/](\\.[^./]+)$', 1)) AS extension FROM documents) JOIN routes USING (extension)")
 def ingest_stats(spark, d):
-    own = files.with_route(with_path(table(spark, d, "documents"))).where("language IS NOT NULL")
-    blank = T.is_blank(F.coalesce("text", F.lit("")))
-    return own.agg(F.count(F.lit(1)).alias("files_found"), F.count_if(~blank).alias("files_processed"), F.count_if(blank).alias("skipped_empty"))
+    from strataseek.plans.ingest import file_counts
 
+    own = files.with_route(with_path(table(spark, d, "documents"))).where("language IS NOT NULL").select(F.coalesce("text", F.lit("")).alias("code"))
+    counters = file_counts(own.count(), own)
+    return spark.createDataFrame([tuple(counters.values())], ", ".join(f"{k} long" for k in counters))
 
-@query("distinct_codebases", "SELECT lang, array_to_string(list_sort(list(DISTINCT source)), ',') AS codebases, count(DISTINCT source) > 1 AS several FROM documents GROUP BY lang")
+
+@query("distinct_codebases", "SELECT lang, array_to_string(list_sort(list(DISTINCT source)), ',') AS codebases, count(DISTINCT source) > 1 AS several, bool_and(source = 'src1') AS all_match FROM documents GROUP BY lang")
 def distinct_codebases(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("codebases"), (F.count_distinct("source") > 1).alias("several"))
+    results = table(spark, d, "documents").select("lang", F.col("source").alias("codebase"), F.lit("src1").alias("wanted"))
+    return evaluation.codebases_found(results, "lang", wanted="wanted").withColumn("codebases", F.array_join("codebases", ","))
+
+
+@query("smoke_verdict", "SELECT count(*) FILTER (WHERE passed) AS passed_count, count(*) AS total, count(*) FILTER (WHERE passed) >= 8 AS ok FROM (SELECT turn % 5 <> 0 AND coalesce(text, '') <> '' AS passed FROM conversations)")
+def smoke_verdict(spark, d):
+    said = table(spark, d, "conversations").select(F.when(F.col("turn") % 5 == 0, 500).otherwise(200).alias("status"), F.col("text").alias("answer"))
+    return evaluation.smoke_verdict(evaluation.smoke_results(said))
+
+
+@query("message_content", f"SELECT conv_id, turn, coalesce(trim(text, {CHARS}), '') AS said, CASE turn % 3 WHEN 0 THEN coalesce(text, '') WHEN 1 THEN coalesce(text, '') || role ELSE '' END AS delta FROM conversations")
+def message_content(spark, d):
+    text = F.coalesce("text", F.lit(""))
+    plain = F.to_json(F.struct(F.array(F.struct(F.struct(text.alias("content")).alias("message"), F.struct(text.alias("content")).alias("delta"))).alias("choices")))
+    parts = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(text.alias("text")), F.struct(F.col("role").alias("text"))).alias("content")).alias("delta"))).alias("choices")))
+    event = F.when(F.col("turn") % 3 == 0, plain).when(F.col("turn") % 3 == 1, parts).otherwise("{}")
+    return table(spark, d, "conversations").select("conv_id", "turn", answers.message_content(plain).alias("said"), answers.stream_delta(event).alias("delta"))
 
 
 # ---------------------------------------------------------------- code fixtures: documents dressed as source files
