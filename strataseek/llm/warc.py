@@ -4,9 +4,10 @@ Reading. The driver lists the files and cuts them into partitions of about
 ``partition_bytes`` on file bounds; a big file is cut at byte offsets, and each part
 starts at the first record at or after its offset, found by the record's length chain
 in a small index file that the writer leaves beside each archive. Filters on
-warc_type and on header columns are pushed down: a record's header is parsed first,
+warc_type and on header columns are pushed down: a record's header is parsed first (names in any case),
 and unless it passes, its block is skipped by seeking. Payloads are decoded only if
-the column ``payload`` is wanted (option ``payload``, true if not set).
+the column ``payload`` is wanted (option ``payload``, true if not set). A ``.warc.gz`` archive is one
+part. warcinfo records are only read by a filter that asks for them. Archives of others have no page_id.
 
 Writing. Each task writes archives of at most about ``archive_bytes``: a warcinfo record, then
 one record per row, payload as an HTTP response body, gzipped under Content-Encoding. Files
@@ -84,7 +85,7 @@ def make_record(headers: dict[str, object], block: bytes) -> bytes:
 
 
 def read_head(f) -> dict[str, str] | None:
-    """Header fields of the record that begins here; None at the end."""
+    """Header fields of the record that begins here, by their names in lower case; None at the end."""
     line = f.readline()
     while line in (b"\r\n", b"\n"):
         line = f.readline()
@@ -95,14 +96,27 @@ def read_head(f) -> dict[str, str] | None:
     fields: dict[str, str] = {}
     while (line := f.readline()).strip():
         name, _, value = line.decode("utf-8", "replace").partition(":")
-        fields[name.strip()] = value.strip()
+        fields[name.strip().lower()] = value.strip()
     return fields
 
 
+def unchunked(body: bytes) -> bytes:
+    """The body of a chunked transfer."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0 and (size := int(body[at:end].split(b";")[0] or b"0", 16)):
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(out)
+
+
 def http_payload(block: bytes) -> bytes:
-    """The decoded body of an HTTP response."""
+    """The decoded body of an HTTP response; the block as it is if it isn't one."""
+    if not block.startswith(b"HTTP/"):
+        return block
     head, _, body = block.partition(b"\r\n\r\n")
-    return gzip.decompress(body) if re.search(rb"(?im)^content-encoding:\s*gzip\s*$", head) else body
+    if re.search(rb"(?im)^transfer-encoding:[^\r\n]*chunked", head):
+        body = unchunked(body)
+    return gzip.decompress(body) if re.search(rb"(?im)^content-encoding:\s*(?:x-)?gzip\s*$", head) else body
 
 
 # ---------------------------------------------------------------- filters
@@ -117,7 +131,7 @@ class Test:
     value: object
 
     def passes(self, fields: dict[str, str]) -> bool:
-        found: object = fields.get(FIELDS[self.column])
+        found: object = fields.get(FIELDS[self.column].lower())
         if found is None:
             return False
         if self.column in NUMBERS:
@@ -185,9 +199,9 @@ class WarcReader(DataSourceReader):
         found = system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
         sizes = {i.path: i.size for i in found if i.is_file}
         parts = []
-        for path in sorted(p for p in sizes if p.endswith(".warc")):
+        for path in sorted(p for p in sizes if p.endswith((".warc", ".warc.gz"))):
             bounds = [0, sizes[path]]
-            if sizes[path] > self.partition_bytes and f"{path}.idx" in sizes:
+            if path.endswith(".warc") and sizes[path] > self.partition_bytes and f"{path}.idx" in sizes:
                 with system.open_input_stream(f"{path}.idx") as f:
                     marks = json.loads(f.read())
                 bounds = [0]
@@ -202,28 +216,30 @@ class WarcReader(DataSourceReader):
         if not partition.path:
             return
         system, _ = filesystem(self.path)
+        infos = any(t.column == "warc_type" and t.kind == "in" and "warcinfo" in t.value for t in self.tests)
+        packed = partition.path.endswith(".gz")
         with system.open_input_file(partition.path) as raw:
-            f = io.BufferedReader(raw, 1 << 16)
+            f = io.BufferedReader(gzip.GzipFile(fileobj=raw) if packed else raw, 1 << 16)  # type: ignore[arg-type]
             f.seek(partition.start)
-            while f.tell() < partition.end and (fields := read_head(f)) is not None:
-                length = int(fields["Content-Length"])
-                if fields.get("WARC-Type") == "warcinfo" or not all(t.passes(fields) for t in self.tests):
+            while (packed or f.tell() < partition.end) and (fields := read_head(f)) is not None:
+                kind, length = fields.get("warc-type", ""), int(fields["content-length"])
+                if kind == "warcinfo" and not infos or not all(t.passes(fields) for t in self.tests):
                     f.seek(length, io.SEEK_CUR)
                     continue
                 payload = None
-                if self.payload and fields["WARC-Type"] == "response":
+                if self.payload and kind == "response":
                     payload = http_payload(f.read(length))
                 else:
                     f.seek(length, io.SEEK_CUR)
-                number = lambda name: int(fields[name]) if name in fields else None  # noqa: B023, E731
+                number = lambda name: int(fields[name.lower()]) if name.lower() in fields else None  # noqa: B023, E731
                 yield (
-                    fields["WARC-Type"],
-                    fields.get("WARC-Record-ID"),
-                    fields.get("WARC-Target-URI"),
-                    fields.get("WARC-Date"),
+                    kind,
+                    fields.get("warc-record-id"),
+                    fields.get("warc-target-uri"),
+                    fields.get("warc-date"),
                     number("X-Page-ID"),
                     number("X-Payload-Length"),
-                    fields.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None,
+                    fields.get("warc-payload-digest", "").removeprefix("sha1:") or None,
                     number("X-Refers-To-Page-ID"),
                     payload,
                 )
@@ -378,5 +394,6 @@ def archive_pages(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
 
 
 def read_archives(spark, path: str, *, payload: bool = True) -> DataFrame:
+    """The records under ``path``, columns as in SCHEMA."""
     register(spark)
     return spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).load()

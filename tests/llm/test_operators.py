@@ -438,6 +438,39 @@ def test_warc_skips_what_filters_reject(tmp_path, monkeypatch):
     assert [(r[4], r[8]) for p in parts for r in reader.read(p)] == [(7, b"payload")] and len(decoded) == 1
 
 
+def test_warc_of_others(tmp_path):
+    from pyspark.sql.datasource import EqualTo
+
+    from strataseek.llm import warc
+
+    def record(kind, block):
+        return f"WARC/1.0\r\nwarc-TYPE: {kind}\r\nWARC-RECORD-ID: <urn:{kind}>\r\ncontent-length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4\r\nWiki\r\n6;x=y\r\npedia \r\n0\r\n\r\n"
+    records = [record("warcinfo", b"software: x"), record("response", chunked), record("request", b"GET / HTTP/1.1\r\n\r\n"), record("response", b"HTTP/1.1 200 OK\r\n\r\nplain")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))  # a member for each record
+    reader = warc.WarcReader({"path": str(tmp_path)})
+    found = [r for p in reader.partitions() for r in reader.read(p)]
+    assert [(r[0], r[1], r[4], r[8]) for r in found] == [("response", "<urn:response>", None, b"Wikipedia "), ("request", "<urn:request>", None, None), ("response", "<urn:response>", None, b"plain")]
+    assert not list(reader.pushFilters([EqualTo(("warc_type",), "warcinfo")]))
+    assert [r[0] for p in reader.partitions() for r in reader.read(p)] == ["warcinfo"]
+
+
+def test_warc_archives_that_roll_over(spark, tmp_path):
+    from strataseek.llm import warc
+
+    rnd = random.Random(4)
+    long = "".join(chr(rnd.randrange(33, 1000)) for _ in range(200_000))  # hardly compressible
+    rows = [("response", i, f"http://x/{i}", None, None, bytearray((long[i:] + str(i)).encode())) for i in range(12)]
+    df = spark.createDataFrame(rows, "record_type string, page_id long, url string, date string, refers_to long, payload binary").coalesce(1)
+    warc.register(spark)
+    df.write.format("warc").mode("append").option("path", f"file://{tmp_path}").option("archive_bytes", "700000").option("mark_bytes", "100000").save()
+    assert len(list(tmp_path.glob("*.warc"))) > 2
+    got = spark.read.format("warc").option("path", f"file://{tmp_path}").option("partition_bytes", "200000").load()
+    assert got.rdd.getNumPartitions() > len(list(tmp_path.glob("*.warc")))
+    assert {r.page_id: bytes(r.payload) for r in got.collect()} == {r[1]: bytes(r[5]) for r in rows}
+
+
 # ---------------------------------------------------------------- 8
 
 
