@@ -37,8 +37,9 @@ def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataseek.llm.token_counts import count_tokens
 
-    counts = count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
-    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), "n_chars")
+    limit = 4096
+    counts = count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), limit=limit)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "n_chars", "limit_chars")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

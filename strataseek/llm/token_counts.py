@@ -38,7 +38,7 @@ CACHE_WORDS = 200_000
 #: Texts of one round, in characters, so that memory is bounded whatever the batch.
 ROUND_CHARS = 4_000_000
 
-_COUNTS = "doc_id long, n_bytes long, n_chars long, n_tokens long, prefix_deltas binary"
+_COUNTS = "doc_id long, n_bytes long, n_chars long, n_tokens long, limit_chars long, prefix_deltas binary"
 
 
 class PrefixCounter:
@@ -172,8 +172,11 @@ def chars_within(deltas: bytes, budget: int) -> int:
     return int(np.flatnonzero(prefix_counts(deltas) <= budget)[-1])
 
 
-def count_tokens(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_chars, n_tokens, prefix_deltas: one row for each row of ``docs``. No shuffle."""
+def count_tokens(docs: DataFrame, model_file: str, *, limit: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_chars, n_tokens, limit_chars, prefix_deltas: one row for each row of ``docs``. No shuffle.
+
+    limit_chars: where to truncate a text so that it has ``limit`` tokens at most, told from its prefix counts; all of it without a limit.
+    """
 
     def rounds(texts: list[str]) -> Iterator[list[str]]:
         own: list[str] = []
@@ -193,15 +196,17 @@ def count_tokens(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", te
             at = 0
             for texts in rounds([t or "" for t in batch.column(1).to_pylist()]):
                 deltas = count.deltas(texts)
+                totals = [tokens_at(d, len(d)) for d in deltas]
                 yield pa.record_batch(
                     [
                         batch.column(0).slice(at, len(texts)),
                         pa.array([len(t.encode()) for t in texts], pa.int64()),
                         pa.array([len(d) for d in deltas], pa.int64()),
-                        pa.array([tokens_at(d, len(d)) for d in deltas], pa.int64()),
+                        pa.array(totals, pa.int64()),
+                        pa.array([len(d) if limit is None or n <= limit else chars_within(d, limit) for d, n in zip(deltas, totals, strict=True)], pa.int64()),
                         pa.array(deltas, pa.binary()),
                     ],
-                    names=["doc_id", "n_bytes", "n_chars", "n_tokens", "prefix_deltas"],
+                    names=["doc_id", "n_bytes", "n_chars", "n_tokens", "limit_chars", "prefix_deltas"],
                 )
                 at += len(texts)
 

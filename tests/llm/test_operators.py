@@ -254,6 +254,8 @@ def test_token_counts(spark, rows):
         assert tokens_at(d, 7) == len(sp.encode(t[:7]))
         n = chars_within(d, 5)
         assert len(sp.encode(t[:n])) <= 5 and all(len(sp.encode(t[:k])) > 5 for k in range(n + 1, len(t) + 1))
+    for r in count_tokens(frame(spark, odd + [(300, None)]), path, limit=5).collect():
+        assert r.limit_chars == (chars_within(bytes(r.prefix_deltas), 5) if r.n_tokens > 5 else r.n_chars)
 
 
 # ---------------------------------------------------------------- 4
@@ -278,6 +280,36 @@ def test_quality_model(spark, tiny):
     assert score_quality(frame(spark, []), labels).count() == 0
 
 
+def test_labelled_sample_is_bounded(spark):
+    from strataseek.llm.quality_model import labelled_sample
+
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, "x" * (1000 if i == ids[3] else 10)) for i in ids for _ in range(2)] + [(ids[0], "y" * 10), (ids[1], None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    columns = {"id_col": "doc_id", "text_col": "text", "label_col": "quality"}
+    texts, marks = labelled_sample(frame(spark, rows), labels, **columns)
+    assert Counter(texts) == Counter(t or "" for _, t in rows) and len(marks) == len(texts)
+    assert len(labelled_sample(frame(spark, rows), labels, **columns, rows=7)[0]) == 7
+    few, _ = labelled_sample(frame(spark, rows), labels, **columns, most_chars=100)
+    assert 0 < len(few) and sum(map(len, few)) <= 100
+
+
+def test_scores_are_those_of_a_plain_network():
+    import numpy as np
+
+    from strataseek.llm import quality_model as Q
+
+    rnd = random.Random(6)
+    good = [" ".join(rnd.choices("the of tree house runs and blue is on it over".split(), k=40)) for _ in range(60)]
+    bad = [" ".join(rnd.choices("$$$ buy### WIN!! |% NOW!!".split(), k=40)) for _ in range(60)]
+    model = Q.fit(good + bad, [1] * 60 + [0] * 60)
+    scores = Q.Scorer(model).scores([t.encode() for t in good + bad + [""]])
+    assert np.all(np.isfinite(scores)) and np.all((scores >= 0) & (scores <= 1))
+    assert scores[:60].min() > 0.5 > scores[60:120].max()
+    one_by_one = [float(Q.Scorer(model).scores([t.encode()])[0]) for t in good + bad + [""]]
+    assert np.allclose(scores, one_by_one, atol=1e-6)
+
+
 def test_quality_model_held_out_accuracy(spark, tiny):
     from strataseek.llm.queries import op4_quality_classifier
 
@@ -386,6 +418,26 @@ def test_reliabilities():
     assert post["email", "222111"] > 0.95 and post["email", "100101"] < 0.05 and post["email", "122111"] > post["email", "102111"]
 
 
+def test_added_spans_are_found(spark):
+    from strataseek.llm.pii import find_pii
+
+    rnd = random.Random(9)
+    words = "the report shows that many people walked along river while it rained".split()
+    filler = lambda n: " ".join(rnd.choices(words, k=n))
+    token = lambda: "".join(rnd.choices("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789", k=28)) + "7x"
+    made = {
+        "email": lambda i: f"write mail to ana.b{i} (at) example.org",
+        "phone": lambda i: f"call phone 415-555-{1000 + i}",
+        "secret": lambda i: f"api_key = {token()}",
+    }
+    planted = [(3 * i + k, kind, f"{filler(20)} {make(i)} {filler(20)}") for i in range(30) for k, (kind, make) in enumerate(made.items())]
+    clean = [(1000 + i, filler(60)) for i in range(100)]
+    found = {r.doc_id: {x["kind"] for x in r.spans} for r in find_pii(frame(spark, [(i, t) for i, _, t in planted] + clean)).collect()}
+    caught = Counter(kind for i, kind, _ in planted if kind in found[i])
+    assert all(caught[kind] >= 27 for kind in made), caught
+    assert not any(found[i] for i, _ in clean)
+
+
 # ---------------------------------------------------------------- 7
 
 
