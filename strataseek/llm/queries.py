@@ -71,9 +71,8 @@ def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = new_path(spark, "warc")
     archive_pages(_table(spark, sf_dir, "pages"), path)
-    records = read_archives(spark, path, payload=False)
-    # Each kind by a filter on the header that is pushed down to the reader.
-    responses, revisits = (records.where(F.col("warc_type") == kind) for kind in ("response", "revisit"))
+    # Each kind by a filter on the header that is pushed down to its own reader (two scans of one relation would share theirs).
+    responses, revisits = (read_archives(spark, path, payload=False).where(F.col("warc_type") == kind) for kind in ("response", "revisit"))
     return responses.unionByName(revisits).select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
 
 

@@ -489,6 +489,15 @@ def test_warc_skips_what_filters_reject(tmp_path, monkeypatch):
     assert [(r[4], r[8]) for p in parts for r in reader.read(p)] == [(7, b"payload")] and len(decoded) == 1
 
 
+def test_warc_query_returns_every_page(spark, tmp_path):
+    from strataseek.llm.queries import op7_warc_archives
+
+    pages = [(1, "u", "same"), (2, "v", "same"), (3, "w", None), (None, "x", "lone")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = op7_warc_archives(spark, str(tmp_path))
+    assert both(got, "page_id", "record_type", "refers_to") == sorted([(1, "revisit", 2), (2, "response", None), (3, "response", None), (None, "response", None)], key=repr)
+
+
 def test_warc_of_others(tmp_path):
     from pyspark.sql.datasource import EqualTo
 
