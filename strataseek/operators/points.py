@@ -9,6 +9,7 @@ from pyspark.sql.types import MapType
 from strataseek.config import EMBEDDING_DIM, POINT_NAMESPACE
 from strataseek.errors import BackendError, ConfigError, ValidationError
 from strataseek.functions.text import uuid5
+from strataseek.scratch import delete
 
 
 #: Payload fields that searches filter on.
@@ -114,10 +115,14 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, seq: Column | None =
     counted = new.withColumn("__seq", seq).observe(given, F.count(F.lit(1)).alias("n"))
     latest = last_of_each(counted, F.col("__seq")).drop("__seq", "part")
     base, deltas = _tables(spark, path)
-    _write(latest, f"{path}/d{(deltas[-1] if deltas else base) + 1}")
-    if len(deltas) + 1 >= compact_after:
+    target = f"{path}/d{(deltas[-1] if deltas else base) + 1}"
+    _write(latest, target)
+    n = given.get["n"]
+    if not n:
+        delete(spark, target)  # a table by codebase has no file, and so no columns, without rows
+    elif len(deltas) + 1 >= compact_after:
         compact(spark, path)
-    return given.get["n"]
+    return n
 
 
 def compact(spark: SparkSession, path: str) -> None:
