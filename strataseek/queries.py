@@ -627,29 +627,58 @@ def message_content(spark, d):
 def dressed(spark, d) -> DataFrame:
     """path, text, extension, language, codebase: each line of a document, at the columns of the language.
 
-    Where columns have a width, long lines are wrapped: between words to further lines, inside a long word to a continuation line.
+    Where columns have a width, a long line goes on in continuation lines of 60 characters. Each eleventh line has a paragraph or the head of a unit before it.
     """
-    docs = files.with_route(with_path(table(spark, d, "documents"))).where("language IS NOT NULL AND text IS NOT NULL")
+    docs = files.with_route(with_path(table(spark, d, "documents"))).where("language IS NOT NULL").withColumn("text", F.coalesce("text", F.lit("")))
     cobol, fixed = F.col("language") == "cobol", F.col("extension").isin(*preprocess.FIXED_EXTENSIONS)
-    word = f"[^{T.SPACE[1:]}"
 
     def one(x, i):
-        # Behind a break between words a piece starts with the blank.
-        pieces = F.when((cobol | fixed) & (x != ""), F.regexp_extract_all(x, F.lit(rf"(?s).{{1,60}}(?!{word})|.{{1,60}}"), F.lit(0))).otherwise(F.array(x))
+        note = i % 5 == 3
+        pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(x) / 60).cast("int") - 1, F.lit(0))), lambda k: F.substring(x, k * 60 + 1, F.lit(60)))
+        more = lambda k: (k > 0) | (i % 7 == 5)
+        as_cobol = lambda q, k: F.concat(F.lit("000100"), F.when(note, "*").when(more(k), "-    ").otherwise(" "), q)
+        as_fixed = lambda q, k: F.concat(F.when(note, "C     ").when(more(k), "     &").otherwise("      "), q)
+        as_free = F.array(F.when(note, F.concat(F.lit("! "), x)).when(i % 7 == 4, F.concat(x, F.lit(" &"))).otherwise(x))
+        no = (i + 1).cast("string")
+        head = F.when(cobol, F.concat(F.lit("       P-"), no, F.lit("."))).otherwise(F.concat(F.lit("      SUBROUTINE S"), no))
+        own = F.when(cobol, F.transform(pieces, as_cobol)).when(fixed, F.transform(pieces, as_fixed)).otherwise(as_free)
+        return F.when(i % 11 == 6, F.concat(F.array(head), own)).otherwise(own)
 
-        def dress(p, k):
-            note, more = i % 5 == 3, F.when(k == 0, i % 7 == 5).otherwise(p.rlike(rf"\A{word}"))
-            # A continuation's text starts in column 12.
-            return F.when(cobol, F.concat(F.lit("000100"), F.when(note, "*").when(more, "-    ").otherwise(" "), p)).otherwise(F.concat(F.when(note, "C     ").when(more, "     &").otherwise("      "), p))
+    return docs.withColumn("text", F.array_join(F.concat(F.array(F.lit("       PROCEDURE DIVISION.")), F.flatten(F.transform(T.lines(F.col("text")), one))), "\n"))
 
-        return F.transform(pieces, dress)
 
-    return docs.withColumn("text", F.array_join(F.concat(F.array(F.lit("       PROCEDURE DIVISION.")), F.flatten(F.transform(T.lines(F.col("text")), one))), "\n"))
+#: Pieces of the dressed lines of files whose columns have a width: key, pos, note, more, p (what stands behind the marks), form.
+PIECES_SQL = f"""(SELECT doc_id AS key, 0 AS pos, false AS note, false AS more, 'PROCEDURE DIVISION.' AS p FROM documents
+ UNION ALL SELECT doc_id, line_no * 10000, false, false, CASE WHEN doc_id % 8 IN (0, 5, 6) THEN 'P-' || line_no || '.' ELSE 'SUBROUTINE S' || line_no END FROM {LINES_SQL} WHERE line_no % 11 = 7
+ UNION ALL SELECT doc_id, line_no * 10000 + k + 1, line_no % 5 = 4, k > 0 OR line_no % 7 = 6, substr(line, (k * 60 + 1)::BIGINT, 60)
+  FROM (SELECT *, unnest(range(0, greatest(ceil(length(line) / 60), 1)::BIGINT)) AS k FROM {LINES_SQL}))"""
+COBOL_SQL = f"(SELECT * FROM {PIECES_SQL} WHERE key % 8 IN (0, 5, 6))"
+FIXED_SQL = f"(SELECT * FROM {PIECES_SQL} WHERE key % 8 IN (2, 7))"
+FREE_LINES = f"""(SELECT doc_id AS key, 0 AS pos, '       PROCEDURE DIVISION.' AS line FROM documents WHERE doc_id % 8 = 1
+ UNION ALL SELECT doc_id, line_no * 10, '      SUBROUTINE S' || line_no FROM {LINES_SQL} WHERE line_no % 11 = 7 AND doc_id % 8 = 1
+ UNION ALL SELECT doc_id, line_no * 10 + 1, CASE WHEN line_no % 5 = 4 THEN '! ' || line WHEN line_no % 7 = 5 THEN line || ' &' ELSE line END FROM {LINES_SQL} WHERE doc_id % 8 = 1)"""
+INLINE = "NOT note AND NOT more AND contains(p, '*>')"
+COBOL_PIECES = f"(SELECT key, pos, more, CASE WHEN more THEN {LTRIM('p')} WHEN contains(p, '*>') THEN {RTRIM("split_part(p, '*>', 1)")} ELSE p END AS piece FROM {COBOL_SQL} WHERE NOT note)"
+FIXED_PIECES = f"(SELECT key, pos, more AND p <> '' AS more, CASE WHEN pos = 0 THEN ' ' || p WHEN more AND p = '' THEN '&' ELSE {RTRIM('p')} END AS piece FROM {FIXED_SQL} WHERE NOT note)"
+AFTER = "substr({x}, instr({x}, '{m}') + {n})"
+NOTES_SQL = f"""(SELECT key, count(*) AS n FROM (
+ SELECT key, CASE WHEN note THEN p ELSE {AFTER.format(x='p', m='*>', n=2)} END AS c FROM {COBOL_SQL} WHERE note OR ({INLINE})
+ UNION ALL SELECT key, p FROM {FIXED_SQL} WHERE note
+ UNION ALL SELECT key, {AFTER.format(x='line', m='!', n=1)} FROM {FREE_LINES} WHERE contains(line, '!')) WHERE {RTRIM('c')} <> '' GROUP BY key)"""
 
 
-@query("preprocess_files")
+@query(
+    "preprocess_files",
+    f"""WITH code AS (SELECT 'cobol' AS language, NULL AS source_format, * FROM {_folded_sql(COBOL_PIECES, '')} UNION ALL SELECT 'fortran', 'fixed', * FROM {_folded_sql(FIXED_PIECES, '')}
+ UNION ALL SELECT 'fortran', 'free', * FROM {_folded_sql(_free_sql(FREE_LINES), ' ')}),
+f AS (SELECT key, language, source_format, string_agg(code_line, chr(10) ORDER BY g) AS code FROM code GROUP BY ALL)
+SELECT {PATH_SQL} AS path, language, source_format, md5(code) AS code_md5, coalesce(n, 0)::INT AS n_comments,
+ CASE WHEN language = 'cobol' THEN array_to_string(list_filter({list(preprocess.DIVISIONS)}, lambda v: contains(upper(code), v || ' DIVISION')), ',') END AS divisions
+FROM f JOIN documents ON doc_id = f.key LEFT JOIN {NOTES_SQL} notes ON notes.key = f.key""",
+)
 def preprocess_files(spark, d):
-    return preprocess.preprocess(dressed(spark, d)).select("path", "language", "source_format", "found", F.md5(F.col("code").cast("binary")).alias("code_md5"), F.size("comments").alias("n_comments"))
+    out = preprocess.preprocess(dressed(spark, d))
+    return out.select("path", "language", "source_format", F.md5(F.col("code").cast("binary")).alias("code_md5"), F.size("comments").alias("n_comments"), F.when(F.col("language") == "cobol", F.col("found")).alias("divisions"))
 
 
 @query("chunk_files")

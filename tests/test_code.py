@@ -113,12 +113,89 @@ def test_dressed_lines_are_whole(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.path.split(".")[-1]: r for r in preprocess.preprocess(dressed(spark, str(tmp_path))).collect()}
     assert set(got) == {"cob", "F90", "f"}
-    # The line 5 goes on from line 4 without a blank, where that is marked by column.
-    words = [w for i in (0, 1, 2) for w in lines[i].split()] + (lines[4] + lines[5]).split() + [w for i in (6, 7) for w in lines[i].split()]
-    for kind in ("cob", "f"):
-        assert [w for w in got[kind].code.split() if w not in ("PROCEDURE", "DIVISION.")] == words
-        assert " ".join(got[kind].comments).split() == lines[3].split()
-    assert set(" ".join(lines).split()) <= set(got["F90"].code.replace("&", "").split())
+    bare = lambda t: "".join(t.split()).replace("&", "")
+    for kind, head in (("cob", "P-7."), ("f", "SUBROUTINES7"), ("F90", "SUBROUTINES7")):
+        whole = ["PROCEDUREDIVISION.", *(bare(x) for i, x in enumerate(lines) if i != 3)]
+        whole.insert(6, head)
+        assert bare(got[kind].code) == "".join(whole)
+        assert bare(" ".join(got[kind].comments)) == bare(lines[3])
+
+
+def plain_chunks(code, language):
+    """(line_start, line_end, name, chunk_type, content) of a file, step by step."""
+    import re
+
+    lines = code.split("\n")
+    if not code.strip():
+        return []
+    blocks = []
+    if language == "cobol":
+        opens = next((i for i, x in enumerate(lines) if x.strip().upper() == "PROCEDURE DIVISION."), None)
+        heads = [i for i, x in enumerate(lines) if opens is not None and i > opens and re.match(r"\S", x) and x.strip().endswith(".") and re.fullmatch(r"[A-Z0-9-]+", x.strip()[:-1].strip().upper())]
+        for i, h in enumerate(heads):
+            blocks.append((h + 1, heads[i + 1] if i + 1 < len(heads) else len(lines), lines[h].strip()[:-1].strip().upper(), "paragraph", "PROCEDURE"))
+        if not heads:
+            blocks.append(((opens or 0) + 1, len(lines), "FILE-BLOCK" if opens is None else "PROCEDURE-BLOCK", "paragraph", "UNKNOWN" if opens is None else "PROCEDURE"))
+    else:
+        at, free = 0, 0
+        while at < len(lines):
+            m = re.match(r"(?i)\s*(SUBROUTINE)\s+([A-Z_]\w*)", lines[at])
+            if not m:
+                at += 1
+                continue
+            end = at + 1
+            while end < len(lines) and not re.match(r"(?i)\s*SUBROUTINE\s+[A-Z_]", lines[end]) and not re.fullmatch(r"(?i)\s*END\s*", lines[end]):
+                end += 1
+            last = end + 1 if end < len(lines) and re.fullmatch(r"(?i)\s*END\s*", lines[end]) else end
+            if at > free:
+                blocks.append((free + 1, at, "FILE-BLOCK", "file_block", "UNKNOWN"))
+            blocks.append((at + 1, last, m[2].upper(), "subroutine", "SUBROUTINE"))
+            at = free = last
+        if free < len(lines):
+            blocks.append((free + 1, len(lines), "FILE-BLOCK", "file_block", "UNKNOWN"))
+    mixed = "UNKNOWN" if language == "cobol" else "MIXED"
+    chunks = [[a, b, n, t, v, "\n".join(lines[a - 1 : b])] for a, b, n, t, v in sorted(blocks)]
+    chunks = [c for c in chunks if c[2] != "FILE-BLOCK" or c[5].strip()]
+
+    def join(x, y):
+        names = list(dict.fromkeys(p.strip() for p in f"{x[2]}+{y[2]}".split("+") if p.strip()))
+        return [min(x[0], y[0]), max(x[1], y[1]), "+".join(names), x[3], x[4] if x[4] == y[4] else mixed, f"{x[5]}\n{y[5]}".strip()]
+
+    done, held = [], None
+    for c in chunks:
+        if held is None:
+            held = c
+        elif len(held[5].split()) < 64:
+            held = join(held, c)
+        else:
+            done.append(held)
+            held = c
+    if held is not None:
+        if done and len(held[5].split()) < 64:
+            done[-1] = join(done[-1], held)
+        else:
+            done.append(held)
+    return [(first, last, name, c[3], content) for c in done for content, first, last, name, _ in sizing.split_text(c[5], c[0], c[1], c[2], 768)]
+
+
+def test_chunks_are_those_of_a_plain_version(spark):
+    import random
+
+    rnd = random.Random(8)
+    words = ["move", "A-1", "to", "x.", "", "END", "compute", "y = 2"]
+    rows = []
+    for i in range(60):
+        language = ("cobol", "fortran")[i % 2]
+        out = ["PROCEDURE DIVISION."] if language == "cobol" and i % 6 else []
+        for k in range(rnd.randrange(0, 120)):
+            head = f"P-{k}." if language == "cobol" else f"  subroutine s{k}(a)"
+            out.append(head if rnd.random() < 0.12 else " " * rnd.randrange(0, 4) + " ".join(rnd.choices(words, k=rnd.randrange(0, 40))) + " " * rnd.randrange(0, 3))
+        rows.append((f"f{i:02}", "b", language, "\n".join(out)))
+    got = {}
+    for r in chunk(spark.createDataFrame(rows, "path string, codebase string, language string, code string").repartition(3)).collect():
+        got.setdefault(r.path, []).append((r.line_start, r.line_end, r.name, r.chunk_type, r.content))
+    for path, _, language, code in rows:
+        assert sorted(got.get(path, [])) == sorted(plain_chunks(code, language)), path
 
 
 def test_uuid5(spark):
