@@ -533,7 +533,8 @@ def context_block(spark, d):
     chunks = F.transform(
         "t",
         lambda t: F.struct(
-            F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("file_path"), t["turn"].alias("line_start"), t["turn"].alias("line_end"), t["role"].alias("name"), F.lit("").alias("division"), t["text"].alias("content")
+            F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("file_path"), t["turn"].alias("line_start"), t["turn"].alias("line_end"), F.when(t["turn"] % 4 == 0, " ").otherwise(t["role"]).alias("name"),
+            F.lit("").alias("division"), t["text"].alias("content"), F.create_map(F.lit("paragraph_name"), t["role"]).alias("metadata"),
         ),
     )
     return turns.select("conv_id", answers.context_block(chunks).alias("context"))
