@@ -37,28 +37,37 @@ SCALE = 10**9
 #: What is no letter becomes a blank; A-Z become small. Bytes from 0x80 on belong to letters of more bytes.
 _LETTERS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
+_TILE = pa.schema([(n, pa.string()) for n in ("part", "lang", "source", "item")] + [("value", pa.int64())])
 _COUNTS = "lang string, source string, term string, n long, docs long"
 
 
-def _count(groups: list[tuple[str, str]], texts: list[bytes]) -> pd.DataFrame:
+def _count(groups: list[tuple[str, str]], texts: list[bytes]) -> pa.RecordBatch:
     """lang, source, term, n, docs of some documents. A row without a term for each group, so that none is lost."""
     words = [t.translate(_LETTERS).split() for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
     flat = np.empty(int(sizes.sum()), object)
     flat[:] = [w for own in words for w in own]
     codes, terms = pd.factorize(flat)
-    group_codes, names = pd.factorize(pd.Series(groups, dtype=object))
-    doc = np.repeat(np.arange(len(texts)), sizes)
+    names = sorted(set(groups))
+    number = {g: i for i, g in enumerate(names)}
+    group = np.array([number[g] for g in groups], np.int64)
+    wide = max(1, len(terms))
     # Occurrences by (document, term), then documents and occurrences by (group, term).
-    pairs, n = np.unique(doc * max(1, len(terms)) + codes, return_counts=True)
-    key = group_codes[pairs // max(1, len(terms))].astype(np.int64) * max(1, len(terms)) + pairs % max(1, len(terms))
-    kinds, at = np.unique(key, return_inverse=True)
-    by_group, by_term = kinds // max(1, len(terms)), kinds % max(1, len(terms))
-    total = np.zeros(len(kinds), np.int64)
-    np.add.at(total, at.reshape(-1), n)
-    found = pd.DataFrame({"group": by_group, "term": [terms[i].decode() for i in by_term], "n": total, "docs": np.bincount(at.reshape(-1), minlength=len(kinds))})
-    found = pd.concat([found, pd.DataFrame({"group": np.arange(len(names)), "term": None, "n": 0, "docs": 0})])
-    return pd.DataFrame({"lang": [names[g][0] for g in found["group"]], "source": [names[g][1] for g in found["group"]], "term": found["term"].to_numpy(object), "n": found["n"].to_numpy(np.int64), "docs": found["docs"].to_numpy(np.int64)})
+    pairs, n = np.unique(np.repeat(np.arange(len(texts)), sizes) * wide + codes, return_counts=True)
+    kinds, at = np.unique(group[pairs // wide] * wide + pairs % wide, return_inverse=True)
+    at = at.reshape(-1)
+    total, docs = np.zeros(len(kinds), np.int64), np.bincount(at, minlength=len(kinds))
+    np.add.at(total, at, n)
+    of, none = kinds // wide, np.zeros(len(names), np.int64)
+    return pa.record_batch(
+        [
+            *(pa.array([names[g][k] for g in of] + [g[k] for g in names], pa.string()) for k in (0, 1)),
+            pa.array([terms[i].decode() for i in kinds % wide] + [None] * len(names), pa.string()),
+            pa.array(np.concatenate([total, none])),
+            pa.array(np.concatenate([docs, none])),
+        ],
+        names=["lang", "source", "term", "n", "docs"],
+    )
 
 
 def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -71,11 +80,10 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
             start, held = 0, 0
             for i in range(len(texts) + 1):
                 if i > start and (i == len(texts) or held + len(texts[i]) > TEXT_BYTES):
-                    yield pa.RecordBatch.from_pandas(_count(groups[start:i], texts[start:i]), schema=_schema, preserve_index=False)
+                    yield _count(groups[start:i], texts[start:i])
                     start, held = i, 0
                 held += len(texts[i]) if i < len(texts) else 0
 
-    _schema = pa.schema([(n, pa.string()) for n in ("lang", "source", "term")] + [(n, pa.int64()) for n in ("n", "docs")])
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     read = docs.select(*(text(c).alias(f"c{i}") for i, c in enumerate((lang_col, source_col, text_col))))
     return read.mapInArrow(batches, _COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
@@ -100,29 +108,27 @@ def parts(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return d * d // q
 
 
-def tile(lang: str, groups: pd.DataFrame, rows: pd.DataFrame, top: int, whole: bool) -> pd.DataFrame:
+def tile(lang: str, groups: pa.Table, rows: pa.Table, top: int, whole: bool) -> pa.Table:
     """The rows part, lang, source, item, value of a block. groups: source, total, kinds, lang_total of all groups. whole: give pairs although there is no term."""
-    groups = groups.sort_values("source", key=lambda s: s.str.encode("utf-8"))
-    names = groups["source"].to_numpy(object)
-    terms = sorted(rows["term"].unique(), key=lambda t: t.encode())
-    if not terms and not whole:
-        return pd.DataFrame({"part": [], "lang": [], "source": [], "item": [], "value": []})
-    counts = np.zeros((len(names), len(terms)), np.int64)
-    row = pd.Index(names).get_indexer(rows["source"])
-    column = pd.Index(terms, dtype=object).get_indexer(rows["term"])
-    counts[row, column] = rows["n"].to_numpy(np.int64)
-    kinds = int(groups["kinds"].iloc[0])
-    p = shares(counts, groups["total"].to_numpy(np.int64), kinds) if terms else np.ones((len(names), 0), np.int64)
-    q = shares(counts.sum(axis=0, keepdims=True), groups["lang_total"].to_numpy(np.int64)[:1], kinds)[0] if terms else np.ones(0, np.int64)
+    names = np.array(groups["source"].to_pylist(), object)
+    terms = sorted(rows["term"].unique().to_pylist(), key=lambda t: t.encode())
     out: list[tuple] = []
-    for i, name in enumerate(names):
-        against = parts(p[i], p).sum(axis=1)  # one group against all, over the block's terms
-        out += [("pair", lang, name, other, int(v)) for j, (other, v) in enumerate(zip(names, against, strict=True)) if j != i]
-        loud = np.flatnonzero((counts[i] > 0) & (p[i] > q))
-        value = parts(p[i, loud], q[loud])
-        best = np.argsort(-value, kind="stable")[:top]  # terms are sorted: ties in the order of their bytes
-        out += [("term", lang, name, terms[loud[k]], int(value[k])) for k in best]
-    return pd.DataFrame(out, columns=["part", "lang", "source", "item", "value"])
+    if terms or whole:
+        row, column = {n: i for i, n in enumerate(names)}, {t: i for i, t in enumerate(terms)}
+        counts = np.zeros((len(names), len(terms)), np.int64)
+        counts[[row[s] for s in rows["source"].to_pylist()], [column[t] for t in rows["term"].to_pylist()]] = rows["n"].to_numpy()
+        kinds = max(1, groups["kinds"][0].as_py())
+        p = shares(counts, groups["total"].to_numpy(), kinds)
+        q = shares(counts.sum(axis=0, keepdims=True), groups["lang_total"].to_numpy()[:1], kinds)[0]
+        for i, name in enumerate(names):
+            against = parts(p[i], p).sum(axis=1)  # one group against all, over the block's terms
+            out += [("pair", lang, name, other, int(v)) for j, (other, v) in enumerate(zip(names, against, strict=True)) if j != i]
+            loud = np.flatnonzero((counts[i] > 0) & (p[i] > q))
+            value = parts(p[i, loud], q[loud])
+            best = np.argsort(-value, kind="stable")[:top]  # terms are sorted: ties in the order of their bytes
+            out += [("term", lang, name, terms[loud[k]], int(value[k])) for k in best]
+    columns = list(zip(*out, strict=True)) or [()] * len(_TILE)
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, _TILE, strict=True)], schema=_TILE)
 
 
 def audit_sources(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", min_docs: int = 3, top: int = 200, cells: int = CELLS) -> DataFrame:
@@ -142,10 +148,10 @@ def audit_sources(docs: DataFrame, *, lang_col: str = "lang", source_col: str =
     dealt = kept.select("lang", "source", "term", "n", F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int").alias("block"))
     each = totals.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
-    def of_block(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return tile(key[0], right, left, top, key[1] == 0)
+    def of_block(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        return tile(key[0].as_py(), right, left, top, key[1].as_py() == 0)
 
-    found = dealt.groupBy("lang", "block").cogroup(each.groupBy("lang", "block")).applyInPandas(of_block, "part string, lang string, source string, item string, value long")
+    found = dealt.groupBy("lang", "block").cogroup(each.groupBy("lang", "block")).applyInArrow(of_block, "part string, lang string, source string, item string, value long")
     found = materialize(found, "tiles")
     pairs = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     terms = found.where("part = 'term'").select("lang", "source", "part", "item", "value")
