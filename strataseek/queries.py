@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strataseek import config as C
 from strataseek import scratch
 from strataseek.functions import text as T
-from strataseek.operators import answers, chunking, dependencies, evaluation, points, preprocess, rerank, retrieval, segment, sizing
+from strataseek.operators import answers, chunking, dependencies, evaluation, many, points, preprocess, rerank, retrieval, segment, sizing
 from strataseek.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,6 +158,95 @@ def hybrid_fuse_semantic(spark, d):
     return _fused(spark, d, C.SEMANTIC_WEIGHTS)
 
 
+# ---------------------------------------------------------------- a table of questions
+
+#: Each hundredth vector asks all vectors; each benchmark item asks all documents.
+DENSE_MANY = """dm AS (SELECT q.vec_id AS question, p.vec_id AS id, round(list_sum(list_transform(list_zip(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), lambda z: z[1] * z[2]))
+ / (sqrt(list_sum(list_transform(p.embedding::DOUBLE[], lambda x: x * x))) * sqrt(list_sum(list_transform(q.embedding::DOUBLE[], lambda x: x * x)))), 9) AS score
+ FROM embeddings p, embeddings q WHERE {which})"""
+RANKED_MANY = "SELECT question, id, score, row_number() OVER (PARTITION BY question ORDER BY score DESC, id)::INT AS rank FROM {of} QUALIFY rank <= {k}"
+SHOWN_MANY = f"SELECT question, id, round(score, 6) AS score, rank FROM ({RANKED_MANY})"
+BM25_MANY = f"""
+qt AS (SELECT DISTINCT item_id AS question, unnest({TERMS}) AS term FROM benchmark),
+own AS (SELECT doc_id AS id, {TERMS} AS t FROM documents),
+dt AS (SELECT id, len(t) AS n, unnest(t) AS term FROM own),
+tf AS (SELECT id, n, term, count(*) AS tf FROM dt WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+st AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM own),
+bq AS (SELECT question, id, round(sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))), 9) AS score
+  FROM qt JOIN tf USING (term) JOIN df USING (term), st GROUP BY question, id)"""
+
+
+@query("dense_many_questions", f"WITH {DENSE_MANY.format(which='q.vec_id % 100 = 0')} {SHOWN_MANY.format(of='dm', k=20)}")
+def dense_many_questions(spark, d):
+    points_ = table(spark, d, "embeddings")
+    asked = points_.where("vec_id % 100 = 0").select(F.col("vec_id").alias("question"), F.col("embedding").alias("vector"))
+    return many.dense_many(points_, asked, 20, id_col="vec_id", vector_col="embedding", scope_col=None).withColumn("score", F.round("score", 6))
+
+
+def _benchmark(spark, d) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("question"), F.col("text").alias("query"))
+
+
+@query("bm25_many_questions", f"WITH {BM25_MANY} {SHOWN_MANY.format(of='bq', k=20)}")
+def bm25_many_questions(spark, d):
+    return many.bm25_many(table(spark, d, "documents"), _benchmark(spark, d), 20, id_col="doc_id", text_col="text", scope_col=None).withColumn("score", F.round("score", 6))
+
+
+SCOPED = f"""WITH own AS (SELECT doc_id, lang, {TERMS} AS t FROM documents), qs AS (SELECT item_id AS question, (['en', 'de', 'fr', 'es'])[(item_id % 4 + 1)::INT] AS scope, text FROM benchmark),
+qt AS (SELECT DISTINCT question, scope, unnest({TERMS}) AS term FROM qs),
+tf AS (SELECT doc_id AS id, lang, n, term, count(*) AS tf FROM (SELECT doc_id, lang, len(t) AS n, unnest(t) AS term FROM own) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+df AS (SELECT lang, term, count(*) AS df FROM tf GROUP BY ALL), st AS (SELECT lang, count(*) AS docs, avg(len(t)) AS mean FROM own GROUP BY lang),
+bq AS (SELECT question, id, round(sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))), 9) AS score
+  FROM qt JOIN tf ON tf.term = qt.term AND tf.lang = qt.scope JOIN df ON df.term = qt.term AND df.lang = scope JOIN st ON st.lang = scope GROUP BY question, id)"""
+
+
+@query("bm25_many_in_codebases", f"{SCOPED} {SHOWN_MANY.format(of='bq', k=20)}")
+def bm25_many_in_codebases(spark, d):
+    of = F.get(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (F.col("question") % 4).cast("int"))
+    found = many.bm25_many(table(spark, d, "documents"), _benchmark(spark, d).withColumn("scope", of), 20, id_col="doc_id", text_col="text", scope_col="lang")
+    return found.withColumn("score", F.round("score", 6))
+
+
+NORM_MANY = "CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END"
+IDENTIFIER_MANY = f"""(SELECT item_id AS question, (regexp_matches(text, '\\b[A-Z0-9_-]{{4,}}\\b') OR len(list_filter(ws, lambda w: regexp_matches(w, '[-_]'))) > 0
+ OR (len(list_filter(ws, lambda w: length(regexp_replace(w, '[^A-Za-z0-9_-]', '', 'g')) >= 3 AND regexp_replace(w, '[^A-Za-z0-9_-]', '', 'g') = upper(regexp_replace(w, '[^A-Za-z0-9_-]', '', 'g'))
+ AND regexp_matches(regexp_replace(w, '[^A-Za-z0-9_-]', '', 'g'), '[A-Za-z]'))) >= greatest(1, len(ws) // 2) AND len(ws) <= 6)) AS named
+ FROM (SELECT item_id, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM benchmark))"""
+HYBRID_MANY = f"""WITH {BM25_MANY}, {DENSE_MANY.format(which='q.vec_id IN (SELECT item_id FROM benchmark)')},
+d AS (SELECT question, id, {NORM_MANY} AS dense FROM ({RANKED_MANY.format(of='dm', k=20)}) WINDOW w AS (PARTITION BY question)),
+p AS (SELECT question, id, {NORM_MANY} AS sparse FROM ({RANKED_MANY.format(of='bq', k=20)}) WINDOW w AS (PARTITION BY question)),
+f AS (SELECT question, id, coalesce(dense, 0) AS dense, coalesce(sparse, 0) AS sparse, coalesce(dense, 0) * (CASE WHEN named THEN {C.IDENTIFIER_WEIGHTS[0]}::DOUBLE ELSE {C.SEMANTIC_WEIGHTS[0]}::DOUBLE END)
+  + coalesce(sparse, 0) * (CASE WHEN named THEN {C.IDENTIFIER_WEIGHTS[1]}::DOUBLE ELSE {C.SEMANTIC_WEIGHTS[1]}::DOUBLE END) AS fused
+  FROM d FULL JOIN p USING (question, id) JOIN {IDENTIFIER_MANY} USING (question)),
+r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY f.fused DESC, f.dense DESC, f.sparse DESC, id)::INT AS rank FROM f)
+SELECT question, id, round(fused, 6) AS fused, round(dense, 6) AS dense, round(sparse, 6) AS sparse, rank FROM r WHERE rank <= 10"""
+
+
+@query("hybrid_many_questions", HYBRID_MANY)
+def hybrid_many_questions(spark, d):
+    asked, vectors = _benchmark(spark, d), table(spark, d, "embeddings")
+    with_vector = asked.join(vectors.select(F.col("vec_id").alias("question"), F.col("embedding").alias("vector")), "question")
+    by_meaning = many.dense_many(vectors, with_vector, 20, id_col="vec_id", vector_col="embedding", scope_col=None)
+    by_terms = many.bm25_many(table(spark, d, "documents"), asked, 20, id_col="doc_id", text_col="text", scope_col=None)
+    fused = many.fuse_many(by_meaning, by_terms, asked, 10)
+    return fused.select("question", "id", *(F.round(c, 6).alias(c) for c in ("fused", "dense", "sparse")), "rank")
+
+
+BENCHMARK_HITS = f"""(SELECT 'c' || question % 3 AS codebase, coalesce(bool_or(contains(upper(coalesce(d.text, '')), upper(b.text))), false) AS hit FROM
+ (SELECT item_id AS question, text FROM benchmark) b LEFT JOIN ({RANKED_MANY.format(of='bq', k=5)}) r USING (question) LEFT JOIN documents d ON d.doc_id = r.id GROUP BY question)"""
+
+
+@query("hit_rate_of_benchmark", f"WITH {BM25_MANY} SELECT codebase, count(*) FILTER (WHERE hit) AS hits, count(*) AS total, round(avg(hit::INT), 6) AS rate FROM {BENCHMARK_HITS} GROUP BY ROLLUP (codebase)")
+def hit_rate_of_benchmark(spark, d):
+    """Each item asks for the documents that quote it: a hit is a document among the first five that holds the whole item."""
+    docs, asked = table(spark, d, "documents"), _benchmark(spark, d)
+    found = many.bm25_many(docs, asked, evaluation.TOP, id_col="doc_id", text_col="text", scope_col=None)
+    results = found.join(docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("name")), "id").select(F.col("question").alias("id"), "rank", F.lit("").alias("file_path"), "name")
+    wanted = asked.select(F.col("question").alias("id"), F.concat(F.lit("c"), (F.col("question") % 3).cast("string")).alias("codebase"), F.array().cast("array<string>").alias("expected_files"), F.array("query").alias("expected_names"))
+    return evaluation.hit_rates(evaluation.hits(results, wanted)).withColumn("rate", F.round("rate", 6))
+
+
 @query("channel_dedupe_best", "SELECT conv_id AS id, max(length(text)) AS score, arg_min(role, turn) AS role, min(turn) AS pos FROM (SELECT *, max(length(text)) OVER (PARTITION BY conv_id) AS best FROM conversations) WHERE length(text) = best GROUP BY conv_id")
 def channel_dedupe_best(spark, d):
     hits = table(spark, d, "conversations").where("text IS NOT NULL").select(F.col("conv_id").alias("id"), F.length("text").cast("long").alias("score"), "role", F.col("turn").alias("pos"))
