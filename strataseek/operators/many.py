@@ -39,12 +39,13 @@ class Best:
         self.held: list[pa.Table] = []
         self.size = 0
 
-    def add(self, scores: np.ndarray, ids: pa.Array) -> None:
-        """scores: points by questions, NaN where a point is no hit."""
+    def add(self, scores: np.ndarray, ids: pa.Array, **more: pa.Array) -> None:
+        """scores: points by questions, NaN where a point is no hit. more: further columns of the points."""
         scores = np.round(scores, DIGITS)
         with np.errstate(invalid="ignore"):
             question, point = np.nonzero((scores >= self.floor).T)
-        self.held.append(pa.table({"q": question, "score": scores[point, question], "id": ids.take(pa.array(point))}))
+        at = pa.array(point)
+        self.held.append(pa.table({"q": question, "score": scores[point, question], "id": ids.take(at)} | {c: v.take(at) for c, v in more.items()}))
         self.size += len(question)
         if self.size > 4 * self.k * len(self.floor) + SCORES:
             self.cut()
@@ -62,8 +63,8 @@ class Best:
         if self.held:
             self.cut()
             found = self.held[0].combine_chunks()
-            for batch in pa.table({"question": questions.take(found["q"].combine_chunks()), "id": found["id"], "score": found["score"]}).to_batches():
-                yield batch
+            more = {c: found[c] for c in found.column_names[3:]}
+            yield from pa.table({"question": questions.take(found["q"].combine_chunks()), "id": found["id"], "score": found["score"]} | more).to_batches()
 
 
 def blocks(questions: DataFrame, size: Callable[[Row], int]) -> Iterator[list[Row]]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strataseek import config as C
 from strataseek import scratch
 from strataseek.functions import text as T
-from strataseek.operators import answers, chunking, dependencies, evaluation, many, points, preprocess, rerank, retrieval, segment, sizing
+from strataseek.operators import answers, chunking, dependencies, evaluation, many, points, preprocess, rerank, retrieval, segment, sizing, vectors
 from strataseek.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,6 +184,17 @@ def dense_many_questions(spark, d):
     return many.dense_many(points_, asked, 20, id_col="vec_id", vector_col="embedding", scope_col=None).withColumn("score", F.round("score", 6))
 
 
+@query("knn_index_topk", f"WITH {DENSE_MANY.format(which='q.vec_id % 100 = 0')} {SHOWN_MANY.format(of='dm', k=20)}")
+def knn_index_topk(spark, d):
+    """Through the index, calibrated to find all that the exact scan finds."""
+    points_ = table(spark, d, "embeddings")
+    asked = points_.where("vec_id % 100 = 0").select(F.col("vec_id").alias("question"), F.col("embedding").alias("vector"))
+    named = {"id_col": "vec_id", "vector_col": "embedding", "scope_col": None}
+    index = vectors.VectorIndex(spark, scratch.new_path(spark, "vector-index")).write(points_, dim=len(VECTOR), **named)
+    index.calibrate(points_, asked, 20, recall=1.0, **named)
+    return index.search(asked, 20).withColumn("score", F.round("score", 6))
+
+
 def _benchmark(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("question"), F.col("text").alias("query"))
 
@@ -225,9 +236,9 @@ SELECT question, id, round(fused, 6) AS fused, round(dense, 6) AS dense, round(s
 
 @query("hybrid_many_questions", HYBRID_MANY)
 def hybrid_many_questions(spark, d):
-    asked, vectors = _benchmark(spark, d), table(spark, d, "embeddings")
-    with_vector = asked.join(vectors.select(F.col("vec_id").alias("question"), F.col("embedding").alias("vector")), "question")
-    by_meaning = many.dense_many(vectors, with_vector, 20, id_col="vec_id", vector_col="embedding", scope_col=None)
+    asked, points_ = _benchmark(spark, d), table(spark, d, "embeddings")
+    with_vector = asked.join(points_.select(F.col("vec_id").alias("question"), F.col("embedding").alias("vector")), "question")
+    by_meaning = many.dense_many(points_, with_vector, 20, id_col="vec_id", vector_col="embedding", scope_col=None)
     by_terms = many.bm25_many(table(spark, d, "documents"), asked, 20, id_col="doc_id", text_col="text", scope_col=None)
     fused = many.fuse_many(by_meaning, by_terms, asked, 10)
     return fused.select("question", "id", *(F.round(c, 6).alias(c) for c in ("fused", "dense", "sparse")), "rank")
