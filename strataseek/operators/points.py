@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
@@ -9,6 +12,7 @@ from pyspark.sql.types import MapType
 from strataseek.config import EMBEDDING_DIM, POINT_NAMESPACE
 from strataseek.errors import BackendError, ConfigError, ValidationError
 from strataseek.functions.text import uuid5
+from strataseek.operators.commits import ABANDONED_MS, claim, claims, listed, move, try_claim
 from strataseek.scratch import delete
 
 
@@ -63,7 +67,8 @@ def last_of_each(points: DataFrame, seq: Column) -> DataFrame:
 # ---------------------------------------------------------------- collection
 #
 # A collection is a folder with one table for each upsert (d1, d2, ...) and now and then a base (b7: all up to d7).
-# A table counts once Spark has marked it as whole, so readers see each upsert all or not at all.
+# An upsert is written under a name of its own, claims the next number and takes it by a rename, so readers see each upsert all or not at
+# all, and of two writers at once neither loses its rows: the later number wins where both write an id.
 
 
 def create_collection(spark: SparkSession, path: str, dim: int = EMBEDDING_DIM) -> None:
@@ -77,17 +82,22 @@ def create_collection(spark: SparkSession, path: str, dim: int = EMBEDDING_DIM)
 
 def _tables(spark: SparkSession, path: str) -> tuple[int, list[int]]:
     """The newest base (0: none) and the upserts after it, in order."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(root):
-        return 0, []
-    names = [s.getPath().getName() for s in system.listStatus(root)]
-    whole = [n for n in names if n[:1] in "bd" and n[1:].isdigit() and system.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}", "_SUCCESS"))]
+    whole = [n for n in listed(spark, path, "_SUCCESS") if n[:1] in "bd" and n[1:].isdigit()]
     base = max((int(n[1:]) for n in whole if n[0] == "b"), default=0)
     return base, sorted(int(n[1:]) for n in whole if n[0] == "d" and int(n[1:]) > base)
 
 
+def _commit(spark: SparkSession, path: str, written: str) -> None:
+    """Give the table at ``written`` the next number. If a base was made meanwhile that passed over the claim, it takes another."""
+    while True:
+        base, deltas = _tables(spark, path)
+        number = claim(spark, path, "d", max([base, *deltas]) + 1)
+        move(spark, written, f"{path}/d{number}")
+        if _tables(spark, path)[0] < number:
+            return
+        written = f"{path}/d{number}"
+
+
 def _write(df: DataFrame, target: str) -> None:
     """By codebase, which is also a filter's field; the others have bloom filters, and rows lie by path."""
     out = df.sortWithinPartitions("codebase", "file_path") if "file_path" in df.columns else df
@@ -114,37 +124,36 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, seq: Column | None =
     given = Observation()
     counted = new.withColumn("__seq", seq).observe(given, F.count(F.lit(1)).alias("n"))
     latest = last_of_each(counted, F.col("__seq")).drop("__seq", "part")
-    base, deltas = _tables(spark, path)
-    target = f"{path}/d{(deltas[-1] if deltas else base) + 1}"
+    target = f"{path}/new-{uuid.uuid4().hex}"
     _write(latest, target)
     n = given.get["n"]
     if not n:
         delete(spark, target)  # a table by codebase has no file, and so no columns, without rows
-    elif len(deltas) + 1 >= compact_after:
+        return 0
+    _commit(spark, path, target)
+    if len(_tables(spark, path)[1]) >= compact_after:
         compact(spark, path)
     return n
 
 
 def compact(spark: SparkSession, path: str) -> None:
-    """One base of all upserts so far. What the base before had replaced is deleted; what this one replaces stays for those who are reading it."""
+    """One base of all upserts up to the first that is still being put in place. What the base before had replaced is deleted; what this one replaces stays for those who are reading it."""
     base, deltas = _tables(spark, path)
-    if not deltas:
+    late = time.time() * 1000 - ABANDONED_MS
+    pending = [n for n, at in claims(spark, path, "d").items() if n > base and n not in deltas and at > late]
+    deltas = [n for n in deltas if n < min(pending, default=n + 1)]
+    # One writer at a time goes on from a base, so nothing is deleted that another still puts together.
+    if not deltas or not try_claim(spark, path, f"from{base}") and claims(spark, path, "from")[base] > late:
         return
-    _write(read_points(spark, path), f"{path}/b{deltas[-1]}")
-    jvm = spark._jvm
-    system = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for s in system.listStatus(jvm.org.apache.hadoop.fs.Path(path)):
-        name = s.getPath().getName()
+    target = f"{path}/new-{uuid.uuid4().hex}"
+    _write(_newest(spark, path, base, deltas), target)
+    move(spark, target, f"{path}/b{deltas[-1]}")
+    for name in listed(spark, path):
         if name[:1] in "bd" and name[1:].isdigit() and (int(name[1:]) < base or name == f"d{base}"):
-            system.delete(s.getPath(), True)
+            delete(spark, f"{path}/{name}")
 
 
-def read_points(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest row of each id; None if there is no collection.
-
-    Older tables lose the ids of newer ones in an anti join, whose right side is ids alone and small after few upserts.
-    """
-    base, deltas = _tables(spark, path)
+def _newest(spark: SparkSession, path: str, base: int, deltas: list[int]) -> DataFrame | None:
     tables = [spark.read.parquet(f"{path}/d{n}") for n in reversed(deltas)] + ([spark.read.parquet(f"{path}/b{base}")] if base else [])
     if not tables:
         return None
@@ -153,3 +162,12 @@ def read_points(spark: SparkSession, path: str) -> DataFrame | None:
         out = out.unionByName(older.join(seen, "id", "left_anti"))
         seen = seen.union(older.select("id"))
     return out
+
+
+def read_points(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest row of each id; None if there is no collection.
+
+    Older tables lose the ids of newer ones in an anti join, whose right side is ids alone; ids of a table are read again for each older one, so the number
+    of tables is kept small by ``compact``.
+    """
+    return _newest(spark, path, *_tables(spark, path))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from functools import reduce
 
@@ -15,6 +16,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from strataseek.config import BM25_B, BM25_K1, EQUAL_FUSION, HIGH_FROM, IDENTIFIER_WEIGHTS, MEDIUM_FROM, SEMANTIC_WEIGHTS
 from strataseek.scratch import fence, materialize
 
+log = logging.getLogger(__name__)
+
 IDENTIFIER = r"\b[A-Z0-9_-]{4,}\b"
 
 
@@ -91,15 +94,21 @@ def query_terms(spark: SparkSession, query: str) -> list[str]:
     return spark.range(1).select(F.array_distinct(terms(F.lit(query)))).first()[0]
 
 
-def inverted_index(docs: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """id, term, tf, n_terms: one row for each term of each document. Terms are sorted and counted inside the row: no shuffle."""
+def term_lists(docs: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """id, n_terms, t (array of term, tf): the terms of each document, sorted and counted inside the row. No shuffle."""
     own = docs.select(F.col(id_col).alias("id"), F.sort_array(terms(F.col(text_col))).alias("t"))
     t, n = F.col("t"), F.size("t")
     # Each different term begins where its neighbour before is another.
     begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
     own = fence(own.select("id", "t", F.when(n > 0, begins).alias("b")))
     found = F.transform("b", lambda i, k: F.struct(F.get(t, i).alias("term"), (F.coalesce(F.get(F.col("b"), k + 1), n) - i).cast("long").alias("tf")))
-    return own.select("id", n.alias("n_terms"), F.explode(found).alias("x")).select("id", "n_terms", "x.term", "x.tf")
+    return own.select("id", n.alias("n_terms"), F.coalesce(found, F.array().cast("array<struct<term:string,tf:bigint>>")).alias("t"))
+
+
+def inverted_index(docs: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """id, term, tf, n_terms: one row for each term of each document."""
+    own = term_lists(docs, id_col=id_col, text_col=text_col)
+    return own.select("id", "n_terms", F.explode("t").alias("x")).select("id", "n_terms", "x.term", "x.tf")
 
 
 def _weight(k1: float, b: float, docs: Column, mean: Column, df: Column, tf: Column, n: Column) -> Column:
@@ -142,11 +151,11 @@ class TextIndex:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
     def write(self, docs: DataFrame, *, id_col: str = "id", text_col: str = "text") -> "TextIndex":
-        found = inverted_index(docs, id_col=id_col, text_col=text_col).withColumn("bucket", self._bucket(F.col("term")))
+        lists = materialize(term_lists(docs, id_col=id_col, text_col=text_col), "term-lists")  # texts are read once
+        found = lists.select("id", "n_terms", F.explode("t").alias("x")).select("id", "n_terms", "x.term", "x.tf").withColumn("bucket", self._bucket(F.col("term")))
         dealt = found.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(self.files))).sortWithinPartitions("bucket", "term")
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
-        lengths = docs.select(F.size(terms(F.col(text_col))).alias("n"))
-        lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean")).write.mode("overwrite").parquet(f"{self.path}/totals")
+        lists.agg(F.count(F.lit(1)).alias("docs"), F.avg("n_terms").alias("mean")).write.mode("overwrite").parquet(f"{self.path}/totals")
         return self
 
     def scores(self, query: str, *, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
@@ -160,15 +169,23 @@ class TextIndex:
         part = _weight(k1, b, F.col("s.docs"), F.col("s.mean"), F.col("df"), F.col("tf"), F.col("n_terms"))
         return each.groupBy("id").agg(F.sum(part).alias("score"))
 
+    def topk(self, query: str, k: int, *, within: DataFrame | None = None) -> DataFrame:
+        """id, score of the k best by (score, id). within: ids that a search is restricted to."""
+        found = self.scores(query)
+        return top(found.join(within.select("id"), "id", "left_semi") if within is not None else found, k)
+
 
-def sparse(points: DataFrame, query: str, k: int, *, index: TextIndex | None = None, filtered: bool = False, id_col: str = "id", text_col: str = "content") -> DataFrame:
+def sparse(points: DataFrame, query: str, k: int, *, index=None, filtered: bool = False, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """id, score of the channel's k best among ``points``: from the index if there is one, else from the texts; nothing if there is neither.
 
-    filtered: ``points`` is a part of what the index holds. Frequencies are those of the index, or else of ``points``.
+    filtered: ``points`` is a part of what the index holds. Frequencies are those of the index, or else of ``points``. An index that fails is passed over.
     """
     if index is not None:
-        found = index.scores(query)
-        return top(found.join(points.select(F.col(id_col).alias("id")), "id", "left_semi") if filtered else found, k)
+        own = points.select(F.col(id_col).alias("id")) if filtered else None
+        try:
+            return index.topk(query, k, within=own)
+        except Exception as e:
+            log.warning("the index of terms failed, the texts are searched: %s", e)
     if text_col not in points.columns:
         return points.sparkSession.createDataFrame([], StructType([points.select(F.col(id_col).alias("id")).schema["id"], StructField("score", DoubleType())]))
     return bm25(points, query, k, id_col=id_col, text_col=text_col)

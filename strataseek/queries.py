@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strataseek import config as C
 from strataseek import scratch
 from strataseek.functions import text as T
-from strataseek.operators import answers, chunking, dependencies, evaluation, many, points, preprocess, rerank, retrieval, segment, sizing, vectors
+from strataseek.operators import answers, chunking, dependencies, evaluation, many, points, postings, preprocess, rerank, retrieval, segment, sizing, vectors
 from strataseek.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,7 +121,28 @@ def bm25_topk_indexed(spark, d):
     return retrieval.top(index.scores(QUERY).withColumn("score", F.round("score", 6)), 20)
 
 
-@query("inverted_index", f"SELECT id, term, len(t)::INT AS n_terms, count(*) AS tf FROM (SELECT doc_id AS id, {TERMS} AS t, unnest({TERMS}) AS term FROM documents) GROUP BY id, term, len(t)")
+def _blocks(spark) -> postings.PostingIndex:
+    return postings.PostingIndex(spark, scratch.new_path(spark, "postings"), buckets=8, files=2, block_docs=32)
+
+
+@query("bm25_topk_blocks", f"WITH {BM25} SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 20")
+def bm25_topk_blocks(spark, d):
+    """By postings in blocks, of which those that can't reach the twentieth aren't read."""
+    index = _blocks(spark).add(table(spark, d, "documents"), id_col="doc_id")
+    return index.topk(QUERY, 20).withColumn("score", F.round("score", 6))
+
+
+@query("bm25_topk_after_upserts", f"WITH {BM25} SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 20")
+def bm25_topk_after_upserts(spark, d):
+    """Some documents come first with other texts, some come later; what counts is what the last upsert has left."""
+    docs = table(spark, d, "documents")
+    k = F.col("doc_id") % 5
+    index = _blocks(spark).add(docs.where(k != 1).withColumn("text", F.when(k == 2, F.concat(F.lit("the of and retion the "), "source")).otherwise(F.col("text"))), id_col="doc_id")
+    index.add(docs.where(k.isin(1, 3)), id_col="doc_id").add(docs.where(k == 2), id_col="doc_id")
+    return index.topk(QUERY, 20).withColumn("score", F.round("score", 6))
+
+
+@query("inverted_index", f"SELECT id, term, n::INT AS n_terms, count(*) AS tf FROM (SELECT id, len(t) AS n, unnest(t) AS term FROM (SELECT doc_id AS id, {TERMS} AS t FROM documents)) GROUP BY id, term, n")
 def inverted_index(spark, d):
     return retrieval.inverted_index(table(spark, d, "documents"), id_col="doc_id")
 
