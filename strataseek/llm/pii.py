@@ -29,14 +29,17 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataseek.functions.text import bound
 from strataseek.llm.scratch import materialize
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 CONTEXT = 48
+#: Characters of a piece of a text; more than ``CONTEXT``.
+TEXT_PIECE = 1024
 VOTES = 6
 #: Elements of one block of a running sum.
-SUM_BLOCK = 512
+SUM_BLOCK = 128
 ROUNDS = 60
 #: A looser candidate is added from this log odds on.
 ADD_FROM = 0.0
@@ -95,11 +98,35 @@ def _running_sum(lengths: Column) -> Column:
     """Inclusive running sum in O(n * (SUM_BLOCK + n / SUM_BLOCK))."""
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
     block = lambda i: F.floor(i / F.lit(SUM_BLOCK)).cast("int")
-    sums = F.transform(F.sequence(F.lit(0), block(F.greatest(F.size(lengths), F.lit(1)) - 1)), lambda b: total(F.slice(lengths, b * SUM_BLOCK + 1, SUM_BLOCK)))
-    with_sums = lambda s: F.transform(
-        lengths, lambda _, i: total(F.slice(s, F.lit(1), block(i))) + total(F.slice(lengths, block(i) * SUM_BLOCK + 1, i % SUM_BLOCK + 1))
-    )
-    return F.get(F.transform(F.array(sums), with_sums), F.lit(0))
+
+    def of(own: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), block(F.greatest(F.size(own), F.lit(1)) - 1)), lambda b: total(F.slice(own, b * SUM_BLOCK + 1, SUM_BLOCK)))
+        return bound(sums, lambda s: F.transform(own, lambda _, i: total(F.slice(s, F.lit(1), block(i))) + total(F.slice(own, block(i) * SUM_BLOCK + 1, i % SUM_BLOCK + 1))))
+
+    return bound(lengths, of)
+
+
+def _clear_of(own: Column, taken: Column) -> Column:
+    """The spans of ``own`` that overlap none of ``taken``: as many taken ones end at or before a span's start as begin before its end.
+
+    Both counts are running sums over sorted bounds, so the work grows with n log n, not with the product.
+    """
+
+    def counts(base: str, base_first: bool, span: str) -> Column:
+        """By place in ``own``: how many of ``taken`` have ``base`` below the span's ``span``, or at it if base_first."""
+        of_base = F.transform(taken, lambda b: F.struct(b[base].alias("v"), F.lit(0 if base_first else 1).alias("turn"), F.lit(-1).alias("i")))
+        of_own = F.transform(own, lambda x, i: F.struct(x[span].alias("v"), F.lit(1 if base_first else 0).alias("turn"), i.alias("i")))
+
+        def counted(events: Column) -> Column:
+            so_far = _running_sum(F.transform(events, lambda e: F.when(e["i"] < 0, 1).otherwise(0)))
+            by_place = F.array_sort(F.filter(F.zip_with(events, so_far, lambda e, n: F.struct(e["i"].alias("i"), n.alias("n"))), lambda x: x["i"] >= 0))
+            return F.transform(by_place, lambda x: x["n"])
+
+        return bound(F.array_sort(F.concat(of_base, of_own)), counted)
+
+    begun, ended = counts("start", False, "end"), counts("end", True, "start")
+    free = bound(begun, lambda a: bound(ended, lambda b: F.filter(own, lambda x, i: F.get(a, i) == F.get(b, i))))
+    return F.when((F.size(own) > 0) & (F.size(taken) > 0), free).otherwise(own)
 
 
 def _find(df: DataFrame, out: str, pattern: str, needed: Column) -> DataFrame:
@@ -201,22 +228,36 @@ def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 df = df.withColumn(out, F.filter(out, _checked(kind)))
             found.append((kind, base, out))
     taken = F.flatten(F.array(*(F.coalesce(out, F.array().cast("array<struct<start:int,end:int,match:string>>")) for _, base, out in found if base)))
-    df = df.withColumn("__taken", taken)
+    any_found = F.greatest(*(F.coalesce(F.size(out), F.lit(-1)) for *_, out in found)) > 0
+    # Pieces of the text: what stands beside a span is taken from them, not from the text's start on.
+    df = df.withColumns({"__taken": taken, "__pieces": F.when(any_found, F.regexp_extract_all("__t", F.lit(rf"(?s).{{1,{TEXT_PIECE}}}"), F.lit(0)))})
+
+    def piece(k: Column) -> Column:
+        return F.coalesce(F.get("__pieces", k), F.lit(""))
+
+    def before(at: Column) -> Column:
+        k = F.floor(at / F.lit(TEXT_PIECE)).cast("int")
+        return F.substring(F.concat(piece(k - 1), piece(k)), at - F.greatest(k - 1, F.lit(0)) * TEXT_PIECE - F.least(at, F.lit(CONTEXT)) + 1, F.least(at, F.lit(CONTEXT)))
+
+    def after(at: Column) -> Column:
+        k = F.floor(at / F.lit(TEXT_PIECE)).cast("int")
+        return F.substring(F.concat(piece(k), piece(k + 1)), at - k * TEXT_PIECE + 1, F.lit(4))
 
     def spans(kind: str, base: bool, out: str) -> Column:
         own = F.col(out)
         if not base:
-            own = F.filter(own, lambda x: ~F.exists("__taken", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+            own = _clear_of(own, F.col("__taken"))
 
-        def one(x: Column) -> Column:
+        def described(x: Column, left: Column, right: Column) -> Column:
             m = x["match"]
-            before = F.substring(F.col("__t"), F.greatest(x["start"] - CONTEXT + 1, F.lit(1)), F.least(x["start"], F.lit(CONTEXT)))
-            after = F.substring(F.col("__t"), x["end"] + 1, F.lit(4))
-            votes = F.concat(*((v + 1).cast("string") for v in _votes(kind, base, m, before, after)))
+            votes = F.concat(*((v + 1).cast("string") for v in _votes(kind, base, m, left, right)))
             return F.struct(
-                F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(base).alias("base"), votes.alias("votes"), F.array(*_features(m, before, after)).alias("features")
+                F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(base).alias("base"), votes.alias("votes"), F.array(*_features(m, left, right)).alias("features")
             )
 
+        def one(x: Column) -> Column:
+            return bound(before(x["start"]), lambda left: bound(after(x["end"]), lambda right: described(x, left, right)))
+
         return F.coalesce(F.transform(own, one), F.array().cast("array<struct<kind:string,start:int,end:int,base:boolean,votes:string,features:array<string>>>"))
 
     return df.select("doc_id", F.concat(*(spans(*x) for x in found)).alias("found"))

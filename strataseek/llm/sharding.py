@@ -11,13 +11,14 @@ Law: ``key``. The shard depends on the id and the tree alone.
 
 Cases: a null id is one key like any other; repeated rows go to one shard and take
 different slots; a null text has size 8 and the CRC of no bytes; an empty table gives
-no rows; further columns of the input are ignored, whatever their names.
+no rows; further columns of the input are ignored, whatever their names; a weight that isn't
+above 0, a shard number twice or an empty region or rack is an error.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from math import ceil
+from math import ceil, isfinite
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,10 @@ class Shard:
     number: int
     weight: float = 1.0
 
+    def __post_init__(self) -> None:
+        if not (isfinite(self.weight) and self.weight > 0):
+            raise ValueError(f"shard {self.number} needs a weight above 0, not {self.weight}")
+
 
 @dataclass(frozen=True)
 class Tree:
@@ -40,6 +45,11 @@ class Tree:
 
     regions: tuple[tuple[tuple[Shard, ...], ...], ...]
 
+    def __post_init__(self) -> None:
+        numbers = [s.number for s in self.shards()]
+        if not numbers or len(set(numbers)) < len(numbers) or not all(rack for region in self.regions for rack in region) or not all(self.regions):
+            raise ValueError("a tree needs shards with numbers of their own, and no empty region or rack")
+
     @classmethod
     def even(cls, regions: int, racks: int, shards: int) -> "Tree":
         def rack(i: int, j: int) -> tuple[Shard, ...]:

@@ -17,7 +17,8 @@ appear under their final names only when the job commits.
 
 Cases: a null payload is empty; null URLs become ``urn:page:<id>``; white space and
 control characters in URLs are percent-encoded; repeated rows: one is the response, the
-others revisit it; an empty table writes no archive and reads as no rows.
+others revisit it; an empty table writes no archive and reads as no rows; a numeric header of others that isn't a
+number reads as null; a record without a length is an error, for nothing tells where the next one begins.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from strataseek.llm.scratch import discard, materialize
+
 SCHEMA = "warc_type string, record_id string, target_uri string, date string, page_id long, payload_bytes long, payload_digest string, refers_to long, payload binary"
 #: Header field of each column that filters can be pushed down on.
 FIELDS = {
@@ -100,6 +103,11 @@ def read_head(f) -> dict[str, str] | None:
     return fields
 
 
+def whole_number(value: str | None) -> int | None:
+    """The number of a header field; None if there is none, as in archives of others."""
+    return int(value) if value is not None and re.fullmatch(r"[0-9]{1,18}|-[0-9]{1,18}", value) else None
+
+
 def unchunked(body: bytes) -> bytes:
     """The body of a chunked transfer."""
     out, at = [], 0
@@ -135,7 +143,9 @@ class Test:
         if found is None:
             return False
         if self.column in NUMBERS:
-            found = int(found)  # type: ignore[arg-type]
+            found = whole_number(found)  # type: ignore[arg-type]
+            if found is None:
+                return False
         elif self.column == "payload_digest":
             found = str(found).removeprefix("sha1:")
         if self.kind == "in":
@@ -222,7 +232,9 @@ class WarcReader(DataSourceReader):
             f = io.BufferedReader(gzip.GzipFile(fileobj=raw) if packed else raw, 1 << 16)  # type: ignore[arg-type]
             f.seek(partition.start)
             while (packed or f.tell() < partition.end) and (fields := read_head(f)) is not None:
-                kind, length = fields.get("warc-type", ""), int(fields["content-length"])
+                kind, length = fields.get("warc-type", ""), whole_number(fields.get("content-length"))
+                if length is None:  # where it ends can't be known
+                    raise ValueError(f"{partition.path}: a record without a length")
                 if kind == "warcinfo" and not infos or not all(t.passes(fields) for t in self.tests):
                     f.seek(length, io.SEEK_CUR)
                     continue
@@ -231,7 +243,7 @@ class WarcReader(DataSourceReader):
                     payload = http_payload(f.read(length))
                 else:
                     f.seek(length, io.SEEK_CUR)
-                number = lambda name: int(fields[name.lower()]) if name.lower() in fields else None  # noqa: B023, E731
+                number = lambda name: whole_number(fields.get(name.lower()))  # noqa: B023, E731
                 yield (
                     kind,
                     fields.get("warc-record-id"),
@@ -361,8 +373,8 @@ def register(spark) -> None:
 def archive_pages(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> None:
     """Write one record per row under ``path``. Of equal payloads of ``min_bytes`` or more, the one with the largest id is the response.
 
-    Owners are found on digests alone (combined before the shuffle) and only digests that
-    occur twice go on; the payloads meet them in one join, whose hot digests can be split.
+    Rows get a number and are written once, so that it is the same wherever it is looked at. Owners are found on digests alone (combined
+    before the shuffle) and are a table of those that occur twice, whose size decides whether payloads are shuffled to meet it.
     """
     register(pages.sparkSession)
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
@@ -371,17 +383,20 @@ def archive_pages(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
         F.col(url_col).cast("string").alias("url"),
         payload.alias("payload"),
         F.sha1(payload).alias("digest"),
-        F.xxhash64(url_col).alias("tie"),
+        F.xxhash64(F.col(url_col).cast("string")).alias("tie"),
+        (F.octet_length(payload) >= min_bytes).alias("may_own"),
         F.monotonically_increasing_id().alias("row"),
     )
+    rows = materialize(rows, "pages")
     key = F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("low"), "tie", "row")
     owners = (
-        rows.where(F.octet_length("payload") >= min_bytes)
+        rows.where("may_own")
         .groupBy(F.col("digest").alias("owned"))
         .agg(F.count(F.lit(1)).alias("n"), F.max(key).alias("owner"), F.max_by("page_id", key).alias("owner_id"))
         .where("n > 1")
     )
-    revisit = F.col("owner").isNotNull() & (F.octet_length("payload") >= min_bytes) & (F.col("owner.row") != F.col("row"))
+    owners = materialize(owners, "owners")
+    revisit = F.col("owner").isNotNull() & F.col("may_own") & (F.col("owner.row") != F.col("row"))
     out = rows.join(owners, F.col("digest") == F.col("owned"), "left").select(
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         "page_id",
@@ -391,6 +406,8 @@ def archive_pages(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
         "payload",
     )
     out.write.format("warc").mode("append").option("path", path).save()
+    discard(rows)
+    discard(owners)
 
 
 def read_archives(spark, path: str, *, payload: bool = True) -> DataFrame:

@@ -239,3 +239,69 @@ def test_shares_are_exact_for_large_counts():
 
     counts, total, kinds = np.array([[10**15 - 1, 7, 0]]), np.array([10**15]), 10**6
     assert shares(counts, total, kinds).tolist() == [[1 + 10**9 * (c + 1) // (10**15 + 10**6) for c in (10**15 - 1, 7, 0)]]
+
+
+# ---------------------------------------------------------------- earlier operators
+
+
+@pytest.mark.parametrize("weight", [0, -1, float("nan"), float("inf")])
+def test_weights_of_shards_are_above_zero(weight):
+    from strataseek.llm.sharding import Shard, Tree
+
+    with pytest.raises(ValueError, match="above 0"):
+        Shard(3, weight)
+    with pytest.raises(ValueError, match="above 0"):
+        Tree.even(1, 1, 2).grown(0, 0, weight)
+
+
+def test_trees_of_shards_are_checked():
+    from strataseek.llm.sharding import Shard, Tree
+
+    for regions in ((), ((),), (((),),), (((Shard(1), Shard(1)),),)):
+        with pytest.raises(ValueError, match="numbers of their own"):
+            Tree(regions)
+
+
+def test_dense_rows_of_personal_data_take_time_in_proportion(spark):
+    import time
+
+    from strataseek.llm.pii import candidates
+
+    def seconds(n):
+        text = " ".join(f"call 030 {i % 900 + 100:03d}-{i % 10000:04d} or +49 30 {i:07d};" for i in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        took = []
+        for _ in range(2):
+            began = time.perf_counter()
+            assert candidates(docs).select(F.size("found")).first()[0] == 2 * n
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    seconds(50)
+    assert seconds(4000) < 2.5 * seconds(2000)
+
+
+def test_loose_spans_beside_base_ones(spark):
+    from strataseek.llm.pii import _clear_of
+
+    rnd = random.Random(9)
+    span = lambda: (lambda a: (a, a + rnd.randrange(1, 12)))(rnd.randrange(400))
+    rows = [([span() for _ in range(rnd.randrange(0, 30))], [span() for _ in range(rnd.randrange(0, 400))]) for _ in range(40)]
+    kind = "array<struct<start:int,end:int>>"
+    got = spark.createDataFrame(rows, f"own {kind}, taken {kind}").select("own", "taken", _clear_of(F.col("own"), F.col("taken")).alias("free")).collect()
+    for r in got:
+        assert r.free == [x for x in r.own if not any(b.start < x.end and x.start < b.end for b in r.taken)]
+
+
+def test_pages_behind_a_shuffle_and_with_columns_of_like_names(spark, tmp_path):
+    from strataseek.llm.warc import archive_pages, read_archives
+
+    rows = [(i, f"http://h/{i}", f"page {i % 40}") for i in range(400)] + [(7, "http://h/7", "page 7")] * 3 + [(None, None, None), (None, None, None), (900, "u", "")]
+    pages = more(spark.createDataFrame(rows, "page_id long, url string, html string")).withColumns({n: F.lit(1) for n in ("row", "digest", "tie", "owner", "payload", "may_own")})
+    shuffled = pages.repartition(7).join(spark.range(2).withColumnRenamed("id", "page_id").withColumn("found", F.lit(1)), "page_id", "left").groupBy(pages.columns).count()
+    shuffled = shuffled.select(*pages.columns, F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("n")).orderBy(F.rand(3))
+    archive_pages(shuffled, f"file://{tmp_path}/w")
+    found = read_archives(spark, f"file://{tmp_path}/w", payload=False).collect()
+    by = Counter((r.payload_digest, r.warc_type) for r in found)
+    assert len(found) == len(rows) and all(by[d, "response"] == 1 for d, _ in by)
+    assert all(r.refers_to == 360 + r.page_id % 40 for r in found if r.warc_type == "revisit" and r.page_id is not None and r.page_id < 400)
