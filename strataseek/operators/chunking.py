@@ -7,6 +7,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataseek.functions.bytepairs import BytePairs
 from strataseek.functions.text import is_blank
 from strataseek.operators.dependencies import dependencies
 from strataseek.operators.segment import block_chunks
@@ -21,12 +22,12 @@ def metadata() -> Column:
     return F.create_map(*chain.from_iterable((F.lit(k), F.coalesce(F.col(c).cast("string"), F.lit(""))) for k, c in fields.items()))
 
 
-def chunk(processed: DataFrame) -> DataFrame:
+def chunk(processed: DataFrame, pairs: BytePairs | None = None) -> DataFrame:
     """path, codebase, language, content, line_start, line_end, chunk_type, name, division, token_count, part, dependencies, metadata.
 
-    processed: path, codebase, language, code. part: the place among the file's chunks.
+    processed: path, codebase, language, code. part: the place among the file's chunks. pairs: tokens are byte pairs by this table, else white-space words.
     """
     files = processed.select(*KEYS, "code").where(~is_blank(F.col("code")))
-    merged = merge_small(block_chunks(files, *KEYS), F.when(F.col("language") == "cobol", "UNKNOWN").otherwise("MIXED"))
+    merged = merge_small(block_chunks(files, *KEYS), F.when(F.col("language") == "cobol", "UNKNOWN").otherwise("MIXED"), pairs=pairs)
     chunks = merged.select(*KEYS, F.posexplode("chunks").alias("part", "c")).select(*KEYS, "c.*", "part")
-    return split_oversized(chunks).withColumn("dependencies", dependencies(F.col("language"), F.col("content"))).withColumn("metadata", metadata())
+    return split_oversized(chunks, pairs=pairs).withColumn("dependencies", dependencies(F.col("language"), F.col("content"))).withColumn("metadata", metadata())

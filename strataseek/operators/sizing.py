@@ -7,8 +7,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from strataseek.config import MAX_CHUNK_TOKENS, MIN_CHUNK_TOKENS
+from strataseek.functions.bytepairs import BytePairs, Growing
 from strataseek.functions.text import SPACE, bound, strip
 from strataseek.scratch import fence
 
@@ -45,15 +47,50 @@ def _merged(group: Column, mixed: Column) -> Column:
     return bound(group, lambda g: F.when(F.size(g) == 1, F.get(g, F.lit(0))).otherwise(several(g)))
 
 
-def merge_small(df: DataFrame, mixed: Column | str, *, col: str = "chunks", least: int = MIN_CHUNK_TOKENS) -> DataFrame:
+def _merge_ends(contents: list[str], least: int, pairs: BytePairs) -> tuple[list[int], bool, list[int]]:
+    """Where groups after the first begin, whether the last joins the one before, and the tokens of the groups after that."""
+    ends: list[int] = []
+    tokens: list[int] = []
+    texts: list[str] = []
+    for at, text in enumerate(contents):
+        if at and tokens[-1] < least:
+            texts[-1] = f"{texts[-1]}\n{text}".strip()
+            tokens[-1] = pairs.count(texts[-1])
+        else:
+            texts.append(text)
+            tokens.append(pairs.count(text))
+            ends += [at] if at else []
+    tail = bool(tokens) and tokens[-1] < least
+    if tail and len(tokens) > 1:
+        tokens[-2:] = [pairs.count("\n".join(texts[-2:]).strip())]
+    return ends, tail, tokens
+
+
+def _with_ends(df: DataFrame, col: str, least: int, pairs: BytePairs) -> DataFrame:
+    names = df.columns
+    out = StructType([*df.schema.fields, StructField("__ends", ArrayType(IntegerType())), StructField("__tail", BooleanType()), StructField("__tokens", ArrayType(IntegerType()))])
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            found = [_merge_ends([c["content"] or "" for c in own or []], least, pairs) for own in batch.column(names.index(col)).to_pylist()]
+            more = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.list_(pa.int32()), pa.bool_(), pa.list_(pa.int32())))]
+            yield pa.record_batch([*batch.columns, *more], names=out.names)
+
+    return df.mapInArrow(batches, out)
+
+
+def merge_small(df: DataFrame, mixed: Column | str, *, col: str = "chunks", least: int = MIN_CHUNK_TOKENS, pairs: BytePairs | None = None) -> DataFrame:
     """``df`` with its array of chunks merged: one under ``least`` tokens takes in the next, again and again; a small last one joins the one before.
 
     Tokens are white-space words, so those of a merged chunk are the sum. Where groups begin is found on counts alone; contents are put together once.
-    ``mixed`` names unequal divisions.
+    With ``pairs``, tokens are byte pairs, which don't add up: each merged content is counted anew. ``mixed`` names unequal divisions.
     """
     names = [c for c in df.columns if c != col]
     mixed = F.lit(mixed) if isinstance(mixed, str) else mixed
     df = fence(df.select(*names, F.col(col).alias("__c")))
+    if pairs is not None:
+        found = fence(_merged_at(_with_ends(df, "__c", least, pairs).withColumn("__b", F.concat(F.array(F.lit(0)), "__ends")), names, mixed, col, "__tokens"))
+        return found.select(*names, F.transform(col, lambda c, i: c.withField("token_count", F.get("__tokens", i))).alias(col))
     start = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("open"), F.lit(0).alias("at"))
 
     def step(acc: Column, n: Column) -> Column:
@@ -66,12 +103,56 @@ def merge_small(df: DataFrame, mixed: Column | str, *, col: str = "chunks", leas
 
     df = df.select(*names, "__c", F.aggregate(F.transform("__c", lambda c: c["token_count"]), start, step).alias("__a"))
     df = df.select(*names, "__c", F.concat(F.array(F.lit(0)), "__a.ends").alias("__b"), (F.col("__a.open") < least).alias("__tail"))
+    return _merged_at(df, names, mixed, col)
+
+
+def _merged_at(df: DataFrame, names: list[str], mixed: Column, col: str, *more: str) -> DataFrame:
+    """Chunks __c put together from each place in __b on; with __tail, the last two of these too."""
+    names = [*names, *more]
     group = lambda at, k: F.slice(F.col("__c"), at + 1, F.coalesce(F.get("__b", k + 1), F.size("__c")) - at)
     df = fence(df.select(*names, "__tail", F.when(F.size("__c") > 0, F.transform("__b", lambda at, k: _merged(group(at, k), mixed))).otherwise(F.col("__c")).alias("__m")))
     last = F.concat(F.slice("__m", F.lit(1), F.size("__m") - 2), F.array(_merged(F.slice("__m", -2, 2), mixed)))
     return fence(df.select(*names, F.when(F.col("__tail") & (F.size("__m") > 1), last).otherwise(F.col("__m")).alias(col)))
 
 
+def split_by_pairs(content: str, first_line: int, last_line: int, name: str, most: int, pairs: BytePairs) -> list[tuple[str, int, int, str, int]]:
+    """As ``split_text``, by byte pairs: what a part would have with one more line is counted on the text as it grows."""
+    total = pairs.count(content)
+    rows = content.splitlines()
+    if total <= most or not rows:
+        return [(content, first_line, last_line, name, total)]
+    parts: list[tuple[str, int, int, str]] = []
+    held: list[str] = []
+    start, grown = first_line, Growing(pairs)
+    for at, line in enumerate(rows, first_line):
+        n, more = grown.after(f"\n{line}" if held else line)
+        if held and n > most:
+            parts.append(("\n".join(held), start, at - 1, name))
+            held, start = [], at
+            n, more = Growing(pairs).after(line)
+            held, grown = [line], more
+        elif not held and n > most:
+            words: list[str] = []
+            grown = Growing(pairs)
+            for word in line.split():
+                n, more = grown.after(f" {word}" if words else word)
+                if words and n > most:
+                    parts.append((" ".join(words), at, at, f"{name}#{len(parts) + 1}"))
+                    words, (_, more) = [], Growing(pairs).after(word)
+                words.append(word)
+                grown = more
+            if words:
+                parts.append((" ".join(words), at, at, f"{name}#{len(parts) + 1}"))
+            start, grown = at + 1, Growing(pairs)
+        else:
+            held.append(line)
+            grown = more
+    if held:
+        parts.append(("\n".join(held), start, last_line, name))
+    several = len(parts) > 1
+    return [(c, a, b, f"{own}#{i}" if several and "#" not in own else own, pairs.count(c)) for i, (c, a, b, own) in enumerate(parts, 1)]
+
+
 def split_text(content: str, first_line: int, last_line: int, name: str, most: int) -> list[tuple[str, int, int, str, int]]:
     """(content, line_start, line_end, name, tokens) of the parts. Words are white-space words, so counts of lines add up.
 
@@ -103,8 +184,8 @@ def split_text(content: str, first_line: int, last_line: int, name: str, most: i
     return parts
 
 
-def split_oversized(chunks: DataFrame, most: int = MAX_CHUNK_TOKENS) -> DataFrame:
-    """The rows of ``chunks`` (with content, line_start, line_end, name, token_count), cut to the limit. No shuffle."""
+def split_oversized(chunks: DataFrame, most: int = MAX_CHUNK_TOKENS, *, pairs: BytePairs | None = None) -> DataFrame:
+    """The rows of ``chunks`` (with content, line_start, line_end, name, token_count), cut to the limit. No shuffle. pairs: tokens are byte pairs, not words."""
     names = chunks.columns
     at = {n: names.index(n) for n in ("content", "line_start", "line_end", "name", "token_count")}
 
@@ -114,7 +195,7 @@ def split_oversized(chunks: DataFrame, most: int = MAX_CHUNK_TOKENS) -> DataFram
             new: list[tuple[str, int, int, str, int]] = []
             own = [batch.column(at[n]).to_pylist() for n in ("content", "line_start", "line_end", "name")]
             for i, row in enumerate(zip(*own, strict=True)):
-                parts = split_text(row[0] or "", row[1], row[2], row[3], most)
+                parts = split_by_pairs(row[0] or "", *row[1:], most, pairs) if pairs else split_text(row[0] or "", *row[1:], most)
                 index += [i] * len(parts)
                 new += parts
             out = batch.take(pa.array(index, pa.int64()))
