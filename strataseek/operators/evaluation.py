@@ -81,6 +81,12 @@ def codebases_found(results: DataFrame, *keys: str, wanted: str | None = None) -
     return results.groupBy(*keys).agg(F.array_sort(F.collect_set(own)).alias("codebases"), (F.count_distinct(own) > 1).alias("several"), *match)
 
 
+def codebases_in_order(results: DataFrame, *keys: str) -> DataFrame:
+    """keys, codebases: each codebase once, in the order of its best rank (of equal ranks by name). Rows without one don't count."""
+    best = results.where(F.nullif("codebase", F.lit("")).isNotNull()).groupBy(*keys, "codebase").agg(F.min("rank").alias("rank"))
+    return best.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "codebase"))), lambda x: x["codebase"]).alias("codebases"))
+
+
 def codebase_counts(registry: DataFrame, chunks: DataFrame) -> DataFrame:
     """name, chunks of each registered codebase, those without any too."""
     n = chunks.groupBy(F.col("codebase").alias("name")).agg(F.count(F.lit(1)).alias("n"))

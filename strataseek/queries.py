@@ -380,6 +380,17 @@ def supported_files(spark, d):
     return own.groupBy("language", "codebase").agg(F.count(F.lit(1)).alias("files"))
 
 
+@query(
+    "binary_sniff",
+    "SELECT doc_id, b <> '' AND (doc_id % 10 = 5 OR len(regexp_extract_all(b, '[\\t\\n\\r -~]')) < strlen(b) * 0.75) AS is_binary FROM (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 10 = 3 THEN repeat('é', n_chars::INT // 5) WHEN doc_id % 10 = 5 THEN '?' ELSE '' END AS b FROM documents)",
+)
+def binary_sniff(spark, d):
+    k = F.col("doc_id") % 10
+    more = F.when(k == 3, F.repeat(F.lit("é"), F.floor(F.col("n_chars") / 5).cast("int"))).when(k == 5, F.lit("\x00")).otherwise("")
+    own = table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), more).cast("binary").alias("content"))
+    return own.select("doc_id", files.looks_binary(F.col("content")).alias("is_binary"))
+
+
 @query("codebase_registry", f"WITH {ROUTES} SELECT name, language, ord::INT AS ord, array_to_string(extensions, ',') AS extensions FROM registry")
 def codebase_registry(spark, d):
     return C.codebases(spark).select("name", "language", "ord", F.array_join("extensions", ",").alias("extensions"))
@@ -472,6 +483,51 @@ def gap_blocks(spark, d):
     return segment.fortran_blocks(files).select("doc_id", F.inline("blocks")).select("doc_id", "line_start", "line_end", "name")
 
 
+#: Heads and ends of all kinds of unit, spelt in different ways, between the lines of a document.
+UNIT_LINES = {2: "  pure function F{n}(x)", 4: "  END FUNCTION f{n}", 5: "module  m{n}", 7: "   end module", 8: "block  data b{n}", 9: "end block data", 10: "Double Precision FUNCTION d{n}()", 12: "END", 13: "program p{n}", 14: "end\tprogram p{n}  ", 16: "endsubroutine"}
+UNIT_LINES_SQL = "CASE line_no % 17 " + " ".join(f"WHEN {k} THEN replace('{v}', '{{n}}', line_no::VARCHAR)" for k, v in UNIT_LINES.items()) + " ELSE line END"
+
+
+@query(
+    "fortran_units",
+    f"""WITH m AS (SELECT *, regexp_matches(line, '{segment.UNIT_HEADER}') AS head, regexp_matches(line, '{segment.UNIT_END}') AS ends FROM (SELECT doc_id, line_no::INT AS no, last::INT AS last, {UNIT_LINES_SQL} AS line FROM {LINES_SQL})),
+u AS (SELECT *, lead(no) OVER w AS next_no, lead(head) OVER w AS next_head FROM (SELECT * FROM m WHERE head OR ends) WINDOW w AS (PARTITION BY doc_id ORDER BY no)),
+b AS (SELECT doc_id, no AS line_start, coalesce(CASE WHEN next_head THEN next_no - 1 ELSE next_no END, last) AS line_end, last, upper(regexp_extract(line, '{segment.UNIT_HEADER}', 2)) AS name,
+ regexp_replace(upper(regexp_extract(line, '{segment.UNIT_HEADER}', 1)), '\\s+', ' ', 'g') AS division FROM u WHERE head),
+g AS (SELECT doc_id, coalesce(lag(line_end) OVER w, 0) + 1 AS line_start, line_start - 1 AS line_end FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY line_start)
+ UNION ALL SELECT doc_id, max(line_end) + 1, max(last) FROM b GROUP BY doc_id UNION ALL SELECT doc_id, 1, max(last) FROM m GROUP BY doc_id HAVING NOT bool_or(head))
+SELECT doc_id, line_start, line_end, lower(replace(division, ' ', '_')) AS chunk_type, name, division FROM b UNION ALL SELECT *, 'file_block', 'FILE-BLOCK', 'UNKNOWN' FROM g WHERE line_start <= line_end""",
+)
+def fortran_units(spark, d):
+    def one(x, i):
+        out, no = x, (i + 1).cast("string")
+        for k, v in UNIT_LINES.items():
+            out = F.when((i + 1) % 17 == k, F.replace(F.lit(v), F.lit("{n}"), no)).otherwise(out)
+        return out
+
+    own = table(spark, d, "documents").select("doc_id", F.transform(T.lines(F.coalesce("text", F.lit(""))), one).alias("lines"))
+    return segment.fortran_blocks(own).select("doc_id", F.inline("blocks")).select("doc_id", "line_start", "line_end", "chunk_type", "name", "division")
+
+
+SIGNAL_LINES = "CASE line_no % 5 WHEN 0 THEN 'c ' || line WHEN 1 THEN '     &' || line WHEN 2 THEN line || ' & ' WHEN 3 THEN 'x ! ' || line ELSE '     0' || line END"
+
+
+@query(
+    "form_signals",
+    f"""SELECT doc_id, count(*) FILTER (WHERE l[1] IN ('C', 'c', '*')) + count(*) FILTER (WHERE l LIKE ' %' AND substr(l, 6, 1) NOT IN (' ', '0', '')) AS fixed,
+ count(*) FILTER (WHERE contains(l, '!') AND {RTRIM("split_part(l, '!', 1)")} <> '') + count(*) FILTER (WHERE {RTRIM('l')} LIKE '%&') + count(*) FILTER (WHERE length({RTRIM('l')}) > 72) AS free
+ FROM (SELECT doc_id, l, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM (SELECT doc_id, line_no, {SIGNAL_LINES} AS l FROM {LINES_SQL}) WHERE {RTRIM('l')} <> '') WHERE n <= 20 GROUP BY doc_id""",
+)
+def form_signals(spark, d):
+    def one(x, i):
+        k = (i + 1) % 5
+        return F.when(k == 0, F.concat(F.lit("c "), x)).when(k == 1, F.concat(F.lit("     &"), x)).when(k == 2, F.concat(x, F.lit(" & "))).when(k == 3, F.concat(F.lit("x ! "), x)).otherwise(F.concat(F.lit("     0"), x))
+
+    own = table(spark, d, "documents").where("text <> ''").select("doc_id", F.array_join(F.transform(T.lines(F.col("text")), one), "\n").alias("text"))
+    found = own.select("doc_id", preprocess.form_signals(F.col("text")).alias("s"))
+    return found.select("doc_id", F.col("s.fixed").cast("long").alias("fixed"), F.col("s.free").cast("long").alias("free"))
+
+
 def _folded_sql(rows: str, joint: str) -> str:
     """(key, code_line by g) of rows (key, pos, piece, more): a later piece goes to the line before, whose blank end is dropped."""
     return f"""(SELECT key, g, CASE WHEN count(*) = 1 THEN max(piece) ELSE {RTRIM("arg_min(piece, pos)")} ||
@@ -728,6 +784,12 @@ def distinct_codebases(spark, d):
     return evaluation.codebases_found(results, "lang", wanted="wanted").withColumn("codebases", F.array_join("codebases", ","))
 
 
+@query("codebases_by_rank", "SELECT lang, array_to_string(list(source ORDER BY best DESC, source), ',') AS codebases FROM (SELECT lang, source, max(n_chars) AS best FROM documents WHERE source <> '' GROUP BY ALL) GROUP BY lang")
+def codebases_by_rank(spark, d):
+    results = table(spark, d, "documents").select("lang", F.col("source").alias("codebase"), (-F.col("n_chars")).alias("rank"))
+    return evaluation.codebases_in_order(results, "lang").withColumn("codebases", F.array_join("codebases", ","))
+
+
 @query("smoke_verdict", "SELECT count(*) FILTER (WHERE passed) AS passed_count, count(*) AS total, count(*) FILTER (WHERE passed) >= 8 AS ok FROM (SELECT turn % 5 <> 0 AND coalesce(text, '') <> '' AS passed FROM conversations)")
 def smoke_verdict(spark, d):
     said = table(spark, d, "conversations").select(F.when(F.col("turn") % 5 == 0, 500).otherwise(200).alias("status"), F.col("text").alias("answer"))
@@ -830,6 +892,16 @@ def deps_cobol(spark, d):
     return _called(spark, d).select("doc_id", F.array_join(dependencies.cobol_dependencies(F.col("t")), ",").alias("dependencies"))
 
 
+@query("deps_fortran", "SELECT doc_id, 'MOD_' || doc_id % 7 || ',Inc/File' || doc_id % 3 || '.h,SUB' || doc_id % 5 || ',MOD_X' AS dependencies FROM documents")
+def deps_fortran(spark, d):
+    no = lambda k: (F.col("doc_id") % k).cast("string")
+    t = F.concat(
+        F.regexp_replace(F.coalesce("text", F.lit("")), "(?i)use|include|call", "-"), F.lit("\n USE mod_"), no(7), F.lit(", only: x\n include 'Inc/File"), no(3), F.lit(".h'\n  call Sub"), no(5), F.lit("(a)\n CALL sub"), no(5),
+        F.lit("\n call mod_x\n call MOD_"), no(7), F.lit("\n"),
+    )
+    return table(spark, d, "documents").select("doc_id", F.array_join(dependencies.fortran_dependencies(t), ",").alias("dependencies"))
+
+
 @query("reverse_deps", "SELECT target, count(DISTINCT doc_id) AS n_users FROM (SELECT doc_id, unnest(['X-' || doc_id % 9, 'SUB' || doc_id % 5, 'BOOK' || doc_id % 3, upper(source) || '-A', upper(source) || '-Z']) AS target FROM documents WHERE text IS NOT NULL) GROUP BY target")
 def reverse_deps(spark, d):
     own = _called(spark, d).select(F.col("doc_id").alias("name"), dependencies.cobol_dependencies(F.col("t")).alias("dependencies"))
