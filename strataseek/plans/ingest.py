@@ -17,6 +17,7 @@ from strataseek.operators.preprocess import preprocess
 from strataseek.providers import Embedder, HashEmbedder, embed_batches, embed_limited
 from strataseek.scratch import discard, materialize
 from strataseek.sources.files import scan
+from strataseek.sources.tree import UNREADABLE, can_list, scan_tree
 
 
 def embed(chunks: DataFrame, embedder: Embedder, limited: bool = False) -> DataFrame:
@@ -53,10 +54,15 @@ def ingest(
     Processed files and chunks are written to the shared folder, so that each step runs once; a chunk is embedded once.
     """
     own = embedder or HashEmbedder()
-    files = scan(spark, root, language, max_files)
+    if can_list(root):  # each file is a row, also one that is empty or can't be read
+        files = materialize(scan_tree(spark, root, language, max_files), "files")
+        found = files.count()
+        files = files.where(F.coalesce(~F.col("error").startswith(UNREADABLE), F.lit(True))).drop("error")
+    else:
+        files = scan(spark, root, language, max_files)
+        found = files.select("path").count()  # of the listing: contents aren't read for it
     if codebase:
         files = files.withColumn("codebase", F.lit(codebase))
-    found = files.select("path").count()  # of the listing: contents aren't read for it
     processed = materialize(preprocess(files), "processed")
     chunks = materialize(chunk(processed).where(~is_blank(F.col("content"))), "chunks")
     if estimate:
