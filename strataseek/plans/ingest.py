@@ -57,7 +57,7 @@ def ingest(
     if can_list(root):  # each file is a row, also one that is empty or can't be read
         files = materialize(scan_tree(spark, root, language, max_files), "files")
         found = files.count()
-        files = files.where(F.coalesce(~F.col("error").startswith(UNREADABLE), F.lit(True))).drop("error")
+        files = files.where(F.coalesce(~F.col("error").startswith(UNREADABLE), F.lit(True))).drop("error", "encoding", "confidence")
     else:
         files = scan(spark, root, language, max_files)
         found = files.select("path").count()  # of the listing: contents aren't read for it

@@ -21,7 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StructType
 
 from strataseek.config import CODEBASES
-from strataseek.sources.files import decoded, with_route
+from strataseek.functions.encodings import with_text
+from strataseek.sources.files import with_route
 
 SCHEMA = "path string, extension string, language string, codebase string, size long, modified timestamp, content binary, error string"
 EMPTY, UNREADABLE = "empty", "unreadable"
@@ -176,12 +177,12 @@ def can_list(root: str) -> bool:
 
 
 def scan_tree(spark: SparkSession, root: str, language: str | None = None, max_files: int = 0) -> DataFrame:
-    """As ``files.scan``, with a row for each supported file: error says why one has no text. Ordered by path components if limited."""
+    """As ``files.scan``, with a row for each supported file: error says why one has no content. Texts are decoded by the encoding that is detected, with its confidence beside them. Ordered by path components if limited."""
     register(spark)
     found = spark.read.format("source_tree").option("path", root).load()
     if language:
         found = found.where(F.col("language") == language)
     if max_files:
         found = found.orderBy(F.split("path", "/")).limit(max_files)
-    routed = with_route(found.select("path", "content", "error")).where(F.col("language").isNotNull())
-    return routed.withColumn("text", F.coalesce(decoded(F.col("content"), F.col("language")), F.lit(""))).drop("content")
+    read = with_text(found.select("path", "content", "error"))
+    return with_route(read).where(F.col("language").isNotNull())
