@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from strataseek.config import EMBEDDING_BATCH
 from strataseek.errors import StrataseekError, ValidationError
 from strataseek.operators.answers import looks_grounded
+from strataseek.operators.patterns import holding
+from strataseek.scratch import materialize
 
 TOP = 5
 
@@ -35,6 +37,23 @@ def hits(results: DataFrame, expected: DataFrame) -> DataFrame:
     return out.withColumn("hit", F.col("file_hit") | F.col("name_hit"))
 
 
+def hits_of_many(results: DataFrame, expected: DataFrame) -> DataFrame:
+    """As ``hits``, for many queries with many expected texts: each path and name is read once, by an automaton over all that is expected, instead of once for each expected text."""
+    first = materialize(results.where(F.col("rank") <= TOP).select("id", F.explode(F.array(F.struct(F.lit("file").alias("kind"), F.col("file_path").alias("said")), F.struct(F.lit("name").alias("kind"), F.upper("name").alias("said")))).alias("x")).select("id", "x.kind", "x.said"), "first-results")
+    texts_of = lambda kind, column, fold: F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda w: F.struct(F.lit(kind).alias("kind"), fold(w).alias("pattern")))
+    wanted = expected.select("id", F.explode(F.concat(texts_of("file", "expected_files", lambda w: w), texts_of("name", "expected_names", F.upper))).alias("x"))
+    wanted = wanted.select("id", "x.kind", "x.pattern").distinct()
+    # A text that several results share is read once.
+    texts = first.select("kind", "said").distinct()
+    held = holding(texts.withColumn("text", F.col("said")), wanted, "text")
+    met = first.join(held, ["kind", "said"]).select("id", "kind", "pattern").join(wanted, ["id", "kind", "pattern"], "left_semi")
+    found = met.groupBy("id").agg(F.bool_or(F.col("kind") == "file").alias("__file"), F.bool_or(F.col("kind") == "name").alias("__name"))
+    returned = first.where("kind = 'file'").groupBy("id").agg(F.count(F.lit(1)).alias("returned"))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    out = expected.select("id", "codebase").join(found, "id", "left").join(returned, "id", "left")
+    return out.select("id", "codebase", yes("__file").alias("file_hit"), yes("__name").alias("name_hit"), F.coalesce("returned", F.lit(0)).alias("returned"), (yes("__file") | yes("__name")).alias("hit"))
+
+
 def hit_rates(scored: DataFrame) -> DataFrame:
     """codebase (null: all), hits, total, rate."""
     n = F.count_if("hit")

@@ -7,6 +7,8 @@ from strataseek.errors import ValidationError
 
 #: Terms by language that an answer should use.
 LANGUAGES = {"cobol": "paragraph, section, division, PERFORM, CALL, WORKING-STORAGE"}
+# Fixed value: how the text of a feature that isn't known begins.
+DEFAULT_FEATURE = "Default feature behavior"
 #: What each feature asks for.
 TASKS = {
     "code_explanation": "Say what the code does, why, and how its paragraphs work together.",
@@ -32,7 +34,7 @@ def system_prompt(feature: str = FEATURES[0], language: str = "cobol") -> str:
     language = checked_language(language)
     feature = feature.strip().lower() or FEATURES[0]
     known = feature in TASKS
-    task = TASKS[feature] if known else f"Default feature behavior: {TASKS[FEATURES[0]]}"
+    task = TASKS[feature] if known else f"{DEFAULT_FEATURE}: {TASKS[FEATURES[0]]}"
     return "\n".join(
         [
             "You explain legacy source code from the excerpts you are given, and from nothing else. Where they don't suffice, say so.",

@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from strataseek.config import DEFAULT_TOP_K, FEATURES
 from strataseek.functions.text import is_blank, strip, tokens
-from strataseek.operators.evaluation import hits
+from strataseek.operators.evaluation import hits_of_many
 from strataseek.operators.many import bm25_many, dense_many, fuse_many
 from strataseek.operators.rerank import provider_rows, rerank_many
 from strataseek.providers import CrossEncoder, Embedder, HashEmbedder, embed_batches
@@ -71,7 +71,7 @@ def search_many(points: DataFrame, questions: DataFrame, *, embedder: Embedder |
 
 
 def evaluate(points: DataFrame, truth: DataFrame, *, embedder: Embedder | None = None, top_k: int = DEFAULT_TOP_K, cross_encoder: CrossEncoder | None = None) -> DataFrame:
-    """``evaluation.hits`` of all queries of a truth table (id, query, codebase, expected_files, expected_names and maybe feature). Each is asked within its codebase."""
+    """``evaluation.hits_of_many`` of all queries of a truth table (id, query, codebase, expected_files, expected_names and maybe feature). Each is asked within its codebase."""
     kinds = ["feature"] if "feature" in truth.columns else []
     found = search_many(points, truth.select(F.col("id").alias("question"), "query", "codebase", *kinds), embedder=embedder, top_k=top_k, cross_encoder=cross_encoder)
-    return hits(found.select(F.col("question").alias("id"), "rank", "file_path", "name"), truth)
+    return hits_of_many(found.select(F.col("question").alias("id"), "rank", "file_path", "name"), truth)

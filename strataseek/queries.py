@@ -743,6 +743,10 @@ def extract_citations(spark, d):
 
 
 def _judged(spark, d):
+    return evaluation.hits(*_results_and_wanted(spark, d))
+
+
+def _results_and_wanted(spark, d):
     docs = with_path(table(spark, d, "documents"))
     results = docs.select(F.concat(F.lit("q"), (F.col("doc_id") / 7).cast("long").cast("string")).alias("id"), (F.col("doc_id") % 7 + 1).alias("rank"), F.col("path").alias("file_path"), F.col("lang").alias("name"))
     wanted = docs.where(F.col("doc_id") % 7 == 0).select(
@@ -751,7 +755,7 @@ def _judged(spark, d):
         F.array(F.lit(".f"), F.lit("nothing")).alias("expected_files"),
         F.array(F.when(F.col("doc_id") % 2 == 0, "FR").otherwise("es").alias("n")).alias("expected_names"),
     )
-    return evaluation.hits(results, wanted)
+    return results, wanted
 
 
 HIT_SQL = f"""(SELECT w.id, w.codebase, coalesce(bool_or(contains(path, '.f') OR contains(path, 'nothing')), false) AS file_hit, coalesce(bool_or(contains(upper(lang), upper(w.name))), false) AS name_hit, count(path) AS returned
@@ -764,6 +768,11 @@ def hit_at_5(spark, d):
     return _judged(spark, d)
 
 
+@query("hit_at_5_by_automaton", f"SELECT *, file_hit OR name_hit AS hit FROM {HIT_SQL}")
+def hit_at_5_by_automaton(spark, d):
+    return evaluation.hits_of_many(*_results_and_wanted(spark, d))
+
+
 @query("precision_rollup", f"SELECT codebase, count(*) FILTER (WHERE file_hit OR name_hit) AS hits, count(*) AS total, round(avg((file_hit OR name_hit)::INT), 6) AS rate FROM {HIT_SQL} GROUP BY ROLLUP (codebase)")
 def precision_rollup(spark, d):
     return evaluation.hit_rates(_judged(spark, d)).withColumn("rate", F.round("rate", 6))
