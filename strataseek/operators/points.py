@@ -69,6 +69,7 @@ def last_of_each(points: DataFrame, seq: Column) -> DataFrame:
 # A collection is a folder with one table for each upsert (d1, d2, ...) and now and then a base (b7: all up to d7).
 # An upsert is written under a name of its own, claims the next number and takes it by a rename, so readers see each upsert all or not at
 # all, and of two writers at once neither loses its rows: the later number wins where both write an id.
+# A row whose ``deleted`` is true takes its id out of the collection; a base drops such rows.
 
 
 def create_collection(spark: SparkSession, path: str, dim: int = EMBEDDING_DIM) -> None:
@@ -115,6 +116,7 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, seq: Column | None =
     """Put ``new`` into the collection by id; the last write wins. Returns the rows given, repeated ids too.
 
     ``new`` is evaluated once. Only its own rows are written; after ``compact_after`` upserts they are put together.
+    A column ``deleted``, where true, takes the id out instead, in the same commit.
     seq: which of several rows of an id in ``new`` is the last; by ``part`` if there is one, else in an order that depends on the rows alone.
     """
     if "id" not in new.columns:
@@ -146,7 +148,10 @@ def compact(spark: SparkSession, path: str) -> None:
     if not deltas or not try_claim(spark, path, f"from{base}") and claims(spark, path, "from")[base] > late:
         return
     target = f"{path}/new-{uuid.uuid4().hex}"
-    _write(_newest(spark, path, base, deltas), target)
+    newest = _newest(spark, path, base, deltas)
+    _write(_present(newest), target)
+    if not any("=" in name for name in listed(spark, target)):
+        _write(newest, target)  # a table without rows has no columns either
     move(spark, target, f"{path}/b{deltas[-1]}")
     for name in listed(spark, path):
         if name[:1] in "bd" and name[1:].isdigit() and (int(name[1:]) < base or name == f"d{base}"):
@@ -159,15 +164,25 @@ def _newest(spark: SparkSession, path: str, base: int, deltas: list[int]) -> Dat
         return None
     out, seen = tables[0], tables[0].select("id")
     for older in tables[1:]:
-        out = out.unionByName(older.join(seen, "id", "left_anti"))
+        out = out.unionByName(older.join(seen, "id", "left_anti"), allowMissingColumns=True)
         seen = seen.union(older.select("id"))
     return out
 
 
+def _present(points: DataFrame) -> DataFrame:
+    return points.where(~F.coalesce("deleted", F.lit(False))).drop("deleted") if "deleted" in points.columns else points
+
+
 def read_points(spark: SparkSession, path: str) -> DataFrame | None:
     """The newest row of each id; None if there is no collection.
 
     Older tables lose the ids of newer ones in an anti join, whose right side is ids alone; ids of a table are read again for each older one, so the number
     of tables is kept small by ``compact``.
     """
-    return _newest(spark, path, *_tables(spark, path))
+    newest = _newest(spark, path, *_tables(spark, path))
+    return None if newest is None else _present(newest)
+
+
+def remove(spark: SparkSession, path: str, gone: DataFrame) -> int:
+    """Take the points of ``gone`` (id, codebase) out of the collection, all or none; ids that aren't in it do nothing."""
+    return upsert(spark, path, gone.select("id", "codebase", F.lit(True).alias("deleted")))

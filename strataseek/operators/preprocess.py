@@ -137,12 +137,12 @@ def source_form(language: Column, extension: Column) -> Column:
     return F.when(language == "cobol", "cobol").when(extension.isin(*FIXED_EXTENSIONS), "fixed").otherwise("free")
 
 
-def preprocess(files: DataFrame) -> DataFrame:
+def preprocess(files: DataFrame, *also: str) -> DataFrame:
     """path, codebase, language, code, comments, source_format, found: one row for each file of a language. files: path, text, extension, language, codebase.
 
-    Everything happens inside a file's row: nothing is shuffled.
+    also: more columns that go along. Everything happens inside a file's row: nothing is shuffled.
     """
-    own = files.where(F.col("language").isin("cobol", "fortran")).select("path", "codebase", "language", "text", source_form(F.col("language"), F.col("extension")).alias("form"))
+    own = files.where(F.col("language").isin("cobol", "fortran")).select("path", "codebase", "language", *also, "text", source_form(F.col("language"), F.col("extension")).alias("form"))
     out = fold(own)
     found = F.when(F.col("language") == "cobol", divisions_found(F.col("code"))).otherwise(units_found(F.col("code")))
-    return out.select("path", "codebase", "language", "code", "comments", F.nullif("form", F.lit("cobol")).alias("source_format"), F.array_join(found, ",").alias("found"))
+    return out.select("path", "codebase", "language", *also, "code", "comments", F.nullif("form", F.lit("cobol")).alias("source_format"), F.array_join(found, ",").alias("found"))

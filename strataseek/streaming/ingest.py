@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from strataseek.operators.chunking import chunk
-from strataseek.operators.points import create_collection, to_points, upsert
+from strataseek.functions.encodings import with_text
+from strataseek.functions.text import is_blank
+from strataseek.operators.chunking import chunk, metadata
+from strataseek.operators.dependencies import dependencies
+from strataseek.operators.points import chunk_id, create_collection, point_id, to_points, upsert
 from strataseek.operators.preprocess import preprocess
-from strataseek.plans.ingest import embed
+from strataseek.plans.ingest import embed, embed_once
 from strataseek.providers import Embedder, HashEmbedder
+from strataseek.scratch import discard, materialize
 from strataseek.sources.files import decoded, with_route
+from strataseek.sources.tree import UNREADABLE, register
 
 FILE = "path string, modificationTime timestamp, length long, content binary"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: What a file's state knows of it: the version, and the lines at which its chunks begin.
+VERSION = "hash string, codebase string, starts array<int>"
+CHANGED = ("path", "codebase", "language", "hash", "modified", "content", "line_start", "line_end", "chunk_type", "name", "division", "token_count", "part")
+NUMBERS = ("line_start", "line_end", "token_count", "part")
 
 
 def stream_ingest(spark: SparkSession, root: str, collection: str, checkpoint: str, embedder: Embedder | None = None) -> StreamingQuery:
@@ -29,3 +45,76 @@ def stream_ingest(spark: SparkSession, root: str, collection: str, checkpoint: s
         upsert(df.sparkSession, collection, to_points(embed(chunks, own), own.dim))
 
     return raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class Versions(StatefulProcessor):
+    """Keyed by path. A version that the state knows gives nothing; another gives its chunks, and a row with ``deleted`` for each chunk of the version before that has no successor."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("version", VERSION)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        found = pd.concat(list(rows))
+        found = found[found["modified"] == found["modified"].max()]
+        found = found[found["hash"] == found["hash"].max()]
+        version, codebase = found["hash"].iloc[0], found["codebase"].iloc[0]
+        before = self.known.get() if self.known.exists() else (None, None, [])
+        if version == before[0] and codebase == before[1]:
+            return
+        live = found[found["line_start"].notna()].assign(deleted=False)
+        starts = sorted({int(n) for n in live["line_start"]})
+        gone = [int(n) for n in before[2] if codebase != before[1] or int(n) not in set(starts)]
+        self.known.update((version, codebase, starts))
+        out = live
+        if gone:
+            old = pd.DataFrame({"path": key[0], "codebase": before[1], "line_start": gone, "part": 0, "deleted": True}).reindex(columns=live.columns)
+            out = pd.concat([live.astype(object), old.astype(object)])
+        if len(out):
+            yield out.astype({n: "Int32" for n in NUMBERS} | {"deleted": bool, "modified": "datetime64[ns]"})
+
+    def close(self) -> None:
+        pass
+
+
+def file_chunks(files: DataFrame) -> DataFrame:
+    """Chunks that aren't blank of rows of ``source_tree``, with the file's hash and time; a file that can be read and has none is a row without lines."""
+    readable = files.where(F.coalesce(~F.col("error").startswith(UNREADABLE), F.lit(True)))
+    hashed = with_text(readable.select("path", "modified", "content", F.sha2(F.coalesce("content", F.lit(b"")), 256).alias("hash")))
+    routed = with_route(hashed).where(F.col("language").isNotNull())
+    chunks = chunk(preprocess(routed, "hash", "modified"), also=("hash", "modified"), keep_files=True)
+    blank = is_blank(F.col("content"))
+    return chunks.select(*(F.when(~blank, F.col(c)).alias(c) if c in ("line_start", "line_end") else F.col(c) for c in CHANGED))
+
+
+def changes(files: DataFrame) -> DataFrame:
+    """The chunks of ``file_chunks`` of new and changed files, and with ``deleted`` those that changed files no longer have. Needs the state store of RocksDB."""
+    chunks = file_chunks(files)
+    out = StructType([*(StructField(f.name, f.dataType) for f in chunks.schema.fields), StructField("deleted", BooleanType())])
+    return chunks.groupBy("path").transformWithStateInPandas(Versions(), out, "Append", "None")
+
+
+def stream_versions(
+    spark: SparkSession, root: str, collection: str, checkpoint: str, embedder: Embedder | None = None, *, store: str | None = None, partition_bytes: int = 64 << 20
+) -> StreamingQuery:
+    """Keeps the collection as the tree is: files that were only touched do nothing, a changed file's old chunks go in the commit that brings the new ones.
+
+    An emptied file loses its chunks, as does one that no encoding fits any more. One that can't be read stays as it was until it changes again; one that is taken
+    from the tree stays too, since a stream only sees what is there. A micro-batch that fails leaves neither state nor points, and is run again.
+    store: vectors by content as of ``embed_once``, so that chunks that a changed file keeps aren't sent again.
+    """
+    own = embedder or HashEmbedder()
+    create_collection(spark, collection, own.dim)
+    register(spark)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    raw = spark.readStream.format("source_tree").option("path", root).option("partition_bytes", partition_bytes).load()
+
+    def batch(df: DataFrame, _: int) -> None:
+        seen = materialize(df, "changes")  # the state is looked at once
+        live = seen.where(~F.col("deleted")).withColumn("dependencies", dependencies(F.col("language"), F.col("content"))).withColumn("metadata", metadata())
+        vectors = embed_once(live, own, store) if store else embed(live, own)
+        gone = seen.where("deleted").select(point_id(chunk_id(F.col("codebase"), F.col("path"), F.col("line_start"))).alias("id"), F.col("path").alias("file_path"), "codebase", "part", "deleted")
+        new = to_points(vectors, own.dim).withColumn("deleted", F.lit(False))
+        upsert(df.sparkSession, collection, new.unionByName(gone, allowMissingColumns=True))
+        discard(seen)
+
+    return changes(raw).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
