@@ -49,5 +49,5 @@ def edges(chunks: DataFrame) -> DataFrame:
 
 
 def reverse(edge_table: DataFrame) -> DataFrame:
-    """target, n_users, users (sorted)."""
-    return edge_table.groupBy("target").agg(F.count_distinct("source").alias("n_users"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("users"))
+    """target, n_users. Who they are is what ``edge_table`` tells, row by row: a name may have any number of users."""
+    return edge_table.groupBy("target").agg(F.count_distinct("source").alias("n_users"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataseek import config as C
@@ -12,6 +12,7 @@ from strataseek import scratch
 from strataseek.functions import text as T
 from strataseek.operators import answers, chunking, dependencies, evaluation, many, points, postings, preprocess, rerank, retrieval, segment, sizing, vectors
 from strataseek.sources import files
+from strataseek.streaming.ingest import keep_versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -279,9 +280,9 @@ def hit_rate_of_benchmark(spark, d):
     return evaluation.hit_rates(evaluation.hits(results, wanted)).withColumn("rate", F.round("rate", 6))
 
 
-@query("channel_dedupe_best", "SELECT conv_id AS id, max(length(text)) AS score, arg_min(role, turn) AS role, min(turn) AS pos FROM (SELECT *, max(length(text)) OVER (PARTITION BY conv_id) AS best FROM conversations) WHERE length(text) = best GROUP BY conv_id")
+@query("channel_dedupe_best", "SELECT conv_id AS id, max(n) AS score, arg_min(role, turn) AS role, min(turn) AS pos FROM (SELECT *, length(coalesce(text, '')) AS n, max(length(coalesce(text, ''))) OVER (PARTITION BY conv_id) AS best FROM conversations) WHERE n = best GROUP BY conv_id")
 def channel_dedupe_best(spark, d):
-    hits = table(spark, d, "conversations").where("text IS NOT NULL").select(F.col("conv_id").alias("id"), F.length("text").cast("long").alias("score"), "role", F.col("turn").alias("pos"))
+    hits = table(spark, d, "conversations").select(F.col("conv_id").alias("id"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("score"), "role", F.col("turn").alias("pos"))
     return retrieval.best_of_each(hits, pos_col="pos")
 
 
@@ -692,6 +693,33 @@ def collection_upserts(spark, d):
     return points.read_points(spark, path).select("id", "content")
 
 
+VERSIONS_SQL = f"""SELECT {PATH_SQL} || '.cob' AS path, 'P-' || i AS name, (2 + 21 * (i - 1))::INT AS line_start
+FROM (SELECT *, unnest(range(1, 2 + doc_id % 3 - (doc_id % 4 = 0)::INT)) AS i FROM documents)"""
+
+
+def versions(docs: DataFrame, paragraphs: Column) -> DataFrame:
+    """A program for each document: so many paragraphs of 21 lines, then its text as a note; none, and the file is empty."""
+    one = lambda i: F.concat(F.lit("       P-"), i.cast("string"), F.lit(".\n"), F.repeat(F.lit("           MOVE A TO B.\n"), 20))
+    body = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(paragraphs, F.lit(1))), one), "")
+    note = F.concat(F.lit("      * "), F.translate(F.coalesce("text", F.lit("")), "\n\r", "  "))
+    program = F.when(paragraphs > 0, F.concat(F.lit("       PROCEDURE DIVISION.\n"), body, note)).otherwise("")
+    return docs.select(F.concat("path", F.lit(".cob")).alias("path"), program.cast("binary").alias("content"), F.lit(None).cast("string").alias("error"))
+
+
+@query("ingest_versions", VERSIONS_SQL)
+def ingest_versions(spark, d):
+    """All files come, then a half again: of these some have lost a paragraph, or all, and some are as they were."""
+    docs = with_path(table(spark, d, "documents"))
+    root, collection, checkpoint = (scratch.new_path(spark, label) for label in ("files", "collection", "stream"))
+    count = (1 + F.col("doc_id") % 3).cast("int")
+    rounds = [versions(docs, count), versions(docs.where("doc_id % 2 = 0"), count - (F.col("doc_id") % 4 == 0).cast("int"))]
+    for no, files_ in enumerate(rounds):
+        files_.withColumn("modified", F.timestamp_seconds(F.lit(no))).write.mode("append").parquet(root)
+        stream = spark.readStream.schema("path string, content binary, error string, modified timestamp").parquet(root)
+        keep_versions(stream, collection, checkpoint, LengthEmbedder()).awaitTermination()
+    return points.read_points(spark, collection).select(F.col("file_path").alias("path"), "name", "line_start")
+
+
 # ---------------------------------------------------------------- answers
 
 
@@ -733,10 +761,10 @@ def parse_confidence(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", answers.parse_confidence(said).alias("confidence"))
 
 
-@query("extract_citations", "SELECT doc_id, array_to_string(list_distinct(list_sort(regexp_extract_all(text || ' ' || source || '.cob:12-30 and a/b.f90:7 ', '[A-Za-z0-9_./\\\\-]+\\.[A-Za-z0-9_]+:\\d+(?:-\\d+)?'))).list_sort(), ' ') AS citations FROM documents WHERE text IS NOT NULL")
+@query("extract_citations", "SELECT doc_id, array_to_string(list_distinct(list_sort(regexp_extract_all(coalesce(text, '') || ' ' || source || '.cob:12-30 and a/b.f90:7 ', '[A-Za-z0-9_./\\\\-]+\\.[A-Za-z0-9_]+:\\d+(?:-\\d+)?'))).list_sort(), ' ') AS citations FROM documents")
 def extract_citations(spark, d):
-    said = F.concat_ws(" ", F.col("text"), F.concat(F.col("source"), F.lit(".cob:12-30 and a/b.f90:7 ")))
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.array_join(F.array_sort(answers.citations(said)), " ").alias("citations"))
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.col("source"), F.lit(".cob:12-30 and a/b.f90:7 "))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(answers.citations(said)), " ").alias("citations"))
 
 
 # ---------------------------------------------------------------- evaluation and statistics
@@ -887,15 +915,15 @@ DEP_TEXT = "text || ' PERFORM ' || upper(source) || '-A THRU ' || upper(source)
 
 def _called(spark, d):
     t = F.concat(
-        F.col("text"), F.lit(" PERFORM "), F.upper("source"), F.lit("-A THRU "), F.upper("source"), F.lit("-Z. perform X-"), (F.col("doc_id") % 9).cast("string"),
+        F.coalesce("text", F.lit("")), F.lit(" PERFORM "), F.upper("source"), F.lit("-A THRU "), F.upper("source"), F.lit("-Z. perform X-"), (F.col("doc_id") % 9).cast("string"),
         F.lit('\nCALL "SUB'), (F.col("doc_id") % 5).cast("string"), F.lit('" COPY BOOK'), (F.col("doc_id") % 3).cast("string"), F.lit("."),
     )
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", t.alias("t"))
+    return table(spark, d, "documents").select("doc_id", t.alias("t"))
 
 
 @query(
     "deps_cobol",
-    f"""SELECT doc_id, array_to_string(list_concat(list_concat([upper(source) || '-A THRU ' || upper(source) || '-Z'], ['X-' || doc_id % 9]), ['SUB' || doc_id % 5, 'BOOK' || doc_id % 3]), ',') AS dependencies FROM documents WHERE text IS NOT NULL""",
+    f"""SELECT doc_id, array_to_string(list_concat(list_concat([upper(source) || '-A THRU ' || upper(source) || '-Z'], ['X-' || doc_id % 9]), ['SUB' || doc_id % 5, 'BOOK' || doc_id % 3]), ',') AS dependencies FROM documents""",
 )
 def deps_cobol(spark, d):
     return _called(spark, d).select("doc_id", F.array_join(dependencies.cobol_dependencies(F.col("t")), ",").alias("dependencies"))
@@ -911,7 +939,7 @@ def deps_fortran(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(dependencies.fortran_dependencies(t), ",").alias("dependencies"))
 
 
-@query("reverse_deps", "SELECT target, count(DISTINCT doc_id) AS n_users FROM (SELECT doc_id, unnest(['X-' || doc_id % 9, 'SUB' || doc_id % 5, 'BOOK' || doc_id % 3, upper(source) || '-A', upper(source) || '-Z']) AS target FROM documents WHERE text IS NOT NULL) GROUP BY target")
+@query("reverse_deps", "SELECT target, count(DISTINCT doc_id) AS n_users FROM (SELECT doc_id, unnest(['X-' || doc_id % 9, 'SUB' || doc_id % 5, 'BOOK' || doc_id % 3, upper(source) || '-A', upper(source) || '-Z']) AS target FROM documents) GROUP BY target")
 def reverse_deps(spark, d):
     own = _called(spark, d).select(F.col("doc_id").alias("name"), dependencies.cobol_dependencies(F.col("t")).alias("dependencies"))
-    return dependencies.reverse(dependencies.edges(own)).select("target", "n_users")
+    return dependencies.reverse(dependencies.edges(own))

@@ -102,11 +102,17 @@ def stream_versions(
     from the tree stays too, since a stream only sees what is there. A micro-batch that fails leaves neither state nor points, and is run again.
     store: vectors by content as of ``embed_once``, so that chunks that a changed file keeps aren't sent again.
     """
+    register(spark)
+    files = spark.readStream.format("source_tree").option("path", root).option("partition_bytes", partition_bytes).load()
+    return keep_versions(files, collection, checkpoint, embedder, store=store)
+
+
+def keep_versions(files: DataFrame, collection: str, checkpoint: str, embedder: Embedder | None = None, *, store: str | None = None) -> StreamingQuery:
+    """``stream_versions`` of any stream of files: path, modified, content, error."""
+    spark = files.sparkSession
     own = embedder or HashEmbedder()
     create_collection(spark, collection, own.dim)
-    register(spark)
     spark.conf.set(STATE_STORE, ROCKSDB)
-    raw = spark.readStream.format("source_tree").option("path", root).option("partition_bytes", partition_bytes).load()
 
     def batch(df: DataFrame, _: int) -> None:
         seen = materialize(df, "changes")  # the state is looked at once
@@ -117,4 +123,4 @@ def stream_versions(
         upsert(df.sparkSession, collection, new.unionByName(gone, allowMissingColumns=True))
         discard(seen)
 
-    return changes(raw).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return changes(files).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
