@@ -902,7 +902,87 @@ def preprocess_files(spark, d):
     return out.select("path", "language", "source_format", F.md5(F.col("code").cast("binary")).alias("code_md5"), F.size("comments").alias("n_comments"), F.when(F.col("language") == "cobol", F.col("found")).alias("divisions"))
 
 
-@query("chunk_files")
+STRIPPED = "trim({x}, " + CHARS + ")"
+WORDS_OF = f"'[^{BLANK[1:]}+'"
+STRIPPED_LINE = STRIPPED.format(x="line")
+HEADED = "upper(" + STRIPPED.format(x=f"left({STRIPPED_LINE}, -1)") + ")"
+KIND = f"regexp_replace(upper(regexp_extract(line, '{segment.UNIT_HEADER}', 1)), '\\s+', ' ', 'g')"
+JOINED = STRIPPED.format(x="{a} || chr(10) || {b}")
+
+
+def _names_sql(pattern: str, text: str = "content", fold: str = "upper") -> str:
+    """Names that a pattern's group finds, without marks around them."""
+    found = f"regexp_extract_all({text}, '{pattern.replace(chr(39), chr(39) * 2)}', 1)"
+    bare = f"regexp_replace(regexp_replace({STRIPPED.format(x='x')}, '^[.,;:]+|[.,;:]+$', '', 'g'), '^[\"'']+|[\"'']+$', '', 'g')"
+    return f"list_filter(list_transform({found}, lambda x: {fold}({bare})), lambda x: x <> '')"
+
+
+PERFORMED = f"""list_transform(list_filter(regexp_extract_all(regexp_replace(content, '{dependencies.THRU}', ' ', 'g'), '(?i)\\bPERFORM\\s+[A-Z0-9-]+\\b(?:\\s+THRU\\b)?'),
+ lambda x: NOT regexp_matches(x, '(?i)\\sTHRU$')), lambda x: upper(regexp_extract(x, '\\s([A-Za-z0-9-]+)$', 1)))"""
+RANGES = f"list_transform(list_zip(regexp_extract_all(content, '{dependencies.THRU}', 1), regexp_extract_all(content, '{dependencies.THRU}', 2)), lambda z: upper(z[1] || ' THRU ' || z[2]))"
+COBOL_NAMES = f"list_concat(list_concat({RANGES}, {PERFORMED}), list_concat({_names_sql(dependencies.COBOL_CALL)}, {_names_sql(dependencies.COPY)}))"
+FORTRAN_NAMES = f"list_concat(list_concat({_names_sql(dependencies.USE)}, {_names_sql(dependencies.INCLUDE, fold='')}), {_names_sql(dependencies.CALL)})"
+#: Clean lines of the dressed files: key, language, code_line by g.
+CODE_SQL = f"""(SELECT 'cobol' AS language, * FROM {_folded_sql(COBOL_PIECES, '')}
+ UNION ALL SELECT 'fortran', * FROM {_folded_sql(FIXED_PIECES, '')}
+ UNION ALL SELECT 'fortran', * FROM {_folded_sql(_free_sql(FREE_LINES), ' ')})"""
+#: Blocks from marked lines, merging by recursion over a file's blocks, cutting by recursion over a chunk's lines, names in the parts.
+CHUNKS_SQL = f"""WITH RECURSIVE numbered AS (
+ SELECT key, language, code_line AS line, row_number() OVER (PARTITION BY key ORDER BY g) AS no FROM {CODE_SQL}),
+ends AS (SELECT key, any_value(language) AS language, count(*) - (arg_max(line, no) = '')::INT AS last FROM numbered GROUP BY key),
+lines AS MATERIALIZED (SELECT numbered.*, last FROM numbered JOIN ends USING (key) WHERE no <= last),
+files AS MATERIALIZED (SELECT key, any_value(language) AS language, any_value(last) AS last,
+  min(no) FILTER (WHERE contains(upper(line), ' DIVISION.') AND upper({STRIPPED_LINE}) = 'PROCEDURE DIVISION.') AS opens FROM lines GROUP BY key),
+heads AS (SELECT key, no, {HEADED} AS name FROM lines JOIN files USING (key)
+ WHERE lines.language = 'cobol' AND no > opens AND NOT regexp_matches(line, '^{BLANK}') AND {STRIPPED_LINE} LIKE '%.' AND regexp_full_match({HEADED}, '[A-Z0-9-]+')),
+marks AS (SELECT key, no, {KIND} AS kind, upper(regexp_extract(line, '{segment.UNIT_HEADER}', 2)) AS name FROM lines
+ WHERE language = 'fortran' AND (regexp_matches(line, '{segment.UNIT_HEADER}') OR regexp_matches(line, '{segment.UNIT_END}'))),
+units AS (SELECT key, no AS a, coalesce(CASE WHEN next_kind <> '' THEN next_no - 1 ELSE next_no END, last) AS b, lower(replace(kind, ' ', '_')) AS chunk_type, name, kind AS division
+ FROM (SELECT *, lead(kind) OVER (PARTITION BY key ORDER BY no) AS next_kind, lead(no) OVER (PARTITION BY key ORDER BY no) AS next_no FROM marks) JOIN files USING (key) WHERE kind <> ''),
+gaps AS (SELECT key, coalesce(lag(b) OVER (PARTITION BY key ORDER BY a), 0) + 1 AS a, a - 1 AS b
+ FROM (SELECT key, a, b FROM units UNION ALL SELECT key, last + 1, last + 1 FROM files WHERE language = 'fortran')),
+blocks AS (SELECT key, no AS a, coalesce(lead(no) OVER (PARTITION BY key ORDER BY no) - 1, last) AS b, 'paragraph' AS chunk_type, name, 'PROCEDURE' AS division FROM heads JOIN files USING (key)
+ UNION ALL SELECT key, coalesce(opens, 1), last, 'paragraph', CASE WHEN opens IS NULL THEN 'FILE-BLOCK' ELSE 'PROCEDURE-BLOCK' END, CASE WHEN opens IS NULL THEN 'UNKNOWN' ELSE 'PROCEDURE' END
+  FROM files WHERE language = 'cobol' AND key NOT IN (SELECT key FROM heads)
+ UNION ALL SELECT * FROM units
+ UNION ALL SELECT key, a, b, 'file_block', 'FILE-BLOCK', 'UNKNOWN' FROM gaps WHERE a <= b),
+held AS (SELECT blocks.key, a, any_value(language) AS language, any_value(b) AS b, any_value(chunk_type) AS chunk_type, any_value(name) AS name, any_value(division) AS division,
+  string_agg(line, chr(10) ORDER BY no) AS content
+ FROM blocks JOIN lines ON lines.key = blocks.key AND no BETWEEN a AND b GROUP BY blocks.key, a),
+own AS MATERIALIZED (SELECT *, len(regexp_extract_all(content, {WORDS_OF})) AS n, CASE WHEN language = 'cobol' THEN 'UNKNOWN' ELSE 'MIXED' END AS mixed,
+  row_number() OVER (PARTITION BY key ORDER BY a) AS nth FROM held WHERE name <> 'FILE-BLOCK' OR {STRIPPED.format(x='content')} <> ''),
+merging AS (SELECT key, language, mixed, nth, 0 AS seq, a, b, chunk_type, [name] AS names, division, content, n FROM own WHERE nth = 1
+ UNION ALL SELECT o.key, o.language, o.mixed, o.nth, CASE WHEN m.n < 64 THEN m.seq ELSE m.seq + 1 END, CASE WHEN m.n < 64 THEN m.a ELSE o.a END, o.b, CASE WHEN m.n < 64 THEN m.chunk_type ELSE o.chunk_type END,
+  CASE WHEN m.n >= 64 THEN [o.name] WHEN list_contains(m.names, o.name) THEN m.names ELSE list_append(m.names, o.name) END,
+  CASE WHEN m.n >= 64 OR m.division = o.division THEN o.division ELSE o.mixed END,
+  CASE WHEN m.n < 64 THEN {JOINED.format(a='m.content', b='o.content')} ELSE o.content END, CASE WHEN m.n < 64 THEN m.n + o.n ELSE o.n END
+ FROM merging m JOIN own o ON o.key = m.key AND o.nth = m.nth + 1),
+run AS MATERIALIZED (SELECT *, seq > 0 AND n < 64 AND seq = max(seq) OVER (PARTITION BY key) AS joins FROM merging QUALIFY row_number() OVER (PARTITION BY key, seq ORDER BY nth DESC) = 1),
+merged AS MATERIALIZED (SELECT row_number() OVER () AS id, g.key, g.language, g.a, coalesce(t.b, g.b) AS b, g.chunk_type, CASE WHEN t.key IS NULL OR t.division = g.division THEN g.division ELSE g.mixed END AS division,
+  array_to_string(CASE WHEN t.key IS NULL THEN g.names ELSE list_concat(g.names, list_filter(t.names, lambda x: NOT list_contains(g.names, x))) END, '+') AS name,
+  CASE WHEN t.key IS NULL THEN g.content ELSE {JOINED.format(a='g.content', b='t.content')} END AS content, g.n + coalesce(t.n, 0) AS n
+ FROM run g LEFT JOIN run t ON t.joins AND t.key = g.key AND t.seq = g.seq + 1 WHERE NOT g.joins),
+split AS (SELECT id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS no, len(ls) AS last
+ FROM (SELECT id, CASE WHEN content LIKE '%' || chr(10) THEN string_split(content, chr(10))[:-2] ELSE string_split(content, chr(10)) END AS ls FROM merged WHERE n > 768)),
+l AS MATERIALIZED (SELECT *, len(regexp_extract_all(line, {WORDS_OF})) AS n FROM split),
+cut AS (SELECT id, no, n, n <= 768 AS held, CASE WHEN n <= 768 THEN n ELSE 0 END AS size, 0 AS g FROM l WHERE no = 1
+ UNION ALL SELECT l.id, l.no, l.n, c.held OR l.n <= 768, CASE WHEN c.held AND c.size + l.n > 768 THEN l.n WHEN NOT c.held AND l.n > 768 THEN 0 ELSE c.size + l.n END,
+  CASE WHEN c.held AND c.size + l.n <= 768 THEN c.g ELSE c.g + 1 END
+ FROM cut c JOIN l ON l.id = c.id AND l.no = c.no + 1),
+parts AS (SELECT id, g, 0 AS k, min(no) AS lo, CASE WHEN max(no) = any_value(last) THEN NULL ELSE max(no) END AS hi, string_agg(line, chr(10) ORDER BY no) AS content, sum(cut.n) AS n
+  FROM cut JOIN l USING (id, no) WHERE held GROUP BY id, g
+ UNION ALL SELECT id, g, k, no, no, array_to_string(regexp_extract_all(line, {WORDS_OF})[768 * k + 1 : 768 * k + 768], ' '), least(768, n - 768 * k)
+  FROM (SELECT cut.*, line, unnest(range(0, ceil(cut.n / 768)::BIGINT)) AS k FROM cut JOIN l USING (id, no) WHERE NOT held)),
+chunks AS (SELECT key, language, name || CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN '#' || row_number() OVER (PARTITION BY id ORDER BY g, k) ELSE '' END AS name, division, chunk_type,
+  a + lo - 1 AS line_start, coalesce(a + hi - 1, b) AS line_end, p.n AS token_count, p.content FROM parts p JOIN merged USING (id)
+ UNION ALL SELECT key, language, name, division, chunk_type, a, b, n, content FROM merged WHERE n <= 768),
+named AS (SELECT *, CASE WHEN language = 'cobol' THEN {COBOL_NAMES} ELSE {FORTRAN_NAMES} END AS found FROM chunks)
+SELECT {PATH_SQL} AS path, language, name, division, chunk_type, line_start::INT AS line_start, line_end::INT AS line_end, token_count::INT AS token_count,
+ array_to_string(list_filter(found, lambda x, i: list_position(list_transform(found, lambda y: upper(y)), upper(x)) = i), ',') AS dependencies
+FROM named JOIN documents ON doc_id = key"""
+
+
+@query("chunk_files", CHUNKS_SQL)
 def chunk_files(spark, d):
     from strataseek.operators.chunking import chunk
 
