@@ -6,7 +6,8 @@ the blocks with the highest sums; then only blocks whose bound reaches the k-th
 of scoring all.
 
 Each ``add`` writes a segment of the new documents alone, with the term counts of the documents that they replace, so that frequencies are those of what is
-there now. Documents of older segments that a newer one holds too are dropped from a search's candidates. ``merge`` puts all segments into one. A segment counts once it is whole.
+there now. Documents of older segments that a newer one holds too are dropped from a search's candidates. ``remove`` writes a segment that holds documents as
+gone. ``merge`` puts all segments into one. A segment counts once it is whole.
 Ids are unique among the documents of one ``add``, as they are in a collection.
 """
 
@@ -24,6 +25,8 @@ from strataseek.operators.commits import ABANDONED_MS, claims, listed, move, try
 from strataseek.operators.retrieval import query_terms, term_lists, top
 from strataseek.scratch import delete, materialize
 
+#: Length of a document that is gone.
+GONE = -1
 #: Bounds are compared with so much room, for sums that are added up in another order.
 ROOM = 1e-9
 
@@ -74,7 +77,7 @@ class PostingIndex:
         """The documents and blocks of a segment, in a folder that doesn't count yet."""
         target = f"{self.path}/new-{uuid.uuid4().hex}"
         forward.write.parquet(f"{target}/forward")
-        forward = self.spark.read.schema(forward.schema).parquet(f"{target}/forward")
+        forward = self.spark.read.schema(forward.schema).parquet(f"{target}/forward").where(F.col("n_terms") > GONE)
         # Bands of length, a quarter of a doubling each, cut by hash into blocks.
         band = F.floor(4 * F.log2(F.col("n_terms") + 1)).cast("long")
         sizes = {r["band"]: -(-r["n"] // self.block_docs) for r in forward.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each band: a hundred or so
@@ -91,7 +94,7 @@ class PostingIndex:
         """What the segment adds to the numbers of the collection, and what it takes away."""
         if lost is not None:
             lost.write.mode("overwrite").parquet(f"{target}/lost")
-        totals = self.spark.read.parquet(f"{target}/forward").agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n_terms"), F.lit(0)).alias("terms"))
+        totals = self.spark.read.parquet(f"{target}/forward").where(F.col("n_terms") > GONE).agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n_terms"), F.lit(0)).alias("terms"))
         totals.select((F.col("docs") - lost_docs).alias("docs"), (F.col("terms") - lost_terms).alias("terms")).write.mode("overwrite").parquet(f"{target}/totals")
 
     def _replaced(self, forward: DataFrame, segments: list[str]) -> tuple[DataFrame | None, int, int]:
@@ -99,15 +102,27 @@ class PostingIndex:
         if not segments:
             return None, 0, 0
         before = self._live(self._of(segments, "forward"), segments)
-        gone = materialize(before.join(forward.select("id"), "id", "left_semi").select("n_terms", "t"), "replaced")
+        gone = materialize(before.where(F.col("n_terms") > GONE).join(forward.select("id"), "id", "left_semi").select("n_terms", "t"), "replaced")
         n = gone.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n_terms"), F.lit(0)).alias("terms")).first()
         return gone.select(F.explode("t.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), n["docs"], n["terms"]
 
     def add(self, docs: DataFrame, *, id_col: str = "id", text_col: str = "text") -> "PostingIndex":
         """Index ``docs``; those whose id is there already take its place."""
         forward = materialize(term_lists(docs, id_col=id_col, text_col=text_col), "term-lists")
-        if forward.isEmpty():
+        return self if forward.isEmpty() else self._put(forward)
+
+    def remove(self, ids: DataFrame, *, id_col: str = "id") -> "PostingIndex":
+        """Documents that a search doesn't find any more, nor counts; ids that aren't there do nothing."""
+        segments = self._segments()
+        if not segments:
             return self
+        known = self._of(segments, "forward").drop("age").schema
+        blank = {"id": F.col(id_col), "n_terms": F.lit(GONE), "t": F.array()}
+        gone = materialize(ids.where(F.col(id_col).isNotNull()).select(*(blank[f.name].cast(f.dataType).alias(f.name) for f in known)).dropDuplicates(["id"]), "gone")
+        return self if gone.isEmpty() else self._put(gone)
+
+    def _put(self, forward: DataFrame) -> "PostingIndex":
+        """A new segment of rows of ``forward``."""
         target = self._write(forward)
         number = 0
         while True:
@@ -130,7 +145,7 @@ class PostingIndex:
         segments = self._segments()
         if len(segments) < 2 or not try_claim(self.spark, self.path, f"m{segments[-1][1:]}"):  # or another writer merges them
             return
-        target = self._write(self._live(self._of(segments, "forward"), segments).drop("age"))
+        target = self._write(self._live(self._of(segments, "forward"), segments).where(F.col("n_terms") > GONE).drop("age"))
         self._count(target, None)
         move(self.spark, target, f"{self.path}/m{segments[-1][1:]}")
         for name in listed(self.spark, self.path):

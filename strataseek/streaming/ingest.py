@@ -16,6 +16,7 @@ from strataseek.functions.text import is_blank
 from strataseek.operators.chunking import chunk, metadata
 from strataseek.operators.dependencies import dependencies
 from strataseek.operators.points import chunk_id, create_collection, point_id, to_points, upsert
+from strataseek.operators.postings import PostingIndex
 from strataseek.operators.preprocess import preprocess
 from strataseek.plans.ingest import embed, embed_once
 from strataseek.providers import Embedder, HashEmbedder
@@ -94,7 +95,7 @@ def changes(files: DataFrame) -> DataFrame:
 
 
 def stream_versions(
-    spark: SparkSession, root: str, collection: str, checkpoint: str, embedder: Embedder | None = None, *, store: str | None = None, partition_bytes: int = 64 << 20
+    spark: SparkSession, root: str, collection: str, checkpoint: str, embedder: Embedder | None = None, *, store: str | None = None, index: PostingIndex | None = None, partition_bytes: int = 64 << 20
 ) -> StreamingQuery:
     """Keeps the collection as the tree is: files that were only touched do nothing, a changed file's old chunks go in the commit that brings the new ones.
 
@@ -104,11 +105,16 @@ def stream_versions(
     """
     register(spark)
     files = spark.readStream.format("source_tree").option("path", root).option("partition_bytes", partition_bytes).load()
-    return keep_versions(files, collection, checkpoint, embedder, store=store)
+    return keep_versions(files, collection, checkpoint, embedder, store=store, index=index)
 
 
-def keep_versions(files: DataFrame, collection: str, checkpoint: str, embedder: Embedder | None = None, *, store: str | None = None) -> StreamingQuery:
-    """``stream_versions`` of any stream of files: path, modified, content, error."""
+def keep_versions(
+    files: DataFrame, collection: str, checkpoint: str, embedder: Embedder | None = None, *, store: str | None = None, index: PostingIndex | None = None
+) -> StreamingQuery:
+    """``stream_versions`` of any stream of files: path, modified, content, error. The session's state store becomes that of RocksDB.
+
+    index: takes and loses the chunks that the collection does, behind it; a batch that fails in between is run again for both.
+    """
     spark = files.sparkSession
     own = embedder or HashEmbedder()
     create_collection(spark, collection, own.dim)
@@ -121,6 +127,11 @@ def keep_versions(files: DataFrame, collection: str, checkpoint: str, embedder:
         gone = seen.where("deleted").select(point_id(chunk_id(F.col("codebase"), F.col("path"), F.col("line_start"))).alias("id"), F.col("path").alias("file_path"), "codebase", "part", "deleted")
         new = to_points(vectors, own.dim).withColumn("deleted", F.lit(False))
         upsert(df.sparkSession, collection, new.unionByName(gone, allowMissingColumns=True))
+        if index is not None:
+            index.remove(gone)
+            starts = chunk_id(F.col("codebase"), F.col("path"), F.col("line_start"))
+            texts = live.groupBy(point_id(starts).alias("id")).agg(F.max_by("content", "part").alias("text"))  # of equal ids the collection keeps one
+            index.add(texts)
         discard(seen)
 
     return changes(files).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

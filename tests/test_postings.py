@@ -44,6 +44,40 @@ def test_upserts_and_merges_score_as_all_texts(spark, tmp_path):
     assert shown(index.topk("w0 w250", 12, within=even)) == shown(want)
 
 
+def test_removed_documents_neither_count_nor_come(spark, tmp_path):
+    rnd = random.Random(9)
+    index = PostingIndex(spark, f"file://{tmp_path}/i", buckets=2, files=1, block_docs=16)
+    ids = lambda *found: spark.createDataFrame([(i,) for i in found], "id long")
+    assert index.remove(ids(1))._segments() == []
+    held = dict(corpus(rnd, range(200)))
+    index.add(frame(spark, list(held.items())))
+
+    def check():
+        docs = frame(spark, list(held.items()))
+        for query in ("w0 w250 w299", "w3 w4"):
+            assert shown(index.topk(query, 10)) == shown(retrieval.bm25(docs, query, 10)), query
+
+    index.remove(ids(*range(0, 200, 3), 999, 999, None))
+    held = {i: t for i, t in held.items() if i % 3}
+    check()
+    index.remove(ids(*range(0, 50)))  # some are gone already
+    held = {i: t for i, t in held.items() if i >= 50}
+    back = dict(corpus(rnd, range(0, 20)))
+    index.add(frame(spark, list(back.items())))
+    held |= back
+    check()
+    index.merge()
+    check()
+    assert len(index._segments()) == 1
+    index.remove(ids(*held))
+    assert index.topk("w0", 5).count() == 0
+    index.merge()
+    assert index.topk("w0", 5).count() == 0
+    held = dict(corpus(rnd, range(5)))
+    index.add(frame(spark, list(held.items())))
+    check()
+
+
 def test_blocks_that_cannot_matter_are_not_read(spark, tmp_path):
     rnd = random.Random(1)
     rows = [(i, " ".join(["common"] * rnd.randrange(1, 3) + ["other"] * rnd.choice([2, 30, 200, 900]))) for i in range(3000)] + [(5000 + i, "rare common common") for i in range(12)]

@@ -5,6 +5,7 @@ import os
 import pytest
 
 from strataseek.operators import points
+from strataseek.operators.postings import PostingIndex
 from strataseek.providers import HashEmbedder
 from strataseek.streaming.ingest import stream_versions
 
@@ -46,9 +47,9 @@ def tree(spark, tmp_path):
             at = next(clock)
             os.utime(root / name, (at, at))
 
-        def run(self, own, store=None):
+        def run(self, own, **more):
             self.log.write_text("")
-            stream_versions(spark, str(root), self.collection, f"file://{tmp_path}/ck", own, store=store).awaitTermination(200)
+            stream_versions(spark, str(root), self.collection, f"file://{tmp_path}/ck", own, **more).awaitTermination(200)
             return len(self.log.read_text())
 
         def held(self):
@@ -100,9 +101,21 @@ def test_a_batch_that_fails_is_run_again(spark, tree, tmp_path):
 def test_kept_chunks_are_not_embedded_again(spark, tree, tmp_path):
     own, store = noting(tree.log), f"file://{tmp_path}/vectors"
     tree.put("a.cob", program("A-1", "A-2"))
-    assert tree.run(own, store) == 2
+    assert tree.run(own, store=store) == 2
     tree.put("a.cob", program("A-1", "A-2", "A-3"))
-    assert tree.run(own, store) == 1 and [n for _, n in tree.held()] == ["A-1", "A-2", "A-3"]
+    assert tree.run(own, store=store) == 1 and [n for _, n in tree.held()] == ["A-1", "A-2", "A-3"]
+
+
+def test_an_index_goes_along(spark, tree, tmp_path):
+    own, index = noting(tree.log), PostingIndex(spark, f"file://{tmp_path}/index", buckets=2, files=1)
+    names = lambda word: {r["name"] for r in points.read_points(spark, tree.collection).join(index.topk(word, 9), "id").collect()}
+    tree.put("a.cob", program("ALPHA", "BETA"))
+    tree.put("b.cob", program("GAMMA"))
+    tree.run(own, index=index)
+    assert names("move") == {"ALPHA", "BETA", "GAMMA"} and names("beta") == {"BETA"}
+    tree.put("a.cob", program("DELTA"))
+    tree.run(own, index=index)
+    assert names("move") == {"DELTA", "GAMMA"} and index.topk("beta", 9).count() == 0 and index.topk("move", 9).count() == 2
 
 
 def test_points_are_removed(spark, tmp_path):
