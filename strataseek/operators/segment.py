@@ -23,9 +23,10 @@ def division_header(line: Column) -> Column:
     return F.nullif(named, F.lit(""))
 
 
-def paragraph_name(line: Column) -> Column:
-    """The paragraph that a line opens, or null."""
-    named = lambda x: bound(F.upper(strip(F.left(x, F.length(x) - 1))), lambda bare: F.when(bare.rlike(r"\A[A-Z0-9-]+\z"), bare))
+def paragraph_name(line: Column, plain: bool = False) -> Column:
+    """The paragraph that a line opens, or null. plain: a letter whose capital is two, as ß, is none of a name."""
+    fits = lambda x, bare: bare.rlike(r"\A[A-Z0-9-]+\z") & ((F.length(bare) == F.length(x)) if plain else F.lit(True))
+    named = lambda x: bound(strip(F.left(x, F.length(x) - 1)), lambda own: bound(F.upper(own), lambda bare: F.when(fits(own, bare), bare)))
     return bound(strip(line), lambda x: F.when(x.endswith(".") & line.rlike(r"\A\S"), named(x)))
 
 
@@ -38,10 +39,10 @@ def _block(line_start: Column, line_end: Column, chunk_type: Column | str, name:
     return F.struct(*(v.alias(n) for v, n in zip(values, BLOCK, strict=True)))
 
 
-def cobol_blocks(files: DataFrame, lines_col: str = "lines", out: str = "blocks") -> DataFrame:
+def cobol_blocks(files: DataFrame, lines_col: str = "lines", out: str = "blocks", *, plain_names: bool = False) -> DataFrame:
     """Adds blocks, an array by line, to files with lines (if they aren't null): paragraphs of the procedure division, or one block for the file."""
     names, files = files.columns, fence(files)
-    heads = F.transform(lines_col, lambda x, i: F.struct((i + 1).alias("no"), paragraph_name(x).alias("name"), (division_header(x) == "PROCEDURE").alias("opens")))
+    heads = F.transform(lines_col, lambda x, i: F.struct((i + 1).alias("no"), paragraph_name(x, plain_names).alias("name"), (division_header(x) == "PROCEDURE").alias("opens")))
     df = files.select(*names, F.filter(heads, lambda h: h["name"].isNotNull() | h["opens"]).alias("__marks"))
     df = df.select(*names, "__marks", F.get(F.filter("__marks", lambda h: h["opens"]), F.lit(0))["no"].alias("__procedure"))
     df = df.select(*names, "__procedure", F.filter("__marks", lambda h: h["name"].isNotNull() & (h["no"] > F.col("__procedure"))).alias("__heads"), F.size(lines_col).alias("__n"))
@@ -80,12 +81,12 @@ def fortran_blocks(files: DataFrame, lines_col: str = "lines", out: str = "block
     return fence(df.select(*names, F.array_sort(F.concat("__units", gaps)).alias(out)))
 
 
-def block_chunks(processed: DataFrame, *keys: str) -> DataFrame:
+def block_chunks(processed: DataFrame, *keys: str, plain_names: bool = False) -> DataFrame:
     """keys, chunks (array, by line): one row for each file, and nothing is shuffled. Blank gaps are dropped. processed: keys (language among them), code."""
     cobol = F.col("language") == "cobol"
     files = processed.select(*keys, lines(F.col("code")).alias("lines"))
     files = files.select(*keys, "lines", F.when(cobol, F.col("lines")).alias("__cobol"), F.when(~cobol, F.col("lines")).alias("__fortran"))
-    files = fortran_blocks(cobol_blocks(files, "__cobol", "__b1"), "__fortran", "__b2")
+    files = fortran_blocks(cobol_blocks(files, "__cobol", "__b1", plain_names=plain_names), "__fortran", "__b2")
     files = fence(files.select(*keys, "lines", F.when(cobol, F.col("__b1")).otherwise(F.col("__b2")).alias("blocks")))
 
     def chunk(b: Column) -> Column:

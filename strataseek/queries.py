@@ -986,7 +986,7 @@ FROM named JOIN documents ON doc_id = key"""
 def chunk_files(spark, d):
     from strataseek.operators.chunking import chunk
 
-    own = chunk(preprocess.preprocess(dressed(spark, d)))
+    own = chunk(preprocess.preprocess(dressed(spark, d)), plain_names=True)
     return own.select("path", "language", "name", "division", "chunk_type", "line_start", "line_end", "token_count", F.array_join("dependencies", ",").alias("dependencies"))
 
 
