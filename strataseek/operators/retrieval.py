@@ -137,6 +137,21 @@ def bm25(docs: DataFrame, query: str, k: int, **more) -> DataFrame:
     return top(bm25_scores(docs, query, **more), k)
 
 
+#: Of a file of postings, on average. A task writes some such files.
+POSTINGS = 1 << 17
+
+
+def files_of(lists: DataFrame, buckets: int, least: int) -> int:
+    """Files of a bucket, so that none grows with the collection. lists: of ``term_lists``."""
+    held = lists.agg(F.sum(F.size("t"))).first()[0] or 0
+    return max(least, -(-held // (buckets * POSTINGS)))
+
+
+def dealt(postings: DataFrame, buckets: int, files: int, least: int, *by: str) -> DataFrame:
+    """By bucket and file. Where there are more files than the least, tasks grow in number with them: two for each, as some meet in one."""
+    return postings.repartition(2 * buckets * files, *by) if files > least else postings.repartition(*by)
+
+
 class TextIndex:
     """An inverted index on disk: postings by bucket of the term, sorted by term, and the totals of the collection.
 
@@ -144,7 +159,7 @@ class TextIndex:
     """
 
     def __init__(self, spark: SparkSession, path: str, *, buckets: int = 64, files: int = 4):
-        """files: of a bucket, so that the postings of a frequent term are written by several tasks."""
+        """files: of a bucket, so that the postings of a frequent term are written by several tasks; more where a bucket has many postings."""
         self.spark, self.path, self.buckets, self.files = spark, path.rstrip("/"), buckets, files
 
     def _bucket(self, term: Column) -> Column:
@@ -153,8 +168,9 @@ class TextIndex:
     def write(self, docs: DataFrame, *, id_col: str = "id", text_col: str = "text") -> "TextIndex":
         lists = materialize(term_lists(docs, id_col=id_col, text_col=text_col), "term-lists")  # texts are read once
         found = lists.select("id", "n_terms", F.explode("t").alias("x")).select("id", "n_terms", "x.term", "x.tf").withColumn("bucket", self._bucket(F.col("term")))
-        dealt = found.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(self.files))).sortWithinPartitions("bucket", "term")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+        files = files_of(lists, self.buckets, self.files)
+        found = found.withColumn("file", F.pmod(F.xxhash64("id"), F.lit(files)))
+        dealt(found, self.buckets, files, self.files, "bucket", "file").drop("file").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
         lists.agg(F.count(F.lit(1)).alias("docs"), F.avg("n_terms").alias("mean")).write.mode("overwrite").parquet(f"{self.path}/totals")
         return self
 
