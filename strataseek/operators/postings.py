@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from strataseek.config import BM25_B, BM25_K1
 from strataseek.operators.commits import ABANDONED_MS, claims, listed, move, try_claim
-from strataseek.operators.retrieval import query_terms, term_lists, top
+from strataseek.operators.retrieval import dealt, files_of, query_terms, term_lists, top
 from strataseek.scratch import delete, materialize
 
 #: Length of a document that is gone.
@@ -40,7 +40,7 @@ class Statistics:
 
 class PostingIndex:
     def __init__(self, spark: SparkSession, path: str, *, buckets: int = 64, files: int = 8, block_docs: int = 128, merge_after: int = 8):
-        """buckets: of terms, one folder each. files: of a bucket, so that several tasks write the postings of a frequent term."""
+        """buckets: of terms, one folder each. files: of a bucket, so that several tasks write the postings of a frequent term; more where a bucket has many."""
         self.spark, self.path, self.buckets, self.files, self.block_docs, self.merge_after = spark, path.rstrip("/"), buckets, files, block_docs, merge_after
         self.read, self.held = 0, 0
 
@@ -84,8 +84,9 @@ class PostingIndex:
         cuts = F.create_map(*(F.lit(x) for pair in sizes.items() for x in pair)) if sizes else F.create_map(F.lit(0), F.lit(1)).cast("map<bigint,int>")
         block = band * (1 << 32) + F.pmod(F.xxhash64("id"), F.element_at(cuts, band))
         each = forward.select("id", "n_terms", block.alias("block"), F.explode("t").alias("x")).select("x.term", "block", "id", "x.tf", F.col("n_terms").alias("n"))
-        dealt = each.withColumns({"bucket": self._bucket(F.col("term")), "file": F.pmod(F.xxhash64("block"), F.lit(self.files))}).repartition("bucket", "file")
-        rows = dealt.groupBy("bucket", "file", "term", "block").agg(F.sort_array(F.collect_list(F.struct("id", "tf", "n"))).alias("p"), F.max("tf").alias("max_tf"), F.min("n").alias("min_n"))
+        files = files_of(forward, self.buckets, self.files)
+        keyed = each.withColumns({"bucket": self._bucket(F.col("term")), "file": F.pmod(F.xxhash64("block"), F.lit(files))})
+        rows = dealt(keyed, self.buckets, files, self.files, "bucket", "file").groupBy("bucket", "file", "term", "block").agg(F.sort_array(F.collect_list(F.struct("id", "tf", "n"))).alias("p"), F.max("tf").alias("max_tf"), F.min("n").alias("min_n"))
         rows = rows.select("bucket", "term", "block", F.size("p").alias("df"), "max_tf", "min_n", "p").sortWithinPartitions("bucket", "term", "block")
         rows.write.partitionBy("bucket").parquet(f"{target}/blocks")
         return target
