@@ -29,6 +29,8 @@ DIGITS = 9
 QUESTIONS, NUMBERS = 512, 1 << 20
 #: Cells of the matrix of points by questions that are scored together.
 SCORES = 1 << 19
+#: Words of documents that are looked up together, and pairs of a document's term and a question that are scored together (one document may have more).
+WORDS, PAIRS = 1 << 18, 1 << 18
 
 
 class Best:
@@ -67,6 +69,16 @@ class Best:
             yield from pa.table({"question": questions.take(found["q"].combine_chunks()), "id": found["id"], "score": found["score"]} | more).to_batches()
 
 
+def slices(batch: pa.RecordBatch, weights: np.ndarray, most: int, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces whose rows weigh ``most`` together, or are a single one; of ``rows`` rows at most."""
+    ends, at = np.cumsum(weights), 0
+    while at < len(weights):
+        fit = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))
+        to = max(at + 1, fit if rows is None else min(fit, at + rows))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def blocks(questions: DataFrame, size: Callable[[Row], int]) -> Iterator[list[Row]]:
     """The rows of ``questions`` in lists of bounded size, one after the other."""
     held: list[Row] = []
@@ -182,7 +194,7 @@ def _match_pass(vocabulary: list[str]) -> Callable:
     known = pa.array(vocabulary, pa.string())
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in (part for whole in it for part in slices(whole, pc.fill_null(pc.list_value_length(whole.column(2)), 0).to_numpy(zero_copy_only=False), WORDS)):
             own = batch.column(2)
             n = own.value_lengths().to_numpy(zero_copy_only=False)
             code = pc.fill_null(pc.index_in(own.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -201,8 +213,9 @@ def _score_pass(asked: Asked, block: list[Row], out: StructType, k: int, k1: flo
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, step = Best(len(block), k), max(1, min(1024, SCORES // len(block)))
         for whole in it:
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
+            met = np.append(0, np.cumsum(np.diff(asked.at)[whole.column(3).flatten().to_numpy()]))
+            ends = np.append(0, np.cumsum(whole.column(3).value_lengths().to_numpy(zero_copy_only=False)))
+            for batch in slices(whole, np.diff(met[ends]), PAIRS, step):
                 codes = batch.column(3).flatten().to_numpy()
                 row = np.repeat(np.arange(batch.num_rows), batch.column(3).value_lengths().to_numpy(zero_copy_only=False))
                 # Each term of a row meets the questions that have it.
