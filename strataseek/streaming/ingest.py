@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -30,7 +29,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 #: What a file's state knows of it: the version, and the lines at which its chunks begin.
 VERSION = "hash string, codebase string, starts array<int>"
 CHANGED = ("path", "codebase", "language", "hash", "modified", "content", "line_start", "line_end", "chunk_type", "name", "division", "token_count", "part")
-NUMBERS = ("line_start", "line_end", "token_count", "part")
+#: Paths that are handed to the state together, as a call for each path costs more than its work. Fixed, since a path has to find its state again; a task holds one bucket's new files at a time.
+BUCKETS = 1 << 16
 
 
 def stream_ingest(spark: SparkSession, root: str, collection: str, checkpoint: str, embedder: Embedder | None = None) -> StreamingQuery:
@@ -49,29 +49,41 @@ def stream_ingest(spark: SparkSession, root: str, collection: str, checkpoint: s
 
 
 class Versions(StatefulProcessor):
-    """Keyed by path. A version that the state knows gives nothing; another gives its chunks, and a row with ``deleted`` for each chunk of the version before that has no successor."""
+    """The rows of a bucket of paths, each path with a version of its own in the state.
+
+    A version that the state knows gives nothing; another gives its chunks, and a row with ``deleted`` for each chunk of the version before that has no successor.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getValueState("version", VERSION)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        found = pd.concat(list(rows))
-        found = found[found["modified"] == found["modified"].max()]
-        found = found[found["hash"] == found["hash"].max()]
-        version, codebase = found["hash"].iloc[0], found["codebase"].iloc[0]
-        before = self.known.get() if self.known.exists() else (None, None, [])
+        self.known = handle.getMapState("versions", "path string", VERSION)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        newest: dict[str, tuple[tuple, list[dict]]] = {}
+        for row in rows:
+            own = row.asDict()
+            own.pop("bucket")
+            at = (own["modified"] is not None, own["modified"], own["hash"])
+            found = newest.get(own["path"])
+            if found is None or at > found[0]:
+                newest[own["path"]] = (at, [own])
+            elif at == found[0]:
+                found[1].append(own)
+        for path, (_, found) in newest.items():
+            yield from self.compared(path, found)
+
+    def compared(self, path: str, found: list[dict]) -> Iterator[Row]:
+        version, codebase = found[0]["hash"], found[0]["codebase"]
+        before = self.known.getValue((path,)) or (None, None, [])
         if version == before[0] and codebase == before[1]:
             return
-        live = found[found["line_start"].notna()].assign(deleted=False)
-        starts = sorted({int(n) for n in live["line_start"]})
-        gone = [int(n) for n in before[2] if codebase != before[1] or int(n) not in set(starts)]
-        self.known.update((version, codebase, starts))
-        out = live
-        if gone:
-            old = pd.DataFrame({"path": key[0], "codebase": before[1], "line_start": gone, "part": 0, "deleted": True}).reindex(columns=live.columns)
-            out = pd.concat([live.astype(object), old.astype(object)])
-        if len(out):
-            yield out.astype({n: "Int32" for n in NUMBERS} | {"deleted": bool, "modified": "datetime64[ns]"})
+        live = [row for row in found if row["line_start"] is not None]
+        starts = {row["line_start"] for row in live}
+        self.known.updateValue((path,), (version, codebase, sorted(starts)))
+        for row in live:
+            yield Row(**row, deleted=False)
+        for n in before[2]:
+            if codebase != before[1] or n not in starts:
+                yield Row(**dict.fromkeys(found[0]) | {"path": path, "codebase": before[1], "line_start": n, "part": 0, "deleted": True})
 
     def close(self) -> None:
         pass
@@ -89,9 +101,11 @@ def file_chunks(files: DataFrame) -> DataFrame:
 
 def changes(files: DataFrame) -> DataFrame:
     """The chunks of ``file_chunks`` of new and changed files, and with ``deleted`` those that changed files no longer have. Needs the state store of RocksDB."""
-    chunks = file_chunks(files)
+    chunks = file_chunks(files).withColumn("modified", F.unix_micros("modified"))  # a number, which no time zone of a worker moves
     out = StructType([*(StructField(f.name, f.dataType) for f in chunks.schema.fields), StructField("deleted", BooleanType())])
-    return chunks.groupBy("path").transformWithStateInPandas(Versions(), out, "Append", "None")
+    keyed = chunks.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int"))
+    found = keyed.groupBy("bucket").transformWithState(Versions(), out, "Append", "None")
+    return found.withColumn("modified", F.timestamp_micros("modified"))
 
 
 def stream_versions(
