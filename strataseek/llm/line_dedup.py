@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataseek.llm.scratch import discard, materialize
+from strataseek.llm.slices import slices
 
 #: Stripped from both ends of a line.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -35,7 +36,7 @@ def _line_hashes(min_chars: int):
         return x - (1 << 64) if x >> 63 else x
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it, lambda b: b.column(2)):
             ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc, own, text in zip(ids, hashes, batch.column(2).cast(pa.binary()).to_pylist(), strict=True):

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from strataseek.llm.components import components
 from strataseek.llm.scratch import materialize
 from strataseek.llm.simhash import Limit, first_of_components, least_id, majority, near_links, remix, shingle_hashes
+from strataseek.llm.slices import slices
 
 BANDS, ROWS = 24, 5
 #: Texts of one component that a task takes before the component is cut into blocks.
@@ -61,7 +62,7 @@ def sketches(docs: DataFrame, shingle: int, *, id_col: str, text_col: str) -> Da
     """doc_id, fp, fp2, shingles (hash of the set), bands, __row (all columns): one row for each row of ``docs``."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it, lambda b: b.column(1).field(at)):
             prints, sets, keys = [], [], []
             for t in batch.column(1).field(at).cast(pa.binary()).to_pylist():
                 chunks = list(shingle_hashes(t or b"", shingle))

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataseek.llm.scratch import materialize
+from strataseek.llm.slices import slices
 from strataseek.llm.wordcache import WordCache
 
 #: Lengths above this share of the capacity are large.
@@ -46,10 +47,8 @@ LARGE = 1 / 8
 GROUPS = 32
 #: Times that pieces are grouped and solved; a configured sequence stays if its gap has at most so many tokens.
 ROUNDS, TIGHT = 8, 1
-CACHE_WORDS = 200_000
+CACHE_WORDS = 50_000
 ROWS_PER_BUCKET = 20_000
-#: Texts of one round, in bytes.
-ROUND_BYTES = 4_000_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -137,28 +136,19 @@ def cut_documents(docs: DataFrame, tokenizer_file: str, capacity: int, *, end_id
     """doc_id, piece, start, length, ids (little-endian, 4 bytes each): at least one row for each row of ``docs``."""
     step, end = 4 * capacity, np.array([end_id], "<u4").tobytes()
 
-    def rounds(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-        at, size = 0, 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= ROUND_BYTES or i == len(texts) - 1:
-                yield at, texts[at : i + 1]
-                at, size = i + 1, 0
-
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(tokenizer_file)
-        for batch in it:
-            ids = batch.column(0).to_pylist()
-            for at, texts in rounds([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]):
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for i, own in enumerate(tokens.texts(texts)):
-                    own += end
-                    for k, start in enumerate(range(0, len(own), step)):
-                        piece = own[start : start + step]
-                        for column, value in zip(out, (ids[at + i], k, start // 4, len(piece) // 4, piece), strict=True):
-                            column.append(value)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.record_batch([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
+        for batch in slices(it, lambda b: b.column(1)):
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for doc, own in zip(batch.column(0).to_pylist(), tokens.texts(texts), strict=True):
+                own += end
+                for k, start in enumerate(range(0, len(own), step)):
+                    piece = own[start : start + step]
+                    for column, value in zip(out, (doc, k, start // 4, len(piece) // 4, piece), strict=True):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.record_batch([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(batches, _PIECES)
 

@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataseek.llm.slices import slices
 from strataseek.llm.wordcache import WordCache
 
 #: The bound of the sample that the model is fitted on.
@@ -48,8 +49,7 @@ HIDDEN = 32
 EPOCHS = 60
 #: Of the sample, for the temperature.
 KEPT_SHARE = 0.2
-CACHE_WORDS = 200_000
-ROUND_BYTES = 4_000_000
+CACHE_WORDS = 50_000
 GATHER = 1 << 18
 
 AGAIN, AGAIN_WORD = "\0again", b"\0again"
@@ -251,20 +251,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     model = fit(*labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col))
     known = docs.sparkSession.sparkContext.broadcast(model)
 
-    def rounds(texts: list[bytes]) -> Iterator[list[bytes]]:
-        at, size = 0, 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= ROUND_BYTES or i == len(texts) - 1:
-                yield texts[at : i + 1]
-                at, size = i + 1, 0
+    def texts(batch: pa.RecordBatch) -> pa.Array:
+        return batch.column(1).field(at) if carry else batch.column(1)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(known.value)
-        for batch in it:
-            texts = batch.column(1).field(at) if carry else batch.column(1)
-            own = [scorer.scores(t) for t in rounds([t or b"" for t in texts.cast(pa.binary()).to_pylist()])]
-            score = pa.array(np.concatenate(own) if own else np.empty(0))
+        for batch in slices(it, texts):
+            score = pa.array(scorer.scores([t or b"" for t in texts(batch).cast(pa.binary()).to_pylist()]))
             yield pa.record_batch([batch.column(0), score, *batch.columns[1:]][: 3 if carry else 2], names=["doc_id", "score", "__row"][: 3 if carry else 2])
 
     kinds = "doc_id long, score double" + (f", __row {docs.select(F.struct('*').alias('r')).schema[0].dataType.simpleString()}" if carry else "")
