@@ -25,21 +25,21 @@ columns are read.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
+from codecs import charmap_decode
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 from math import ceil
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataseek.llm.scratch import materialize
 from strataseek.llm.slices import slices
-from strataseek.llm.wordcache import WordCache
 
 #: Lengths above this share of the capacity are large.
 LARGE = 1 / 8
@@ -47,7 +47,11 @@ LARGE = 1 / 8
 GROUPS = 32
 #: Times that pieces are grouped and solved; a configured sequence stays if its gap has at most so many tokens.
 ROUNDS, TIGHT = 8, 1
-CACHE_WORDS = 50_000
+#: Most bytes of words, with their ids, that a worker knows when a slice begins.
+CACHE_BYTES = 4_000_000
+#: ASCII characters that are neither letters nor digits nor white space, and kinds of bytes: white space 0, ASCII letters 1, those signs 2, others 3.
+SIGNS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
+KINDS = np.array([0 if bytes([c]).isspace() else 1 if bytes([c]).isalpha() else 2 if c in SIGNS else 3 for c in range(256)], np.uint8)
 ROWS_PER_BUCKET = 20_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids binary"
@@ -57,7 +61,7 @@ _PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
 class WordTokens:
-    """Token ids of a text, joined from those of its words, which are kept.
+    """Token ids of a text, joined from those of its words; ids of words used lately are kept, as Arrow arrays.
 
     Right for tokenizers that drop white space before anything else looks at the text:
     then the ids of a text are those of its blank-separated parts, one after the other.
@@ -67,6 +71,7 @@ class WordTokens:
         import json
 
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         with open(tokenizer_file, encoding="utf-8") as f:
@@ -74,53 +79,113 @@ class WordTokens:
         split = str(spec.get("pre_tokenizer"))
         if "Removed" not in split or any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in spec["added_tokens"]):
             raise ValueError("this tokenizer doesn't drop white space: words can't be encoded by themselves")
-        self.model = self.tokenizer.model
-        self.ids = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.cache = WordCache(CACHE_WORDS)
-        # Byte-level form: printable bytes stand for themselves, the others for code points from 256 on, in order.
-        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        rest = [b for b in range(256) if b not in plain]
-        self.byte_level = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        """Each word's ids, little-endian, 4 bytes each."""
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def letters(self, word: bytes) -> bytes | None:
-        """The same for a word of letters alone, straight from the model; None if the word isn't one.
-
-        Such a word is one piece for the pre-tokenizer; the normaliser only lower-cases it.
+        end = spec["model"].get("end_of_word_suffix")
+        if not end or any(t["content"].rstrip(SIGNS.decode()).isalpha() or not t["content"].strip(SIGNS.decode()) for t in spec["added_tokens"]):
+            raise ValueError("this tokenizer doesn't mark the ends of pieces, or an added token looks like a word: pieces can't be encoded by themselves")
+        self.added = [t["content"].lower().encode() for t in spec["added_tokens"]]
+        # The model alone, for pieces in byte-level form: printable bytes stand for themselves, the others for code points from 256 on, in order.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = CharDelimiterSplit(" ")
+        plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        rest = iter(range(256, 512))
+        self.byte_level = "".join([chr(b) if b in plain else chr(next(rest)) for b in range(256)]).replace(chr(256 + 0x20), " ")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(end)]] = True
+        # Known words, their ids one after the other, how many each has, and the round of its last use.
+        self.words, self.ids = pa.array([], pa.binary()), np.zeros(0, "<u4")
+        self.counts, self.used, self.round = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def pieces(self, word: bytes) -> bytes | None:
+        """Lower-cased pieces, blank between them, of a word of letters with ASCII signs behind, or of one of the two alone; None for other words.
+
+        The pre-tokenizer cuts such a word before the signs; the normaliser only lower-cases it.
         """
         if word.isalpha():  # ASCII letters
-            return b"".join([self.ids[t.id] for t in self.model.tokenize(word.lower().decode())])
-        text = word.decode()
+            return word.lower()
+        core = word.rstrip(SIGNS)
+        if not core:
+            return word
+        text = core.decode()
         low = text.lower()
         if not (text.isalpha() and low.isalpha()) or "\u03a3" in text or not is_normalized("NFC", text):
             return None
-        form = "".join(map(self.byte_level.__getitem__, low.encode()))
-        return b"".join([self.ids[t.id] for t in self.model.tokenize(form)])
-
-    def fill(self, words: set[bytes]) -> None:
-        self.cache.trim()
-        absent = self.cache.missing(words)
-        ends = dict(zip((b".", b","), self.encode([b".", b","]), strict=True))
-        others = []
-        for w in absent:
-            # Letters with one full stop or comma behind are two pieces.
-            end = ends.get(w[-1:])
-            ids = self.letters(w if end is None else w[:-1])
-            if ids is None:
-                others.append(w)
-            else:
-                self.cache[w] = ids if end is None else ids + end
-        self.cache.update(zip(others, self.encode(others), strict=True))
+        return low.encode() + b" " + word[len(core) :] if len(core) < len(word) else low.encode()
+
+    def encode(self, words: list[bytes], pieces: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``words`` with pieces, then those of the others, one after the other; how many each word has."""
+        cut = [x for x in pieces if x is not None]
+        ids, counts = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        if cut:
+            found = self.model.encode_batch_fast([charmap_decode(b" ".join(cut), "strict", self.byte_level)[0]], add_special_tokens=False)
+            ids = np.array(found[0].ids, "<u4")
+            last = np.cumsum([2 if b" " in x else 1 for x in cut]) - 1
+            counts = np.diff(np.flatnonzero(self.ends[ids])[last] + 1, prepend=0)
+        others = self.tokenizer.encode_batch_fast([w.decode() for w, x in zip(words, pieces, strict=True) if x is None], add_special_tokens=False)
+        own = [e.ids for e in others]
+        return np.concatenate([ids, *(np.array(x, "<u4") for x in own)]), np.concatenate([counts, np.array([len(x) for x in own], np.int64)])
+
+    def trim(self) -> None:
+        """Keeps half of ``CACHE_BYTES``, of the words used last, if there is more than that."""
+        sizes = 4 * self.counts + pc.binary_length(self.words).to_numpy(zero_copy_only=False)
+        if sizes.sum() <= CACHE_BYTES:
+            return
+        order = np.argsort(-self.used, kind="stable")
+        keep = np.zeros(len(order), bool)
+        keep[order[np.cumsum(sizes[order]) <= CACHE_BYTES // 2]] = True
+        self.ids = self.ids[np.repeat(keep, self.counts)]
+        self.words, self.counts, self.used = self.words.filter(pa.array(keep)), self.counts[keep], self.used[keep]
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The number of each of these distinct words among the known ones, to which absent words are added."""
+        self.trim()
+        self.round += 1
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.used[at[at >= 0]] = self.round
+        absent = np.flatnonzero(at < 0)
+        if len(absent):
+            own = words.take(pa.array(absent)).to_pylist()
+            pieces = [self.pieces(w) for w in own]
+            ids, counts = self.encode(own, pieces)
+            absent = absent[np.argsort([x is None for x in pieces], kind="stable")]
+            at[absent] = len(self.words) + np.arange(len(absent))
+            self.words = pa.concat_arrays([self.words, words.take(pa.array(absent))])
+            self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+            self.used = np.concatenate([self.used, np.full(len(absent), self.round)])
+        return at
+
+    def cut(self, text: bytes) -> tuple[np.ndarray, pa.Array]:
+        """Where the words of ``text`` begin, and the words. ASCII signs between an ASCII letter and white space are a word of their own, and A-Z are lower-cased.
+
+        But neither where an added token may stand, or an accent (lead byte CC) that could compose with a letter of one case only.
+        """
+        low = text.lower()
+        plain = b"\xcc" not in low and not any(x in low for x in self.added)
+        chars = np.frombuffer(low if plain else text, np.uint8)
+        kinds = KINDS[chars]
+        runs = np.concatenate([[0], np.flatnonzero(kinds[1:] != kinds[:-1]) + 1])
+        own = kinds[runs]
+        before, behind = np.concatenate([[0], own[:-1]]), np.concatenate([own[1:], [0]])
+        begins = (own != 0) & (before == 0)
+        if plain:
+            begins |= (own == 2) & (before == 1) & (behind == 0)
+        lengths = np.diff(runs, append=len(chars)) * (own != 0)
+        ends = np.cumsum(lengths)
+        offsets = np.append((ends - lengths)[begins], ends[-1]).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(chars[kinds != 0])])
+        return runs[begins], words
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]  # bytes.split() cuts at ASCII white space alone
-        self.fill(set(chain.from_iterable(words)))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, own)) for own in words]
+        """Each text's ids, little-endian, 4 bytes each."""
+        if not texts:
+            return []
+        begins, words = self.cut(b"\n".join([*texts, b""]))
+        words = words.dictionary_encode()
+        at = self.find(words.dictionary)[words.indices.to_numpy()]
+        firsts, counts = (np.cumsum(self.counts) - self.counts)[at], self.counts[at]
+        ends = np.cumsum(counts)
+        found = self.ids[np.repeat(firsts - ends + counts, counts) + np.arange(counts.sum())]
+        bounds = np.append(0, ends)[np.searchsorted(begins, np.cumsum([0, *(len(t) + 1 for t in texts)]))].tolist()
+        return [found[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 _TOKENS: dict[str, WordTokens] = {}
