@@ -14,7 +14,8 @@ Windows with names are looked up both as templates and with the names as words,
 copy in lower case is found. The slots that are compared are those of the form whose key was
 found: with the names as words, a name is no slot. Any white space counts as one blank.
 
-The index is joined in blocks of a fixed number of windows, each of them broadcast.
+An index of few windows is broadcast. Of a larger one only bits of its keys are (a Bloom filter in chunks, of bounded size): windows
+that pass are written, a few of a thousand of them by chance, and meet the index by a shuffle. So a task's memory doesn't grow with the items.
 
 Cases: a null or empty text on either side has no windows; an item shorter than a window
 is one window; repeated rows and rows that share an id are reported once for each different
@@ -24,7 +25,7 @@ text; null ids are kept; an empty table on either side gives no rows; further co
 from __future__ import annotations
 
 from functools import reduce
-from math import ceil
+from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,8 +38,12 @@ STRIDE = 4
 PLAIN = 5
 #: Share of an item's windows that must be found.
 SHARE = 0.5
-#: Windows of one broadcast block: at most about 60 MB.
-BLOCK = 200_000
+#: Windows of an index that is broadcast: at most about 15 MB.
+BLOCK = 50_000
+#: Windows whose bits are broadcast together, about 5 bytes each; more than that go in passes, one after the other.
+SIEVED = 8_000_000
+#: Bits of a chunk, for so many of each key.
+CHUNK_BITS, KEY_BITS = 4096, 32
 
 #: Private-use characters, which no word has: placeholders, and the point inside a number.
 NUMBER, UNIT, NAME, POINT = "\ue000", "\ue001", "\ue002", "\ue003"
@@ -113,31 +118,74 @@ def index_items(items: DataFrame, *, id_col: str = "item_id", text_col: str = "t
     return t.select("width", F.explode(looked_up).alias("x"), F.col("id").alias("item_id"), "item_at", "item_windows").select("width", "x.key", "item_id", "item_at", "x.item_slots", "item_windows")
 
 
-def _hits(docs: DataFrame, index: DataFrame, widths: list[int]) -> DataFrame:
-    """Hits of one block, one row for each window of a document that equals one of the index."""
+def _windows(docs: DataFrame, width: int) -> DataFrame:
+    """id, text_hash, raw, typed, named, at, key: one row for each window of this width, first of the typed words, then of the named."""
     hashes = lambda w: F.transform(w, lambda x: F.xxhash64(x))
     h = docs.select("id", "text_hash", "raw", "typed", "named", hashes("typed").alias("h1"), hashes("named").alias("h2"))
-    out = []
-    for width in widths:
-        if width == WINDOW:
-            keys = [_keys(F.col("h1"), width), F.when(F.col("h2").isNotNull(), _keys(F.col("h2"), width))]
-        else:
-            joined = lambda w: F.when(
-                F.size(w) >= width,
-                F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - width, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(F.col(w), i + 1, width), " "))),
-            ).otherwise(F.array().cast("array<bigint>"))
-            keys = [joined("typed"), F.when(F.col("named").isNotNull(), joined("named"))]
-        both = F.concat(keys[0], F.coalesce(keys[1], F.array().cast("array<bigint>")))
-        windows = h.select("id", "text_hash", "raw", "typed", "named", both.alias("keys"))
-        # The outer form: for the other one Spark would filter on the whole expression first, and inline it for that.
-        windows = windows.select("id", "text_hash", "raw", "typed", "named", F.posexplode_outer("keys").alias("at", "key"))
-        own = index.where(F.col("width") == width).drop("width")
-        hit = windows.join(F.broadcast(own), "key")
-        n = F.greatest(F.size("typed") - width + 1, F.lit(1))
-        at, form = F.col("at") % n, F.when(F.col("at") < n, F.col("typed")).otherwise(F.col("named"))
-        # Words are looked at on hits alone; up to here, the arrays are only passed on inside one generated loop.
-        out.append(hit.select("id", "text_hash", "item_id", "item_at", "item_slots", "item_windows", at.alias("at"), _slots(form, F.col("raw"), at, width).alias("slots")))
-    return reduce(DataFrame.union, out)
+    if width == WINDOW:
+        keys = [_keys(F.col("h1"), width), F.when(F.col("h2").isNotNull(), _keys(F.col("h2"), width))]
+    else:
+        joined = lambda w: F.when(
+            F.size(w) >= width,
+            F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - width, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(F.col(w), i + 1, width), " "))),
+        ).otherwise(F.array().cast("array<bigint>"))
+        keys = [joined("typed"), F.when(F.col("named").isNotNull(), joined("named"))]
+    both = F.concat(keys[0], F.coalesce(keys[1], F.array().cast("array<bigint>")))
+    windows = h.select("id", "text_hash", "raw", "typed", "named", both.alias("keys"))
+    # The outer form: for the other one Spark would filter on the whole expression first, and inline it for that.
+    return windows.select("id", "text_hash", "raw", "typed", "named", F.posexplode_outer("keys").alias("at", "key"))
+
+
+def _placed(met: DataFrame, width: int, *more: str) -> DataFrame:
+    """Windows that met something, with their place in the document and their slots, without the words."""
+    n = F.greatest(F.size("typed") - width + 1, F.lit(1))
+    at, form = F.col("at") % n, F.when(F.col("at") < n, F.col("typed")).otherwise(F.col("named"))
+    # Words are looked at on hits alone; up to here, the arrays are only passed on inside one generated loop.
+    return met.select("id", "text_hash", *more, at.alias("at"), _slots(form, F.col("raw"), at, width).alias("slots"))
+
+
+OF_ITEM = ("item_id", "item_at", "item_slots", "item_windows")
+
+
+def _hits(docs: DataFrame, index: DataFrame, widths: list[int]) -> DataFrame:
+    """One row for each window of a document that equals one of the index, which is broadcast."""
+    of = lambda width: index.where(F.col("width") == width).drop("width")
+    return reduce(DataFrame.union, [_placed(_windows(docs, width).join(F.broadcast(of(width)), "key"), width, *OF_ITEM) for width in widths])
+
+
+def _bits(key: str, chunks: int) -> tuple[Column, list[Column]]:
+    """The chunk of a key, of 2 ** ``chunks``, and three bits in it."""
+    return F.shiftrightunsigned(key, 64 - chunks), [F.shiftright(key, 12 * j).bitwiseAND(F.lit(CHUNK_BITS - 1)).cast("int") for j in range(3)]
+
+
+def _sieve(keys: DataFrame, chunks: int) -> DataFrame:
+    """chunk, words: the bits of all keys, CHUNK_BITS of them in a row."""
+    chunk, bits = _bits("key", chunks)
+    each = keys.select(chunk.alias("chunk"), F.explode(F.array(*bits)).alias("bit")).select("chunk", F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, bit & 63)").alias("mask"))
+    words = each.groupBy("chunk", "word").agg(F.bit_or("mask").alias("mask")).groupBy("chunk").agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("set"))
+    return words.select("chunk", F.transform(F.sequence(F.lit(0), F.lit(CHUNK_BITS // 64 - 1)), lambda i: F.coalesce(F.try_element_at("set", i), F.lit(0).cast("long"))).alias("words"))
+
+
+def _held(bits: list[Column]) -> Column:
+    return reduce(Column.__and__, [F.getbit(F.get("words", F.shiftright(bit, 6)), bit.bitwiseAND(F.lit(63))) == 1 for bit in bits])
+
+
+def _sieved(docs: DataFrame, index: DataFrame, widths: list[int], windows: int) -> DataFrame:
+    """Like ``_hits``, for an index of any size."""
+    passes = ceil(windows / SIEVED)
+    chunks = max(1, ceil(log2(KEY_BITS * windows / passes / CHUNK_BITS)))
+    chunk, bits = _bits("key", chunks)
+    parts = []
+    for i in range(passes):
+        own = index if passes == 1 else index.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == i)
+        passed = []
+        for width in widths:
+            sieve = _sieve(own.where(F.col("width") == width).select("key"), chunks)
+            met = _windows(docs, width).withColumn("chunk", chunk).join(F.broadcast(sieve), "chunk").where(_held(bits))
+            passed.append(_placed(met, width, "key").withColumn("width", F.lit(width)))
+        parts.append(materialize(reduce(DataFrame.union, passed), "sieved-windows"))
+    # By a merge, whatever the sizes: Spark would broadcast an index whose files are small, and it is several times as large in memory.
+    return reduce(DataFrame.union, parts).join(index.hint("merge"), ["width", "key"]).select("id", "text_hash", *OF_ITEM, "at", "slots")
 
 
 def find_contamination(
@@ -151,16 +199,11 @@ def find_contamination(
     share: float = SHARE,
 ) -> DataFrame:
     """doc_id, text_hash, item_id, found_windows, item_windows, n_slots, verbatim: one row for each document text and item that it holds."""
-    index = materialize(index_items(items, id_col=item_id_col, text_col=item_text_col).withColumn("row", F.monotonically_increasing_id()), "template-windows")
+    index = materialize(index_items(items, id_col=item_id_col, text_col=item_text_col), "template-windows")
     shapes = index.groupBy("width").agg(F.count(F.lit(1))).collect()  # WINDOW rows at most
     templates = _templates(docs, id_col, text_col)
-    blocks = max(1, ceil(sum(r[1] for r in shapes) / BLOCK))
-    widths = sorted(r[0] for r in shapes) or [WINDOW]
-    parts = []
-    for i in range(blocks):
-        own = index if blocks == 1 else index.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == i)
-        parts.append(_hits(templates, own.drop("row"), widths))
-    hits = reduce(DataFrame.union, parts)
+    widths, windows = sorted(r[0] for r in shapes) or [WINDOW], sum(r[1] for r in shapes)
+    hits = _hits(templates, index, widths) if windows <= BLOCK else _sieved(templates, index, widths, windows)
 
     same = F.size("item_slots") == F.size("slots")
     pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a["kind"].alias("kind"), a["value"].alias("item"), b["value"].alias("doc")))
