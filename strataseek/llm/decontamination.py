@@ -14,8 +14,9 @@ Windows with names are looked up both as templates and with the names as words,
 copy in lower case is found. The slots that are compared are those of the form whose key was
 found: with the names as words, a name is no slot. Any white space counts as one blank.
 
-An index of few windows is broadcast. Of a larger one only bits of its keys are (a Bloom filter in chunks, of bounded size): windows
-that pass are written, a few of a thousand of them by chance, and meet the index by a shuffle. So a task's memory doesn't grow with the items.
+Documents are looked through in segments, so that what a window carries along, and what a task holds of a document with many hits, is
+bounded. Of the index only bits of its keys are broadcast (a Bloom filter in chunks, of bounded size); windows that pass, a few of
+ten thousand of them by chance, meet the index with their slots alone: an index of few windows is broadcast for it, a larger one met by a shuffle.
 
 Cases: a null or empty text on either side has no windows; an item shorter than a window
 is one window; repeated rows and rows that share an id are reported once for each different
@@ -42,6 +43,8 @@ SHARE = 0.5
 BLOCK = 50_000
 #: Windows whose bits are broadcast together, about 5 bytes each; more than that go in passes, one after the other.
 SIEVED = 8_000_000
+#: Words of a segment, besides those of windows that go over its end.
+SEGMENT = 64
 #: Bits of a chunk, for so many of each key.
 CHUNK_BITS, KEY_BITS = 4096, 32
 
@@ -84,11 +87,12 @@ def _templates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _keys(words: Column, width: int) -> Column:
-    """Hash of each window of hashes of words."""
-    return F.when(
-        F.size(words) >= width,
-        F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - width, F.lit(0))), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(width)))),
-    ).otherwise(F.array().cast("array<bigint>"))
+    """Hash of each window that begins in a segment, of hashes of words."""
+    return F.when(F.size(words) >= width, F.transform(_starts(words, width), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(width))))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _starts(words: Column, width: int) -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.least(F.size(words) - width, F.lit(SEGMENT - 1)), F.lit(0)))
 
 
 def _slots(form: Column, raw: Column, at: Column, width: Column | int) -> Column:
@@ -119,38 +123,30 @@ def index_items(items: DataFrame, *, id_col: str = "item_id", text_col: str = "t
 
 
 def _windows(docs: DataFrame, width: int) -> DataFrame:
-    """id, text_hash, raw, typed, named, at, key: one row for each window of this width, first of the typed words, then of the named."""
+    """id, text_hash, from, raw, typed, named, at, key: one row for each window of this width, with the words of its segment; first of the typed words, then of the named."""
+    own = lambda w, i: F.slice(w, i + 1, SEGMENT + WINDOW - 1).alias(w)
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.size("typed") - 1, F.lit(0)), F.lit(SEGMENT)), lambda i: F.struct(i.alias("from"), *(own(w, i) for w in ("raw", "typed", "named"))))
+    # The outer forms: for the others Spark would filter on the whole expression first, and inline it for that.
+    docs = docs.select("id", "text_hash", F.explode_outer(cut).alias("s")).select("id", "text_hash", "s.*")
     hashes = lambda w: F.transform(w, lambda x: F.xxhash64(x))
-    h = docs.select("id", "text_hash", "raw", "typed", "named", hashes("typed").alias("h1"), hashes("named").alias("h2"))
+    h = docs.select("*", hashes("typed").alias("h1"), hashes("named").alias("h2"))
     if width == WINDOW:
         keys = [_keys(F.col("h1"), width), F.when(F.col("h2").isNotNull(), _keys(F.col("h2"), width))]
     else:
         joined = lambda w: F.when(
-            F.size(w) >= width,
-            F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - width, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(F.col(w), i + 1, width), " "))),
+            F.size(w) >= width, F.transform(_starts(F.col(w), width), lambda i: F.xxhash64(F.array_join(F.slice(F.col(w), i + 1, width), " ")))
         ).otherwise(F.array().cast("array<bigint>"))
         keys = [joined("typed"), F.when(F.col("named").isNotNull(), joined("named"))]
     both = F.concat(keys[0], F.coalesce(keys[1], F.array().cast("array<bigint>")))
-    windows = h.select("id", "text_hash", "raw", "typed", "named", both.alias("keys"))
-    # The outer form: for the other one Spark would filter on the whole expression first, and inline it for that.
-    return windows.select("id", "text_hash", "raw", "typed", "named", F.posexplode_outer("keys").alias("at", "key"))
+    return h.select(*docs.columns, both.alias("keys")).select(*docs.columns, F.posexplode_outer("keys").alias("at", "key"))
 
 
-def _placed(met: DataFrame, width: int, *more: str) -> DataFrame:
-    """Windows that met something, with their place in the document and their slots, without the words."""
-    n = F.greatest(F.size("typed") - width + 1, F.lit(1))
+def _placed(met: DataFrame, width: int) -> DataFrame:
+    """id, text_hash, width, key, at (in the document), slots: of windows that passed the sieve, without the words."""
+    n = F.greatest(F.least(F.size("typed") - width + 1, F.lit(SEGMENT)), F.lit(1))
     at, form = F.col("at") % n, F.when(F.col("at") < n, F.col("typed")).otherwise(F.col("named"))
     # Words are looked at on hits alone; up to here, the arrays are only passed on inside one generated loop.
-    return met.select("id", "text_hash", *more, at.alias("at"), _slots(form, F.col("raw"), at, width).alias("slots"))
-
-
-OF_ITEM = ("item_id", "item_at", "item_slots", "item_windows")
-
-
-def _hits(docs: DataFrame, index: DataFrame, widths: list[int]) -> DataFrame:
-    """One row for each window of a document that equals one of the index, which is broadcast."""
-    of = lambda width: index.where(F.col("width") == width).drop("width")
-    return reduce(DataFrame.union, [_placed(_windows(docs, width).join(F.broadcast(of(width)), "key"), width, *OF_ITEM) for width in widths])
+    return met.select("id", "text_hash", F.lit(width).alias("width"), "key", (F.col("from") + at).alias("at"), _slots(form, F.col("raw"), at, width).alias("slots"))
 
 
 def _bits(key: str, chunks: int) -> tuple[Column, list[Column]]:
@@ -170,10 +166,10 @@ def _held(bits: list[Column]) -> Column:
     return reduce(Column.__and__, [F.getbit(F.get("words", F.shiftright(bit, 6)), bit.bitwiseAND(F.lit(63))) == 1 for bit in bits])
 
 
-def _sieved(docs: DataFrame, index: DataFrame, widths: list[int], windows: int) -> DataFrame:
-    """Like ``_hits``, for an index of any size."""
-    passes = ceil(windows / SIEVED)
-    chunks = max(1, ceil(log2(KEY_BITS * windows / passes / CHUNK_BITS)))
+def _hits(docs: DataFrame, index: DataFrame, widths: list[int], windows: int) -> DataFrame:
+    """One row for each window of a document that equals one of the index."""
+    passes = max(1, ceil(windows / SIEVED))
+    chunks = max(1, ceil(log2(max(1, KEY_BITS * windows / passes / CHUNK_BITS))))
     chunk, bits = _bits("key", chunks)
     parts = []
     for i in range(passes):
@@ -181,11 +177,12 @@ def _sieved(docs: DataFrame, index: DataFrame, widths: list[int], windows: int)
         passed = []
         for width in widths:
             sieve = _sieve(own.where(F.col("width") == width).select("key"), chunks)
-            met = _windows(docs, width).withColumn("chunk", chunk).join(F.broadcast(sieve), "chunk").where(_held(bits))
-            passed.append(_placed(met, width, "key").withColumn("width", F.lit(width)))
-        parts.append(materialize(reduce(DataFrame.union, passed), "sieved-windows"))
-    # By a merge, whatever the sizes: Spark would broadcast an index whose files are small, and it is several times as large in memory.
-    return reduce(DataFrame.union, parts).join(index.hint("merge"), ["width", "key"]).select("id", "text_hash", *OF_ITEM, "at", "slots")
+            passed.append(_placed(_windows(docs, width).withColumn("chunk", chunk).join(F.broadcast(sieve), "chunk").where(_held(bits)), width))
+        part = reduce(DataFrame.union, passed)
+        parts.append(part if passes == 1 else materialize(part, "sieved-windows"))
+    # Else by a merge, whatever the sizes: Spark would broadcast an index whose files are small, and it is several times as large in memory.
+    met = F.broadcast(index) if windows <= BLOCK else index.hint("merge")
+    return reduce(DataFrame.union, parts).join(met, ["width", "key"]).select("id", "text_hash", "item_id", "item_at", "item_slots", "item_windows", "at", "slots")
 
 
 def find_contamination(
@@ -203,7 +200,7 @@ def find_contamination(
     shapes = index.groupBy("width").agg(F.count(F.lit(1))).collect()  # WINDOW rows at most
     templates = _templates(docs, id_col, text_col)
     widths, windows = sorted(r[0] for r in shapes) or [WINDOW], sum(r[1] for r in shapes)
-    hits = _hits(templates, index, widths) if windows <= BLOCK else _sieved(templates, index, widths, windows)
+    hits = _hits(templates, index, widths, windows)
 
     same = F.size("item_slots") == F.size("slots")
     pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a["kind"].alias("kind"), a["value"].alias("item"), b["value"].alias("doc")))
